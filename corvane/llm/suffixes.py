@@ -9,7 +9,8 @@ windows whose anchor it is, and all windows are covered.
 2. For the others, each task cuts the suffix from its anchor to the end of its last window, and the bytes from its first window to the anchor. It sorts
    them, by the anchor's hash and then by their bytes, into runs. Equal records of a run are repeats already; one of them goes on.
 3. Runs are exchanged front-coded (length of the prefix shared with the record before, and the rest), by ranges of
-   the order: the hash makes ranges even without a sample.
+   the order: the hash makes ranges even without a sample. (Its last byte comes first: an anchor's hash is a least
+   one, so that its first bits are small.)
 4. A loser tree merges the runs of a range. Each loser keeps the length of the prefix it shares with the winner of its
    match, so that two records are only compared from where they are not yet known to be equal. The merge yields the lengths of shared
    prefixes; records that share an anchor are neighbours, and their windows are compared with one another.
@@ -260,7 +261,7 @@ def _runs(parts: int, window: int):
                         h = rolling(np.frombuffer(data, np.uint8, last + window - first, first), window).view(np.int64).tolist()
                         hot += [(None, None, x, doc, xh, first + k, first + k + window) for k, x in enumerate(h)]
                         continue
-                    key = ((s["hash"] & _MASK).to_bytes(8, "big") + data[place : last + window], data[first:place])
+                    key = ((s["hash"] & _MASK).to_bytes(8, "little") + data[place : last + window], data[first:place])
                     held.setdefault(key, []).append((doc, xh, first))
                     size += len(key[0]) + len(key[1])
                 if hot:
