@@ -42,7 +42,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Deletes written tables that nothing reads any more."""
+    """Deletes written tables that nothing reads any more. The JVM is asked to collect its garbage, for it is then that Spark
+    deletes the shuffle files behind them; in a loop they would pile up."""
+    for spark in {t.sparkSession for t in tables[:1]}:
+        spark._jvm.System.gc()
     for df in tables:
         path = getattr(df, "_corvane_path", None)
         if path:
@@ -51,6 +54,11 @@ def dropped(*tables: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """df, to be broadcast if it has so many rows at most; otherwise Spark shuffles both sides, and splits skewed keys."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def packed(df: DataFrame) -> DataFrame:
     """The whole row as one struct column _row, so that no input column can clash with an operator's own."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))

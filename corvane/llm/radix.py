@@ -13,10 +13,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import packed, written
+from .common import packed, small, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FIRST_WIDTH, WIDER = 64, 8
+#: Rows of groups, or of decisions, that may be broadcast.
+SMALL = 200_000
 
 
 def normalised(text):
@@ -46,7 +48,7 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         groups = counted.groupBy("gid", "digit", "ended").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep")).filter("n > 1")
         groups = written(groups.withColumn("next", F.monotonically_increasing_id()), "radix-groups")
         more = F.col("n").isNotNull() & ~F.col("ended")
-        joined = split.join(groups, ["gid", "digit", "ended"], "left").select("id", "sha", F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("bigint").alias("group_size"), F.when(more, F.col("next")).alias("gid"), F.when(more, F.col("tail")).alias("rest"))
+        joined = split.join(small(groups, SMALL), ["gid", "digit", "ended"], "left").select("id", "sha", F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("bigint").alias("group_size"), F.when(more, F.col("next")).alias("gid"), F.when(more, F.col("tail")).alias("rest"))
         if groups.filter("NOT ended").isEmpty():
             done.append(joined.select("id", "sha", "keep_id", "group_size"))
             break
@@ -75,11 +77,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with docs' own columns. Only small columns of the decisions are joined back, by id and
-    digest; rows that repeat an id and its text come down to one."""
+    """The rows of docs that stay, with docs' own columns. Only the ids and digests of rows that go, and of rows that repeat an id
+    and its text (of which one stays), are joined back."""
     sha = F.sha2(normalised(F.col(f"_row.`{text_col}`")).cast("binary"), 256)
-    stay = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    decided = exact_dedup(docs, id_col, text_col).groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.max("kept").alias("_stays"), F.count(F.lit(1)).alias("_n"))
+    special = written(decided.filter("NOT _stays OR _n > 1").drop("_n"), "radix-special")
     rows = packed(docs).select("_row", F.col(f"_row.`{id_col}`").cast("bigint").alias("_id0"), sha.alias("_sha0"))
-    joined = rows.join(stay, F.col("_id0").eqNullSafe(F.col("_id")) & (F.col("_sha0") == F.col("_sha")), "left_semi")
+    joined = rows.join(small(special, SMALL), F.col("_id0").eqNullSafe(F.col("_id")) & (F.col("_sha0") == F.col("_sha")), "left")
+    out = joined.filter("_stays IS NULL").select("_row.*")
+    if special.filter("_stays").isEmpty():
+        return out
     nth = F.row_number().over(Window.partitionBy("_id0", "_sha0").orderBy(F.to_json("_row")))
-    return joined.withColumn("_nth", nth).filter("_nth = 1").select("_row.*")
+    return out.unionByName(joined.filter("_stays").withColumn("_nth", nth).filter("_nth = 1").select("_row.*"))
