@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import dropped, written
+from .common import dropped, small, written
 
 TREES, DEPTH, LEAST = 12, 8, 2
 #: Rows looked back at in an order.
@@ -27,6 +27,8 @@ HASHES = TREES * DEPTH
 SCREEN = 0.65  # of the sketch's nibbles; at a similarity of 0.8 four deviations under the 0.81 expected
 SHINGLE, PERCENT = 4, 80
 ROUNDS = 12
+#: Rows of regions, labels or ids that may be broadcast.
+SMALL = 1_000_000
 
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -198,14 +200,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     rows = written(texts.mapInArrow(_signatures(size), "doc_id bigint, n bigint, key binary, sig binary, sketch binary"), "minhash-rows")
     # One row for each class of equal sets; cid is its number, fixed once written.
-    small = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("sketch").alias("sketch"))
-    classes = written(small.withColumn("cid", F.monotonically_increasing_id()), "minhash-classes")
+    sets = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("sketch").alias("sketch"))
+    classes = written(sets.withColumn("cid", F.monotonically_increasing_id()), "minhash-classes")
     orders = classes.select("cid", "n", "sketch", F.posexplode(F.expr(f"transform(sequence(0, {TREES - 1}), t -> substring(sig, int(t * {DEPTH * 4} + 1), {DEPTH * 4}))")).alias("tree", "prefix"))
+    # Rows alone in their region meet nobody, in any round.
+    region = F.substring("prefix", 1, LEAST * 4)
+    crowded = written(orders.groupBy("tree", region.alias("region")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("tree").alias("t"), "region"), "minhash-regions")
+    orders = written(orders.join(small(crowded, SMALL), (F.col("tree") == F.col("t")) & (region == F.col("region")), "left_semi"), "minhash-orders")
+    dropped(crowded)
     labels: DataFrame | None = None
     links: list[DataFrame] = []
     tested: list[DataFrame] = []
     for nth in range(ROUNDS):
-        met = orders.withColumn("comp", F.col("cid")) if labels is None else orders.join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        met = orders.withColumn("comp", F.col("cid")) if labels is None else orders.join(small(labels, SMALL), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
         # The order is by range, so a crowded region lies over as many tasks as it needs.
         ordered = met.select("tree", "prefix", "cid", "comp", "n", "sketch").repartitionByRange("tree", "prefix", "cid").sortWithinPartitions("tree", "prefix", "cid")
         pairs = ordered.mapInArrow(_meet, "a bigint, b bigint, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
@@ -214,18 +221,23 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for t in tested:
             pairs = pairs.join(t, ["a", "b"], "left_anti")
         pairs = written(pairs.select("a", "b"), "minhash-pairs")
+        tested.append(pairs)
         if pairs.isEmpty():
             break
-        tested.append(pairs)
         # Texts of classes in a pair only. A class's text comes from the row of its smallest id.
-        new = written(_texts_of(pairs, rows, texts, classes, size), "minhash-links")
+        new, some = _texts_of(pairs, texts, classes, size)
+        new = written(new, "minhash-links")
+        dropped(some)
         if new.isEmpty() and nth:
             break
         links.append(new)
         edges = links[0]
         for more in links[1:]:
             edges = edges.unionByName(more)
-        labels = written(components(edges), "minhash-labels")
+        old, labels = labels, written(components(edges), "minhash-labels")
+        if old is not None:
+            dropped(old)
+    dropped(orders, *tested)
     found = classes.select("key", "cid", "rep")
     if labels is not None:
         found = found.join(labels, "cid", "left")
@@ -239,13 +251,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
 
 
-def _texts_of(pairs: DataFrame, rows: DataFrame, texts: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """Confirmed links among pairs. Pairs are read sorted by b, so neighbours in a row share texts, and shuffles compress well."""
+def _texts_of(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Confirmed links among pairs, and the table of texts that they are read from. Pairs are read sorted by b, so neighbours in a row share texts, and shuffles compress well."""
     ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
     wanted = classes.select("cid", "key", F.col("rep").alias("rep_id")).join(ends, "cid", "left_semi")
     # The text whose set has the class's key: hashed again, as an id may stand for several texts.
     ids = wanted.select("rep_id").distinct()
-    ids = F.broadcast(ids) if ids.count() <= 2_000_000 else ids
+    ids = small(ids, SMALL)
 
     def keyed(batches):
         for batch in batches:
@@ -257,7 +269,7 @@ def _texts_of(pairs: DataFrame, rows: DataFrame, texts: DataFrame, classes: Data
     some = some.join(wanted, "key").filter(F.col("rep").eqNullSafe(F.col("rep_id"))).select("cid", "text")
     some = written(some.dropDuplicates(["cid"]), "minhash-texts")
     j = pairs.join(some.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a").join(some.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b")
-    return j.select("a", "b", "ta", "tb").mapInArrow(_confirm(size), "a bigint, b bigint")
+    return j.select("a", "b", "ta", "tb").mapInArrow(_confirm(size), "a bigint, b bigint"), some
 
 
 def keep_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
