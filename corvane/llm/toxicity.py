@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import crc_mod
 
 SAMPLE, LEXICON, BINS, ROUNDS, DEPTH, RATE = 20_000, 200, 32, 80, 3, 0.15
-#: Toxic documents a word of the lexicon stands in: so many, and this share of them.
-LEAST_DOCS, LEAST_SHARE = 5, 0.02
+#: Toxic documents a word of the lexicon stands in.
+LEAST_DOCS = 5
 #: Second person in the four languages. Fixed values.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deiner ihr euch tu te toi ton ta tes vous votre vos tú ti tuyo usted ustedes vosotros".split())
 #: Characters that stand for letters. Fixed values.
@@ -249,7 +249,7 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     counts = rows.select("toxic", word.alias("w")).filter("length(w) BETWEEN 3 AND 24").groupBy("w").agg(F.sum("toxic").cast("double").alias("t"), F.sum(1 - F.col("toxic")).cast("double").alias("c"))
     odds = F.log((F.col("t") + 0.5) / (F.lit(float(toxic)) - F.col("t") + 0.5)) - F.log((F.col("c") + 0.5) / (F.lit(float(clean)) - F.col("c") + 0.5))
     doubt = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    found = counts.select("w", odds.alias("o"), (odds - 2.5 * doubt).alias("sure"), "t").filter((F.col("t") >= max(LEAST_DOCS, LEAST_SHARE * toxic)) & (F.col("sure") > 0.7)).orderBy(F.desc("sure"), "w").limit(LEXICON).collect()
+    found = counts.select("w", odds.alias("o"), (odds - 2.5 * doubt).alias("sure"), "t").filter((F.col("t") >= LEAST_DOCS) & (F.col("sure") > 0.7)).orderBy(F.desc("sure"), "w").limit(LEXICON).collect()
     return {r.w: float(r.o) for r in found}
 
 
