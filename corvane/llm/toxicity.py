@@ -26,6 +26,7 @@ SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine d
 LEET = str.maketrans("013457@$!|", "oieastasil")
 _EDGES = " \t\n\r\v\f.,;:!?\"'()[]{}<>|#*$%&~_-+=/\\"
 _RUN = re.compile(r"(.)\1+")
+_STRETCHED = re.compile(r"(.)\1\1")
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _LETTER = _UPPER.copy()
@@ -38,7 +39,7 @@ FEATURES = ["words", "plain", "plain_n", "disguised", "disguised_n", "kinds", "w
 
 
 class Words(dict):
-    """word -> (flags, index in the lexicon or -1), for words met lately. Flags: 1 plain, 2 disguised, 4 second person, 8 capitals,
+    """word -> flags + 256 * (index in the lexicon, from 1; 0 for none), for words met lately. Flags: 1 plain, 2 disguised, 4 second person, 8 capitals,
     16 digit inside, 32 sign inside, 64 stretched, 128 single letter."""
 
     def __init__(self, lexicon: dict[str, float]):
@@ -64,38 +65,41 @@ class Words(dict):
                 return i
         return -1
 
-    def __missing__(self, raw: str) -> tuple[int, int]:
-        word = raw.lower().strip(_EDGES)
+    def __missing__(self, raw: str) -> int:
+        low = raw.lower()
+        word, bare, inside = low.strip(_EDGES), low.strip(" .,;:?\"'()[]{}<>"), raw.strip(_EDGES)
         flags, at = 0, self.number.get(word, -1)
+        letters = bare == word and inside.isalpha()  # most words: nothing to undo but stretching
+        squeezed = _RUN.sub(r"\1", word) if letters else None
         if at >= 0:
             flags = 1
         elif word:
-            at = self._disguised(raw.lower().strip(" .,;:?\"'()[]{}<>"))
+            at = self.squeezed.get(squeezed, -1) if letters and word.isalpha() else self._disguised(bare)
             flags = 2 if at >= 0 else 0
         if word in SECOND_PERSON:
             flags |= 4
-        inside = raw.strip(_EDGES)
         if len(inside) > 1 and inside.isupper():
             flags |= 8
-        if any(c.isdigit() for c in inside) and any(c.isalpha() for c in inside):
-            flags |= 16
-        if any(not c.isalnum() and c not in "'-.,/" for c in inside):
-            flags |= 32
-        if re.search(r"(.)\1\1", inside):
+        if not letters:
+            if any(map(str.isdigit, inside)) and any(map(str.isalpha, inside)):
+                flags |= 16
+            if any(not c.isalnum() and c not in "'-.,/" for c in inside):
+                flags |= 32
+        if squeezed != word and _STRETCHED.search(inside):
             flags |= 64
         if len(word) == 1 and word.isalpha():
             flags |= 128
         if len(self) > 200_000:
             self.clear()
-        self[raw] = (flags, at)
-        return flags, at
+        self[raw] = found = flags | (at + 1) << 8
+        return found
 
 
 def features(text: str, words: Words, weights: np.ndarray) -> list[float]:
     parts = text.split()
     n = max(len(parts), 1)
-    codes = np.array([words[w] for w in parts], np.int32).reshape(-1, 2)
-    flags, at = codes[:, 0], codes[:, 1]
+    codes = np.fromiter(map(words.__getitem__, parts), np.int32, len(parts))
+    flags, at = codes & 255, (codes >> 8) - 1
     hits = np.flatnonzero(flags & 3)
     spelled = 0
     single = np.flatnonzero(flags & 128)
