@@ -54,9 +54,12 @@ def dropped(*tables: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small(df: DataFrame, most: int) -> DataFrame:
-    """df, to be broadcast if it has so many rows at most; otherwise Spark shuffles both sides, and splits skewed keys."""
-    return F.broadcast(df) if df.count() <= most else df
+def small(df: DataFrame, most: int, bytes_col: str | None = None, most_bytes: int = 64 << 20) -> DataFrame:
+    """df, to be broadcast if it has so many rows at most, and in bytes_col, a column of any length, so many bytes at most;
+    otherwise Spark shuffles both sides, and splits skewed keys."""
+    total = F.coalesce(F.sum(F.length(bytes_col)), F.lit(0)) if bytes_col else F.lit(0)
+    found = df.agg(F.count(F.lit(1)).alias("n"), total.alias("b")).first()
+    return F.broadcast(df) if found.n <= most and found.b <= most_bytes else df
 
 
 def packed(df: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         groups = counted.groupBy("gid", "digit", "ended").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep")).filter("n > 1")
         groups = written(groups.withColumn("next", F.monotonically_increasing_id()), "radix-groups")
         more = F.col("n").isNotNull() & ~F.col("ended")
-        joined = split.join(small(groups, SMALL), ["gid", "digit", "ended"], "left").select("id", "sha", F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("bigint").alias("group_size"), F.when(more, F.col("next")).alias("gid"), F.when(more, F.col("tail")).alias("rest"))
+        joined = split.join(small(groups, SMALL, bytes_col="digit"), ["gid", "digit", "ended"], "left").select("id", "sha", F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("bigint").alias("group_size"), F.when(more, F.col("next")).alias("gid"), F.when(more, F.col("tail")).alias("rest"))
         if groups.filter("NOT ended").isEmpty():
             done.append(joined.select("id", "sha", "keep_id", "group_size"))
             break
