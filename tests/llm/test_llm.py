@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.llm import bpe, chat, langid, minhash, packing, quality, radix, suffixes, toxicity, warc
+from corvane.llm.common import small
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, _row string, id string, key string"
 
@@ -73,6 +74,13 @@ def test_exact_dedup(spark):
     assert radix.exact_dedup(d.limit(0)).count() == 0
 
 
+def test_small(spark):
+    d = spark.createDataFrame([(b"x" * 600,)] * 3, "digit binary")
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(small(d, 3)) and hinted(small(d, 3, "digit")) and hinted(small(d.limit(0), 0, "digit", 0))
+    assert not hinted(small(d, 2)) and not hinted(small(d, 3, "digit", 1799))
+
+
 def test_exact_dedup_repeated_ids(spark):
     d = docs(spark, ["a", "a", "a", "b", "b"], [1, 1, None, None, 7])
     rows = radix.exact_dedup(d).collect()
