@@ -27,9 +27,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that stand elsewhere too are cut out; n_chars follows the text."""
+    """Passages of over 50 words, or of 400 bytes, that stand elsewhere too are cut out; n_chars follows the text."""
     ship(spark)
-    out = suffixes.without_repeats(docs)
+    out = suffixes.without_passages(docs)
     return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
 
 

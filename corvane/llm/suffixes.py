@@ -17,20 +17,28 @@ windows whose anchor it is, and all windows are covered.
 
 Anchors that occur more than HOT times are not brought together in one task: their windows are counted, by hash, in a
 partial aggregation instead, which is exact as well.
+
+The same is done with words in the place of bytes, each as a hash of 64 bits, where passages are told by their number of words:
+without_passages, the pipeline's stage.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import dropped, packed, written
+from .common import SPACES, dropped, packed, written
+from .minhash import _hashes
 
 WINDOW, GRAM, HOT = 400, 32, 20_000
+#: In words: the shortest passage that counts, and its anchor. Anchors of 16 words seldom repeat where no passage does.
+WORDS, WORD_GRAM = 51, 16
+_WORD = re.compile(SPACES.replace("[", "[^").encode())
 RUN_BYTES, RESOLVE_BYTES, PART_ROWS = 32 << 20, 1 << 20, 30_000
 
 _P = 0x9E3779B97F4A7C15
@@ -44,8 +52,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def units(data: bytes, words: bool) -> np.ndarray:
+    """What windows are counted in: bytes, or hashes of words."""
+    return np.fromiter(map(_hashes.__getitem__, data.split()), np.uint64) if words else np.frombuffer(data, np.uint8)
+
+
 def rolling(b: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each width-byte string of b, from hashes of strings of 1, 2, 4, ... bytes."""
+    """Hash of each string of width units of b, from hashes of strings of 1, 2, 4, ... units."""
     h, span, power = b.astype(np.uint64) + np.uint64(1), 1, _P
     out, done, w = None, 0, width
     while w:
@@ -81,7 +94,7 @@ def anchors(b: np.ndarray, window: int = WINDOW, gram: int = GRAM):
     return place, g[place].view(np.int64), first, last
 
 
-def _find(window, gram):
+def _find(window, gram, words):
     names = ["doc_id", "xh", "n_bytes", "sha", "hash", "place", "first", "last"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
 
@@ -92,13 +105,16 @@ def _find(window, gram):
                 docs, parts, owners = [], [], []
                 for i, x, t in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     data = (t or "").encode()
-                    docs.append((i, x, len(data), hashlib.sha256(data).hexdigest()))
-                    if len(data) >= window:
-                        found = anchors(np.frombuffer(data, np.uint8), window, gram)
+                    if not words:
+                        docs.append((i, x, len(data), hashlib.sha256(data).hexdigest()))
+                    b = units(data, words)
+                    if len(b) >= window:
+                        found = anchors(b, window, gram)
                         parts.append(found)
                         owners += [(i, x)] * len(found[0])
-                n = len(docs)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*docs, strict=True), kinds, strict=False)] + [pa.nulls(n, k) for k in kinds[4:]], names=names)
+                if docs:
+                    n = len(docs)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*docs, strict=True), kinds, strict=False)] + [pa.nulls(n, k) for k in kinds[4:]], names=names)
                 if owners:
                     m = len(owners)
                     place, h, first, last = (np.concatenate(c) for c in zip(*parts, strict=True))
@@ -194,14 +210,14 @@ class LoserTree:
             self.winner = w
 
 
-def repeated_windows(records, window: int):
+def repeated_windows(records, window: int, words: bool = False):
     """records of whole groups: (text without hash, left, done, doc, xh, first) -> (doc, xh, start, end) of what repeats."""
     data = b"".join(left + text for text, left, *_ in records)
-    sizes = np.fromiter((len(r[0]) + len(r[1]) for r in records), np.int64, len(records))
+    b = np.frombuffer(data, np.uint64 if words else np.uint8)
+    sizes = np.fromiter((len(r[0]) + len(r[1]) for r in records), np.int64, len(records)) // b.itemsize
     base = np.cumsum(sizes) - sizes
     counts = sizes - window + 1
     begin = np.cumsum(counts) - counts
-    b = np.frombuffer(data, np.uint8)
     starts = np.arange(counts.sum()) - np.repeat(begin - base, counts)
     h = np.empty(len(starts), np.uint64)
     for lo in range(0, len(b) - window + 1, 1 << 18):  # the whole buffer's hashes are never held
@@ -232,19 +248,19 @@ def _rows(rows):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _OUT_KINDS, strict=True)], names=_OUT_NAMES)
 
 
-def _runs(parts: int, window: int):
+def _runs(parts: int, window: int, words: bool):
     """Documents with their repeated anchors -> runs by part, what repeats within a run, and windows of hot anchors."""
 
     def work(batches):
         held: dict[tuple[bytes, bytes], list] = {}
-        size = 0
+        size, width = 0, 8 if words else 1
 
         def flush():
             rows, by_part = [], {}
             for (text, left), members in sorted(held.items()):
                 done = len(members) > 1
                 if done:
-                    rows += [(None, None, None, doc, xh, first, first + len(left) + len(text) - 8) for doc, xh, first in members]
+                    rows += [(None, None, None, doc, xh, first, first + (len(left) + len(text) - 8) // width) for doc, xh, first in members]
                 part = int.from_bytes(text[:8], "big") * parts >> 64
                 by_part.setdefault(part, []).append((text, left, done, *members[0]))
             rows += [(part, front_coded(records), None, None, None, None, None) for part, records in by_part.items()]
@@ -253,15 +269,16 @@ def _runs(parts: int, window: int):
 
         for batch in batches:
             for doc, xh, text, spots in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data, hot = text.encode(), []
+                b, hot = units(text.encode(), words), []
+                data = b.tobytes()
                 doc = _NO_ID if doc is None else doc
                 for s in spots:
                     place, first, last = s["place"], s["first"], s["last"]
                     if s["hot"]:
-                        h = rolling(np.frombuffer(data, np.uint8, last + window - first, first), window).view(np.int64).tolist()
+                        h = rolling(b[first : last + window], window).view(np.int64).tolist()
                         hot += [(None, None, x, doc, xh, first + k, first + k + window) for k, x in enumerate(h)]
                         continue
-                    key = ((s["hash"] & _MASK).to_bytes(8, "little") + data[place : last + window], data[first:place])
+                    key = ((s["hash"] & _MASK).to_bytes(8, "little") + data[place * width : (last + window) * width], data[first * width : place * width])
                     held.setdefault(key, []).append((doc, xh, first))
                     size += len(key[0]) + len(key[1])
                 if hot:
@@ -275,23 +292,25 @@ def _runs(parts: int, window: int):
     return work
 
 
-def _merge(window: int, gram: int):
+def _merge(window: int, gram: int, words: bool):
+    same = 8 + gram * (8 if words else 1)
+
     def work(table: pa.Table) -> pa.Table:
         out, ready, group, size = [], [], [], 0
         for n, text, rest in LoserTree([run_of(x) for x in table.column("run").to_pylist()]):
-            if n < 8 + gram and group:  # another anchor
+            if n < same and group:  # another anchor
                 if len(group) > 1:
                     ready += group
                     size += sum(len(r[0]) + len(r[1]) for r in group)
                 group = []
                 if size >= RESOLVE_BYTES:
-                    out += repeated_windows(ready, window)
+                    out += repeated_windows(ready, window, words)
                     ready, size = [], 0
             group.append((text[8:], *rest))
         if len(group) > 1:
             ready += group
         if ready:
-            out += repeated_windows(ready, window)
+            out += repeated_windows(ready, window, words)
         return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "xh", "start", "stop"])
 
     return work
@@ -307,6 +326,19 @@ def merged_spans(spans) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+def bytes_of(data: bytes, spans) -> list[tuple[int, int]]:
+    """Spans (start, stop, words) in bytes. Those of words go on to the next word, and begin with the text if no word is before."""
+    out, at = [], None
+    for s in spans:
+        start, stop = s["start"], s["stop"]
+        if s["words"]:
+            if at is None:
+                at = [m.start() for m in _WORD.finditer(data)] + [len(data)]
+            start, stop = at[start] if start else 0, at[stop]
+        out.append((start, stop))
+    return out
+
+
 _CUT = "cid bigint, cxh bigint, n_removed bigint, n_spans bigint, kept_sha bigint, kept binary"
 
 
@@ -317,7 +349,7 @@ def _cut(with_text: bool):
                 rows = []
                 for doc, xh, text, spans in zip(*(c.to_pylist() for c in batch.slice(lo, 128).columns), strict=True):
                     data, at, kept, removed = text.encode(), 0, [], 0
-                    spans = merged_spans((s["start"], s["stop"]) for s in spans)
+                    spans = merged_spans(bytes_of(data, spans))
                     for start, stop in spans:
                         kept.append(data[at:start])
                         removed += stop - start
@@ -346,27 +378,39 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.xxhash64(t).alias("xh"), t.alias("text"))
 
 
-def _cuts(docs: DataFrame, id_col: str, text_col: str, with_text: bool, window: int, gram: int, hot: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, xh, n_bytes, sha) of all rows, and what is cut (cid, cxh, n_removed, n_spans, kept_sha, kept) of some."""
-    spark = docs.sparkSession
-    texts = _texts(docs, id_col, text_col)
-    found = written(texts.select("doc_id", "xh", "text").mapInArrow(_find(window, gram), "doc_id bigint, xh bigint, n_bytes bigint, sha string, hash bigint, place int, first int, last int"), "suffix-anchors")
+def _spans(texts: DataFrame, window: int, gram: int, hot: int, words: bool = False) -> tuple[DataFrame, DataFrame]:
+    """What _find found, and (doc_id, xh, start, stop, words) of what repeats."""
+    spark = texts.sparkSession
+    found = written(texts.select("doc_id", "xh", "text").mapInArrow(_find(window, gram, words), "doc_id bigint, xh bigint, n_bytes bigint, sha string, hash bigint, place int, first int, last int"), "suffix-anchors")
     spots = found.filter("hash IS NOT NULL").select("doc_id", "xh", "hash", "place", "first", "last")
     again = written(spots.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("hash").alias("h"), (F.col("n") > hot).alias("hot")), "suffix-again")
     lists = spots.join(again, F.col("hash") == F.col("h")).groupBy(F.col("doc_id").alias("lid"), F.col("xh").alias("lxh")).agg(F.collect_list(F.struct("hash", "place", "first", "last", "hot")).alias("l"))
     lists = written(lists, "suffix-lists")
     n = lists.agg(F.sum(F.size("l"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // PART_ROWS))
-    runs = written(_with_lists(texts, lists).mapInArrow(_runs(parts, window), _OUT), "suffix-runs")
-    merged = runs.filter("run IS NOT NULL").select("part", "run").groupBy("part").applyInArrow(_merge(window, gram), "doc_id bigint, xh bigint, start int, stop int")
+    runs = written(_with_lists(texts, lists).mapInArrow(_runs(parts, window, words), _OUT), "suffix-runs")
+    merged = runs.filter("run IS NOT NULL").select("part", "run").groupBy("part").applyInArrow(_merge(window, gram, words), "doc_id bigint, xh bigint, start int, stop int")
     spans = merged.unionByName(runs.filter("run IS NULL AND wh IS NULL").select("doc_id", "xh", "start", "stop"))
     if not again.filter("hot").isEmpty():
         hot_rows = runs.filter("wh IS NOT NULL")
         twice = written(hot_rows.groupBy("wh").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("wh").alias("w")), "suffix-hot")
         spans = spans.unionByName(hot_rows.join(twice, F.col("wh") == F.col("w")).select("doc_id", "xh", "start", "stop"))
-    ident = F.when(F.col("doc_id") != F.lit(_NO_ID), F.col("doc_id")).alias("lid")
-    by_doc = written(spans.groupBy(ident, F.col("xh").alias("lxh")).agg(F.collect_list(F.struct("start", "stop")).alias("l")), "suffix-spans")
+    spans = written(spans.withColumn("words", F.lit(words)), "suffix-found")
     dropped(runs, again, lists)
+    return found, spans
+
+
+def _cuts(docs: DataFrame, id_col: str, text_col: str, with_text: bool, window: int, gram: int, hot: int, passages: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, xh, n_bytes, sha) of all rows, and what is cut (cid, cxh, n_removed, n_spans, kept_sha, kept) of some. passages: repeats of
+    WORDS words are cut as well."""
+    texts = _texts(docs, id_col, text_col)
+    found, spans = _spans(texts, window, gram, hot)
+    if passages:
+        by_words, more = _spans(texts, WORDS, WORD_GRAM, hot, True)
+        dropped(by_words)
+        spans = spans.unionByName(more)
+    ident = F.when(F.col("doc_id") != F.lit(_NO_ID), F.col("doc_id")).alias("lid")
+    by_doc = written(spans.groupBy(ident, F.col("xh").alias("lxh")).agg(F.collect_list(F.struct("start", "stop", "words")).alias("l")), "suffix-spans")
     cut = _with_lists(texts, by_doc).mapInArrow(_cut(with_text), _CUT.replace("kept_sha bigint", "kept_sha string")).dropDuplicates(["cid", "cxh"])
     return found.filter("hash IS NULL").select("doc_id", "xh", "n_bytes", "sha"), cut
 
@@ -382,9 +426,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha", "sha").alias("kept_sha256"))
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT, passages: bool = False) -> DataFrame:
     """docs with repeated passages cut out of the text. A character cut in two goes whole. Null texts stay null."""
-    _, cut = _cuts(docs, id_col, text_col, True, window, gram, hot)
+    _, cut = _cuts(docs, id_col, text_col, True, window, gram, hot, passages)
     text = F.col(f"_row.`{text_col}`").cast("string")
     rows = packed(docs).withColumn("_id", F.col(f"_row.`{id_col}`").cast("bigint")).withColumn("_xh", F.xxhash64(F.coalesce(text, F.lit(""))))
     cut = cut.mapInArrow(_decoded, "cid bigint, cxh bigint, kept_text string")
@@ -392,6 +436,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select(*[(F.coalesce("kept_text", text) if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
+def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """without_repeats, and every repeat of WORDS words or more goes too, however few bytes it has and whatever spaces part its words."""
+    return without_repeats(docs, id_col, text_col, passages=True)
+
+
 def _decoded(batches):
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("cxh"), pa.array([x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()], pa.string())], names=["cid", "cxh", "kept_text"])

@@ -261,6 +261,26 @@ def test_suffixes_brute_force(spark, hot):
         assert suffixes.repeats(d.limit(0)).count() == 0
 
 
+def test_pipeline_cuts_passages_of_51_words(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+    p51, p50, p80, solid = words(51), words(50), words(80), "".join(words(100))
+    own = [words(30) for _ in range(12)]
+    mid = lambda i, p: " ".join([*own[i][:15], *p, *own[i][15:]])
+    texts = [mid(0, p51), " ".join(own[1]) + "\n" + "\n ".join(p51), mid(2, p50), mid(3, p50), mid(4, p80), mid(5, [*p80, *p80]), mid(6, p80[:51]), mid(7, p80[:50]), mid(8, [solid]), mid(9, [solid]), " ".join(p51), None]
+    assert len(" ".join(p51)) < 400
+    d = docs(spark, texts)
+    for out in (corpus_pipeline.suffix_stage(spark, d, ""), suffixes.without_repeats(d, hot=1, passages=True)):
+        got = {r.doc_id: r.text for r in out.collect()}
+        for i in (0, 1, 6):
+            assert got[i].split() == own[i]
+        for i in (4, 5, 8, 9):  # 400 bytes and more: bytes beside them may be equal too
+            assert 0 <= len("".join(own[i])) - len("".join(got[i].split())) < 6
+        assert [got[i] for i in (2, 3, 7, 10, 11)] == [texts[2], texts[3], texts[7], "", None]
+
+
 def test_loser_tree():
     rng = random.Random(9)
     runs = [sorted(bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(0, 12))) for _ in range(7)]
