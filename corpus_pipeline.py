@@ -34,9 +34,9 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each piece of a document in a bin."""
+    """One row for each piece of a document in a bin; of documents whose rests are equal now, one a bin."""
     ship(spark)
-    return packing.best_fit(docs)
+    return packing.best_fit(packing.with_clusters(docs), cluster_col="_cluster")
 
 
 STAGES = [

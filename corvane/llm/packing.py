@@ -17,6 +17,8 @@ from bisect import bisect_left, insort
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .radix import normalised
+
 #: Bytes of UTF-8 a bin holds; rows a shard is planned for; documents of one source in a bin.
 CAPACITY, SHARD_ROWS, PER_SOURCE = 16_384, 4_096, 2
 
@@ -99,6 +101,11 @@ def pack_shard(items: list[tuple], capacity: int = CAPACITY, per_source: int = P
     return out
 
 
+def with_clusters(docs: DataFrame, name: str = "_cluster", text_col: str = "text") -> DataFrame:
+    """docs with the duplicate cluster of the text: texts that op2 takes as equal (A-Z as a-z) are one."""
+    return docs.withColumn(name, F.xxhash64(normalised(F.col(f"`{text_col}`"))))
+
+
 SCHEMA = "doc_id bigint, shard bigint, bin bigint, doc_start bigint, bin_start bigint, n_bytes bigint, source string, cluster bigint"
 
 

@@ -32,9 +32,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packs all documents; documents with equal texts are one duplicate cluster."""
+    """Packs all documents; documents with texts that op2 takes as equal are one duplicate cluster."""
     docs = table(ship(spark), sf_dir, "documents")
-    return packing.best_fit(docs.selectExpr("*", "xxhash64(text) AS _cluster"), cluster_col="_cluster")
+    return packing.best_fit(packing.with_clusters(docs), cluster_col="_cluster")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

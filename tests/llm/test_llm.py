@@ -331,6 +331,19 @@ def test_packing(spark):
     assert packing.best_fit(d.limit(0)).count() == 0
 
 
+def test_packing_parts_copies_of_any_case(spark, tmp_path):
+    import corpus_pipeline
+
+    from corvane.llm import queries
+
+    texts = ["Equal Rest", "equal rest", "EQUAL rest", "other"]
+    d = spark.createDataFrame([(i, t, f"s{i}") for i, t in enumerate(texts)], "doc_id bigint, text string, source string")
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    for out in (corpus_pipeline.packing_stage(spark, d, ""), queries.op5_best_fit_packing(spark, str(tmp_path))):
+        bins = {r.doc_id: (r.shard, r.bin) for r in out.collect()}
+        assert len({bins[i] for i in range(3)}) == 3 and len(set(bins.values())) == 3
+
+
 def test_best_fit_takes_the_tightest():
     out = packing.pack_shard([("a", 60, "s", None), ("b", 70, "t", None), ("c", 30, "u", None), ("d", 35, "v", 1)], 100, 2)
     where = {k: b for k, b, *_ in out}
