@@ -1,14 +1,18 @@
 """Near-duplicate groups by an LSH forest over MinHash signatures, confirmed on full shingle sets.
 
-Documents with equal shingle sets are one class from the start: copies are never expanded into pairs. Each class's signature
-is sorted in TREES orders. In each, a class meets the rows beside it that share a prefix of at least LEAST
-hashes: the longest common prefixes, since the order is sorted, so a crowded region is searched as deep as it needs
-(up to DEPTH hashes) and a sparse one at LEAST. A class also meets the first row of its region. A sketch of the whole
-signature screens what is met; what passes is confirmed on the full sets.
-
-This goes in rounds. In the first, each class is confirmed against the likeliest partner only; groups that form are
-labelled by connected components. Later rounds meet only rows of other groups (the nearest such row too, however many
-rows of the own group lie between), so confirmed groups cost nothing more, and rounds end when one confirms no link.
+Documents with equal shingle sets are one class from the start: copies are never expanded into pairs.
+
+1. Each class's signature is sorted in TREES orders. A region is the rows of an order that share a prefix. It starts at
+   LEAST hashes and gets deeper, by the DEPTHS, until CROWD rows at most share it. Rows of a region that had to get deeper
+   take part in MORE further orders (other choices of hashes of the same signature), which make up for the depth.
+2. In a region all rows meet. A sketch of the whole signature tells which are alike; only a spanning forest of those
+   goes on, so that what a region yields is linear in its rows. Rows that share a whole prefix of DEPTH hashes, and are more than
+   CROWD, are taken as alike without meeting.
+3. Components of what is alike are families. A pair with a similarity of 0.8 is in one family but for the misses that
+   README tells; nothing else is decided here.
+4. Families are brought together with their texts, once, and all their pairs are compared by full sets, but for those that are
+   connected already. A family of over ROWS rows or SETS shingles is dealt into blocks, dealt again while that finds
+   links, and at last each two blocks meet that aren't of one and the same group.
 """
 
 from __future__ import annotations
@@ -16,17 +20,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import dropped, small, written
 
-TREES, DEPTH, LEAST = 12, 8, 2
-#: Rows looked back at in an order.
-BACK = 4
+TREES, DEPTH, LEAST, MORE = 12, 8, 2, 36
+DEPTHS, CROWD = (LEAST, 4, DEPTH), 512
 HASHES = TREES * DEPTH
-SCREEN = 0.65  # of the sketch's nibbles; at a similarity of 0.8 four deviations under the 0.81 expected
+SCREEN = 0.62  # of the sketch's nibbles; at a similarity of 0.8 nearly five deviations under the 0.81 expected
 SHINGLE, PERCENT = 4, 80
-ROUNDS = 12
+#: Of a block of a family.
+ROWS, SETS = 1024, 1_000_000
 #: Rows of regions, labels or ids that may be broadcast.
 SMALL = 1_000_000
 
@@ -74,10 +78,16 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (best >> _S).astype(np.uint32)
 
 
+#: The places in the signature that each order sorts by: own hashes for the first TREES, then choices among all.
+ORDERS = [list(range(t * DEPTH, (t + 1) * DEPTH)) for t in range(TREES)] + [_rng.choice(HASHES, DEPTH, replace=False).tolist() for _ in range(MORE)]
+
+
 def _signatures(size):
+    names = ["doc_id", "xh", "n", "key", "sig", "sketch"]
+
     def work(batches):
         for batch in batches:
-            ids, texts = batch.columns
+            ids, xhs, texts = batch.columns
             for lo in range(0, batch.num_rows, 512):
                 ns, keys, sigs, sketches = [], [], [], []
                 for text in texts[lo : lo + 512].to_pylist():
@@ -91,7 +101,7 @@ def _signatures(size):
                     keys.append(xxhash.xxh128_digest(s.tobytes()))
                     sigs.append(sig.astype(">u4").tobytes())
                     sketches.append((low[0::2] | low[1::2] << 4).tobytes())
-                yield pa.RecordBatch.from_arrays([ids[lo : lo + 512], pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(sketches, pa.binary())], names=["doc_id", "n", "key", "sig", "sketch"])
+                yield pa.RecordBatch.from_arrays([ids[lo : lo + 512], xhs[lo : lo + 512], pa.array(ns, pa.int64()), *(pa.array(c, pa.binary()) for c in (keys, sigs, sketches))], names=names)
 
     return work
 
@@ -100,66 +110,117 @@ def _signatures(size):
 _ZEROS = np.array([(b & 15 == 0) + (b >> 4 == 0) for b in range(256)], np.uint8)
 
 
-def _bytes_matrix(column, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
-
-
-def _meet(batches):
-    """Rows sorted by tree, key, cid -> pairs a > b (by cid) that pass the screen, with the sketch's agreement."""
-    cols = None  # the last rows and the first row of the open region, carried from batch to batch
+def _whole(batches, keys: list[str]):
+    """Tables of whole groups: rows come sorted by keys, and the last group of a batch waits for the next one."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = [batch.column("tree").to_numpy(), _bytes_matrix(batch.column("prefix"), DEPTH * 4), batch.column("cid").to_numpy(), batch.column("comp").to_numpy(), batch.column("n").to_numpy(), _bytes_matrix(batch.column("sketch"), HASHES // 2)]
-        fresh = 0
-        if cols is not None:
-            fresh = len(cols[0])
-            now = [np.concatenate([a, b]) for a, b in zip(cols, now, strict=True)]
-        tree, prefix, cid, comp, n, sketch = now
+        last = [c[-1] for c in (batch.column(k) for k in keys)]
+        at = batch.num_rows
+        while at and all(batch.column(k)[at - 1] == v for k, v in zip(keys, last, strict=True)):
+            at -= 1
+        if at or (held and any(held[-1].column(k)[-1] != v for k, v in zip(keys, last, strict=True))):
+            yield pa.Table.from_batches([*held, batch.slice(0, at)])
+            held = []
+        held.append(batch.slice(at))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _least(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest that it is connected with by the edges i, j."""
+    label = np.arange(n)
+    while len(i):
+        new = label.copy()
+        low = np.minimum(label[i], label[j])
+        for side in (i, j):
+            np.minimum.at(new, label[side], low)
+            np.minimum.at(new, side, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
+def _meet(batches):
+    """Rows sorted by tree, region, cid -> (a, b): a spanning forest, by stars, of the rows of a region that are alike."""
+    for t in _whole(batches, ["tree", "region"]):
+        tree, region, cid, n = (t.column(c).to_numpy() for c in ("tree", "region", "cid", "n"))
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, HASHES // 2)
         rows = len(tree)
         at = np.arange(rows)
         start = np.ones(rows, bool)
-        start[1:] = (tree[1:] != tree[:-1]) | (prefix[1:, : LEAST * 4] != prefix[:-1, : LEAST * 4]).any(axis=1)
+        start[1:] = (tree[1:] != tree[:-1]) | (region[1:] != region[:-1])
         first = np.maximum.accumulate(np.where(start, at, 0))
-        changed = np.zeros(rows, np.int64)
-        changed[1:] = np.where(comp[1:] != comp[:-1], at[:-1], 0)
-        other = np.maximum.accumulate(changed)  # the nearest row before of another group
-        found = []
-        for back in [*(at - k for k in range(1, BACK + 1)), first, other]:
-            ok = (back >= first) & (at >= fresh) & (back < at)
-            i, j = at[ok], back[ok]
-            ok = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
-            i, j = i[ok], j[ok]
-            if len(i):
-                agree = _ZEROS[sketch[i] ^ sketch[j]].sum(axis=1)
-                ok = agree >= SCREEN * HASHES
-                found.append((np.maximum(cid[i], cid[j])[ok], np.minimum(cid[i], cid[j])[ok], agree[ok].astype(np.int32)))
+        found, ok = [], at[at > first]
+        back = 1
+        while len(ok):
+            i, j = ok, ok - back
+            fits = 100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])
+            i, j = i[fits], j[fits]
+            alike = _ZEROS[sketch[i] ^ sketch[j]].sum(axis=1) >= SCREEN * HASHES
+            found.append((i[alike], j[alike]))
+            back += 1
+            ok = ok[ok - back >= first[ok]]
         if found:
-            a, b, agree = (np.concatenate(x) for x in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(agree)], names=["a", "b", "agree"])
-        # Of an open region its first row, its last row of another group, and the last BACK rows.
-        keep = sorted({int(first[-1]), int(max(other[-1], first[-1])), *range(max(0, rows - BACK), rows)})
-        cols = [x[keep] for x in now]
-
-
-def _confirm(size):
-    """(a, b, text_a, text_b) rows, sorted by b and a -> the pairs that are links."""
+            i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+            label = _least(rows, i, j)
+            own = label != at
+            yield pa.RecordBatch.from_arrays([pa.array(cid[own]), pa.array(cid[label[own]])], names=["a", "b"])
+
+
+def linked(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect all sets that a chain of links connects: (i, j) by place, i > j. Sets of one group are connected
+    already. With sides, only sets of different sides are compared."""
+    sizes = np.array([len(s) for s in sets])
+    ends = np.cumsum(sizes)
+    begin = ends - sizes
+    words, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(words), bool)
+    root = np.unique(group, return_inverse=True)[1]
+    out = []
+    for x in range(1, len(sets)):
+        rest = np.flatnonzero((root[:x] != root[x]) & (100 * np.minimum(sizes[:x], sizes[x]) >= PERCENT * np.maximum(sizes[:x], sizes[x])))
+        if side is not None:
+            rest = rest[side[rest] != side[x]]
+        if not len(rest):
+            continue
+        mark[ids[begin[x] : ends[x]]] = True
+        # A few first: in a group of near copies they connect the rest, which isn't compared then.
+        step = 8
+        while len(rest):
+            some, rest = rest[:step], rest[step:]
+            ahead = np.cumsum(sizes[some])
+            places = np.arange(ahead[-1]) + np.repeat(begin[some] - (ahead - sizes[some]), sizes[some])
+            both = np.add.reduceat(mark[ids[places]].astype(np.int64), ahead - sizes[some])
+            for j in some[100 * both >= PERCENT * (sizes[some] + sizes[x] - both)]:
+                if root[j] != root[x]:
+                    out.append((x, int(j)))
+                    root[root == root[j]] = root[x]
+            rest = rest[root[rest] != root[x]]
+            step = min(step * 4, 256)
+        mark[ids[begin[x] : ends[x]]] = False
+    return out
+
+
+def _linked(size: int, sided: bool = False):
+    """Rows (fam, block, side, cid, grp, text), sorted by fam, block, cid -> links (a, b) between groups, by the groups' numbers."""
 
     def work(batches):
-        last, s = None, None
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                out = []
-                part = batch.slice(lo, 256)
-                for a, b, ta, tb in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    if b != last:
-                        last, s = b, shingles(tb, size)
-                    o = shingles(ta, size)
-                    both = len(np.intersect1d(s, o, assume_unique=True))
-                    if 100 * both >= PERCENT * (len(s) + len(o) - both):
-                        out.append((a, b))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+        for t in _whole(batches, ["fam", "block"]):
+            fam, block, side, cid, grp = (t.column(c).to_numpy() for c in ("fam", "block", "side", "cid", "grp"))
+            texts = t.column("text")
+            edge = np.flatnonzero(np.concatenate(([True], (fam[1:] != fam[:-1]) | (block[1:] != block[:-1]), [True])))
+            out = []
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                at = lo + np.unique(cid[lo:hi], return_index=True)[1]  # rows that repeat an id and a text come once for each
+                if len(at) > 1 and (grp[at] != grp[at[0]]).any():
+                    sets = [shingles(texts[int(i)].as_py(), size) for i in at]
+                    out += [(int(grp[at[i]]), int(grp[at[j]])) for i, j in linked(sets, grp[at], side[at] if sided else None)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
     return work
 
@@ -192,88 +253,165 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("cid"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("cid"), F.col("b").alias("comp")).distinct())
 
 
+def _alike(orders: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """orders (tree, prefix, cid, n, sketch) -> edges (a, b) of what is alike, and the rows (cid) whose region had to get deeper."""
+    edges, deeper = [], None
+    for depth in DEPTHS:
+        rows = orders.withColumn("region", F.substring("prefix", 1, depth * 4))
+        # Rows alone in their region meet nobody.
+        sizes = written(rows.groupBy("tree", "region").agg(F.count(F.lit(1)).alias("m"), F.min("cid").alias("low")).filter("m > 1").select(F.col("tree").alias("t"), F.col("region").alias("r"), "m", "low"), "minhash-regions")
+        same = (F.col("tree") == F.col("t")) & (F.col("region") == F.col("r"))
+        meeting = rows.join(small(sizes.filter(F.col("m") <= CROWD), SMALL), same, "left_semi")
+        met = meeting.select("tree", "region", "cid", "n", "sketch").repartition("tree", "region").sortWithinPartitions("tree", "region", "cid").mapInArrow(_meet, "a bigint, b bigint")
+        edges.append(written(met, "minhash-alike"))
+        crowded = sizes.filter(F.col("m") > CROWD)
+        if crowded.isEmpty():
+            break
+        if depth == DEPTH:
+            edges.append(written(rows.join(small(crowded, SMALL), same).select(F.col("cid").alias("a"), F.col("low").alias("b")).filter("a <> b"), "minhash-alike"))
+            break
+        orders = written(rows.join(small(crowded, SMALL), same, "left_semi").drop("region"), "minhash-deeper")
+        deeper = orders if deeper is None else deeper
+    return edges, deeper
+
+
+def _spread(rows: DataFrame, shingles_in_all: int) -> DataFrame:
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shingles_in_all // (4 * SETS)))
+    return rows.repartition(parts, "fam", "block").sortWithinPartitions("fam", "block", "cid")
+
+
+_COLUMNS = ["fam", "block", "side", "cid", "grp", "text"]
+
+
+def _many_blocks(rows: DataFrame, groups: DataFrame, most: int, size: int) -> DataFrame:
+    """rows (fam, k, cid, n, text) of families of several blocks, and groups (cid, grp) of those that are in one with others -> (cid, grp), whole."""
+    zero = F.lit(0).cast("bigint")
+    total = int(rows.agg(F.sum("n")).first()[0] or 0)
+    at = written(rows.select("cid").distinct().join(groups, "cid", "left").select("cid", F.coalesce("grp", "cid").alias("grp")), "minhash-groups")
+
+    def connected(links: DataFrame) -> bool:
+        nonlocal at
+        links = written(links, "minhash-links")
+        some = not links.isEmpty()
+        if some:
+            merged = components(links).select(F.col("cid").alias("grp"), "comp")
+            old, at = at, written(at.join(small(merged, SMALL), "grp", "left").select("cid", F.coalesce("comp", "grp").alias("grp")), "minhash-groups")
+            dropped(old)
+        dropped(links)
+        return some
+
+    def mixed() -> DataFrame:
+        """Rows with their groups, of families with more groups than one."""
+        r = rows.join(at, "cid")
+        several = r.groupBy("fam").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).filter("x < y").select("fam")
+        return r.join(small(several, SMALL), "fam", "left_semi")
+
+    for nth in range(1, most.bit_length() + 2):  # what these deals leave, the last step finds
+        dealt = mixed().withColumn("block", F.pmod(F.xxhash64("cid", F.lit(nth)), F.col("k"))).withColumn("side", zero)
+        if not connected(_spread(dealt.select(*_COLUMNS), total).mapInArrow(_linked(size), "a bigint, b bigint")):
+            break
+    # Large groups have blocks of their own, small ones share some; each two blocks meet but those of one group.
+    rest = written(mixed(), "minhash-mixed")
+    per = rest.groupBy("fam", "grp").agg(F.countDistinct("cid").alias("m"), F.sum("n").alias("s")).withColumn("b", F.greatest(F.ceil(F.col("m") / ROWS), F.ceil(F.col("s") / SETS)))
+    per = written(per.withColumn("own", F.col("b") > 1), "minhash-per")
+    pools = per.filter("NOT own").groupBy("fam").agg(F.greatest(F.ceil(F.sum("m") / ROWS), F.ceil(F.sum("s") / SETS)).alias("pools"))
+    name = F.when(F.col("own"), F.xxhash64("grp", F.pmod(F.xxhash64("cid"), F.col("b")))).otherwise(F.pmod(F.xxhash64("grp"), F.col("pools")))
+    owner = F.when(F.col("own"), F.col("grp"))
+    placed = written(rest.join(small(per, SMALL), ["fam", "grp"]).join(small(pools, SMALL), "fam", "left").select("fam", "cid", "grp", "n", "text", name.alias("at"), owner.alias("owner")), "minhash-placed")
+    blocks = placed.groupBy("fam", "at").agg(F.max("owner").alias("owner"))
+    x, y = blocks.select("fam", F.col("at").alias("p"), F.col("owner").alias("po")), blocks.select("fam", F.col("at").alias("q"), F.col("owner").alias("qo"))
+    two = written(x.join(y, "fam").filter("p <= q AND NOT (po IS NOT NULL AND qo IS NOT NULL AND po = qo)").select("fam", "p", "q", F.xxhash64("p", "q").alias("block")), "minhash-blocks")
+    ends = two.select("fam", F.col("p").alias("at"), "block", zero.alias("side"), (F.col("p") == F.col("q")).alias("same")).unionByName(two.filter("p <> q").select("fam", F.col("q").alias("at"), "block", F.lit(1).cast("bigint").alias("side"), F.lit(False).alias("same")))
+    both = placed.join(small(ends, SMALL), ["fam", "at"])
+    apart = _spread(both.filter("NOT same").select(*_COLUMNS), total).mapInArrow(_linked(size, True), "a bigint, b bigint")
+    within = _spread(both.filter("same").select(*_COLUMNS), total).mapInArrow(_linked(size), "a bigint, b bigint")
+    connected(apart.unionByName(within))
+    dropped(rest, per, placed, two)
+    return at
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row. Rows without words are linked with nothing, not with one another.
+    """doc_id, n_shingles, component_id, kept for every row, in docs' own order of nothing.
 
-    Null ids count as larger than any other; rows that repeat are in one component by their equal sets.
+    Null texts and texts without words have no shingle and are linked with nothing, not with one another: component_id is their own id.
+    Null ids count as larger than any other; rows that repeat are in one component by their equal sets, and kept tells of ids, so all rows with
+    the least id are kept (keep_near has one row). A text of any length is one set. An empty table gives an empty one; further columns
+    of any name aren't read.
     """
-    texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    rows = written(texts.mapInArrow(_signatures(size), "doc_id bigint, n bigint, key binary, sig binary, sketch binary"), "minhash-rows")
-    # One row for each class of equal sets; cid is its number, fixed once written.
-    sets = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("sketch").alias("sketch"))
+    return _grouped(docs, id_col, text_col, size).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """doc_id, xh, n, component_id, and least, the smallest (doc_id, xh) of the component, for every row."""
+    text = F.col(f"`{text_col}`").cast("string")
+    texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("xh"), text.alias("text"))
+    rows = written(texts.mapInArrow(_signatures(size), "doc_id bigint, xh bigint, n bigint, key binary, sig binary, sketch binary"), "minhash-rows")
+    # One row for each class of equal sets; cid is its number, fixed once written. Null ids come last.
+    least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "xh")
+    sets = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min(least).alias("rep"), F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("sketch").alias("sketch"))
     classes = written(sets.withColumn("cid", F.monotonically_increasing_id()), "minhash-classes")
-    orders = classes.select("cid", "n", "sketch", F.posexplode(F.expr(f"transform(sequence(0, {TREES - 1}), t -> substring(sig, int(t * {DEPTH * 4} + 1), {DEPTH * 4}))")).alias("tree", "prefix"))
-    # Rows alone in their region meet nobody, in any round.
-    region = F.substring("prefix", 1, LEAST * 4)
-    crowded = written(orders.groupBy("tree", region.alias("region")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("tree").alias("t"), "region"), "minhash-regions")
-    orders = written(orders.join(small(crowded, SMALL), (F.col("tree") == F.col("t")) & (region == F.col("region")), "left_semi"), "minhash-orders")
-    dropped(crowded)
-    labels: DataFrame | None = None
-    links: list[DataFrame] = []
-    tested: list[DataFrame] = []
-    for nth in range(ROUNDS):
-        met = orders.withColumn("comp", F.col("cid")) if labels is None else orders.join(small(labels, SMALL), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        # The order is by range, so a crowded region lies over as many tasks as it needs.
-        ordered = met.select("tree", "prefix", "cid", "comp", "n", "sketch").repartitionByRange("tree", "prefix", "cid").sortWithinPartitions("tree", "prefix", "cid")
-        pairs = ordered.mapInArrow(_meet, "a bigint, b bigint, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
-        if nth == 0:  # the likeliest partner only
-            pairs = pairs.groupBy("a").agg(F.max(F.struct("agree", -F.col("b"))).alias("best")).select("a", (-F.col("best.col2")).alias("b"))
-        for t in tested:
-            pairs = pairs.join(t, ["a", "b"], "left_anti")
-        pairs = written(pairs.select("a", "b"), "minhash-pairs")
-        tested.append(pairs)
-        if pairs.isEmpty():
-            break
-        # Texts of classes in a pair only. A class's text comes from the row of its smallest id.
-        new, some = _texts_of(pairs, texts, classes, size)
-        new = written(new, "minhash-links")
-        dropped(some)
-        if new.isEmpty() and nth:
-            break
-        links.append(new)
-        edges = links[0]
-        for more in links[1:]:
-            edges = edges.unionByName(more)
-        old, labels = labels, written(components(edges), "minhash-labels")
-        if old is not None:
-            dropped(old)
-    dropped(orders, *tested)
+
+    def orders(of: DataFrame, lo: int, hi: int) -> DataFrame:
+        cut = [F.concat(*[F.substring("sig", p * 4 + 1, 4) for p in ORDERS[t]]) if t >= TREES else F.substring("sig", t * DEPTH * 4 + 1, DEPTH * 4) for t in range(lo, hi)]
+        return of.select("cid", "n", "sketch", F.posexplode(F.array(*cut)).alias("tree", "prefix"))
+
+    edges, deeper = _alike(orders(classes, 0, TREES))
+    if deeper is not None:
+        edges += _alike(orders(classes.join(deeper.select("cid").distinct(), "cid", "left_semi"), TREES, TREES + MORE))[0]
+    every = edges[0]
+    for more in edges[1:]:
+        every = every.unionByName(more)
+    families = written(components(every).select("cid", F.col("comp").alias("fam")), "minhash-families")
+    dropped(*edges)
+    counts = families.join(classes.select("cid", "n"), "cid").groupBy("fam").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
+    counts = written(counts.select("fam", "s", F.greatest(F.ceil(F.col("m") / ROWS), F.ceil(F.col("s") / SETS)).alias("k")), "minhash-sizes")
+    found = counts.agg(F.max("k").alias("k"), F.sum("s").alias("s")).first()
+    groups = None
+    if found.k:
+        members = families.join(counts, "fam").join(classes.select("cid", "rep", "n"), "cid").select("fam", "k", "cid", "n", F.col("rep.doc_id").alias("rid"), F.col("rep.xh").alias("rxh"))
+        members = written(members, "minhash-members")
+        some = texts.join(small(members, SMALL), (F.col("xh") == F.col("rxh")) & F.col("doc_id").eqNullSafe(F.col("rid"))).select("fam", "k", "cid", "n", "text", "rid", "rxh")
+        # Rows that repeat an id and a text would bring a class's text as often.
+        twice = written(rows.filter("key IS NOT NULL").groupBy("doc_id", "xh").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("doc_id").alias("tid"), F.col("xh").alias("txh")), "minhash-twice")
+        if not twice.isEmpty():
+            same = F.col("rid").eqNullSafe(F.col("tid")) & (F.col("rxh") == F.col("txh"))
+            once = some.join(small(twice, SMALL), same, "left_semi").groupBy("fam", "k", "cid", "n").agg(F.first("text").alias("text"))
+            some = some.join(small(twice, SMALL), same, "left_anti").select(*once.columns).unionByName(once)
+        some = some.drop("rid", "rxh")
+        if found.k > 1:
+            some = written(some, "minhash-texts")
+        dealt = some.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("k"))).withColumn("side", F.lit(0).cast("bigint")).withColumn("grp", F.col("cid"))
+        links = written(_spread(dealt.select(*_COLUMNS), int(found.s)).mapInArrow(_linked(size), "a bigint, b bigint"), "minhash-links")
+        groups = components(links).select("cid", F.col("comp").alias("grp"))
+        if found.k > 1:
+            groups = written(groups, "minhash-groups")
+            several = _many_blocks(some.filter("k > 1"), groups, int(found.k), size)
+            groups = groups.join(several.select("cid"), "cid", "left_anti").unionByName(several)
+        groups = written(groups, "minhash-labels")
+        dropped(links, members)
+    dropped(families, counts)
     found = classes.select("key", "cid", "rep")
-    if labels is not None:
-        found = found.join(labels, "cid", "left")
-        found = found.withColumn("comp", F.coalesce("comp", "cid"))
-    else:
+    if groups is None:
         found = found.withColumn("comp", F.col("cid"))
-    least = found.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    found = written(found.select("key", "comp").join(least, "comp").select("key", "component_id"), "minhash-found")
-    out = rows.select("doc_id", "n", "key").join(found, "key", "left")
-    comp = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
-
-
-def _texts_of(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links among pairs, and the table of texts that they are read from. Pairs are read sorted by b, so neighbours in a row share texts, and shuffles compress well."""
-    ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    wanted = classes.select("cid", "key", F.col("rep").alias("rep_id")).join(ends, "cid", "left_semi")
-    # The text whose set has the class's key: hashed again, as an id may stand for several texts.
-    ids = wanted.select("rep_id").distinct()
-    ids = small(ids, SMALL)
-
-    def keyed(batches):
-        for batch in batches:
-            t = batch.column(1)
-            keys = [xxhash.xxh128_digest(s.tobytes()) if len(s := shingles(x, size)) else None for x in t.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), t, pa.array(keys, pa.binary())], names=["rep", "text", "key"])
-
-    some = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("rep_id")), "left_semi").mapInArrow(keyed, "rep bigint, text string, key binary").filter("key IS NOT NULL")
-    some = some.join(wanted, "key").filter(F.col("rep").eqNullSafe(F.col("rep_id"))).select("cid", "text")
-    some = written(some.dropDuplicates(["cid"]), "minhash-texts")
-    j = pairs.join(some.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a").join(some.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b")
-    return j.select("a", "b", "ta", "tb").mapInArrow(_confirm(size), "a bigint, b bigint"), some
+    else:
+        found = found.join(groups.withColumnRenamed("cid", "gid"), F.col("cid") == F.col("gid"), "left").withColumn("comp", F.coalesce("grp", "cid"))
+    lows = found.groupBy("comp").agg(F.min("rep").alias("least"))
+    found = written(found.select("key", "comp").join(lows, "comp").select("key", "least"), "minhash-found")
+    out = rows.select("doc_id", "xh", "n", "key").join(found, "key", "left")
+    alone = F.col("key").isNull()
+    return out.select("doc_id", "xh", "n", F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"), "least")
 
 
 def keep_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """One row of each group, with docs' own columns: the row of the smallest id. Rows without words all stay."""
-    ids = near_groups(docs, id_col, text_col, size).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(ids, F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col("_id")), "left_semi")
-    return kept
+    """One row of each group, with docs' own columns: the row of the smallest id; of rows equal in id and text any one. Rows without
+    words all stay. Null ids, empty tables and long texts are as in near_groups; columns of any name pass through."""
+    grouped = _grouped(docs, id_col, text_col, size)
+    # Rows by (id, hash of the text): how many there are, and whether they are their group's first.
+    kept = grouped.filter("least IS NULL OR (doc_id <=> least.doc_id AND xh <=> least.xh)").groupBy("doc_id", "xh").agg(F.count(F.lit(1)).alias("m"), F.first("least").isNull().alias("bare"))
+    kept = written(kept.select(F.col("doc_id").alias("_kid"), F.col("xh").alias("_kxh"), ((F.col("m") > 1) & ~F.col("bare")).alias("_repeats")), "minhash-kept")
+    rows = packed(docs).withColumn("_id", F.col(f"_row.`{id_col}`").cast("bigint")).withColumn("_xh", F.xxhash64(F.col(f"_row.`{text_col}`").cast("string")))
+    rows = rows.join(small(kept, SMALL), F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_xh") == F.col("_kxh")))
+    out = rows.filter("NOT _repeats")
+    if not kept.filter("_repeats").isEmpty():
+        out = out.unionByName(rows.filter("_repeats").dropDuplicates(["_kid", "_kxh"]))
+    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
