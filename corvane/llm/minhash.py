@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import dropped, small, written
+from .common import dropped, packed, small, written
 
 TREES, DEPTH, LEAST, MORE = 12, 8, 2, 36
 DEPTHS, CROWD = (LEAST, 4, DEPTH), 512
