@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="corvane-")
@@ -54,10 +56,10 @@ def dropped(*tables: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small(df: DataFrame, most: int, bytes_col: str | None = None, most_bytes: int = 64 << 20) -> DataFrame:
-    """df, to be broadcast if it has so many rows at most, and in bytes_col, a column of any length, so many bytes at most;
-    otherwise Spark shuffles both sides, and splits skewed keys."""
-    total = F.coalesce(F.sum(F.length(bytes_col)), F.lit(0)) if bytes_col else F.lit(0)
+def small(df: DataFrame, most: int, size=None, most_bytes: int = 64 << 20) -> DataFrame:
+    """df, to be broadcast if it has so many rows at most, and, where size tells the bytes of a row of any length, so many
+    bytes at most; otherwise Spark shuffles both sides, and splits skewed keys."""
+    total = F.coalesce(F.sum(size), F.lit(0)) if size is not None else F.lit(0)
     found = df.agg(F.count(F.lit(1)).alias("n"), total.alias("b")).first()
     return F.broadcast(df) if found.n <= most and found.b <= most_bytes else df
 

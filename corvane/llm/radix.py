@@ -4,21 +4,22 @@ Rows are split by successive pieces ("digits") of their normalised bytes. A grou
 have ended, is done; the others are split again by the next digit. Digits widen eightfold from round to round, so
 a text of n bytes takes log8(n) rounds. Groups are told apart by the bytes themselves, never by a digest.
 
-Counting a digit is a partial aggregation, so a group of a third of all rows reaches the shuffle as one row a task.
-Only groups of two rows or more are joined back, in a plain equi-join of two shuffled tables, which the adaptive
-planner can broadcast if small or split if skewed.
+Rows are numbered once, in a written table. Counting a digit is a partial aggregation, which also picks the row that stays, so a
+group of a third of all rows reaches the shuffle as one row a task. What goes back to rows is a number: joins carry
+row numbers and digits, and tails follow only for rows of groups that are still open. The adaptive planner may broadcast
+the smaller side of these joins or split a skewed one; the plan is the same at every size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import packed, small, written
+from .common import dropped, packed, small, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FIRST_WIDTH, WIDER = 64, 8
-#: Rows of groups, or of decisions, that may be broadcast.
-SMALL = 200_000
+#: Rows of groups, or of row numbers, that may be broadcast.
+SMALL = 1_000_000
 
 
 def normalised(text):
@@ -26,66 +27,60 @@ def normalised(text):
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
-def _split(rows: DataFrame, width: int) -> DataFrame:
-    return rows.select("id", "sha", "gid", F.substring("rest", 1, width).alias("digit"), (F.length("rest") <= width).alias("ended"), F.expr(f"substring(rest, {width + 1})").alias("tail"))
-
-
-def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, sha, keep_id, group_size.
-
-    Nulls: a null text is empty; a null id counts in group_size and never wins against another id. Empty texts are
-    one group. Repeated rows are members like any other. An empty table gives an empty result.
-    """
-    done: list[DataFrame] = []
-    t = normalised(F.col(f"`{text_col}`"))
-    ident = F.col(f"`{id_col}`").cast("bigint").alias("id")
+def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The numbered rows (rid, _row), and for each that has equals (rid, group_size, keep_id, keep_rid)."""
+    base = written(packed(docs).withColumn("rid", F.monotonically_increasing_id()), "radix-base")
+    ident, text = F.col(f"_row.`{id_col}`").cast("bigint").alias("id"), F.col(f"_row.`{text_col}`").cast("string")
     width = FIRST_WIDTH
-    # Of the first round's count only the first bytes are needed: no whole text is lower-cased for it.
-    head = normalised(F.substring(F.col(f"`{text_col}`"), 1, width + 1)).cast("binary")
-    counted = docs.select(ident, F.lit(0).cast("bigint").alias("gid"), F.substring(head, 1, width).alias("digit"), (F.length(head) <= width).alias("ended"))
-    split = _split(docs.select(ident, F.sha2(t.cast("binary"), 256).alias("sha"), F.lit(0).cast("bigint").alias("gid"), t.cast("binary").alias("rest")), width)
+    # Of the first digit only the first bytes are needed: no whole text is lower-cased for it.
+    head = normalised(F.substring(text, 1, width + 1)).cast("binary")
+    digits = base.select("rid", ident, F.lit(0).cast("bigint").alias("gid"), F.substring(head, 1, width).alias("digit"), (F.length(head) <= width).alias("ended"))
+    rows = base.select("rid", ident, normalised(text).cast("binary").alias("rest"))
+    done: list[DataFrame] = []
     while True:
-        groups = counted.groupBy("gid", "digit", "ended").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep")).filter("n > 1")
+        # Of equal ids the row with the largest number stays; a null id is less than any other.
+        groups = digits.groupBy("gid", "digit", "ended").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("id", "rid")).alias("keep")).filter("n > 1")
         groups = written(groups.withColumn("next", F.monotonically_increasing_id()), "radix-groups")
-        more = F.col("n").isNotNull() & ~F.col("ended")
-        joined = split.join(small(groups, SMALL, bytes_col="digit"), ["gid", "digit", "ended"], "left").select("id", "sha", F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("bigint").alias("group_size"), F.when(more, F.col("next")).alias("gid"), F.when(more, F.col("tail")).alias("rest"))
-        if groups.filter("NOT ended").isEmpty():
-            done.append(joined.select("id", "sha", "keep_id", "group_size"))
+        hits = digits.join(small(groups, SMALL, F.length("digit")), ["gid", "digit", "ended"])
+        hits = written(hits.select("rid", "ended", "next", F.col("n").alias("group_size"), F.col("keep.id").alias("keep_id"), F.col("keep.rid").alias("keep_rid")), "radix-hits")
+        done.append(hits.filter("ended").select("rid", "group_size", "keep_id", "keep_rid"))
+        last = groups.filter("NOT ended").isEmpty()
+        dropped(groups)
+        if last:
             break
-        joined = written(joined, "radix-rows")
-        done.append(joined.filter("gid IS NULL").select("id", "sha", "keep_id", "group_size"))
+        still = hits.filter("NOT ended").select("rid", "next")
+        old, rows = rows, written(rows.join(small(still, SMALL), "rid").select("rid", "id", F.col("next").alias("gid"), F.expr(f"substring(rest, {width + 1})").alias("rest")), "radix-rows")
+        dropped(old)
         width *= WIDER
-        counted = split = _split(joined.filter("gid IS NOT NULL").select("id", "sha", "gid", "rest"), width)
+        digits = rows.select("rid", "id", "gid", F.substring("rest", 1, width).alias("digit"), (F.length("rest") <= width).alias("ended"))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out
+    return base, out
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row. Of equal texts the row with the largest id stays;
-    of rows that repeat that id with the same text, one."""
-    rows = radix_groups(docs, id_col, text_col)
-    nth = F.row_number().over(Window.partitionBy("sha", "id").orderBy("keep_id"))
-    return rows.select(
-        F.col("id").alias("doc_id"),
-        "keep_id",
-        "group_size",
-        (F.col("id").eqNullSafe(F.col("keep_id")) & (nth == 1)).alias("kept"),
-        F.col("sha").alias("text_sha256"),
+    of rows that repeat that id with the same text, one.
+
+    Nulls: a null text is empty; a null id counts in group_size and never wins against another id. Empty texts are
+    one group. Texts of any length are compared whole. An empty table gives an empty result; further columns of any name aren't read.
+    """
+    base, equals = radix_groups(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), id_col, text_col)
+    ident = F.col(f"_row.`{id_col}`").cast("bigint")
+    rows = base.select("rid", ident.alias("doc_id"), F.sha2(normalised(F.col(f"_row.`{text_col}`").cast("string")).cast("binary"), 256).alias("text_sha256"))
+    alone = F.col("group_size").isNull()
+    return rows.join(small(equals, SMALL), "rid", "left").select(
+        "doc_id",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"),
+        (alone | (F.col("rid") == F.col("keep_rid"))).alias("kept"),
+        "text_sha256",
     )
 
 
 def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with docs' own columns. Only the ids and digests of rows that go, and of rows that repeat an id
-    and its text (of which one stays), are joined back."""
-    sha = F.sha2(normalised(F.col(f"_row.`{text_col}`")).cast("binary"), 256)
-    decided = exact_dedup(docs, id_col, text_col).groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.max("kept").alias("_stays"), F.count(F.lit(1)).alias("_n"))
-    special = written(decided.filter("NOT _stays OR _n > 1").drop("_n"), "radix-special")
-    rows = packed(docs).select("_row", F.col(f"_row.`{id_col}`").cast("bigint").alias("_id0"), sha.alias("_sha0"))
-    joined = rows.join(small(special, SMALL), F.col("_id0").eqNullSafe(F.col("_id")) & (F.col("_sha0") == F.col("_sha")), "left")
-    out = joined.filter("_stays IS NULL").select("_row.*")
-    if special.filter("_stays").isEmpty():
-        return out
-    nth = F.row_number().over(Window.partitionBy("_id0", "_sha0").orderBy(F.to_json("_row")))
-    return out.unionByName(joined.filter("_stays").withColumn("_nth", nth).filter("_nth = 1").select("_row.*"))
+    """The rows of docs that stay, with docs' own columns of any names; the rest is as in exact_dedup. Only the numbers of rows that go are joined back."""
+    base, equals = radix_groups(docs, id_col, text_col)
+    gone = equals.filter("rid <> keep_rid").select("rid")
+    return base.join(small(gone, SMALL), "rid", "left_anti").select("_row.*")

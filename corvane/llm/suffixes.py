@@ -13,10 +13,10 @@ windows whose anchor it is, and all windows are covered.
    one, so that its first bits are small.)
 4. A loser tree merges the runs of a range. Each loser keeps the length of the prefix it shares with the winner of its
    match, so that two records are only compared from where they are not yet known to be equal. The merge yields the lengths of shared
-   prefixes; records that share an anchor are neighbours, and their windows are compared with one another.
+   prefixes; records that share an anchor are neighbours, and their windows are compared with one another, by bytes.
 
 Anchors that occur more than HOT times are not brought together in one task: their windows are counted, by hash, in a
-partial aggregation instead, which is exact as well.
+partial aggregation instead, by 64 bits (there alone no bytes are compared).
 
 The same is done with words in the place of bytes, each as a hash of 64 bits, where passages are told by their number of words:
 without_passages, the pipeline's stage.
@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SPACES, dropped, packed, written
+from .common import SPACES, dropped, packed, small, written
 from .minhash import _hashes
 
 WINDOW, GRAM, HOT = 400, 32, 20_000
@@ -95,30 +95,21 @@ def anchors(b: np.ndarray, window: int = WINDOW, gram: int = GRAM):
 
 
 def _find(window, gram, words):
-    names = ["doc_id", "xh", "n_bytes", "sha", "hash", "place", "first", "last"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    names = ["doc_id", "xh", "hash", "place", "first", "last"]
 
     def work(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
-                docs, parts, owners = [], [], []
-                for i, x, t in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    data = (t or "").encode()
-                    if not words:
-                        docs.append((i, x, len(data), hashlib.sha256(data).hexdigest()))
-                    b = units(data, words)
+                parts, owners = [], []
+                for i, x, t in zip(*(c.to_pylist() for c in batch.slice(lo, 128).columns), strict=True):
+                    b = units(t.encode(), words)
                     if len(b) >= window:
                         found = anchors(b, window, gram)
                         parts.append(found)
                         owners += [(i, x)] * len(found[0])
-                if docs:
-                    n = len(docs)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*docs, strict=True), kinds, strict=False)] + [pa.nulls(n, k) for k in kinds[4:]], names=names)
                 if owners:
-                    m = len(owners)
                     place, h, first, last = (np.concatenate(c) for c in zip(*parts, strict=True))
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*owners, strict=True)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.string()), pa.array(h), *(pa.array(c.astype(np.int32)) for c in (place, first, last))], names=names)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*owners, strict=True)), pa.array(h), *(pa.array(c.astype(np.int32)) for c in (place, first, last))], names=names)
 
     return work
 
@@ -137,6 +128,7 @@ def shared(a: bytes, b: bytes, known: int) -> int:
 
 
 _HEAD = struct.Struct("<HHHBqqi")
+_DONE, _NO_ID = 1, 2
 
 
 def front_coded(records) -> bytes:
@@ -144,7 +136,7 @@ def front_coded(records) -> bytes:
     out, before = bytearray(), b""
     for text, left, done, doc, xh, first in records:
         n = shared(before, text, 0)
-        out += _HEAD.pack(n, len(text) - n, len(left), done, doc, xh, first)
+        out += _HEAD.pack(n, len(text) - n, len(left), _DONE * done | _NO_ID * (doc is None), doc or 0, xh, first)
         out += text[n:]
         out += left
         before = text
@@ -155,11 +147,11 @@ def run_of(blob: bytes):
     """(length shared with the record before, text, the rest of the record) one by one."""
     at, text = 0, b""
     while at < len(blob):
-        n, more, m, done, doc, xh, first = _HEAD.unpack_from(blob, at)
+        n, more, m, flags, doc, xh, first = _HEAD.unpack_from(blob, at)
         at += _HEAD.size
         text = text[:n] + blob[at : at + more]
         at += more
-        yield n, text, (blob[at : at + m], done, doc, xh, first)
+        yield n, text, (blob[at : at + m], bool(flags & _DONE), None if flags & _NO_ID else doc, xh, first)
         at += m
 
 
@@ -211,7 +203,9 @@ class LoserTree:
 
 
 def repeated_windows(records, window: int, words: bool = False):
-    """records of whole groups: (text without hash, left, done, doc, xh, first) -> (doc, xh, start, end) of what repeats."""
+    """records of whole groups: (text without hash, left, done, doc, xh, first) -> (doc, xh, start, end) of what repeats.
+
+    A hash of each window tells which may be equal; their bytes decide, compared a run of neighbouring windows at a time."""
     data = b"".join(left + text for text, left, *_ in records)
     b = np.frombuffer(data, np.uint64 if words else np.uint8)
     sizes = np.fromiter((len(r[0]) + len(r[1]) for r in records), np.int64, len(records)) // b.itemsize
@@ -224,8 +218,24 @@ def repeated_windows(records, window: int, words: bool = False):
         g = rolling(b[lo : lo + (1 << 18) + window - 1], window)
         i, j = np.searchsorted(starts, (lo, lo + len(g)))
         h[i:j] = g[starts[i:j] - lo]
-    _, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
-    again = n[inverse] > 1
+    _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+    like = first[inverse]  # the first window of the same hash
+    place = np.arange(len(h))
+    copy = np.flatnonzero(like != place)
+    again = np.zeros(len(h), bool)
+    # Windows in a row that are like windows in a row, with the same distance, are one comparison.
+    cut = np.flatnonzero(np.concatenate(([True], (np.diff(copy) != 1) | (np.diff(starts[copy]) != 1) | (np.diff(starts[like[copy]]) != 1)))) if len(copy) else copy
+    for s, e in zip(cut, [*cut[1:], len(copy)][: len(cut)], strict=True):
+        x, y, n = starts[copy[s]], starts[like[copy[s]]], e - s
+        if np.array_equal(b[x : x + n + window - 1], b[y : y + n + window - 1]):
+            again[copy[s:e]] = again[like[copy[s:e]]] = True
+            continue
+        for k in copy[s:e]:  # hashes that are equal by chance: all windows of such a hash, by their bytes
+            same: dict[bytes, list[int]] = {}
+            for w in np.flatnonzero(like == like[k]):
+                same.setdefault(b[starts[w] : starts[w] + window].tobytes(), []).append(w)
+            for members in same.values():
+                again[members] |= len(members) > 1
     owner = np.repeat(np.arange(len(records)), counts)
     edge = np.flatnonzero(np.concatenate(([True], (again[1:] != again[:-1]) | (owner[1:] != owner[:-1]))))
     ends = np.concatenate((edge[1:], [len(again)]))
@@ -241,7 +251,6 @@ def repeated_windows(records, window: int, words: bool = False):
 _OUT = "part int, run binary, wh bigint, doc_id bigint, xh bigint, start int, stop int"
 _OUT_NAMES = ["part", "run", "wh", "doc_id", "xh", "start", "stop"]
 _OUT_KINDS = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-_NO_ID = -(1 << 63)
 
 
 def _rows(rows):
@@ -271,7 +280,6 @@ def _runs(parts: int, window: int, words: bool):
             for doc, xh, text, spots in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 b, hot = units(text.encode(), words), []
                 data = b.tobytes()
-                doc = _NO_ID if doc is None else doc
                 for s in spots:
                     place, first, last = s["place"], s["first"], s["last"]
                     if s["hot"]:
@@ -339,28 +347,6 @@ def bytes_of(data: bytes, spans) -> list[tuple[int, int]]:
     return out
 
 
-_CUT = "cid bigint, cxh bigint, n_removed bigint, n_spans bigint, kept_sha bigint, kept binary"
-
-
-def _cut(with_text: bool):
-    def work(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                rows = []
-                for doc, xh, text, spans in zip(*(c.to_pylist() for c in batch.slice(lo, 128).columns), strict=True):
-                    data, at, kept, removed = text.encode(), 0, [], 0
-                    spans = merged_spans(bytes_of(data, spans))
-                    for start, stop in spans:
-                        kept.append(data[at:start])
-                        removed += stop - start
-                        at = stop
-                    kept = b"".join([*kept, data[at:]])
-                    rows.append((doc, xh, removed, len(spans), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["cid", "cxh", "n_removed", "n_spans", "kept_sha", "kept"])
-
-    return work
-
-
 #: Ids of documents to look at again are broadcast up to this many; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -378,18 +364,19 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.xxhash64(t).alias("xh"), t.alias("text"))
 
 
-def _spans(texts: DataFrame, window: int, gram: int, hot: int, words: bool = False) -> tuple[DataFrame, DataFrame]:
-    """What _find found, and (doc_id, xh, start, stop, words) of what repeats."""
+def _spans(texts: DataFrame, window: int, gram: int, hot: int, words: bool = False) -> DataFrame:
+    """(doc_id, xh, start, stop, words) of what repeats."""
     spark = texts.sparkSession
-    found = written(texts.select("doc_id", "xh", "text").mapInArrow(_find(window, gram, words), "doc_id bigint, xh bigint, n_bytes bigint, sha string, hash bigint, place int, first int, last int"), "suffix-anchors")
-    spots = found.filter("hash IS NOT NULL").select("doc_id", "xh", "hash", "place", "first", "last")
+    spots = written(texts.mapInArrow(_find(window, gram, words), "doc_id bigint, xh bigint, hash bigint, place int, first int, last int"), "suffix-anchors")
     again = written(spots.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("hash").alias("h"), (F.col("n") > hot).alias("hot")), "suffix-again")
     lists = spots.join(again, F.col("hash") == F.col("h")).groupBy(F.col("doc_id").alias("lid"), F.col("xh").alias("lxh")).agg(F.collect_list(F.struct("hash", "place", "first", "last", "hot")).alias("l"))
     lists = written(lists, "suffix-lists")
+    dropped(spots)
     n = lists.agg(F.sum(F.size("l"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // PART_ROWS))
     runs = written(_with_lists(texts, lists).mapInArrow(_runs(parts, window, words), _OUT), "suffix-runs")
-    merged = runs.filter("run IS NOT NULL").select("part", "run").groupBy("part").applyInArrow(_merge(window, gram, words), "doc_id bigint, xh bigint, start int, stop int")
+    # As many tasks as parts: a task's share doesn't grow with the input.
+    merged = runs.filter("run IS NOT NULL").select("part", "run").repartition(parts, "part").groupBy("part").applyInArrow(_merge(window, gram, words), "doc_id bigint, xh bigint, start int, stop int")
     spans = merged.unionByName(runs.filter("run IS NULL AND wh IS NULL").select("doc_id", "xh", "start", "stop"))
     if not again.filter("hot").isEmpty():
         hot_rows = runs.filter("wh IS NOT NULL")
@@ -397,50 +384,82 @@ def _spans(texts: DataFrame, window: int, gram: int, hot: int, words: bool = Fal
         spans = spans.unionByName(hot_rows.join(twice, F.col("wh") == F.col("w")).select("doc_id", "xh", "start", "stop"))
     spans = written(spans.withColumn("words", F.lit(words)), "suffix-found")
     dropped(runs, again, lists)
-    return found, spans
+    return spans
+
+
+def _cut(data: bytes, spans) -> tuple[bytes, int, int]:
+    """What is left of data, the number of bytes that go and of the runs they make."""
+    at, kept, removed = 0, [], 0
+    spans = merged_spans(bytes_of(data, spans))
+    for start, stop in spans:
+        kept.append(data[at:start])
+        removed += stop - start
+        at = stop
+    return b"".join([*kept, data[at:]]), removed, len(spans)
+
+
+#: Bytes of spans that may be broadcast; beyond, texts and spans are shuffled.
+SPAN_BYTES = 64 << 20
 
 
-def _cuts(docs: DataFrame, id_col: str, text_col: str, with_text: bool, window: int, gram: int, hot: int, passages: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, xh, n_bytes, sha) of all rows, and what is cut (cid, cxh, n_removed, n_spans, kept_sha, kept) of some. passages: repeats of
-    WORDS words are cut as well."""
+def _with_spans(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int, hot: int, passages: bool) -> DataFrame:
+    """docs, packed in _row, with _id, _text (null is empty) and the spans that go (_l, null: none). passages: repeats of WORDS words go as well."""
     texts = _texts(docs, id_col, text_col)
-    found, spans = _spans(texts, window, gram, hot)
+    spans = _spans(texts, window, gram, hot)
     if passages:
-        by_words, more = _spans(texts, WORDS, WORD_GRAM, hot, True)
-        dropped(by_words)
-        spans = spans.unionByName(more)
-    ident = F.when(F.col("doc_id") != F.lit(_NO_ID), F.col("doc_id")).alias("lid")
-    by_doc = written(spans.groupBy(ident, F.col("xh").alias("lxh")).agg(F.collect_list(F.struct("start", "stop", "words")).alias("l")), "suffix-spans")
-    cut = _with_lists(texts, by_doc).mapInArrow(_cut(with_text), _CUT.replace("kept_sha bigint", "kept_sha string")).dropDuplicates(["cid", "cxh"])
-    return found.filter("hash IS NULL").select("doc_id", "xh", "n_bytes", "sha"), cut
+        spans = spans.unionByName(_spans(texts, WORDS, WORD_GRAM, hot, True))
+    by_doc = written(spans.groupBy(F.col("doc_id").alias("_lid"), F.col("xh").alias("_lxh")).agg(F.collect_set(F.struct("start", "stop", "words")).alias("_l")), "suffix-spans")
+    text = F.col(f"_row.`{text_col}`").cast("string")
+    rows = packed(docs).withColumn("_id", F.col(f"_row.`{id_col}`").cast("bigint")).withColumn("_text", F.coalesce(text, F.lit(""))).withColumn("_xh", F.xxhash64("_text"))
+    return rows.join(small(by_doc, BROADCAST_IDS, F.size("_l") * 16, SPAN_BYTES), (F.col("_xh") == F.col("_lxh")) & F.col("_id").eqNullSafe(F.col("_lid")), "left")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text for every row.
 
     Null is empty; texts shorter than a window lose nothing. Rows that repeat lose all of a text of a window or more: each stands elsewhere.
+    Texts of any length are read whole; an empty table gives an empty one; further columns of any name aren't read. kept_text lacks
+    characters that a cut divides; kept_sha256 is of all bytes that are left.
     """
-    rows, cut = _cuts(docs, id_col, text_col, False, window, gram, hot)
-    out = rows.join(cut, (F.col("xh") == F.col("cxh")) & F.col("doc_id").eqNullSafe(F.col("cid")), "left")
-    zero = F.lit(0).cast("bigint")
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha", "sha").alias("kept_sha256"))
+
+    def work(batches):
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
+        kinds = [pa.int64()] * 4 + [pa.string()] * 2
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 128):
+                rows = []
+                for doc, text, spans in zip(*(c.to_pylist() for c in batch.slice(lo, 128).columns), strict=True):
+                    data = text.encode()
+                    kept, removed, n = _cut(data, spans) if spans else (data, 0, 0)
+                    rows.append((doc, len(data), removed, n, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if spans else text))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    rows = _with_spans(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), id_col, text_col, window, gram, hot, False)
+    return rows.select("_id", "_text", "_l").mapInArrow(work, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT, passages: bool = False) -> DataFrame:
-    """docs with repeated passages cut out of the text. A character cut in two goes whole. Null texts stay null."""
-    _, cut = _cuts(docs, id_col, text_col, True, window, gram, hot, passages)
-    text = F.col(f"_row.`{text_col}`").cast("string")
-    rows = packed(docs).withColumn("_id", F.col(f"_row.`{id_col}`").cast("bigint")).withColumn("_xh", F.xxhash64(F.coalesce(text, F.lit(""))))
-    cut = cut.mapInArrow(_decoded, "cid bigint, cxh bigint, kept_text string")
-    joined = rows.join(cut, (F.col("_xh") == F.col("cxh")) & F.col("_id").eqNullSafe(F.col("cid")), "left")
-    return joined.select(*[(F.coalesce("kept_text", text) if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+    """docs with repeated passages cut out of the text; every copy goes, by op9's rule, so that which one stays doesn't depend on order. A
+    character cut in two goes whole. Null texts stay null; other columns of any name pass through; an empty table stays empty."""
+    rows = _with_spans(docs, id_col, text_col, window, gram, hot, passages)
+    others = [c for c in docs.columns if c != text_col]
+    rest = F.struct(*[F.col(f"_row.`{c}`").alias(c) for c in others])
+    rows = rows.select(rest.alias("rest"), F.when(F.col(f"_row.`{text_col}`").isNotNull(), F.col("_text")).alias("text"), F.col("_l").alias("l"))
+
+    def work(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 128):
+                part = batch.slice(lo, 128)
+                texts = part.column(1).to_pylist()
+                for k, spans in enumerate(part.column(2).to_pylist()):
+                    if spans:
+                        texts[k] = _cut(texts[k].encode(), spans)[0].decode("utf-8", "ignore")
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["rest", "text"])
+
+    out = rows.mapInArrow(work, rows.select("rest", "text").schema)
+    return out.select(*[(F.col("text") if c == text_col else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
 
 
 def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """without_repeats, and every repeat of WORDS words or more goes too, however few bytes it has and whatever spaces part its words."""
     return without_repeats(docs, id_col, text_col, passages=True)
-
-
-def _decoded(batches):
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("cxh"), pa.array([x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()], pa.string())], names=["cid", "cxh", "kept_text"])
