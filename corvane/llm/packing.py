@@ -15,8 +15,9 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import small, written
 from .radix import normalised
 
 #: Bytes of UTF-8 a bin holds; rows a shard is planned for; documents of one source in a bin.
@@ -101,28 +102,34 @@ def pack_shard(items: list[tuple], capacity: int = CAPACITY, per_source: int = P
     return out
 
 
-def with_clusters(docs: DataFrame, name: str = "_cluster", text_col: str = "text") -> DataFrame:
-    """docs with the duplicate cluster of the text: texts that op2 takes as equal (A-Z as a-z) are one."""
-    return docs.withColumn(name, F.xxhash64(normalised(F.col(f"`{text_col}`"))))
+def cluster_of(text_col: str = "text") -> Column:
+    """The duplicate cluster of a text: texts that op2 takes as equal (A-Z as a-z) are one."""
+    return F.xxhash64(normalised(F.col(f"`{text_col}`").cast("string")))
 
 
 SCHEMA = "doc_id bigint, shard bigint, bin bigint, doc_start bigint, bin_start bigint, n_bytes bigint, source string, cluster bigint"
 
 
-def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source", cluster_col: str | None = None, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_rows: int = SHARD_ROWS) -> DataFrame:
+#: Kinds of repeated rows that may be broadcast.
+SMALL = 1_000_000
+
+
+def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source", cluster: str | Column | None = None, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row for each piece of a document: doc_id, shard, bin (of the shard), doc_start, bin_start, n_bytes, source, cluster.
 
-    cluster_col: documents with equal values never share a bin; null or no column: no such conflict. Null text is empty,
-    empty texts get bin -1. A null source conflicts with nothing. Rows with one id are packed each. Empty table: no rows.
+    cluster, a column or its name: documents with equal values never share a bin; null or no column: no such conflict. Null text is empty,
+    empty texts get bin -1. A null source conflicts with nothing. Rows with one id are packed each; rows that repeat are spread
+    over the shards. A text longer than a bin fills bins of its own. Empty table: no rows. Further columns of any name aren't read.
     """
-    n_rows = docs.count()
-    shards = max(1, -(-n_rows // shard_rows))
-    cluster = F.col(f"`{cluster_col}`").cast("bigint") if cluster_col else F.lit(None).cast("bigint")
+    cluster = F.lit(None) if cluster is None else F.col(f"`{cluster}`") if isinstance(cluster, str) else cluster
     source = F.col(f"`{source_col}`").cast("string") if source_col else F.lit(None).cast("string")
     size = F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)).cast("bigint")
-    ident = F.col(f"`{id_col}`").cast("bigint")
-    # Rows that repeat an id are told apart by size and source; a hot id (or null) is spread by them as far as they differ.
-    rows = docs.select(F.pmod(F.xxhash64(ident, size, source, cluster), F.lit(shards)).alias("shard"), ident.alias("doc_id"), size.alias("n_bytes"), source.alias("source"), cluster.alias("cluster"))
+    plain = written(docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), size.alias("n_bytes"), source.alias("source"), cluster.cast("bigint").alias("cluster"), F.monotonically_increasing_id().alias("rid")), "packing-rows")
+    shards = max(1, -(-plain.count() // shard_rows))
+    kind = F.xxhash64("doc_id", "n_bytes", "source", "cluster")
+    again = written(plain.groupBy(kind.alias("k")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k"), "packing-again")
+    # The shard is a hash of the row; rows that repeat, by their number too, or a hot one would be one shard.
+    rows = plain.join(small(again, SMALL), kind == F.col("k"), "left").select(F.pmod(F.when(F.col("k").isNull(), kind).otherwise(F.xxhash64(kind, "rid")), F.lit(shards)).alias("shard"), "doc_id", "n_bytes", "source", "cluster")
 
     def work(table: pa.Table) -> pa.Table:
         rows = sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "n_bytes", "source", "cluster")), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or "", r[3] or 0))

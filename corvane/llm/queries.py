@@ -34,7 +34,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packs all documents; documents with texts that op2 takes as equal are one duplicate cluster."""
     docs = table(ship(spark), sf_dir, "documents")
-    return packing.best_fit(packing.with_clusters(docs), cluster_col="_cluster")
+    return packing.best_fit(docs, cluster=packing.cluster_of())
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +96,8 @@ ORACLE_SQL = {
                coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                sum(length('<turn ></turn>') + 1 + length(role) + length(role) - length(translate(role, '\<>', ''))
-                   + length(text) + length(text) - length(translate(text, '\<', '')))::BIGINT AS formatted_chars
+                   + length(text) + length(text) - length(translate(text, '\<', '')))::BIGINT AS formatted_chars,
+               0::BIGINT AS n_attachments, 0::BIGINT AS attachment_tokens
         FROM c GROUP BY conv_id""",
     "op9_suffix_array_dedup": None,
 }
