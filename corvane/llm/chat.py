@@ -130,35 +130,64 @@ def read_turns(formatted: str):
         at = m.end()
 
 
-def _sorted(rows: DataFrame) -> DataFrame:
-    """Rows of a conversation together and in order: by turn, then role, then text (nulls first)."""
-    r = rows.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return r.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+#: A typed part as a row: kind is text, image, audio or document; the other fields as the kind needs.
+PARTS = "array<struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
+_KINDS = {
+    "text": lambda p: Text(p["text"] or ""),
+    "image": lambda p: Image(p["ref"] or "", p["width"] or 0, p["height"] or 0),
+    "audio": lambda p: Audio(p["ref"] or "", p["seconds"] or 0.0),
+    "document": lambda p: Document(p["ref"] or "", p["pages"] or 0),
+}
 
 
-def format_conversations(rows: DataFrame) -> DataFrame:
-    """conv_id, turn, formatted, loss_start, loss_end (within formatted) for every row.
+def typed(text: str, parts: list[dict] | None) -> list:
+    """A message's parts: those of its list, or the text where there is no list. An unknown kind is an error."""
+    return [Text(text)] if parts is None else [_KINDS[p["kind"]](p) for p in parts if p is not None]
 
-    A null role is empty, a null text too. A null conv_id is a conversation of its own. Rows that repeat are turns that repeat.
+
+def _sorted(rows: DataFrame, parts_col: str | None) -> DataFrame:
+    """Rows of a conversation together and in order: by turn, then role, then text (nulls first), then parts."""
+    parts = F.col(f"`{parts_col}`") if parts_col else F.lit(None)
+    r = rows.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), parts.cast(PARTS).alias("parts"))
+    return r.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text", "parts")
+
+
+_ATTACHED = "array<struct<place:string,ref:string,tokens:bigint>>"
+
+
+def format_conversations(rows: DataFrame, parts_col: str | None = None) -> DataFrame:
+    """conv_id, turn, formatted, loss_start, loss_end (within formatted), attachments (place, ref, tokens) for every row.
+
+    parts_col: a column of typed parts (PARTS); where it is null, or not given, the text is the one part. A null role is empty, a null
+    text too. A null conv_id is a conversation of its own. Rows that repeat are turns that repeat. Turns of equal number follow role, text and
+    parts. An empty table gives an empty one; further columns of any name aren't read. A conversation is one task's, for its turns are
+    in order; it is held a turn at a time.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    attached = to_arrow_type(_parse_datatype_string(_ATTACHED))
 
     def work(batches):
         for batch in batches:
-            conv, turn, role, text = batch.columns
-            out = [format_turn(r, [Text(t)]) for r, t in zip(role.to_pylist(), text.to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([conv, turn, pa.array([x[0] for x in out], pa.string()), pa.array([x[1][0] for x in out], pa.int64()), pa.array([x[1][1] for x in out], pa.int64())], names=["conv_id", "turn", "formatted", "loss_start", "loss_end"])
+            conv, turn, role, text, parts = batch.columns
+            out = [format_turn(r, typed(t, p)) for r, t, p in zip(role.to_pylist(), text.to_pylist(), parts.to_pylist(), strict=True)]
+            lists = [[{"place": a.place, "ref": a.ref, "tokens": a.tokens} for a in x[2]] for x in out]
+            yield pa.RecordBatch.from_arrays([conv, turn, pa.array([x[0] for x in out], pa.string()), pa.array([x[1][0] for x in out], pa.int64()), pa.array([x[1][1] for x in out], pa.int64()), pa.array(lists, attached)], names=["conv_id", "turn", "formatted", "loss_start", "loss_end", "attachments"])
 
-    return _sorted(rows).mapInArrow(work, "conv_id bigint, turn bigint, formatted string, loss_start bigint, loss_end bigint")
+    return _sorted(rows, parts_col).mapInArrow(work, f"conv_id bigint, turn bigint, formatted string, loss_start bigint, loss_end bigint, attachments {_ATTACHED}")
 
 
 class _Digest:
     """What is read back of one conversation."""
 
     def __init__(self):
-        self.n = self.loss = self.chars = 0
+        self.n = self.loss = self.chars = self.attached = self.tokens = 0
         self.turns, self.masked = hashlib.sha256(), hashlib.sha256()
 
-    def add(self, formatted: str, start: int, end: int) -> None:
+    def add(self, formatted: str, start: int, end: int, attachments: list[dict]) -> None:
+        self.attached += len(attachments)
+        self.tokens += sum(a["tokens"] for a in attachments)
         self.chars += len(formatted)
         for role, text, _, _ in read_turns(formatted):
             self.n += 1
@@ -168,28 +197,29 @@ class _Digest:
         self.masked.update(said.encode())
 
 
-def conversation_digests(rows: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read back from the formatted turns."""
+def conversation_digests(rows: DataFrame, parts_col: str | None = None) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read back from the formatted turns, and
+    n_attachments, attachment_tokens. Nulls, ties, repeated rows, long texts and empty tables are as in format_conversations."""
 
     def work(batches):
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_attachments", "attachment_tokens"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
         none = object()
         now, d, done = none, _Digest(), []
 
         def row():
-            return now, d.n, d.turns.hexdigest(), d.loss, d.masked.hexdigest(), d.chars
+            return now, d.n, d.turns.hexdigest(), d.loss, d.masked.hexdigest(), d.chars, d.attached, d.tokens
 
         def out():
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
 
         for batch in batches:
-            for conv, formatted, start, end in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_start", "loss_end")), strict=True):
+            for conv, formatted, start, end, attachments in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_start", "loss_end", "attachments")), strict=True):
                 if conv != now:
                     if now is not none:
                         done.append(row())
                     now, d = conv, _Digest()
-                d.add(formatted, start, end)
+                d.add(formatted, start, end, attachments)
             if done:
                 yield out()
                 done = []
@@ -197,4 +227,4 @@ def conversation_digests(rows: DataFrame) -> DataFrame:
             done.append(row())
             yield out()
 
-    return format_conversations(rows).mapInArrow(work, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return format_conversations(rows, parts_col).mapInArrow(work, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_attachments bigint, attachment_tokens bigint")
