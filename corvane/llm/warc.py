@@ -44,20 +44,25 @@ def surt(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + (f":{port}" if port else "") + ")" + url.split("://", 1)[-1].partition("@")[2 if "@" in u.netloc else 0][len(host) + (len(str(port)) + 1 if port else 0) :]
 
 
-def record(kind: str, page_id, url, digest: str, size: int, payload: bytes, refers_to) -> bytes:
-    """One WARC/1.1 record. Characters that can't stand in a header are percent-encoded."""
+def _uri(url: str | None) -> str:
+    """As it stands in a header: characters that can't are percent-encoded."""
+    return quote(url or "", safe=":/?#[]@!$&()*+,;=%~-._" + chr(39))
+
+
+def record(kind: str, page_id, url, digest: str, size: int, payload: bytes, refers_to, refers_url=None) -> bytes:
+    """One WARC/1.1 record."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     block = http + payload if kind == "response" else http
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
-        f"WARC-Target-URI: {quote(url or '', safe=':/?#[]@!$&()*+,;=%~-._' + chr(39))}",
+        f"WARC-Target-URI: {_uri(url)}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Payload-Length: {size}",
     ]
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{'' if refers_to is None else refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{'' if refers_to is None else refers_to}>", f"WARC-Refers-To-Target-URI: {_uri(refers_url)}"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 5, mtime=0)
 
@@ -77,17 +82,17 @@ def _fs(uri: str):
 
 
 def roles(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, payload_bytes, digest, record_type, refers_to.
+    """page_id, url, payload, payload_bytes, digest, record_type, refers_to, refers_url.
 
     A null html is empty. Of equal payloads of MIN_REVISIT bytes or more, the row with the largest page_id is the response; rows that
     repeat that id too. A null id is smaller than any other.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.length(payload).cast("bigint").alias("payload_bytes"), F.sha1(payload).alias("digest"))
-    same = rows.filter(F.col("payload_bytes") >= MIN_REVISIT).groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    same = rows.filter(F.col("payload_bytes") >= MIN_REVISIT).groupBy("digest", "payload_bytes").agg(F.max(F.struct("page_id", "url")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "payload_bytes", F.col("f.page_id").alias("first"), F.col("f.url").alias("first_url"))
     same = written(same, "warc-same")  # a plain table, so that the join below is one Spark can split or broadcast
     again = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
-    return rows.join(same, ["digest", "payload_bytes"], "left").select("page_id", "url", "payload", "payload_bytes", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
+    return rows.join(same, ["digest", "payload_bytes"], "left").select("page_id", "url", "payload", "payload_bytes", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"), F.when(again, F.col("first_url")).alias("refers_url"))
 
 
 def write_archives(rows: DataFrame, folder: str) -> DataFrame:
@@ -107,7 +112,7 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
                                 out.close()
                             name = f"{uuid.uuid4().hex}.warc.gz"
                             out, uri, at = fs.open_output_stream(f"{root}/{name}", compression=None), name, 0
-                        data = record(r["record_type"], r["page_id"], r["url"], r["digest"], r["payload_bytes"], r["payload"], r["refers_to"])
+                        data = record(r["record_type"], r["page_id"], r["url"], r["digest"], r["payload_bytes"], r["payload"], r["refers_to"], r["refers_url"])
                         out.write(data)
                         entries.append((surt(r["url"]), r["page_id"], uri, at, len(data)))
                         at += len(data)
@@ -233,21 +238,31 @@ class CaptureIndex:
         return read_record(self._file(file).read_at(size, start))
 
 
-def archive(pages: DataFrame) -> tuple[str, str, list[tuple[str, int, str]]]:
-    """Writes archives and index for pages; returns their folders and the index's parts."""
+#: Bytes of records that a task reads back.
+READ_BYTES = 32 << 20
+
+
+def archive(pages: DataFrame) -> tuple[str, str, list[tuple[str, int, str]], int]:
+    """Writes archives and index for pages; returns their folders, the index's parts and the bytes of all records."""
     spark = pages.sparkSession
     archives, index = new_path(spark, "warc"), new_path(spark, "cdx")
-    return archives, index, write_index(write_archives(roles(pages), archives), index)
+    entries = write_archives(roles(pages), archives)
+    return archives, index, write_index(entries, index), entries.agg(F.sum("size")).first()[0] or 0
 
 
-def read_pages(pages: DataFrame, archives: str, index: str, parts) -> DataFrame:
+_READ = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string, refers_url string"
+
+
+def read_pages(pages: DataFrame, archives: str, index: str, parts, n_bytes: int = 0) -> DataFrame:
     """Looks every page (by url and page_id) up and reads its records: page_id, payload_bytes, payload_digest,
-    record_type, refers_to, url. A response's length and digest are those of the payload read; a revisit's, those of its headers."""
+    record_type, refers_to, url. Lengths and digests are those of payloads that were read: a revisit's come from the response that it
+    refers to (by page, URL and digest); they are null if that isn't in the archives. n_bytes, the size of all records, spreads the reads over tasks."""
 
     def work(batches):
         if not parts:
             return
         cdx, warc = CaptureIndex(index, parts), CaptureIndex(archives, [])
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
         for batch in batches:
             rows = []
             for page_id, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -255,19 +270,30 @@ def read_pages(pages: DataFrame, archives: str, index: str, parts) -> DataFrame:
                     h, payload = warc.read(*where)
                     kind, refers = h["WARC-Type"], h.get("WARC-Refers-To", "")[len("<urn:page:") : -1]
                     ident = h["WARC-Record-ID"][len("<urn:page:") : -1]
-                    n, digest = (len(payload), hashlib.sha1(payload).hexdigest()) if kind == "response" else (int(h["WARC-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha1:"))
-                    rows.append((int(ident) if ident else None, n, digest, kind, int(refers) if refers else None, h["WARC-Target-URI"]))
+                    n, digest = (len(payload), hashlib.sha1(payload).hexdigest()) if kind == "response" else (None, h["WARC-Payload-Digest"].removeprefix("sha1:"))
+                    rows.append((int(ident) if ident else None, n, digest, kind, int(refers) if refers else None, h["WARC-Target-URI"], h.get("WARC-Refers-To-Target-URI")))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "refers_url"])
 
     def keys(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([surt(u) for u in batch.column(1).to_pylist()], pa.string())], names=["page_id", "key"])
 
+    spark = pages.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // READ_BYTES))
     wanted = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url")).mapInArrow(keys, "page_id bigint, key string").distinct()
-    ordered = wanted.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
-    return ordered.mapInArrow(work, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string")
+    ordered = wanted.repartitionByRange(tasks, "key", "page_id").sortWithinPartitions("key", "page_id")
+    read = written(ordered.mapInArrow(work, _READ), "warc-read")
+    responses, revisits = read.filter("record_type = 'response'"), read.filter("record_type <> 'response'")
+    # What a revisit refers to is followed: one row for each response, so that revisits aren't multiplied.
+    of = responses.groupBy(F.col("page_id").alias("p"), F.col("url").alias("u"), F.col("payload_digest").alias("d")).agg(F.max("payload_bytes").alias("n"))
+    same = F.col("refers_to").eqNullSafe(F.col("p")) & F.col("refers_url").eqNullSafe(F.col("u")) & (F.col("payload_digest") == F.col("d"))
+    followed = revisits.join(of, same, "left").select("page_id", F.col("n").alias("payload_bytes"), F.col("d").alias("payload_digest"), "record_type", "refers_to", "url")
+    return responses.select(*followed.columns).unionByName(followed)
 
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:
+    """read_pages of what archive wrote. A null html is an empty payload, a null url an empty one, a null page_id one of its own; rows that
+    repeat have a record each, of equal ids and payloads all responses; payloads of any length; an empty table gives an empty one; further
+    columns of any name aren't read."""
     return read_pages(pages, *archive(pages))
