@@ -41,7 +41,7 @@ def merge(ranks: dict[bytes, int], word: bytes, below: int = 1 << 62) -> list[in
 
 
 class Transducer:
-    MAX_STATES, LONG = 250_000, 4096
+    MAX_STATES = 250_000
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -144,30 +144,34 @@ class Transducer:
 
     def stream(self, pieces):
         """Tokens of a word that comes in pieces. They are emitted where no place but the last is left: from there on,
-        nothing can change what stands before. That is at most as far ahead as tokens overlap."""
-        state, lasts = 0, []
+        nothing can change what stands before. That is at most as far ahead as tokens overlap. Tables that have outgrown
+        MAX_STATES start afresh there, within a word too."""
+        state, lasts, moves, keys = 0, [], self.moves, self.keys
         for piece in pieces:
             for byte in piece:
-                state, t = self.moves.get(state * 256 + byte) or self._move(state, byte)
+                state, t = moves.get(state * 256 + byte) or self._move(state, byte)
                 lasts.append(t)
-                if len(self.keys[state]) == 1:
-                    yield from self._settle(lasts)
+                if len(keys[state]) == 1:
+                    if len(lasts) == 1:
+                        yield t
+                    else:
+                        yield from self._settle(lasts)
                     lasts.clear()
+                    if len(keys) > self.MAX_STATES:
+                        key = keys[state]
+                        self._reset()
+                        moves, keys = self.moves, self.keys
+                        state = self.number.get(key)
+                        if state is None:
+                            state = self.number[key] = len(keys)
+                            keys.append(key)
         yield from self._settle(lasts)
 
     def run(self, word: bytes) -> tuple[int, ...]:
-        if len(self.keys) > self.MAX_STATES:
-            self._reset()
         whole = self.ranks.get(word)
         if whole is not None:  # a word that is a token is that token, whether merges reach it or not
             return (whole,)
-        if len(word) > self.LONG:
-            return tuple(self.stream([word]))
-        state, lasts, moves = 0, [], self.moves
-        for byte in word:
-            state, t = moves.get(state * 256 + byte) or self._move(state, byte)
-            lasts.append(t)
-        return tuple(self._settle(lasts))
+        return tuple(self.stream([word]))
 
 
 class _Words(dict):
@@ -283,5 +287,6 @@ def _digests(t: ByteBPE, text: str) -> tuple[int, str, str]:
 
 
 def round_trips(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row; a null text is empty."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row; a null text is empty, an empty one has no token. Rows that repeat are encoded alike,
+    texts of any length whole; an empty table gives an empty one; further columns of any name aren't read."""
     return _over_texts(docs, ranks_path, pattern, id_col, text_col, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", _digests)

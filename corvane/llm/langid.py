@@ -202,7 +202,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.binary()), strict=True)], names=["id", "lang", "k", "piece"])
 
-    got = rows.join(F.broadcast(ids), F.col("id") == F.col("_id")).select("id", "lang", "text").mapInArrow(work, "id bigint, lang string, k bigint, piece binary").collect()
+    got = rows.join(F.broadcast(ids), F.col("id") == F.col("_id")).select("id", "lang", "text").mapInArrow(work, "id bigint, lang string, k bigint, piece binary")
+    got = got.orderBy(F.xxhash64("id"), "id", "lang", "k", "piece").limit(SAMPLE * PER_DOC).collect()  # rows that share an id count too
     got.sort(key=lambda r: (r.id, r.lang, r.k, bytes(r.piece)))
     if not got:
         return None
@@ -212,7 +213,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", net: Network | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row. A null text, or one without a letter, is und with score 0; so is
-    every text if there is nothing to learn from. Rows that repeat are labelled alike."""
+    every text if there is nothing to learn from. Rows that repeat are labelled alike; of equal probabilities the first language by
+    name is taken. Texts of any length are read whole; an empty table gives an empty one; further columns of any name aren't read."""
     net = net or fit(docs, id_col, text_col, lang_col)
 
     def work(batches):

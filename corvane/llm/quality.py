@@ -42,7 +42,7 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id",
     """trusted: a column of ids. Weights by bucket, from all of docs. With no trusted rows every weight is 0."""
     ids = trusted.select(F.col(trusted.columns[0]).cast("bigint").alias("_good")).dropna().distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    rows = _rows(docs.select(id_col, text_col), id_col, text_col).join(ids, F.col("_id") == F.col("_good"), "left")
+    rows = _rows(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), id_col, text_col).join(ids, F.col("_id") == F.col("_good"), "left")
     grams = _with_hashes(rows.select("_t", F.col("_good").isNotNull().cast("int").alias("_g"))).select("_g", F.explode(F.expr(GRAMS)).alias("b"))
     counts = grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("_g").alias("good")).collect()  # BUCKETS rows at most
     raw, good = {r.b: r.raw for r in counts}, {r.b: r.good for r in counts}
@@ -55,13 +55,15 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id",
 def judged(docs: DataFrame, weights: list[int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_row (the input row), the counts, base_failed, ratio (mean log ratio in millionths) and kept.
 
-    A null text has no word, no symbol and no line. Repeated rows are judged alike, each. A null id is no reason to drop.
+    A null text has no word, no symbol and no line. Repeated rows are judged alike, each. A null id is no reason to drop. Texts of any
+    length are read whole; an empty table gives an empty one; a ratio equal to LEAST is kept; further columns of any name ride in _row.
     """
     w = _with_hashes(_rows(docs, id_col, text_col))
     w = w.select(
         "_row",
         "_id",
         "_h",
+        "_words",
         F.expr(GRAMS).alias("_b"),
         F.size("_words").alias("_n"),
         F.length(F.array_join("_words", "")).cast("bigint").alias("word_chars"),
@@ -73,6 +75,9 @@ def judged(docs: DataFrame, weights: list[int], id_col: str = "doc_id", text_col
     w = w.withColumn("_m", F.expr("shiftleft(-1L, length(bin(_n)))"))
     w = w.withColumn("_s", F.expr("sort_array(transform(slice(_h, 3, greatest(_n - 2, 0)), (x, i) -> (xxhash64(_h[i], _h[i + 1], x) & _m) | i))")).drop("_h")
     w = w.withColumn("_p", F.expr("sort_array(filter(transform(_s, (x, i) -> if((i > 0 AND (_s[greatest(i - 1, 0)] & _m) = (x & _m)) OR (i < size(_s) - 1 AND (_s[least(i + 1, size(_s) - 1)] & _m) = (x & _m)), x & ~_m, -1L)), p -> p >= 0))")).drop("_s")
+    # Hashes that share their high bits propose; the words themselves decide. Words hold no space, so a space joins them without doubt.
+    w = w.withColumn("_q", F.expr("sort_array(transform(_p, p -> struct(concat_ws(' ', _words[int(p)], _words[int(p) + 1], _words[int(p) + 2]) AS w, p AS p)))")).drop("_p", "_words")
+    w = w.withColumn("_p", F.expr("sort_array(filter(transform(_q, (x, i) -> if((i > 0 AND _q[greatest(i - 1, 0)].w = x.w) OR (i < size(_q) - 1 AND _q[least(i + 1, size(_q) - 1)].w = x.w), x.p, -1L)), p -> p >= 0))")).drop("_q")
     w = w.withColumn("n_repeat_words", F.expr("aggregate(transform(_p, (p, i) -> if(i = 0, 3L, least(3L, p - _p[greatest(i - 1, 0)]))), 0L, (a, x) -> a + x)")).drop("_p")
     constant = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<bigint>")
     w = w.withColumn("_sum", F.aggregate("_b", F.lit(0).cast("bigint"), lambda a, b: a + F.get(constant, b)))
@@ -99,7 +104,7 @@ def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return judged(docs.select(id_col, text_col), bucket_weights(docs, trusted, id_col, text_col), id_col, text_col).drop("_row")
+    return judged(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), bucket_weights(docs, trusted, id_col, text_col), id_col, text_col).drop("_row")
 
 
 def keep_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -211,14 +211,13 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, to
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, lexicon: dict[str, float]) -> Model:
-    """Trees on four rows of five, calibration on the fifth."""
+def fit_trees(x: np.ndarray, y: np.ndarray, lexicon: dict[str, float], cal: np.ndarray) -> Model:
+    """Trees on the rows that cal leaves out, calibration on those that it marks; on all rows if one part lacks a label."""
     if not len(y) or y.min() == y.max():
         rate = float(y.mean()) if len(y) else 0.0
         return Model(lexicon, np.zeros((x.shape[1] if x.ndim == 2 else len(FEATURES), 0)), [], 0.0, np.array([0.0]), np.array([rate]))
-    cal = np.arange(len(y)) % 5 == 4
-    if not 0 < y[~cal].mean() < 1 or not cal.any():
-        cal[:] = False
+    if not (cal.any() and (~cal).any()) or not 0 < y[~cal].mean() < 1:
+        cal = np.zeros(len(y), bool)
     edges = np.stack([np.quantile(x[~cal, f], np.linspace(0, 1, BINS + 1)[1:-1]) for f in range(x.shape[1])])
     bins = np.stack([np.searchsorted(e, x[:, k], side="right") for k, e in enumerate(edges)], axis=1)
     tb, ty = bins[~cal], y[~cal].astype(float)
@@ -235,11 +234,11 @@ def fit_trees(x: np.ndarray, y: np.ndarray, lexicon: dict[str, float]) -> Model:
 
 
 def _training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, toxic, text) of at most SAMPLE labelled rows that aren't held out."""
+    """(id, toxic, text, cal) of at most SAMPLE labelled ids that aren't held out; cal marks about a fifth, for calibration only."""
     ids = labels.select(F.col("doc_id").cast("bigint").alias("_l"), F.col("toxic").cast("int").alias("toxic")).dropna().filter(crc_mod(F.col("_l"), 5) != 0)
     ids = ids.groupBy("_l").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("_l"), "_l").limit(SAMPLE)
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(ids), F.col("id") == F.col("_l")).select("id", "toxic", "text")
+    return texts.join(F.broadcast(ids), F.col("id") == F.col("_l")).select("id", "toxic", "text", (F.pmod(F.xxhash64("id", F.lit(4)), F.lit(5)) == 0).alias("cal"))
 
 
 def learn_lexicon(rows: DataFrame) -> dict[str, float]:
@@ -257,12 +256,12 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     return {r.w: float(r.o) for r in found}
 
 
-_FEATURED = "id bigint, toxic int, x array<double>"
+_FEATURED = "id bigint, toxic int, cal boolean, x array<double>"
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     rows = _training(docs, labels, id_col, text_col)
-    lexicon = learn_lexicon(rows)
+    lexicon = learn_lexicon(rows.filter("NOT cal"))  # else words that a row has taught would calibrate on it
 
     def work(batches):
         words, weights = Words(lexicon), np.array([*lexicon.values(), 0.0])
@@ -270,17 +269,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 x = [features(t, words, weights) for t in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(x, pa.list_(pa.float64()))], names=["id", "toxic", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(x, pa.list_(pa.float64()))], names=["id", "toxic", "cal", "x"])
 
-    got = rows.mapInArrow(work, _FEATURED).collect()  # SAMPLE rows at most, or as many as share their ids
-    got.sort(key=lambda r: (hash(r.id * 0x9E3779B97F4A7C15 & (1 << 61) - 1), r.id, r.x))
+    got = rows.mapInArrow(work, _FEATURED).orderBy(F.xxhash64("id"), "id", "x").limit(SAMPLE).collect()  # rows that share an id count too
+    got.sort(key=lambda r: (r.id, r.x))
     x = np.array([r.x for r in got], float).reshape(-1, len(FEATURES))
-    return fit_trees(x, np.array([r.toxic for r in got], int), lexicon)
+    return fit_trees(x, np.array([r.toxic for r in got], int), lexicon, np.array([r.cal for r in got], bool))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted for every row. Null texts are empty and scored like any other; repeated rows alike.
-    Without labels of both kinds the score is their rate (0 without any)."""
+    Without labels of both kinds the score is their rate (0 without any). Texts of any length are read whole; a score of exactly 0.5
+    is predicted toxic; an empty table gives an empty one; further columns of any name aren't read."""
     model = model or fit(docs, labels, id_col, text_col)
 
     def work(batches):
