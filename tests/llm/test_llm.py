@@ -2,12 +2,14 @@
 
 import gzip
 import hashlib
+import math
 import random
 import re
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from corvane.llm import bpe, chat, langid, minhash, packing, quality, radix, suffixes, toxicity, warc
@@ -56,6 +58,39 @@ def test_quality_ratio(spark):
     assert all(x.kept == (x.doc_id < 30) for x in r if not x.base_failed) and sum(not x.base_failed for x in r) > 50
 
 
+def brute_buckets(text):
+    """Spark's xxhash64 of words and of pairs (of the hash, the next, the first plus one), in plain Python."""
+    h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+
+    def chained(*xs):
+        seed = 42
+        for x in xs:
+            seed = xxhash.xxh64_intdigest((x & (1 << 64) - 1).to_bytes(8, "little"), seed)
+        return seed
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    return [signed(x) % quality.BUCKETS for x in h] + [signed(chained(a, b, a + 1)) % quality.BUCKETS for a, b in zip(h, h[1:], strict=False)]
+
+
+def test_quality_verdict_brute_force(spark):
+    rng = random.Random(12)
+    texts = [*ODD, *(" ".join(rng.choice("sun moon star sky é漢 xx qq zz".split()) + str(rng.randint(0, 30)) for _ in range(rng.randint(0, 120))) for _ in range(60))]
+    good = [i for i in range(10, 40)]
+    raw, target = Counter(), Counter()
+    for i, t in enumerate(texts):
+        raw.update(brute_buckets(t))
+        if i in good:
+            target.update(brute_buckets(t))
+    n, m = sum(raw.values()), sum(target.values())
+    weight = [round(1e6 * (math.log((target[b] + 1) / (m + quality.BUCKETS)) - math.log((raw[b] + 1) / (n + quality.BUCKETS)))) for b in range(quality.BUCKETS)]
+    rows = quality.quality_rules(docs(spark, texts), spark.createDataFrame([(i,) for i in good], "doc_id bigint")).collect()
+    for r in rows:
+        b = brute_buckets(texts[r.doc_id])
+        total = sum(weight[x] for x in b)
+        assert r.ratio == int(total / max(len(b), 1)) and r.kept == (not r.base_failed and total >= quality.LEAST * len(b))
+    assert {r.kept for r in rows} == {True, False}
+
+
 def lower(t):
     return (t or "").encode().translate(bytes.maketrans(radix.UPPER.encode(), radix.LOWER.encode()))
 
@@ -77,8 +112,8 @@ def test_exact_dedup(spark):
 def test_small(spark):
     d = spark.createDataFrame([(b"x" * 600,)] * 3, "digit binary")
     hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
-    assert hinted(small(d, 3)) and hinted(small(d, 3, "digit")) and hinted(small(d.limit(0), 0, "digit", 0))
-    assert not hinted(small(d, 2)) and not hinted(small(d, 3, "digit", 1799))
+    assert hinted(small(d, 3)) and hinted(small(d, 3, F.length("digit"))) and hinted(small(d.limit(0), 0, F.length("digit"), 0))
+    assert not hinted(small(d, 2)) and not hinted(small(d, 3, F.length("digit"), 1799))
 
 
 def test_exact_dedup_repeated_ids(spark):
@@ -100,7 +135,7 @@ def test_bpe_against_tiktoken(spark, vocab):
         ranks = bpe.read_ranks(f.read())
     enc = tiktoken.Encoding("own", pat_str=vocab[1], mergeable_ranks=ranks, special_tokens={})
     tok, rng = bpe.ByteBPE(ranks, vocab[1]), random.Random(4)
-    tok.words.transducer.LONG = 8  # streams too
+    tok.words.transducer.MAX_STATES = 50  # starts afresh, within words too
     for _ in range(800):
         s = "".join(rng.choice("ab \n\t  éñ漢字🙂0123!!??,. 　thingers") for _ in range(rng.randint(0, 60)))
         assert tok.encode(s) == enc.encode_ordinary(s)
@@ -139,6 +174,29 @@ def test_toxicity(spark):
     assert toxicity.toxicity(d, lab.limit(0)).count() == 404
 
 
+def test_toxicity_scores_brute_force():
+    rng = np.random.default_rng(3)
+    x = rng.random((300, len(toxicity.FEATURES)))
+    y = (x[:, 1] + 0.2 * rng.random(300) > 0.6).astype(int)
+    model = toxicity.fit_trees(x, y, {}, np.arange(300) % 5 == 0)
+    assert len(model.trees) == toxicity.ROUNDS
+    for row, score in zip(x[:40], model.scores(x[:40]), strict=True):
+        margin = model.base
+        for feature, cut, value in model.trees:
+            node = 0
+            while node < 2**toxicity.DEPTH - 1:
+                f = feature[node]
+                node = 2 * node + (2 if sum(e <= row[f] for e in model.edges[f]) > cut[node] else 1)
+            margin += value[node - (2**toxicity.DEPTH - 1)]
+        at, to = list(model.at), list(model.to)
+        if margin <= at[0] or margin >= at[-1]:
+            want = to[0] if margin <= at[0] else to[-1]
+        else:
+            k = next(i for i in range(len(at) - 1) if at[i] <= margin <= at[i + 1] and at[i] < at[i + 1])
+            want = to[k] + (to[k + 1] - to[k]) * (margin - at[k]) / (at[k + 1] - at[k])
+        assert score == pytest.approx(min(max(want, 0), 1), abs=1e-9)
+
+
 def test_isotonic_rises():
     at, to = toxicity.isotonic(np.array([1, 2, 3, 4, 5.0]), np.array([0, 1, 0, 1, 1.0]))
     assert (np.diff(to) >= 0).all() and (np.diff(at) >= 0).all()
@@ -166,6 +224,20 @@ def test_gru_gradient():
         assert (up - down) / (2 * step) == pytest.approx(g[at], rel=1e-3)
 
 
+def test_language_pooling_brute_force():
+    """A document's probabilities are the means over its bytes, each from its segment alone."""
+    net = langid.new_network(["a", "b", "c"], 2)
+    texts = [b"hello you", b"", bytes(range(97, 123)) * 20, "é漢".encode() * 70]
+    got = langid.pooled(net, texts)
+    for data, p in zip(texts, got, strict=True):
+        each = []
+        for k in range(0, len(data), langid.SEGMENT):
+            piece = np.frombuffer(data[k : k + langid.SEGMENT], np.uint8)
+            each += list(net.probabilities(np.concatenate([piece, np.zeros(langid.SEGMENT - len(piece), np.uint8)])[None, :])[: len(piece), 0])
+        assert not data or np.allclose(np.mean(each, axis=0), p, atol=1e-5)
+        assert p.sum() == pytest.approx(1.0 if data else 0.0, abs=1e-5)
+
+
 def test_language_id(spark):
     rng = random.Random(6)
     langs = {"xx": "ka ke ki ko".split(), "yy": "zun zar zil".split()}
@@ -177,18 +249,13 @@ def test_language_id(spark):
     assert langid.identify(d.limit(0)).count() == 0 and langid.identify(d.withColumn("lang", F.lit(None).cast("string"))).filter("lang_pred <> 'und'").count() == 0
 
 
-def test_near_dedup_brute_force(spark):
-    rng = random.Random(7)
-    base = [[rng.choice("abcdefghijklmnop") * 2 + str(rng.randint(0, 99)) for _ in range(rng.randint(3, 60))] for _ in range(12)]
-    texts = [None, "", " ", "one", "ONE", "one two"]
-    for b in base:
-        for _ in range(12):
-            w = list(b)
-            for _ in range(rng.randint(0, 2)):
-                w[rng.randrange(len(w))] = f"edit{rng.randint(0, 999)}"
-            texts.append(" ".join(w))
-    d = docs(spark, texts)
-    sets = [set(minhash.shingles(t).tolist()) for t in texts]
+def brute_components(texts, size=4):
+    """(set size, smallest place reachable) of each text, from sets of word tuples."""
+    sets = []
+    for t in texts:
+        w = [x.translate(str.maketrans(radix.UPPER, radix.LOWER)) for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+        n = min(size, len(w))
+        sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set())
     comp = list(range(len(texts)))
 
     def find(x):
@@ -199,13 +266,81 @@ def test_near_dedup_brute_force(spark):
     for i in range(len(texts)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if sets[i] and sets[j] and 100 * both >= 80 * len(sets[i] | sets[j]):
+            if both and 100 * both >= 80 * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 comp[max(a, b)] = min(a, b)
+    return [(len(s), find(i)) for i, s in enumerate(sets)]
+
+
+def near_texts(rng, families=12, copies=12, edits=2, words=60):
+    base = [[rng.choice("abcdefghijklmnop") * 2 + str(rng.randint(0, 99)) for _ in range(rng.randint(3, words))] for _ in range(families)]
+    texts = [None, "", " ", "one", "ONE", "one two", "é\u00a0x y z w"]
+    for b in base:
+        for _ in range(copies):
+            w = list(b)
+            for _ in range(rng.randint(0, edits)):
+                w[rng.randrange(len(w))] = f"edit{rng.randint(0, 999)}"
+            texts.append(" ".join(w))
+    return texts
+
+
+def test_near_dedup_brute_force(spark):
+    texts = near_texts(random.Random(7))
+    d = docs(spark, texts)
+    want = brute_components(texts)
     got = {r.doc_id: tuple(r)[1:] for r in minhash.near_groups(d).collect()}
-    assert got == {i: (len(sets[i]), find(i), find(i) == i) for i in range(len(texts))}
-    assert minhash.keep_near(d).columns == d.columns
-    assert minhash.near_groups(d.limit(0)).count() == 0
+    assert got == {i: (n, c, c == i) for i, (n, c) in enumerate(want)}
+    kept = minhash.keep_near(d)
+    assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [i for i, (_, c) in enumerate(want) if c == i]
+    assert minhash.near_groups(d.limit(0)).count() == 0 and minhash.keep_near(d.limit(0)).count() == 0
+
+
+def test_near_dedup_of_crowded_regions_in_blocks(spark, monkeypatch):
+    """Families of more rows than a block, regions of more rows than meet: descent, further orders, deals and block pairs."""
+    for name, value in (("CROWD", 4), ("ROWS", 5)):
+        monkeypatch.setattr(minhash, name, value)
+    texts = near_texts(random.Random(13), 3, 40, 5, 60)
+    want = brute_components(texts)
+    assert len({c for _, c in want}) > 20
+    got = {r.doc_id: r.component_id for r in minhash.near_groups(docs(spark, texts)).collect()}
+    assert got == {i: c for i, (_, c) in enumerate(want)}
+
+
+def test_near_dedup_of_rows_that_repeat(spark):
+    long = " ".join(f"w{i}" for i in range(3000))
+    texts = ["a b c d e f", "a b c d e f", "A b c d e f", long, long + " x", None, None, "q r s t", "q r s t", "q r s t u"]
+    ids = [1, 1, 2, None, 4, 9, 9, None, None, None]
+    d = docs(spark, texts, ids).withColumnRenamed("key", "_id").withColumn("_xh", F.lit(1))
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in minhash.near_groups(d).collect())
+    assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (0, 4, False), (4, 4, True), (9, 9, True), (9, 9, True), (0, 0, True), (0, 0, True), (0, 0, True)])
+    kept = minhash.keep_near(d).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(1, "a b c d e f"), (4, long + " x"), (9, ""), (9, ""), (0, "q r s t"), (0, "q r s t u")])
+
+
+def test_near_dedup_recall_on_documents(spark):
+    """All links of sf0.01's documents against exact pairs by an inverted index: recall of components' pairs is 1 here."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    sets = {}
+    for r in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (r.text or "").translate(str.maketrans(radix.UPPER, radix.LOWER)))
+        n = min(4, len(w))
+        sets[r.doc_id] = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
+    by, shared = {}, Counter()
+    for i, s in sets.items():
+        for x in s:
+            for j in by.setdefault(x, []):
+                shared[j, i] += 1
+            by[x].append(i)
+    links = [(i, j) for (i, j), c in shared.items() if 100 * c >= 80 * (len(sets[i]) + len(sets[j]) - c)]
+    comp = {r.doc_id: r.component_id for r in minhash.near_groups(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    assert len(links) > 50 and sum(comp[i] == comp[j] for i, j in links) >= 0.99 * len(links)
+
+
+def test_linked_with_sides():
+    sets = [np.array(x, np.uint64) for x in ([1, 2, 3, 4, 5], [1, 2, 3, 4, 5, 6], [7, 8], [7, 8], [1, 2, 3, 4, 5])]
+    group = np.array([10, 11, 12, 13, 10])
+    assert minhash.linked(sets, group) == [(1, 0), (3, 2)]
+    assert minhash.linked(sets, group, np.array([0, 0, 0, 1, 1])) == [(3, 2), (4, 1)]
 
 
 def test_components_of_a_chain(spark):
@@ -232,6 +367,20 @@ def test_chat_digests(spark):
     assert chat.conversation_digests(d.limit(0)).count() == 0
 
 
+def test_chat_parts_through_the_operator(spark):
+    parts = [{"kind": "image", "ref": "a.png", "width": 57, "height": 28}, {"kind": "text", "text": "see <image 0>"}, {"kind": "audio", "ref": "b", "seconds": 1.5}, {"kind": "document", "pages": 2}]
+    schema = f"conv_id bigint, turn bigint, role string, text string, parts {chat.PARTS}"
+    full = [{"kind": None, "text": None, "ref": None, "width": None, "height": None, "seconds": None, "pages": None} | p for p in parts]
+    d = spark.createDataFrame([(1, 0, "assistant", "ignored", full), (1, 1, "user", "plain", None), (2, 0, None, None, [])], schema)
+    rows = {(r.conv_id, r.turn): r for r in chat.format_conversations(d, "parts").collect()}
+    first = rows[1, 0]
+    assert first.formatted == "<turn assistant><image 0>see \\<image 0><audio 1><document 2></turn>\n"
+    assert [(a.place, a.ref, a.tokens) for a in first.attachments] == [("<image 0>", "a.png", 3), ("<audio 1>", "b", 50), ("<document 2>", "", 512)]
+    assert first.formatted[first.loss_start : first.loss_end].startswith("<image 0>") and rows[1, 1].attachments == [] and rows[2, 0].formatted == "<turn ></turn>\n"
+    got = {r.conv_id: (r.n_attachments, r.attachment_tokens) for r in chat.conversation_digests(d, "parts").collect()}
+    assert got == {1: (3, 565), 2: (0, 0)}
+
+
 def brute_repeats(texts, window):
     data = [(t or "").encode() for t in texts]
     c = Counter(b[p : p + window] for b in data for p in range(len(b) - window + 1))
@@ -253,14 +402,31 @@ def test_suffixes_brute_force(spark, hot):
     texts = [None, "", "abc" * 40, "é" * 50] + ["".join(make(rng.randint(0, 90)) + rng.choice(passages) for _ in range(rng.randint(0, 4))) for _ in range(60)]
     texts += texts[10:14]
     d = docs(spark, texts)
-    got = {r.doc_id: tuple(r)[1:] for r in suffixes.repeats(d, window=40, gram=8, hot=hot).collect()}
-    assert got == brute_repeats(texts, 40)
+    rows = suffixes.repeats(d, window=40, gram=8, hot=hot).collect()
+    assert {r.doc_id: tuple(r)[1:5] for r in rows} == brute_repeats(texts, 40)
+    assert all(len(r.kept_text.encode()) <= r.n_bytes - r.n_removed and (r.n_removed or r.kept_text == (texts[r.doc_id] or "")) for r in rows)
     if hot > 2:
         cut = suffixes.without_repeats(d, window=40, gram=8)
         assert cut.columns == d.columns and cut.count() == len(texts)
         assert suffixes.repeats(d.limit(0)).count() == 0
 
 
+def test_suffixes_at_the_contract(spark):
+    """400 bytes, against brute force, on whole documents; the least id of 64 bits and null are ids like any other."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy(F.length("text")).limit(120).collect()
+    texts = [r.text for r in rows] + ["q" * 399, "q" * 400, None]
+    ids = [-(1 << 63), None, *range(2, len(texts))]
+    got = {r.doc_id: tuple(r)[1:5] for r in suffixes.repeats(docs(spark, texts, ids)).collect()}
+    assert got == {ids[i]: v for i, v in brute_repeats(texts, 400).items()}
+
+
+def test_windows_of_equal_hash_are_told_apart_by_bytes(monkeypatch):
+    records = [(b"abcdefgh", b"", False, 1, 0, 0), (b"xyabcdxy", b"", False, 2, 0, 0), (b"zzzzabcd", b"", True, 3, 0, 0)]
+    want = sorted(suffixes.repeated_windows(records, 4))
+    monkeypatch.setattr(suffixes, "rolling", lambda b, width: np.zeros(max(len(b) - width + 1, 0), np.uint64))
+    assert sorted(suffixes.repeated_windows(records, 4)) == want == [(1, 0, 0, 4), (2, 0, 2, 6)]
+
+
 def test_pipeline_cuts_passages_of_51_words(spark):
     import corpus_pipeline
 
@@ -271,7 +437,7 @@ def test_pipeline_cuts_passages_of_51_words(spark):
     mid = lambda i, p: " ".join([*own[i][:15], *p, *own[i][15:]])
     texts = [mid(0, p51), " ".join(own[1]) + "\n" + "\n ".join(p51), mid(2, p50), mid(3, p50), mid(4, p80), mid(5, [*p80, *p80]), mid(6, p80[:51]), mid(7, p80[:50]), mid(8, [solid]), mid(9, [solid]), " ".join(p51), None]
     assert len(" ".join(p51)) < 400
-    d = docs(spark, texts)
+    d = docs(spark, texts).withColumn("_l", F.lit(1)).withColumn("rest", F.lit(2))
     for out in (corpus_pipeline.suffix_stage(spark, d, ""), suffixes.without_repeats(d, hot=1, passages=True)):
         got = {r.doc_id: r.text for r in out.collect()}
         for i in (0, 1, 6):
@@ -309,7 +475,7 @@ def test_packing(spark):
     rng = random.Random(10)
     texts = [None, "", "z" * 20_000, *("w" * rng.randint(1, 9000) for _ in range(200))]
     d = spark.createDataFrame([(i, t, "hot" if i % 3 == 0 else f"s{i % 7}" if i % 7 else None, i % 50, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, source string, c bigint, shard string")
-    rows = packing.best_fit(d, cluster_col="c", shard_rows=64).collect()
+    rows = packing.best_fit(d, cluster="c", shard_rows=64).collect()
     pieces, bins = {}, {}
     for r in rows:
         pieces.setdefault(r.doc_id, []).append((r.doc_start, r.n_bytes))
@@ -331,6 +497,38 @@ def test_packing(spark):
     assert packing.best_fit(d.limit(0)).count() == 0
 
 
+def test_packing_spreads_rows_that_repeat(spark):
+    d = spark.createDataFrame([(None, "same", "s", "x")] * 2000 + [(7, "other", "s", "x")], "doc_id bigint, text string, source string, _cluster string")
+    rows = packing.best_fit(d, shard_rows=100, cluster=packing.cluster_of()).collect()
+    assert len(rows) == 2001 and max(Counter(r.shard for r in rows).values()) < 200
+
+
+def test_best_fit_brute_force():
+    """Against a plain search of all bins: the tightest compatible one, of equal ones the oldest."""
+    rng = random.Random(14)
+    items = [(i, rng.randint(0, 260), rng.choice("abc") if i % 5 else None, rng.randint(0, 30) if i % 3 else None) for i in range(300)]
+    out, rest, bins, solo = [], [], [], 0
+    for key, size, source, cluster in items:
+        at = 0
+        while size - at >= 100:
+            out.append((key, solo, at, 0, 100))
+            solo, at = solo + 1, at + 100
+        if size > at:
+            rest.append((size - at, key, at, source, cluster))
+        elif not size:
+            out.append((key, -1, 0, 0, 0))
+    for size, key, at, source, cluster in sorted(rest, key=lambda x: (-x[0], x[1])):
+        fits = [(100 - sum(y[0] for y in b), k) for k, b in enumerate(bins) if sum(y[0] for y in b) + size <= 100 and (source is None or sum(y[1] == source for y in b) < 2) and (cluster is None or all(y[2] != cluster for y in b))]
+        if fits:
+            k = min(fits)[1]
+        else:
+            k = len(bins)
+            bins.append([])
+        out.append((key, solo + k, at, sum(y[0] for y in bins[k]), size))
+        bins[k].append((size, source, cluster))
+    assert sorted(packing.pack_shard(items, 100, 2)) == sorted(out)
+
+
 def test_packing_parts_copies_of_any_case(spark, tmp_path):
     import corpus_pipeline
 
@@ -366,3 +564,19 @@ def test_pipeline(spark, tmp_path):
         assert ids is None or now <= ids
         ids = now
     assert len(ids) > 100
+
+
+@pytest.mark.parametrize("kind", ["empty", "odd"])
+def test_pipeline_stages_on_odd_tables(spark, tmp_path, kind):
+    """Nulls in any column, empty and very long texts, repeated rows, names that operators use themselves."""
+    import corpus_pipeline
+
+    d = docs(spark, [*ODD, *ODD], [*range(len(ODD)), *([None] * 3), *range(3, len(ODD))])
+    for name in ("_id", "_xh", "_l", "rid", "rest", "_cluster", "shard", "comp", "gid"):
+        d = d.withColumn(name, F.lit(None).cast("string"))
+    d = d.limit(0) if kind == "empty" else d
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (None, None, None)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, d, str(tmp_path)).collect()
+        assert (not out) if kind == "empty" else name == "quality_rules" or out, name
