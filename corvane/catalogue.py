@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -30,15 +31,31 @@ def tab(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_tables(final: str, tables: dict[str, str]) -> str:
+    """final with a WITH of those tables that it names, and that they name."""
+    names = re.compile(r"\b(" + "|".join(sorted(tables, key=len, reverse=True)) + r")\b")
+    need: dict[str, None] = {}
+
+    def visit(text):
+        for n in names.findall(text):
+            if n not in need:
+                visit(tables[n])
+                need[n] = None
+
+    visit(final)
+    return "WITH " + ", ".join(f"{n} AS MATERIALIZED ({tables[n]})" for n in need) + " " + final if need else final
+
+
 # Questions and chunks -----------------------------------------------------------------------------------------------
-QUESTIONS = [(1, "what is the tion that with workflow", 1), (2, "summary of und der nicht", 2), (3, "rewh ered thing", 3)]
+QUESTIONS = [(1, "what is the tion that with workflow", 1), (2, "summary of und der nicht", 2), (3, "rewh ered thing proposed problem", 3)]
 SQL_Q = "SELECT * FROM (VALUES " + ", ".join(f"({q}::BIGINT, '{t}', {v})" for q, t, v in QUESTIONS) + ") t(qid, question, v)"
 SQL_QV = f"SELECT q.qid, q.question, e.embedding AS qvec FROM ({SQL_Q}) q JOIN embeddings e ON e.vec_id = q.v"
-SQL_C = "SELECT d.doc_id, d.source, d.text, e.embedding, e.label FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id"
+SQL_C = "SELECT d.doc_id, d.source, d.text, e.embedding, e.label FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id"
+SQL_CV = f"SELECT * FROM ({SQL_C}) WHERE embedding IS NOT NULL"
 _TERMS = {
     1: {"tion": 8, "that": 8} | T.WORKFLOW_TERMS,
     2: {"und": 8, "der": 8, "nicht": 8} | T.SUMMARY_TERMS,
-    3: {"rewh": 8, "ered": 8, "thing": 8},
+    3: {"rewh": 8, "ered": 8, "thing": 8, "proposed": 8, "problem": 8},
 }
 SQL_T = "SELECT * FROM (VALUES " + ", ".join(f"({q}::BIGINT, '{t}', {w}::DOUBLE, {str(w == 8).lower()})" for q, ts in _TERMS.items() for t, w in ts.items()) + ") t(qid, term, weight, anchor)"
 
@@ -49,8 +66,9 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document; those without a vector have a null embedding."""
     e = tab(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
-    return tab(spark, sf_dir, "documents").select("doc_id", "source", "text").join(e, "doc_id")
+    return tab(spark, sf_dir, "documents").select("doc_id", "source", "text").join(e, "doc_id", "left")
 
 
 _L2 = "round(list_sum(list_transform(list_zip(c.embedding, q.qvec), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))), 9)"
@@ -62,7 +80,7 @@ def _cos(a: str, b: str) -> str:
 
 
 def _vector(k: int) -> str:
-    return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, doc_id) AS vector_rank FROM (SELECT q.qid, c.doc_id, {_L2} AS distance FROM ({SQL_C}) c, ({SQL_QV}) q)) WHERE vector_rank <= {k}"
+    return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, doc_id) AS vector_rank FROM (SELECT q.qid, c.doc_id, {_L2} AS distance FROM ({SQL_CV}) c, ({SQL_QV}) q)) WHERE vector_rank <= {k}"
 
 
 def _keyword(k: int) -> str:
@@ -86,7 +104,7 @@ def vector_topk_l2(spark, sf_dir):
     return P.vector_search(chunks(spark, sf_dir), questions(spark, sf_dir), 10)
 
 
-@query(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, doc_id) AS rank FROM (SELECT q.qid, c.doc_id, round({_cos('c.embedding', 'q.qvec')}, 9) AS similarity FROM ({SQL_C}) c, ({SQL_QV}) q)) WHERE rank <= 10")
+@query(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, doc_id) AS rank FROM (SELECT q.qid, c.doc_id, round({_cos('c.embedding', 'q.qvec')}, 9) AS similarity FROM ({SQL_CV}) c, ({SQL_QV}) q)) WHERE rank <= 10")
 def vector_topk_cosine(spark, sf_dir):
     return P.cosine_search(chunks(spark, sf_dir), questions(spark, sf_dir), 10)
 
@@ -120,8 +138,8 @@ _REFS = "(1, 'plain text'), (2, 'References [1] Smith'), (3, 'A. 1999. B. 2001.
 def soft_reference_filter(spark, sf_dir):
     made = spark.sql(f"SELECT CAST(doc_id AS bigint) AS doc_id, text FROM VALUES {_REFS} AS t(doc_id, text)")
     d = made.unionByName(tab(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).alias("doc_id"), "text"))
-    d = d.select(F.lit(1).alias("qid"), "doc_id", T.reference_like(F.col("text")).alias("is_reference"))
-    return d.orderBy("is_reference", "doc_id").limit(20).withColumn("kept_rank", F.row_number().over(Window.partitionBy("qid").orderBy("is_reference", "doc_id")).cast("bigint")).drop("qid")
+    d = d.select(F.lit(1).alias("qid"), "doc_id", T.reference_like(F.col("text")).alias("is_reference"), F.col("doc_id").alias("rank"))
+    return R.soft_filter(d, ["qid"], "is_reference", 20).select("doc_id", "is_reference", "kept_rank")
 
 
 # Chunks -----------------------------------------------------------------------------------------------------------
@@ -145,12 +163,29 @@ def chunk_numbering(spark, sf_dir):
     return chunking.numbered(tab(spark, sf_dir, "documents").select("source", "doc_id"), ["source", "doc_id"]).select("source", "doc_id", "chunk_id")
 
 
+@query(f"SELECT source, doc_id, start_index, sha1(chunk) AS digest, row_number() OVER (ORDER BY source, doc_id, start_index) AS chunk_id FROM ({_WINDOWS})")
+def window_numbering(spark, sf_dir):
+    """Whole chunks, their text carried through the sort."""
+    w = chunking.fixed_windows(tab(spark, sf_dir, "documents"), ["source", "doc_id"])
+    return chunking.numbered(w, ["source", "doc_id", "start_index"]).select("source", "doc_id", "start_index", F.sha1("chunk").alias("digest"), "chunk_id")
+
+
 _PAGES = "('p', 1, 1, 'Abstract\nWe study bags'), ('p', 2, 1, 'more text'), ('p', 3, 2, '3.1 Method details\nstep one'), ('p', 4, 2, 'plain'), ('p', 5, 3, 'References\n[1] A. 2001. Proc. 2002, 2003'), ('q', 6, 1, 'no heading'), ('q', 7, 4, 'IV. Results and more\nx')"
 _NAMES = "[" + ", ".join(f"'{t}'" for t in sorted({t for ts in T.SECTION_TERMS.values() for t in ts})) + "]"
-_TITLED = f"""SELECT *, coalesce(list_filter(list_transform(string_split(text, chr(10))[1:20], lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'), ' .' || chr(9))),
+_SECTIONED = f"SELECT source, chunk_id::BIGINT AS chunk_id, page::INT AS page, text FROM (VALUES {_PAGES}) t(source, chunk_id, page, text) UNION ALL SELECT source, doc_id + 100, 2, text FROM documents"
+
+
+def _titled(rows: str) -> str:
+    return f"""SELECT *, coalesce(list_filter(list_transform(string_split(text, chr(10))[1:20], lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'), ' .' || chr(9))),
         lambda l: l <> '' AND length(l) <= 120 AND len(list_filter({_NAMES}, lambda n: regexp_replace(lower(l), '^(?:\\d+(?:\\.\\d+)*|[ivxlcdm]+)\\s*[\\).:-]?\\s+', '') = n OR starts_with(regexp_replace(lower(l), '^(?:\\d+(?:\\.\\d+)*|[ivxlcdm]+)\\s*[\\).:-]?\\s+', ''), n || ' '))) > 0)[1], '') AS own
-    FROM (SELECT source, chunk_id::BIGINT AS chunk_id, page::INT AS page, text FROM (VALUES {_PAGES}) t(source, chunk_id, page, text) UNION ALL SELECT source, doc_id + 100, 2, text FROM documents)"""
-_CARRIED = f"SELECT source, chunk_id, page, text, coalesce(last_value(nullif(own, '') IGNORE NULLS) OVER (PARTITION BY source ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS section_title FROM ({_TITLED})"
+    FROM ({rows})"""
+
+
+def _carried(rows: str) -> str:
+    return f"SELECT source, chunk_id, page, text, coalesce(last_value(nullif(own, '') IGNORE NULLS) OVER (PARTITION BY source ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS section_title FROM ({_titled(rows)})"
+
+
+_CARRIED = _carried(_SECTIONED)
 
 
 def _sections(spark, sf_dir):
@@ -166,7 +201,11 @@ def section_carry_forward(spark, sf_dir):
 _KIND = " ".join("WHEN " + " OR ".join(f"contains(t, '{n}')" for n in names) + f" THEN '{kind}'" for kind, names in T.SECTION_TERMS.items())
 
 
-@query(f"SELECT source, chunk_id, CASE {_KIND} WHEN page = 1 AND chunk_id <= 2 THEN 'abstract' ELSE 'body' END AS section_type FROM (SELECT *, lower(section_title || ' ' || substring(text, 1, 700)) AS t FROM ({_CARRIED}))")
+def _classified(carried: str) -> str:
+    return f"SELECT source, chunk_id, section_title, text, CASE {_KIND} WHEN page = 1 AND chunk_id <= 2 THEN 'abstract' ELSE 'body' END AS section_type FROM (SELECT *, lower(section_title || ' ' || substring(text, 1, 700)) AS t FROM ({carried}))"
+
+
+@query(f"SELECT source, chunk_id, section_type FROM ({_classified(_CARRIED)})")
 def section_classify(spark, sf_dir):
     return _sections(spark, sf_dir).select("source", "chunk_id", "section_type")
 
@@ -211,37 +250,7 @@ def turns_explode(spark, sf_dir):
 
 # Entities and relations ---------------------------------------------------------------------------------------------
 
-_EX = "SELECT doc_id::VARCHAR AS chunk_key, list_transform(list_sort(list_transform(list_distinct(w), lambda x: {'p': list_position(w, x), 'x': x})), lambda s: s.x) AS n FROM (SELECT doc_id, regexp_extract_all(text, '([A-Z][a-z]{5,})', 1) AS w FROM documents)"
-_ENT = f"SELECT chunk_key, i - 1 AS pos, n[i] AS name, CASE WHEN length(n[i]) % 2 = 0 THEN 'Problem' ELSE 'Concept' END AS type FROM (SELECT chunk_key, n, unnest(range(1, least(len(n), 14) + 1)) AS i FROM ({_EX}))"
-_REL = f"SELECT chunk_key, i - 1 AS pos, lower(n[i]) AS subject, CASE WHEN length(n[i + 1]) % 3 = 0 THEN 'proposes' ELSE 'mentions' END AS predicate, lower(n[i + 1]) AS object FROM (SELECT chunk_key, n, unnest(range(1, least(len(n) - 1, 20) + 1)) AS i FROM ({_EX}))"
-_MERGED = f"""SELECT lower(name) AS canonical_name, min(name) AS name, CASE WHEN bool_or(type = 'Problem') THEN 'Problem' ELSE 'Concept' END AS type, list_sort(list_distinct(list(type))) AS observed_types,
-    count(DISTINCT chunk_key) AS n_chunks, substring(sha1(lower(name)), 1, 16) AS entity_id FROM ({_ENT}) GROUP BY lower(name)"""
-
-
-def _records(spark, sf_dir):
-    """Ends of the first paragraphs aside, a \\b of Java and of RE2 part words alike only between ASCII letters; so texts are cut down to those."""
-    return kg.PatternExtractor().records(tab(spark, sf_dir, "documents"), "doc_id", "text")
-
-
-@query(f"SELECT canonical_name, name, type, observed_types, n_chunks, entity_id FROM ({_MERGED})")
-def kg_entities(spark, sf_dir):
-    return kg.merged_entities(kg.entities_of(_records(spark, sf_dir))).drop("description")
-
-
-@query(f"""SELECT s.entity_id AS subject_id, predicate, o.entity_id AS object_id, count(DISTINCT chunk_key) AS n_chunks, count(*) AS n,
-    substring(sha1(s.entity_id || '|' || predicate || '|' || o.entity_id), 1, 16) AS relation_id
-    FROM ({_REL}) r JOIN ({_MERGED}) s ON s.canonical_name = subject JOIN ({_MERGED}) o ON o.canonical_name = object WHERE s.entity_id <> o.entity_id GROUP BY ALL""")
-def kg_relations(spark, sf_dir):
-    r = _records(spark, sf_dir)
-    return kg.merged_relations(kg.relations_of(r), kg.merged_entities(kg.entities_of(r)))
-
-
-@query(f"SELECT DISTINCT substring(sha1(lower(name)), 1, 16) AS entity_id, chunk_key FROM ({_ENT})")
-def kg_links(spark, sf_dir):
-    return kg.links(kg.entities_of(_records(spark, sf_dir)))
-
-
-@query("SELECT c_custkey, lower(trim(regexp_replace(regexp_replace(c_name || ' (AB-' || c_mktsegment[1:3] || ')', '\\s*\\([A-Za-z][A-Za-z0-9-]{1,20}\\)$', ''), '[\\s_-]+', ' ', 'g'))) AS canonical_name FROM customer")
+@query("SELECT c_custkey, lower(trim(regexp_replace(regexp_replace(c_name || ' (AB-' || c_mktsegment[1:3] || ')', '\\s*\\([A-Za-z0-9][A-Za-z0-9_-]{1,20}\\)\\s*$', ''), '[\\s_-]+', ' ', 'g'))) AS canonical_name FROM customer")
 def canonical_names(spark, sf_dir):
     c = tab(spark, sf_dir, "customer")
     return c.select("c_custkey", T.canonical_name(F.concat("c_name", F.lit(" (AB-"), F.substring("c_mktsegment", 1, 3), F.lit(")"))).alias("canonical_name"))
@@ -311,10 +320,11 @@ def intra_links_topm(spark, sf_dir):
 _NODES = f"SELECT DISTINCT src AS node FROM ({_BOTH})"
 
 
-def _lpa(rounds: int) -> str:
-    ctes = [f"b AS MATERIALIZED ({_BOTH})", f"l0 AS (SELECT node, node AS label FROM ({_NODES}))"]
+def _lpa(rounds: int, both: str = _BOTH, nodes: str = _NODES) -> str:
+    ctes = [f"b AS MATERIALIZED ({both})", f"l0 AS (SELECT node, node AS label FROM ({nodes}))"]
     for i in range(rounds):
-        ctes.append(f"l{i + 1} AS MATERIALIZED (SELECT node, label FROM (SELECT b.src AS node, l.label, round(sum(b.weight), 6) AS w FROM b JOIN l{i} l ON l.node = b.dst GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY node ORDER BY w DESC, label) = 1)")
+        best = f"SELECT node, label FROM (SELECT b.src AS node, l.label, round(sum(b.weight), 6) AS w FROM b JOIN l{i} l ON l.node = b.dst GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY node ORDER BY w DESC, label) = 1"
+        ctes.append(f"l{i + 1} AS MATERIALIZED (SELECT o.node, coalesce(n.label, o.label) AS label FROM l{i} o LEFT JOIN ({best}) n USING (node))")
     return "WITH " + ", ".join(ctes) + f" SELECT node, label FROM l{rounds}"
 
 
@@ -353,7 +363,7 @@ def community_key_entities(spark, sf_dir):
 
 @query("SELECT e.label, d.source, count(*) AS n, row_number() OVER (PARTITION BY e.label ORDER BY count(*) DESC, d.source) AS rank FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id GROUP BY 1, 2 QUALIFY rank <= 30")
 def community_source_chunks(spark, sf_dir):
-    n = chunks(spark, sf_dir).groupBy("label", "source").agg(F.count(F.lit(1)).alias("n"))
+    n = chunks(spark, sf_dir).filter("label IS NOT NULL").groupBy("label", "source").agg(F.count(F.lit(1)).alias("n"))
     return R.ranked(n, ["label"], [F.desc("n"), F.col("source")], 30)
 
 
@@ -368,108 +378,6 @@ def community_order(spark, sf_dir):
     return graph.communities(tab(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"), F.col("label").cast("bigint").alias("label")))
 
 
-# Graph and community retrieval ------------------------------------------------------------------------------------------
-_LINK = "SELECT vec_id AS doc_id, label::BIGINT * 4 + vec_id % 4 AS entity_id FROM embeddings"
-
-
-def _links(spark, sf_dir):
-    return tab(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), (F.col("label").cast("bigint") * 4 + F.col("vec_id") % 4).alias("entity_id"))
-
-
-def _expansion(k: int, hits: str) -> str:
-    return f"SELECT h.qid, b.doc_id, round(sum(2.5 / sqrt(h.rank)), 9) AS score FROM ({hits}) h JOIN ({_LINK}) a ON a.doc_id = h.doc_id JOIN ({_LINK}) b ON b.entity_id = a.entity_id AND b.doc_id <> a.doc_id WHERE h.rank <= {max(k, 8)} GROUP BY 1, 2"
-
-
-@query(_expansion(5, _hybrid(10)))
-def graph_seed_expansion(spark, sf_dir):
-    return P.seed_expansion(P.hybrid_search(chunks(spark, sf_dir), questions(spark, sf_dir), 10), _links(spark, sf_dir), 5)
-
-
-_E2 = "SELECT entity_id, ['tion', 'that', 'nicht', 'ered', 'thing'][entity_id % 5 + 1] AS canonical_name, ['Method', 'Dataset'][entity_id % 2 + 1] AS type, 'rewh workflow und ' || entity_id AS description FROM (SELECT DISTINCT entity_id FROM (" + _LINK + "))"
-_QT = "SELECT * FROM (VALUES (1::BIGINT, ['tion', 'that', 'workflow']), (2, ['und', 'der', 'nicht']), (3, ['rewh', 'ered', 'thing'])) t(qid, terms)"
-_EM = f"""SELECT qid, entity_id, round(CASE WHEN length(canonical_name) >= 3 AND contains(lower(question), canonical_name) THEN 10 + least(length(canonical_name), 80) / 20 ELSE 0 END
-    + list_sum(list_transform(terms, lambda t: CASE WHEN contains(lower(canonical_name || ' ' || type || ' ' || description), t) THEN CASE WHEN length(t) >= 6 THEN 1.5 ELSE 1.0 END ELSE 0 END))::DOUBLE, 9) AS score
-    FROM ({_E2}) e, ({SQL_Q}) q JOIN ({_QT}) t USING (qid)"""
-
-
-def _entities(spark, sf_dir):
-    e = _links(spark, sf_dir).select("entity_id").distinct()
-    pick = lambda xs, m: F.element_at(F.array(*map(F.lit, xs)), (F.col("entity_id") % m + 1).cast("int"))
-    return e.select("entity_id", pick(["tion", "that", "nicht", "ered", "thing"], 5).alias("canonical_name"), pick(["Method", "Dataset"], 2).alias("type"), F.concat(F.lit("rewh workflow und "), F.col("entity_id")).alias("description"))
-
-
-@query(f"SELECT * FROM ({_EM}) WHERE score > 0")
-def entity_match_scores(spark, sf_dir):
-    return P.entity_matches(questions(spark, sf_dir), _entities(spark, sf_dir))
-
-
-_BASE = _hybrid(80)
-_GS = f"SELECT qid, doc_id, round(sum(score), 9) AS score FROM (SELECT m.qid, l.doc_id, sum(m.score) AS score FROM ({_EM}) m JOIN ({_LINK}) l USING (entity_id) WHERE m.score > 0 GROUP BY 1, 2 UNION ALL SELECT * FROM ({_expansion(10, _BASE)})) GROUP BY 1, 2"
-
-
-@query(f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, graph_rank NULLS LAST, base_rank NULLS LAST, doc_id) AS rank FROM (
-    SELECT qid, doc_id, graph_rank, base_rank, round(coalesce(2.7::DOUBLE / (60 + graph_rank), 0) + coalesce(1.0::DOUBLE / (60 + base_rank), 0), 9) AS score FROM
-    (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS graph_rank FROM ({_GS})) g SEMI JOIN ({SQL_C}) c USING (doc_id)
-    FULL JOIN (SELECT qid, doc_id, rank AS base_rank FROM ({_BASE})) b USING (qid, doc_id))) WHERE rank <= 10""")
-def graph_rrf(spark, sf_dir):
-    return P.graph_search(chunks(spark, sf_dir), questions(spark, sf_dir), _entities(spark, sf_dir), _links(spark, sf_dir), 10)
-
-
-_FOUND = "SELECT q::BIGINT AS qid, c::BIGINT AS community, row_number() OVER (PARTITION BY q ORDER BY (c * 7 + q) % 10, c) AS c_rank FROM range(1, 4) a(q), range(0, 10) b(c) QUALIFY c_rank <= 5"
-_REFS2 = "SELECT label::BIGINT AS community, vec_id AS doc_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS ref_rank FROM embeddings QUALIFY ref_rank <= 30"
-
-
-@query(f"""SELECT qid, doc_id, round(sum(1.0 / (60 + c_rank) / (1 + 0.04 * greatest(ref_rank - 1, 0))), 9) AS score, min(c_rank) AS community_rank, arg_min(community, c_rank) AS community FROM ({_FOUND}) f JOIN ({_REFS2}) r USING (community) GROUP BY 1, 2""")
-def community_fusion(spark, sf_dir):
-    found = spark.range(1, 4).select(F.col("id").alias("qid"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(9).cast("bigint"))).alias("community"))
-    found = R.ranked(found, ["qid"], [(F.col("community") * 7 + F.col("qid")) % 10, F.col("community")], 5, "c_rank")
-    refs = R.ranked(tab(spark, sf_dir, "embeddings").select(F.col("label").cast("bigint").alias("community"), F.col("vec_id").alias("doc_id")), ["community"], [F.col("doc_id")], 30, "ref_rank")
-    return P.community_scores(found, refs)
-
-
-# Papers -----------------------------------------------------------------------------------------------------------
-def _votes(k: int) -> str:
-    return f"""SELECT qid, source, score, signals, row_number() OVER (PARTITION BY qid ORDER BY score DESC, lower(source), source) AS rank FROM (
-    SELECT qid, source, round(sum(w / (60 + r)), 9) AS score, string_agg(signal || ':' || r, ',' ORDER BY signal || ':' || r) AS signals FROM (
-      SELECT qid, 'hybrid' AS signal, 1.0::DOUBLE AS w, source, min(rank) AS r FROM ({_hybrid(60)}) JOIN (SELECT doc_id, source FROM documents) USING (doc_id) GROUP BY ALL
-      UNION ALL SELECT qid, 'graph', 1.0::DOUBLE, source, min(vector_rank) FROM ({_vector(60)}) JOIN (SELECT doc_id, source FROM documents) USING (doc_id) GROUP BY ALL) GROUP BY 1, 2) QUALIFY rank <= {k}"""
-
-
-def _papers(spark, sf_dir, k):
-    c, q = chunks(spark, sf_dir), questions(spark, sf_dir)
-    src = c.select("doc_id", "source")
-    h = P.hybrid_search(c, q, 60).select("qid", "doc_id", "rank", F.lit("hybrid").alias("signal"))
-    v = P.vector_search(c, q, 60).select("qid", "doc_id", F.col("vector_rank").alias("rank"), F.lit("graph").alias("signal"))
-    return P.paper_votes(h.unionByName(v).join(src, "doc_id"), k)
-
-
-@query(_votes(8))
-def paper_votes(spark, sf_dir):
-    return _papers(spark, sf_dir, 8)
-
-
-_INP = f"SELECT qid, source, doc_id, score, paper_score, paper_rank, row_number() OVER (PARTITION BY qid, source ORDER BY score DESC, doc_id) AS in_paper_rank FROM (SELECT qid, doc_id, keyword_score AS score, source FROM ({_keyword(10**9)}) JOIN (SELECT doc_id, source FROM documents) USING (doc_id)) JOIN (SELECT qid, source, score AS paper_score, rank AS paper_rank FROM ({_votes(4)})) USING (qid, source) QUALIFY in_paper_rank <= 5"
-
-
-def _in_paper(spark, sf_dir):
-    c, q = chunks(spark, sf_dir), questions(spark, sf_dir)
-    scored = P.keyword_search(c, q, 10**9).select("qid", "doc_id", F.col("keyword_score").alias("score")).join(c.select("doc_id", "source"), "doc_id")
-    return P.in_paper(scored, _papers(spark, sf_dir, 4), 5)
-
-
-@query(_INP)
-def in_paper_topk(spark, sf_dir):
-    return _in_paper(spark, sf_dir).select("qid", "source", "doc_id", "score", "paper_score", "paper_rank", "in_paper_rank")
-
-
-@query(f"""SELECT qid, doc_id, final, row_number() OVER (PARTITION BY qid ORDER BY final DESC, in_paper_rank DESC, doc_id) AS rank FROM (
-    SELECT qid, doc_id, in_paper_rank, round(0.5::DOUBLE * score / max(score) OVER (PARTITION BY qid) + 0.25::DOUBLE * (score % 1) + 0.15::DOUBLE * paper_score / max(paper_score) OVER (PARTITION BY qid)
-        + 0.05::DOUBLE * (doc_id % 2) - 0.1::DOUBLE * (doc_id % 3 = 0)::INT, 9) AS final FROM ({_INP})) QUALIFY rank <= 10""")
-def gated_rerank(spark, sf_dir):
-    c = _in_paper(spark, sf_dir).select("qid", "doc_id", F.col("score").alias("relevance"), (F.col("score") % 1).alias("keyword"), "paper_score", (F.col("doc_id") % 2).alias("section"), (F.col("doc_id") % 3 == 0).alias("is_reference"), F.col("in_paper_rank").alias("rank"))
-    return P.gated_rerank(c, 10).select("qid", "doc_id", "final", "rank")
-
-
 @query("""SELECT source, count(*) AS n_docs, list_sort(list_distinct(list(lang))) AS langs FROM documents GROUP BY source""")
 def paper_summaries(spark, sf_dir):
     return tab(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.array_sort(F.collect_set("lang")).alias("langs"))
@@ -516,39 +424,12 @@ def beam_search(spark, sf_dir):
     return _beam(spark, sf_dir)
 
 
-_CAND = f"SELECT h.qid, h.doc_id, b.node_id, b.level AS node_level, b.local AS node_score, h.similarity, (h.doc_id % 10) / 10.0::DOUBLE AS keyword FROM (SELECT q.qid, c.doc_id, round({_cos('c.embedding', 'q.qvec')}, 9) AS similarity, c.label FROM ({SQL_C}) c, ({SQL_QV}) q) h JOIN ({_BEAM}) b ON b.qid = h.qid AND (b.level = 1 AND b.node_id = h.label OR b.level = 0 AND b.node_id = h.doc_id)"
-_UNIT = "least(greatest(({} + 1) / 2, 0), 1)"
-
-
-@query(f"""SELECT qid, doc_id, node_id, node_score, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM (
-    SELECT *, round(0.65::DOUBLE * {_UNIT.format('similarity')} + 0.25::DOUBLE * {_UNIT.format('node_score')} + 0.10::DOUBLE * keyword, 6) AS score FROM ({_CAND})
-    QUALIFY row_number() OVER (PARTITION BY qid, doc_id ORDER BY node_score DESC, node_level DESC, node_id) = 1) QUALIFY rank <= 10""")
-def archrag_rerank(spark, sf_dir):
-    """Hierarchical evidence over the chunks below its nodes."""
-    c, q = chunks(spark, sf_dir), questions(spark, sf_dir)
-    sims = P.past_questions(c.select("doc_id", "embedding", "label"), q.select("qid", "qvec")).select("qid", "doc_id", F.col("label").cast("bigint").alias("label"), F.round(V.cosine(F.col("embedding"), F.col("qvec")), 9).alias("similarity"))
-    b = _beam(spark, sf_dir).select("qid", "node_id", F.col("level").alias("node_level"), F.col("local").alias("node_score"))
-    up = sims.join(b.filter("node_level = 1").withColumn("label", F.col("node_id")), ["qid", "label"])
-    at = sims.join(b.filter("node_level = 0").withColumn("doc_id", F.col("node_id")), ["qid", "doc_id"])
-    cands = up.unionByName(at).withColumn("keyword", F.col("doc_id") % 10 / 10.0)
-    return P.hierarchy_rerank(cands, P.POLICY[None][1:], 10).select("qid", "doc_id", "node_id", "node_score", "score", "rank")
-
-
 @query("SELECT node_level::BIGINT AS level, count(*) AS n FROM (SELECT 0 AS node_level FROM embeddings UNION ALL SELECT 1 FROM (SELECT DISTINCT label FROM embeddings)) GROUP BY 1")
 def layer_counts(spark, sf_dir):
     e = tab(spark, sf_dir, "embeddings")
     return e.select(F.lit(0).cast("bigint").alias("level")).unionByName(e.select("label").distinct().select(F.lit(1).cast("bigint").alias("level"))).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
 
 
-_QROWS = [(1, "n1", "p1"), (2, "n1", "p1"), (3, "n2", "p1"), (4, "n1", "p2"), (5, "n2", "p1"), (6, "n2", "p2")]
-
-
-@query("SELECT * FROM (VALUES (1::BIGINT, 1::BIGINT, 1::BIGINT, 'n1', 'p1'), (1, 2, 2, 'n1', 'p1'), (1, 3, 6, 'n2', 'p2'), (1, 4, 3, 'n2', 'p1')) t(qid, rank, pos, node, paper)")
-def quota_select(spark, sf_dir):
-    """Row 4 falls to its node, row 3 to its paper; row 6 fits both."""
-    return R.quota_select(spark.createDataFrame([(1, *r) for r in _QROWS], "qid bigint, pos bigint, node string, paper string"), "qid", 4, 2, 2)
-
-
 # Questions and answers ----------------------------------------------------------------------------------------------
 _ASK = "('which paper uses bags'), ('summarize the method'), ('compare both'), ('what is it'), ('总结这些论文'), ('哪篇论文')"
 
@@ -569,43 +450,3 @@ def answer_cleanup(spark, sf_dir):
 @query("SELECT page_id, lower(regexp_replace(regexp_replace(url, '^.*[/\\\\]', ''), '(.)\\.[^.]+$', '\\1')) AS stem FROM pages")
 def path_stems(spark, sf_dir):
     return tab(spark, sf_dir, "pages").select("page_id", T.path_stem(F.col("url")).alias("stem"))
-
-
-# Evaluation -------------------------------------------------------------------------------------------------------
-_GOLD = "SELECT b.item_id AS qid, d.doc_id AS item FROM benchmark b JOIN documents d ON contains(d.text, b.text)"
-_RES = f"SELECT qid, doc_id AS item, row_number() OVER (PARTITION BY qid ORDER BY hits DESC, doc_id) AS rank FROM (SELECT b.item_id AS qid, d.doc_id, list_sum(list_transform(string_split(b.text, ' ')[1:6], lambda w: contains(d.text, w)::INT))::BIGINT AS hits FROM benchmark b, documents d) QUALIFY rank <= 10"
-
-
-def _gold(spark, sf_dir):
-    b = tab(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
-    return P.past_questions(tab(spark, sf_dir, "documents").select("doc_id", "text"), b).filter(F.contains("text", F.col("passage"))).select("qid", F.col("doc_id").alias("item"))
-
-
-def _run(spark, sf_dir):
-    b = tab(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.slice(F.split("text", " "), 1, 6).alias("words"))
-    hits = F.aggregate("words", F.lit(0).cast("bigint"), lambda a, w: a + F.contains(F.col("text"), w).cast("bigint"))
-    s = P.past_questions(tab(spark, sf_dir, "documents").select("doc_id", "text"), b).select("qid", F.col("doc_id").alias("item"), hits.alias("hits"))
-    return R.ranked(s, ["qid"], [F.desc("hits"), F.col("item")], 10)
-
-
-@query(f"SELECT qid, item, rank FROM ({_RES}) JOIN ({_GOLD}) USING (qid, item)")
-def eval_evidence_match(spark, sf_dir):
-    return _run(spark, sf_dir).select("qid", "item", "rank").join(_gold(spark, sf_dir), ["qid", "item"])
-
-
-_MET = f"""SELECT b.item_id AS qid, found > 0 AS hit, found = n AS all_hit, round(found / n, 9) AS recall, CASE WHEN n IS NOT NULL THEN round(coalesce(1 / first_rank, 0), 9) END AS mrr FROM benchmark b
-    LEFT JOIN (SELECT qid, count(*) AS n, count(r) AS found, min(r) AS first_rank FROM (SELECT g.qid, g.item, r.rank AS r FROM (SELECT DISTINCT * FROM ({_GOLD})) g LEFT JOIN ({_RES}) r USING (qid, item)) GROUP BY qid) m ON m.qid = b.item_id"""
-
-
-def _metrics(spark, sf_dir):
-    return metrics.question_metrics(tab(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid")), _run(spark, sf_dir), _gold(spark, sf_dir))
-
-
-@query(_MET)
-def eval_metrics(spark, sf_dir):
-    return _metrics(spark, sf_dir)
-
-
-@query(f"SELECT count(*) AS n_questions, count(hit) AS n_with_gold, round(coalesce(avg(hit::INT), 0), 6) AS hit_rate, round(coalesce(avg(all_hit::INT), 0), 6) AS all_hit_rate, round(coalesce(avg(recall), 0), 6) AS avg_recall, round(coalesce(avg(mrr), 0), 6) AS mrr FROM ({_MET})")
-def eval_summary(spark, sf_dir):
-    return metrics.run_summary(_metrics(spark, sf_dir))

@@ -23,6 +23,53 @@ SECTION_TERMS = {
 }
 PAPER_LEVEL_CUES = ["哪篇论文", "哪些论文", "相关论文", "提出了某方法", "which paper", "which papers", "related papers"]
 ABSTRACT_CUES = ["总结", "对比", "共同问题", "研究脉络", "有哪些方向", "这些论文", "summarize", "compare", "common problem", "research trend"]
+ENTITY_INTENTS = {
+    "contribution": (4.5, ["contribution", "novelty", "贡献", "创新", "提出"]),
+    "finding": (4.5, ["finding", "conclusion", "ablation", "发现", "结论", "实验结论"]),
+    "futurework": (4.0, ["future", "future work", "未来", "展望", "后续"]),
+    "problem": (4.0, ["problem", "challenge", "scenario", "setting", "问题", "挑战", "场景"]),
+    "scenario": (4.0, ["problem", "challenge", "scenario", "setting", "问题", "挑战", "场景"]),
+    "module": (3.0, ["component", "module", "architecture", "组件", "模块", "结构", "架构"]),
+    "limitation": (4.0, ["limitation", "weakness", "局限", "缺点", "不足"]),
+    "dataset": (3.0, ["dataset", "data", "数据集", "数据"]),
+    "method": (2.0, ["method", "model", "framework", "方法", "模型", "框架"]),
+    "model": (2.0, ["method", "model", "framework", "方法", "模型", "框架"]),
+    "metric": (3.0, ["metric", "result", "指标", "结果"]),
+}
+PREDICATE_INTENTS = {
+    "proposes": ["propose", "proposed", "introduce", "introduced", "contribution", "novel", "提出", "介绍", "贡献", "创新"],
+    "uses": ["use", "uses", "employ", "employs", "framework", "method", "使用", "采用", "方法", "框架"],
+    "has_component": ["component", "module", "architecture", "layer", "block", "组件", "模块", "结构", "架构"],
+    "evaluated_on": ["evaluate", "evaluated", "experiment", "dataset", "benchmark", "实验", "评测", "数据集"],
+    "evaluated_by": ["metric", "accuracy", "auc", "f1", "measure", "指标", "评价", "衡量"],
+    "reports_result": ["result", "performance", "achieve", "outperform", "结果", "性能", "达到"],
+    "has_finding": ["finding", "conclusion", "ablation", "observation", "结论", "发现", "实验结论", "消融"],
+    "solves": ["solve", "solves", "address", "challenge", "problem", "解决", "问题", "挑战"],
+    "addresses_scenario": ["scenario", "setting", "application", "domain", "场景", "应用", "领域"],
+    "improves_on": ["improve", "improves", "better", "outperform", "改进", "提升", "优于"],
+    "improves": ["improve", "improves", "better", "改进", "提升"],
+    "compares_with": ["compare", "comparison", "baseline", "versus", "对比", "比较", "基线"],
+    "has_limitation": ["limitation", "weakness", "drawback", "failure", "局限", "缺点", "不足"],
+    "has_future_work": ["future", "future work", "extension", "未来", "展望", "后续"],
+    "similar_to": ["similar", "related", "相似", "相关"],
+    "defines": ["define", "definition", "定义"],
+    "has_property": ["property", "invariant", "characteristic", "性质", "特性"],
+    "formulates_as": ["formulate", "formulation", "objective", "建模", "表述", "目标函数"],
+    "outputs": ["output", "predict", "score", "输出", "预测", "得分"],
+    "supports": ["support", "evidence", "支持", "证明"],
+    "extends": ["extend", "extends", "扩展"],
+    "mentions": ["mention", "mentions", "提到"],
+    "reports_metric": ["metric", "result", "accuracy", "auc", "指标", "结果", "性能"],
+    "addresses_problem": ["problem", "challenge", "motivation", "解决", "问题", "挑战", "动机"],
+}
+STRONG_PREDICATES = ["proposes", "evaluated_on", "evaluated_by", "reports_result", "has_finding", "solves", "has_limitation", "has_future_work", "reports_metric"]
+PROCEDURAL_CUES, PROCEDURAL_PATTERN = ["如何", "步骤", "流程", "过程"], r"\b(how to|steps?|procedure|pipeline|workflow|algorithm)\b"
+SURVEY_CUES, SURVEY_PATTERN = ["综述", "全局", "整体", "趋势"], r"\b(overview|survey|landscape|trend|broadly|overall)\b"
+MULTI_HOP_CUES, MULTI_HOP_PATTERN = ["以及", "并且", "为什么", "区别", "关系", "对比"], r"\b(and|versus|vs\.?|compare|why|relationship|difference)\b"
+QUERY_KINDS = {"fact": "fact", "factual": "fact", "multi-hop": "multi-hop", "multihop": "multi-hop", "abstract": "abstract", "global": "abstract", "procedural": "procedural", "procedure": "procedural", "method": "procedural"}
+ABSTRACT_KEYWORDS = ["global context", "research landscape", "related methods"]
+PROCEDURAL_KEYWORDS = ["steps", "method", "input", "output"]
+MODES = {"hybrid": "hybrid", "chunk": "hybrid", "chunks": "hybrid", "graph": "graph", "kg": "graph", "graph-assisted": "graph", "community": "archrag-lite", "communities": "archrag-lite", "archrag": "archrag", "archrag-lite": "archrag-lite", "archrag-gated": "archrag-gated", "community-gated": "archrag-gated"}
 ANCHOR_WEIGHT = 8.0
 # -------------------------------------------------------------------------------------------------------------------
 
@@ -81,8 +128,8 @@ def keyword_score(text: str, terms: str) -> Column:
     """Sum over terms of w * (1 + ln(1 + tf)), tf at most 3 but 1 for an anchor; half or all of w more for an early first place.
     text and terms are column names."""
     return F.expr(
-        "aggregate({t}, 0D, (acc, t) -> acc + if(instr({x}, t.term) = 0, 0D, t.weight * (1 + ln(1 + if(t.anchor, 1, least(3, (length({x}) - length(replace({x}, t.term))) / length(t.term)))))"
-        " + if(instr({x}, t.term) - 1 < 120, t.weight, if(instr({x}, t.term) - 1 < 500, 0.5D * t.weight, 0D))))".format(t=terms, x=text)
+        "aggregate(transform({t}, t -> struct(t.term, t.weight, t.anchor, instr({x}, t.term) - 1 AS p)), 0D, (acc, t) -> acc + if(t.p < 0, 0D, t.weight * (1 + ln(1 + if(t.anchor, 1, least(3, (length({x}) - length(replace({x}, t.term))) / length(t.term)))))"
+        " + if(t.p < 120, t.weight, if(t.p < 500, 0.5D * t.weight, 0D))))".format(t=terms, x=text)
     )
 
 
@@ -116,7 +163,7 @@ def section_type(title: Column, text: Column, page: Column, chunk_id: Column) ->
 
 def canonical_name(name: Column) -> Column:
     """Lower case, one space between words, a trailing (ACRONYM) dropped."""
-    bare = F.regexp_replace(collapse(name), r"\s*\([A-Za-z][A-Za-z0-9-]{1,20}\)$", "")
+    bare = F.regexp_replace(collapse(name), r"\s*\([A-Za-z0-9][A-Za-z0-9_-]{1,20}\)\s*$", "")
     return F.lower(F.btrim(F.regexp_replace(bare, r"[\s_-]+", " ")))
 
 
@@ -166,3 +213,157 @@ def keyword_relevance(terms: Column, text: Column) -> Column:
     low = F.lower(text)
     hits = F.aggregate(terms, F.lit(0.0), lambda a, t: a + F.when(F.contains(text, t), 1.0).when(F.contains(low, F.lower(t)), 0.5).otherwise(0.0))
     return F.when(F.size(terms) > 0, hits / F.size(terms)).otherwise(0.0)
+
+
+# Graph intents -------------------------------------------------------------------------------------------------------
+
+
+def entity_type_intent(kind: Column, query: Column) -> Column:
+    """The bonus of an entity's type where the lower-cased query shows its intent, else 0."""
+    out = F.lit(0.0)
+    for name, (score, cues) in ENTITY_INTENTS.items():
+        out = F.when((F.lower(kind) == name) & any_of(query, cues), F.lit(score)).otherwise(out)
+    return out
+
+
+def predicate_intent(predicate: Column, query: Column) -> Column:
+    """4 for a strong predicate whose intent the lower-cased query shows, 2 for another, else 0."""
+    cues = F.create_map(*[x for name, words in PREDICATE_INTENTS.items() for x in (F.lit(name), F.array(*map(F.lit, words)))])
+    shown = F.exists(F.coalesce(F.try_element_at(cues, predicate), F.array().cast("array<string>")), lambda c: F.contains(query, c))
+    return F.when(shown, F.when(predicate.isin(STRONG_PREDICATES), 4.0).otherwise(2.0)).otherwise(0.0)
+
+
+# Gated retrieval ------------------------------------------------------------------------------------------------------
+
+
+def distinct(values: Column) -> Column:
+    """Values that are not empty, the first of those that differ in case only."""
+    full = F.filter(F.transform(values, lambda x: F.btrim(x)), lambda x: x != "")
+    low = F.transform(full, lambda x: F.lower(x))
+    return F.filter(full, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+
+
+def gated_terms(query: Column) -> Column:
+    """Latin words of three letters or more and runs of Chinese, of the lower-cased query."""
+    q = F.lower(collapse(query))
+    latin = F.filter(F.transform(F.regexp_extract_all(q, F.lit("([a-z][a-z0-9_-]+)")), lambda w: F.btrim(w, F.lit("-_"))), lambda w: F.length(w) >= 3)
+    return F.array_distinct(F.array_union(latin, F.regexp_extract_all(q, F.lit("([\u4e00-\u9fff]{2,})"))))
+
+
+def keyword_overlap(terms: Column, searchable: Column) -> Column:
+    """weighted_overlap by the number of terms, 1 at most."""
+    return F.when(F.size(terms) > 0, F.least(F.lit(1.0), weighted_overlap(terms, searchable) / F.size(terms))).otherwise(0.0)
+
+
+def section_match(terms: Column, title: Column, kind: Column) -> Column:
+    """1 if a term stands in the section's title or type."""
+    t = F.lower(F.concat_ws(" ", title, kind))
+    return F.when(F.exists(terms, lambda x: F.contains(t, x)), 1.0).otherwise(0.0)
+
+
+# Query planning -------------------------------------------------------------------------------------------------------
+
+
+def rerank_terms(query: Column) -> Column:
+    """Latin tokens, case kept, or else Chinese bigrams; each once."""
+    q = collapse(query)
+    latin = F.regexp_extract_all(q, F.lit(r"([A-Za-z0-9][A-Za-z0-9_+\-]+)"))
+    runs = F.regexp_extract_all(q, F.lit("([\u4e00-\u9fff]{2,})"))
+    bigrams = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
+    return F.array_distinct(F.when(F.size(latin) > 0, latin).otherwise(bigrams))
+
+
+def query_kind(query: Column) -> Column:
+    """procedural, abstract, multi-hop or fact."""
+    low = F.lower(query)
+    return (
+        F.when(low.rlike(PROCEDURAL_PATTERN) | any_of(query, PROCEDURAL_CUES), "procedural")
+        .when(low.rlike(SURVEY_PATTERN) | any_of(query, SURVEY_CUES), "abstract")
+        .when(low.rlike(MULTI_HOP_PATTERN) | any_of(query, MULTI_HOP_CUES), "multi-hop")
+        .otherwise("fact")
+    )
+
+
+def normalized_kind(kind: Column) -> Column:
+    """One of the four kinds, fact for what is none."""
+    table = F.create_map(*[F.lit(x) for kv in QUERY_KINDS.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, F.replace(F.lower(F.btrim(kind)), F.lit("_"), F.lit("-"))), F.lit("fact"))
+
+
+def query_entities(query: Column) -> Column:
+    """What stands in quotes, and runs of capitalised words; eight at most."""
+    quoted = F.regexp_extract_all(query, F.lit('["“](.+?)["”]'))
+    named = F.regexp_extract_all(query, F.lit(r"(?<![\p{L}\p{N}_])([A-Z][A-Za-z0-9+_.-]*(?:\s+[A-Z][A-Za-z0-9+_.-]*)*)(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])"))
+    return F.slice(distinct(F.concat(quoted, named)), 1, 8)
+
+
+def query_keywords(query: Column) -> Column:
+    """Latin tokens of three characters or more, then runs of Chinese; twelve at most."""
+    return F.slice(distinct(F.concat(F.regexp_extract_all(query, F.lit(r"([A-Za-z0-9][A-Za-z0-9_+\-]{2,})")), F.regexp_extract_all(query, F.lit("([\u4e00-\u9fff]{2,})")))), 1, 12)
+
+
+def rewritten(query: Column, parsed: Column | None = None) -> Column:
+    """struct<original_query, standalone_query, entities, keywords, sub_questions, query_type>. parsed: the same fields (without the first) from a
+    model; what is null or empty there is filled by rule."""
+    own = F.btrim(query)
+    get = (lambda f, kind: parsed[f]) if parsed is not None else (lambda f, kind: F.lit(None).cast(kind))
+    texts = "array<string>"
+    standalone = F.coalesce(F.nullif(F.btrim(get("standalone_query", "string")), F.lit("")), own)
+    kind = normalized_kind(F.coalesce(get("query_type", "string"), query_kind(standalone)))
+    listed = lambda f: distinct(F.coalesce(get(f, texts), F.array().cast(texts)))
+    or_else = lambda xs, rule: F.when(F.size(xs) > 0, xs).otherwise(rule)
+    entities, words, subs = or_else(listed("entities"), query_entities(own)), or_else(listed("keywords"), query_keywords(own)), listed("sub_questions")
+    lits = lambda xs: F.array(*map(F.lit, xs))
+    words = F.when(kind == "abstract", distinct(F.concat(words, lits(ABSTRACT_KEYWORDS)))).when(kind == "procedural", distinct(F.concat(words, lits(PROCEDURAL_KEYWORDS)))).otherwise(words)
+    made = F.array(F.concat(F.lit("What are the key entities and claims in: "), own), F.concat(F.lit("How are those entities or claims connected in: "), own))
+    subs = F.when(kind == "multi-hop", F.when(F.size(subs) >= 2, subs).otherwise(distinct(F.concat(subs, made)))).otherwise(or_else(subs, F.array(own)))
+    return F.struct(own.alias("original_query"), standalone.alias("standalone_query"), entities.alias("entities"), words.alias("keywords"), F.slice(subs, 1, 4).alias("sub_questions"), kind.alias("query_type"))
+
+
+def retrieval_query(r: Column) -> Column:
+    """The rewritten question as one text to search by."""
+    part = lambda head, xs, sep: F.when(F.size(xs) > 0, F.concat(F.lit(head), F.array_join(xs, sep)))
+    return F.concat_ws("\n", r["standalone_query"], part("Entities: ", r["entities"], "; "), part("Keywords: ", r["keywords"], "; "), part("Sub-questions: ", r["sub_questions"], " | "))
+
+
+def retrieval_mode(mode: str) -> str:
+    """One of hybrid, graph, archrag-lite, archrag-gated, archrag, for any of its spellings."""
+    m = mode.strip().lower().replace("_", "-")
+    if m not in MODES:
+        raise ValueError(f"retrieval mode must be one of {sorted(set(MODES))}, not {mode!r}")
+    return MODES[m]
+
+
+# Model output ---------------------------------------------------------------------------------------------------------
+
+
+def json_object(text: Column) -> Column:
+    """The outermost {...} of a model's answer, fences aside; null without one."""
+    bare = F.regexp_replace(F.regexp_replace(F.btrim(text), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")
+    return F.nullif(F.regexp_extract(bare, r"(?s)(\{.*\})", 1), F.lit(""))
+
+
+def clamped(score: Column, low: float = 0.0, high: float = 100.0) -> Column:
+    return F.least(F.greatest(F.coalesce(score.try_cast("double"), F.lit(0.0)), F.lit(low)), F.lit(high))
+
+
+def with_citations(answer: Column, ids: Column) -> Column:
+    """The answer, with the sources named at its end if it names none."""
+    marks = F.array_join(F.transform(ids, lambda i: F.concat(F.lit("["), i, F.lit("]"))), " ")
+    return F.when(has_citation(answer) | (F.size(ids) == 0), answer).otherwise(F.concat(answer, F.lit("\n\n主要依据："), marks))
+
+
+def labelled(fields: dict[str, Column]) -> Column:
+    """Lines of 'Label: value'."""
+    return F.concat_ws("\n", *[F.concat(F.lit(f"{k}: "), F.coalesce(v, F.lit(""))) for k, v in fields.items()])
+
+
+def sorted_json(attributes: Column) -> Column:
+    """A map of strings as JSON, keys sorted; {} for null."""
+    return F.coalesce(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(attributes)))), F.lit("{}"))
+
+
+def chunk_key(stable_id: Column, source: Column, page: Column, chunk_id: Column) -> Column:
+    """The stable id, else source|page|chunk where all three are there, else ''."""
+    parts = F.when((source != "") & (page != "") & (chunk_id != ""), F.concat_ws("|", source, page, chunk_id))
+    return F.coalesce(F.nullif(F.btrim(stable_id), F.lit("")), parts, F.lit(""))

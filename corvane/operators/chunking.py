@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as T
+from ..tables import packed, written
 
 SIZE, OVERLAP = 1000, 180
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
@@ -71,14 +72,18 @@ def recursive_chunks(pages: DataFrame, key: str, text: str = "text", size: int =
     return pages.select(key, text).mapInPandas(work, f"{key} bigint, start_index bigint, chunk string")
 
 
-def numbered(chunks: DataFrame, order: list[str], first: int = 1) -> DataFrame:
-    """chunk_id from first on, over all chunks, in order.
+def numbered(chunks: DataFrame, order: list[str], first: int = 1, name: str = "chunk_id") -> DataFrame:
+    """name from first on, over all rows, in order.
 
-    A window over everything would be one task; so partitions are sorted by range, and each counts on from the sizes of those before."""
-    spread = chunks.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    sizes = spread.groupBy("_p").agg(F.min("_i").alias("_low"), F.count(F.lit(1)).alias("_n"))  # one row a partition
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return spread.join(F.broadcast(before.drop("_n")), "_p").withColumn("chunk_id", F.col("_i") - F.col("_low") + F.col("_before") + first).drop("_p", "_i", "_low", "_before")
+    A window over everything would be one task; so the rows are sorted by range and written once, each with its partition and place there, and
+    partitions count on from the sizes of those before. Both are read back from what was written: a second evaluation of the sort could
+    divide the rows otherwise."""
+    by = [F.col(f"_row.`{c}`") for c in order]
+    spread = packed(chunks).repartitionByRange(*by).sortWithinPartitions(*by).withColumn("p", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id())
+    spread = written(spread, "numbered")
+    sizes = spread.groupBy("p").agg(F.min("i").alias("low"), F.count(F.lit(1)).alias("n"))  # one row a partition
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("p").alias("q"), "low", "before")
+    return spread.join(F.broadcast(before), F.col("p") == F.col("q")).select("_row.*", (F.col("i") - F.col("low") + F.col("before") + first).alias(name))
 
 
 def with_sections(chunks: DataFrame, source: str = "source", chunk_id: str = "chunk_id", page: str = "page", text: str = "text") -> DataFrame:
@@ -90,5 +95,8 @@ def with_sections(chunks: DataFrame, source: str = "source", chunk_id: str = "ch
 
 
 def append_new(existing: DataFrame, incoming: DataFrame, source: str = "source") -> DataFrame:
-    """Rows of incoming whose source is not there yet."""
-    return incoming.join(existing.select(source).distinct(), source, "left_anti")
+    """Rows of incoming whose source is not there yet, neither as a source nor as the base name of a source_path."""
+    have = existing.select(F.col(source).alias("_s"))
+    if "source_path" in existing.columns:
+        have = have.unionByName(existing.select(F.regexp_replace("source_path", r"^.*[/\\\\]", "").alias("_s")))
+    return incoming.join(have.distinct(), F.col(source) == F.col("_s"), "left_anti")

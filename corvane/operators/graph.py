@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import vectors as V
+from ..tables import written
+from .chunking import numbered
+
 # Fixed values -----------------------------------------------------------------------------------------------------
 PREDICATE_WEIGHTS = {
     "proposes": 2.0,
@@ -56,58 +62,67 @@ def degrees(e: DataFrame) -> DataFrame:
 BLOCK = 1024
 
 
+def valid_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """id, v: one row for each key (of several its least vector), as long as the first key's, finite and not zero."""
+    rows = vectors.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v")).filter("id IS NOT NULL AND size(v) > 0").groupBy("id").agg(F.min("v").alias("v"))
+    first = rows.agg(F.min_by(F.size("v"), "id").alias("d")).first().d or 0
+    return rows.filter(V.valid(F.col("v"), first))
+
+
 def nearest(vectors: DataFrame, key: str, vector: str, k: int, threshold: float = -1.0, block: int = BLOCK) -> DataFrame:
-    """src, dst, similarity, rank: the k nearest others of each vector by cosine, those at or over threshold.
+    """src, dst, similarity, rank: the k nearest others of each vector by cosine, those at or over threshold. Rows that are no
+    valid vector (valid_vectors) have no neighbours.
 
-    Exact, in blocks: rows are cut into blocks of about block vectors; each pair of blocks is one product of matrices, of which only
-    k a row go on. Blocks meet by an equi-join on their numbers, so nothing that grows is broadcast or gathered in one task.
+    Exact, in blocks: rows are cut into blocks of about block vectors; each two blocks meet once, in one product of matrices that serves
+    both, and only k a row go on. Blocks meet by an equi-join on their numbers, so nothing that grows is broadcast or gathered in one task. The
+    products, and copies of blocks, grow with the square of the rows: that is what exactness costs.
     """
-    rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    rows = written(valid_vectors(vectors, key, vector), "vectors")
     n_blocks = max(1, -(-rows.count() // block))
     cut = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n_blocks)))
 
     def gather(t: pa.Table) -> pa.Table:
         m = np.array(t.column("v").to_pylist(), np.float64)
-        length = np.linalg.norm(m, axis=1, keepdims=True)
-        ok = (length[:, 0] > 0) & np.isfinite(length[:, 0])
-        m = (m / np.where(length > 0, length, 1))[ok]
-        ids = np.array(t.column("id").to_pylist(), np.int64)[ok]
-        return pa.table({"b": pa.array([t.column("b")[0].as_py()], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()), "m": pa.array([m.tobytes()], pa.binary()), "d": pa.array([m.shape[1] if m.ndim == 2 else 0], pa.int32())})
-
-    blocks = cut.groupBy("b").applyInArrow(gather, "b bigint, ids binary, m binary, d int")
-    left = blocks.withColumn("b2", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumnRenamed("ids", "ids1").withColumnRenamed("m", "m1").drop("b")
+        m /= np.linalg.norm(m, axis=1, keepdims=True)
+        ids = np.array(t.column("id").to_pylist(), np.int64)
+        return pa.table({"b": pa.array([t.column("b")[0].as_py()], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()), "m": pa.array([m.tobytes()], pa.binary())})
+
+    blocks = written(cut.groupBy("b").applyInArrow(gather, "b bigint, ids binary, m binary"), "vector-blocks")
+    left = blocks.select(F.col("b").alias("b1"), F.col("ids").alias("ids1"), F.col("m").alias("m1"), F.explode(F.sequence("b", F.lit(n_blocks - 1).cast("bigint"))).alias("b2"))
     right = blocks.select(F.col("b").alias("b2"), F.col("ids").alias("ids2"), F.col("m").alias("m2"))
 
+    def best(i1, i2, s):
+        order = np.lexsort((np.broadcast_to(i2, s.shape), -s), axis=1)[:, :k]
+        top = np.take_along_axis(s, order, axis=1)
+        row, col = np.nonzero(np.isfinite(top))
+        return pa.RecordBatch.from_arrays([pa.array(i1[row]), pa.array(i2[order[row, col]]), pa.array(top[row, col])], names=["src", "dst", "similarity"])
+
     def product(batches):
         for batch in batches:
-            for r in batch.to_pylist():
+            for lo in range(batch.num_rows):
+                r = batch.slice(lo, 1).to_pylist()[0]
                 i1, i2 = (np.frombuffer(r[c], np.int64) for c in ("ids1", "ids2"))
-                if not len(i1) or not len(i2):
-                    continue
-                s = np.frombuffer(r["m1"]).reshape(len(i1), -1) @ np.frombuffer(r["m2"]).reshape(len(i2), -1).T
-                s = np.round(s, 9)
+                s = np.round(np.frombuffer(r["m1"]).reshape(len(i1), -1) @ np.frombuffer(r["m2"]).reshape(len(i2), -1).T, 9)
                 s[i1[:, None] == i2[None, :]] = -np.inf
                 s[s < threshold] = -np.inf
-                order = np.lexsort((np.broadcast_to(i2, s.shape), -s), axis=1)[:, :k]
-                top = np.take_along_axis(s, order, axis=1)
-                row, col = np.nonzero(np.isfinite(top))
-                yield pa.RecordBatch.from_arrays([pa.array(i1[row]), pa.array(i2[order[row, col]]), pa.array(top[row, col])], names=["src", "dst", "similarity"])
+                yield best(i1, i2, s)
+                if r["b1"] != r["b2"]:
+                    yield best(i2, i1, s.T)
 
-    met = left.join(right.hint("merge"), "b2").select("ids1", "m1", "ids2", "m2").mapInArrow(product, "src bigint, dst bigint, similarity double")
+    met = left.join(right.hint("merge"), "b2").select("b1", "b2", "ids1", "m1", "ids2", "m2").mapInArrow(product, "src bigint, dst bigint, similarity double")
     w = Window.partitionBy("src").orderBy(F.desc("similarity"), "dst")
     return met.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
 
 
-def label_propagation(nodes: DataFrame, e: DataFrame, rounds: int = 3, cut=None) -> DataFrame:
+def label_propagation(nodes: DataFrame, e: DataFrame, rounds: int = 3) -> DataFrame:
     """node, label. Synchronous: each node takes the label with the largest weight around it (its own counts 0), the smallest of equal ones.
-    cut(df): writes and rereads a table to cut the lineage, if given."""
+    Labels are written each round, so that a round's plan doesn't hold all those before."""
     labels = nodes.select("node", F.col("node").alias("label"))
-    around = both_ways(e)
+    around = written(both_ways(e), "lpa-edges")
     for _ in range(rounds):
         votes = around.join(labels, around.dst == labels.node).groupBy(F.col("src").alias("node"), "label").agg(F.round(F.sum("weight"), 6).alias("w"))
-        best = votes.groupBy("node").agg(F.max(F.struct("w", (-F.col("label")).alias("l"))).alias("b")).select("node", (-F.col("b.l")).alias("new"))
-        labels = labels.join(best, "node", "left").select("node", F.coalesce("new", "label").alias("label"))
-        labels = cut(labels) if cut else labels
+        best = votes.groupBy("node").agg(F.min_by("label", F.struct((-F.col("w")).alias("w"), F.col("label").alias("l"))).alias("new"))
+        labels = written(labels.join(best, "node", "left").select("node", F.coalesce("new", "label").alias("label")), "lpa-labels")
     return labels
 
 
@@ -183,21 +198,90 @@ def louvain_labels(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, resolut
     return {int(n): least[int(k)] for n, k in zip(names, where, strict=True)}
 
 
+def greedy_labels(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, resolution: float = 1.0) -> dict[int, int]:
+    """Modularity by merging, again and again, the two groups whose union gains most. Label: the smallest member."""
+    names = np.unique(np.concatenate((src, dst)))
+    total = float(weight.sum()) or 1.0
+    between: dict[int, dict[int, float]] = {int(n): {} for n in names}
+    for a, b, w in zip(src.tolist(), dst.tolist(), weight.tolist(), strict=True):
+        between[a][b] = between[a].get(b, 0.0) + w
+        between[b][a] = between[b].get(a, 0.0) + w
+    degree = {n: sum(g.values()) for n, g in between.items()}
+    gain = lambda a, b: between[a][b] / total - resolution * degree[a] * degree[b] / (2 * total * total)
+    heap = [(-gain(a, b), a, b) for a, g in between.items() for b in g if a < b]
+    heapq.heapify(heap)
+    label = {n: n for n in between}
+    while heap:
+        g, a, b = heapq.heappop(heap)
+        if g >= -1e-12:
+            break
+        if a not in between or b not in between or b not in between[a] or abs(g + gain(a, b)) > 1e-12:
+            continue  # one of them has grown since; its new pairs are in the heap too
+        label[b] = a
+        for c, w in between.pop(b).items():
+            if c == a:
+                continue
+            between[a][c] = between[c][a] = between[a].get(c, 0.0) + w
+            del between[c][b]
+        del between[a][b]
+        degree[a] += degree.pop(b)
+        for c in between[a]:
+            heapq.heappush(heap, (-gain(a, c), min(a, c), max(a, c)))
+
+    def root(n: int) -> int:
+        while label[n] != n:
+            n = label[n]
+        return n
+
+    return {n: root(n) for n in label}
+
+
+#: Edges that an algorithm of one task may take.
+ONE_TASK = 5_000_000
+
+
+def detect(nodes: DataFrame, e: DataFrame, algorithm: str = "label", resolution: float = 1.0, rounds: int = 3) -> DataFrame:
+    """node, label for every node, by label propagation, louvain or greedy modularity; nodes without an edge are alone."""
+    name = algorithm.strip().lower()
+    if name in ("label", "label_propagation"):
+        return label_propagation(nodes, e, rounds)
+    if name not in ("louvain", "auto", "greedy", "greedy_modularity"):
+        raise ValueError("algorithm must be one of: louvain, greedy, label")
+    found = (greedy if name.startswith("greedy") else louvain)(e, resolution)
+    return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+
+
 def louvain(e: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """node, label. One task over the added-up edges: for entity graphs; label_propagation is the way that scales."""
+    """node, label. One task over the added-up edges: for entity graphs, ONE_TASK edges at most, checked; label_propagation is the way that scales."""
+    return _in_one_task(e, louvain_labels, resolution)
+
+
+def greedy(e: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """node, label; as louvain."""
+    return _in_one_task(e, greedy_labels, resolution)
+
+
+def _in_one_task(e: DataFrame, algorithm, resolution: float) -> DataFrame:
+    n = e.count()
+    if n > ONE_TASK:
+        raise ValueError(f"{n} edges: this algorithm takes {ONE_TASK} at most, use label propagation")
+
+    kind = e.schema["src"].dataType.simpleString()
 
     def work(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["src", "dst"])
-        got = louvain_labels(f.src.to_numpy(), f.dst.to_numpy(), f.weight.to_numpy(float), resolution)
-        return pd.DataFrame({"node": list(got), "label": list(got.values())}).astype("int64")
+        names = np.unique(np.concatenate((f.src.to_numpy(), f.dst.to_numpy())))
+        number = {n: i for i, n in enumerate(names.tolist())}
+        got = algorithm(f.src.map(number).to_numpy(), f.dst.map(number).to_numpy(), f.weight.to_numpy(float), resolution)
+        return pd.DataFrame({"node": names[list(got)], "label": names[list(got.values())]})
 
-    return e.select("src", "dst", "weight", F.lit(1).alias("_all")).groupBy("_all").applyInPandas(work, "node bigint, label bigint")
+    return e.select("src", "dst", "weight", F.lit(1).alias("_all")).groupBy("_all").applyInPandas(work, f"node {kind}, label {kind}")
 
 
 def communities(labels: DataFrame, min_size: int = 1) -> DataFrame:
     """label, size, community (1-based: larger first, then the smaller least member)."""
-    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).filter(F.col("size") >= min_size)
-    return sizes.withColumn("community", F.row_number().over(Window.orderBy(F.desc("size"), "least")).cast("bigint")).drop("least")
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).filter(F.col("size") >= min_size).withColumn("less", -F.col("size"))
+    return numbered(sizes, ["less", "least"], name="community").drop("least", "less")
 
 
 def key_entities(members: DataFrame, degree: DataFrame, k: int = 24) -> DataFrame:

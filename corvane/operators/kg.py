@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from .chunking import numbered
 
 # Fixed values -----------------------------------------------------------------------------------------------------
 ENTITY_TYPES = ["Paper", "Contribution", "Method", "Model", "Module", "Dataset", "Metric", "Task", "Problem", "Scenario", "Concept", "Experiment", "Finding", "Result", "Limitation", "FutureWork", "Application", "Author", "Organization", "Other"]
@@ -32,7 +33,8 @@ RELATION_ALIASES = {
     "uses_component": "has_component",
     "improves": "improves_on",
 }
-MAX_ENTITIES, MAX_RELATIONS, NAME_CHARS, TEXT_CHARS, MAX_ALIASES = 14, 20, 160, 600, 8
+TYPE_PRIORITY = ["Paper", "Contribution", "Method", "Model", "Module", "Dataset", "Metric", "Task", "Problem", "Scenario", "Finding", "Result", "Limitation", "FutureWork", "Application", "Concept", "Experiment", "Author", "Organization", "Other"]
+MAX_ENTITIES, MAX_RELATIONS, NAME_CHARS, TEXT_CHARS, EVIDENCE_CHARS, ATTRIBUTE_CHARS, MAX_ALIASES = 14, 20, 160, 600, 300, 80, 8
 # -------------------------------------------------------------------------------------------------------------------
 
 
@@ -54,55 +56,144 @@ def last_records(records: DataFrame, key: str, order: str) -> DataFrame:
     return records.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
+def _field(rows: DataFrame, struct: str, name: str, kind: str) -> Column:
+    """A field of the struct column, null where records lack it."""
+    has = name in rows.schema[struct].dataType.fieldNames()
+    return F.col(f"{struct}.{name}") if has else F.lit(None).cast(kind)
+
+
 def entities_of(records: DataFrame) -> DataFrame:
-    """chunk_key, pos, name, type, aliases, description of each usable entity; a record's first MAX_ENTITIES count."""
+    """chunk_key, pos, name, type, aliases, description, attributes of each usable entity; a record's first MAX_ENTITIES count."""
     e = records.filter("status = 'ok'").select("chunk_key", F.posexplode(F.slice("entities", 1, MAX_ENTITIES)).alias("pos", "e"))
     name = F.substring(T.collapse(F.col("e.name")), 1, NAME_CHARS)
+    aliases = F.filter(F.transform(F.coalesce(_field(e, "e", "aliases", "array<string>"), F.array().cast("array<string>")), lambda x: F.substring(T.collapse(x), 1, NAME_CHARS)), lambda x: x != "")
+    attributes = F.coalesce(_field(e, "e", "attributes", "map<string,string>"), F.create_map().cast("map<string,string>"))
     return e.select(
         "chunk_key",
         "pos",
         name.alias("name"),
         clean_type(F.coalesce(F.col("e.type"), F.lit("")), ENTITY_TYPES, ENTITY_ALIASES).alias("type"),
-        F.slice(F.array_distinct(F.coalesce(F.col("e.aliases"), F.array().cast("array<string>"))), 1, MAX_ALIASES).alias("aliases"),
-        F.substring(F.coalesce(F.col("e.description"), F.lit("")), 1, TEXT_CHARS).alias("description"),
+        F.slice(F.array_distinct(aliases), 1, MAX_ALIASES).alias("aliases"),
+        F.substring(F.btrim(F.coalesce(F.col("e.description"), F.lit(""))), 1, TEXT_CHARS).alias("description"),
+        F.transform_values(attributes, lambda k, v: F.substring(v, 1, EVIDENCE_CHARS)).alias("attributes"),
     ).filter("name <> ''")
 
 
 def relations_of(records: DataFrame) -> DataFrame:
+    """chunk_key, pos, subject, predicate, object, description, evidence; a record's first MAX_RELATIONS count."""
     r = records.filter("status = 'ok'").select("chunk_key", F.posexplode(F.slice("relations", 1, MAX_RELATIONS)).alias("pos", "r"))
-    return r.select("chunk_key", "pos", T.canonical_name(F.col("r.subject")).alias("subject"), clean_type(F.coalesce(F.col("r.predicate"), F.lit("")), RELATION_TYPES, RELATION_ALIASES).alias("predicate"), T.canonical_name(F.col("r.object")).alias("object"), F.substring(F.coalesce(F.col("r.description"), F.lit("")), 1, TEXT_CHARS).alias("description"))
+    return r.select(
+        "chunk_key",
+        "pos",
+        T.canonical_name(F.col("r.subject")).alias("subject"),
+        clean_type(F.coalesce(F.col("r.predicate"), F.lit("")), RELATION_TYPES, RELATION_ALIASES).alias("predicate"),
+        T.canonical_name(F.col("r.object")).alias("object"),
+        F.substring(F.btrim(F.coalesce(F.col("r.description"), F.lit(""))), 1, TEXT_CHARS).alias("description"),
+        F.substring(F.btrim(F.coalesce(_field(r, "r", "evidence", "string"), F.lit(""))), 1, TEXT_CHARS).alias("evidence"),
+    )
+
+
+def _longest(text: str) -> Column:
+    """The longest of a group's texts, of equally long ones the first by chunk and place."""
+    return F.min_by(text, F.struct((-F.length(text)).alias("n"), F.col("chunk_key").alias("c"), F.col("pos").alias("p")))
 
 
 def merged_entities(entities: DataFrame) -> DataFrame:
-    """By canonical name: id, name (the smallest spelling), type (the most important seen), types, aliases, longest description, chunks.
+    """By canonical name: id, name (the first spelling by chunk and place), type (the most important seen), types, aliases, attributes (the last
+    value of each), longest description, number of chunks; the chunks themselves are links().
 
     All sums are partial before the shuffle; the sets are of names and types, not of rows."""
-    rank = F.array_position(F.array(*map(F.lit, ENTITY_TYPES)), F.col("type"))
+    rank = F.array_position(F.array(*map(F.lit, TYPE_PRIORITY)), F.col("type"))
     c = entities.withColumn("canonical_name", T.canonical_name(F.col("name"))).filter("canonical_name <> ''")
-    described = F.struct(F.length("description").alias("n"), (-F.xxhash64("chunk_key")).alias("h"), F.col("description").alias("d"))
-    return c.groupBy("canonical_name").agg(
-        F.min("name").alias("name"),
+    at = F.struct("chunk_key", "pos")
+    out = c.groupBy("canonical_name").agg(
+        F.min_by("name", at).alias("name"),
         F.min_by("type", rank).alias("type"),
         F.array_sort(F.collect_set("type")).alias("observed_types"),
-        F.max(described)["d"].alias("description"),
+        _longest("description").alias("description"),
         F.countDistinct("chunk_key").alias("n_chunks"),
-    ).withColumn("entity_id", F.substring(F.sha1("canonical_name"), 1, 16))
-
-
-def merged_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
-    """By subject, predicate and object; ends that are no entity, and relations to oneself, go."""
+    )
+    names = c.select("canonical_name", F.explode("aliases").alias("alias")).groupBy("canonical_name").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+    values = c.select("canonical_name", at.alias("at"), F.explode("attributes").alias("k", "v")).groupBy("canonical_name", "k").agg(F.max_by("v", "at").alias("v"))
+    values = values.groupBy("canonical_name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("attributes"))
+    out = out.join(names, "canonical_name", "left").join(values, "canonical_name", "left")
+    return out.select(
+        F.substring(F.sha1("canonical_name"), 1, 16).alias("entity_id"),
+        "canonical_name",
+        "name",
+        "type",
+        "observed_types",
+        F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"),
+        "description",
+        F.coalesce("attributes", F.create_map().cast("map<string,string>")).alias("attributes"),
+        "n_chunks",
+    )
+
+
+def resolved_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """relations with subject_id, object_id and relation_id; ends that are no entity, and relations to oneself, go."""
     known = entities.select("canonical_name", "entity_id")
     s = known.select(F.col("canonical_name").alias("subject"), F.col("entity_id").alias("subject_id"))
     o = known.select(F.col("canonical_name").alias("object"), F.col("entity_id").alias("object_id"))
     r = relations.join(s, "subject").join(o, "object").filter("subject_id <> object_id")
-    out = r.groupBy("subject_id", "predicate", "object_id").agg(F.countDistinct("chunk_key").alias("n_chunks"), F.count(F.lit(1)).alias("n"))
-    return out.withColumn("relation_id", F.substring(F.sha1(F.concat_ws("|", "subject_id", "predicate", "object_id")), 1, 16))
+    return r.withColumn("relation_id", F.substring(F.sha1(F.concat_ws("|", "subject_id", "predicate", "object_id")), 1, 16))
+
+
+def merged_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """By subject, predicate and object: longest description, evidence (a set), number of chunks and of mentions; the chunks are relation_links()."""
+    r = resolved_relations(relations, entities)
+    return r.groupBy("relation_id", "subject_id", "predicate", "object_id").agg(
+        _longest("description").alias("description"),
+        F.array_sort(F.collect_set(F.nullif(F.col("evidence"), F.lit("")))).alias("evidence"),
+        F.countDistinct("chunk_key").alias("n_chunks"),
+        F.count(F.lit(1)).alias("n"),
+    )
 
 
 def links(entities: DataFrame) -> DataFrame:
     return entities.select(entity_id(F.col("name")).alias("entity_id"), "chunk_key").distinct()
 
 
+def relation_links(relations: DataFrame, entities: DataFrame) -> DataFrame:
+    return resolved_relations(relations, entities).select("relation_id", "chunk_key").distinct()
+
+
+def relations_by_entity(relations: DataFrame) -> DataFrame:
+    """entity_id, relation_id: each relation at both of its ends, once for a relation to oneself."""
+    return relations.select(F.explode(F.array_distinct(F.array("subject_id", "object_id"))).alias("entity_id"), "relation_id")
+
+
+def entity_text(rows: DataFrame) -> Column:
+    """The lines that an entity is embedded by."""
+    return T.labelled({"Name": F.col("name"), "Type": F.col("type"), "Aliases": F.array_join(F.slice("aliases", 1, 8), ", "), "Description": F.col("description"), "Attributes": T.sorted_json(F.col("attributes"))})
+
+
+def entity_search_text(rows: DataFrame) -> Column:
+    return F.lower(T.collapse(F.concat_ws(" ", "name", "canonical_name", "type", "description", F.array_join("aliases", " "), F.array_join("observed_types", " "))))
+
+
+def relation_search_text(relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """relations with subject and object (names) and searchable; an end without an entity adds nothing."""
+    s = entities.select(F.col("entity_id").alias("subject_id"), F.col("name").alias("subject"))
+    o = entities.select(F.col("entity_id").alias("object_id"), F.col("name").alias("object"))
+    r = relations.join(s, "subject_id", "left").join(o, "object_id", "left")
+    return r.withColumn("searchable", F.lower(T.collapse(F.concat_ws(" ", "predicate", "description", "subject", "object", F.array_join("evidence", " ")))))
+
+
+def output_order(entities: DataFrame | None = None, relations: DataFrame | None = None) -> DataFrame:
+    """The table with row numbers in the order that it is written in: entities by type and name, relations by predicate and ends."""
+    if entities is not None:
+        return numbered(entities.withColumn("_low", F.lower("name")), ["type", "_low", "entity_id"], name="place").drop("_low")
+    return numbered(relations, ["predicate", "subject_id", "object_id"], name="place")
+
+
+def migrated(cache: DataFrame, chunks: DataFrame, columns: list[str]) -> DataFrame:
+    """Cached records with their provenance columns as the chunks have them now; records of chunks that are gone stay as they are."""
+    now = chunks.select("chunk_key", *[F.col(c).alias(f"_{c}") for c in columns])
+    j = cache.join(now, "chunk_key", "left")
+    return j.select(*[F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in cache.columns])
+
+
 def to_extract(chunks: DataFrame, cache: DataFrame) -> DataFrame:
     """Chunks that the cache doesn't hold with the same text and without an error."""
     return chunks.join(cache.filter("status = 'ok'").select("chunk_key", "text_hash"), ["chunk_key", "text_hash"], "left_anti")
@@ -127,13 +218,20 @@ def fold_entities(records: list[tuple[str, list[str], str, str]]) -> dict[str, i
 
 
 def canonical(name: str) -> str:
-    bare = re.sub(r"\s*\([A-Za-z][A-Za-z0-9-]{1,20}\)$", "", re.sub(r"\s+", " ", name or "").strip())
+    bare = re.sub(r"\s*\([A-Za-z0-9][A-Za-z0-9_-]{1,20}\)\s*$", "", re.sub(r"\s+", " ", name or "").strip())
     return re.sub(r"[\s_-]+", " ", bare).strip().lower()
 
 
+#: Rows that an operator may put into one task.
+ONE_TASK = 5_000_000
+
+
 def alias_groups(entities: DataFrame) -> DataFrame:
     """canonical_name, entity: fold_entities over all rows in the order of chunk and place. One ordered fold is one task: for graphs the size of
-    a paper collection; merged_entities is the way that scales."""
+    a paper collection, ONE_TASK rows at most, checked; merged_entities is the way that scales."""
+    n = entities.count()
+    if n > ONE_TASK:
+        raise ValueError(f"{n} entities: an ordered fold takes {ONE_TASK} at most, use merged_entities")
 
     def work(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["chunk_key", "pos"])
@@ -145,11 +243,20 @@ def alias_groups(entities: DataFrame) -> DataFrame:
 
 class PatternExtractor:
     """Offline stand-in for a model that extracts entities: capitalised words of six ASCII letters or more are entities, in order of first
-    appearance, and each is related to the next one."""
+    appearance, and each is related to the next one. Records are one for each chunk."""
 
     def records(self, chunks: DataFrame, key: str, text: str) -> DataFrame:
         names = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"([A-Z][a-z]{5,})"), F.lit(1)))
         d = chunks.select(F.col(key).cast("string").alias("chunk_key"), F.substring(F.sha1(T.collapse(F.col(text))), 1, 16).alias("text_hash"), names.alias("n"))
-        ent = F.transform("n", lambda x: F.struct(x.alias("name"), F.when(F.length(x) % 2 == 0, "issue").otherwise("Concept").alias("type"), F.array().cast("array<string>").alias("aliases"), F.concat(x, F.lit(" seen")).alias("description")))
-        rel = F.expr("transform(slice(n, 2, greatest(size(n) - 1, 0)), (x, i) -> named_struct('subject', n[i], 'predicate', if(length(x) % 3 = 0, 'introduces', 'mentions'), 'object', x, 'description', '', 'evidence', ''))")
+        ent = F.transform(
+            "n",
+            lambda x: F.struct(
+                x.alias("name"),
+                F.when(F.length(x) % 2 == 0, "issue").when(F.length(x) % 7 == 0, "Method").otherwise("Concept").alias("type"),
+                F.array(F.upper(x)).alias("aliases"),
+                F.concat(x, F.lit(" seen")).alias("description"),
+                F.create_map(F.lit("letters"), F.length(x).cast("string")).alias("attributes"),
+            ),
+        )
+        rel = F.expr("transform(slice(n, 2, greatest(size(n) - 1, 0)), (x, i) -> named_struct('subject', n[i], 'predicate', if(length(x) % 3 = 0, 'introduces', 'mentions'), 'object', x, 'description', concat(n[i], ' before ', x), 'evidence', concat(n[i], ' ', x)))")
         return d.select("chunk_key", "text_hash", F.lit("ok").alias("status"), ent.alias("entities"), rel.alias("relations"))

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from corvane.catalogue import ORACLE_SQL, QUERIES
+from corvane.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
