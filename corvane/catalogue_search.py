@@ -351,7 +351,7 @@ EVAL = {
     "e_bits": "SELECT w, length(bin((SELECT count(*) FROM documents) // count(*))) - 1 AS bits FROM e_dw GROUP BY w",
     "e_qw": "SELECT DISTINCT qid, w FROM (SELECT item_id AS qid, unnest(string_split(text, ' ')) AS w FROM benchmark)",
     "e_run": "SELECT qid, doc_id AS item, sum(bits)::BIGINT AS score, row_number() OVER (PARTITION BY qid ORDER BY sum(bits) DESC, doc_id) AS rank FROM e_qw JOIN e_bits USING (w) JOIN e_dw USING (w) WHERE bits > 0 GROUP BY 1, 2 QUALIFY rank <= 10",
-    "e_met": """SELECT b.item_id AS qid, found > 0 AS hit, found = n AS all_hit, round(found / n, 9) AS recall, CASE WHEN n IS NOT NULL THEN round(coalesce(1 / first_rank, 0), 9) END AS mrr FROM benchmark b
+    "e_met": """SELECT b.item_id AS qid, found > 0 AS hit, found = n AS all_hit, round(found / n, 9) AS recall, CASE WHEN n IS NOT NULL THEN round(coalesce(1 / first_rank, 0), 9) END AS mrr, first_rank FROM benchmark b
         LEFT JOIN (SELECT qid, count(*) AS n, count(r) AS found, min(r) AS first_rank FROM (SELECT g.qid, g.item, r.rank AS r FROM (SELECT DISTINCT * FROM e_gold) g LEFT JOIN e_run r USING (qid, item)) GROUP BY qid) m ON m.qid = b.item_id""",
     "e_head": "SELECT item_id AS qid, string_split(text, ' ')[1] AS term FROM benchmark",
 }

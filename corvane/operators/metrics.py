@@ -22,7 +22,7 @@ def evidence_matches(results: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def question_metrics(questions: DataFrame, results: DataFrame, gold: DataFrame) -> DataFrame:
-    """qid, hit, all_hit, recall, mrr; null for questions without gold. results: qid, item, rank; gold: qid, item."""
+    """qid, hit, all_hit, recall, mrr, first_rank; null for questions without gold. results: qid, item, rank; gold: qid, item."""
     g = gold.select("qid", "item").distinct()
     first = results.groupBy("qid", "item").agg(F.min("rank").alias("r"))
     j = g.join(first, ["qid", "item"], "left").groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.count("r").alias("found"), F.min("r").alias("first_rank"))
@@ -32,6 +32,7 @@ def question_metrics(questions: DataFrame, results: DataFrame, gold: DataFrame)
         (F.col("found") == F.col("n")).alias("all_hit"),
         F.round(F.col("found") / F.col("n"), 9).alias("recall"),
         F.when(F.col("n").isNotNull(), F.round(F.coalesce(1 / F.col("first_rank"), F.lit(0.0)), 9)).alias("mrr"),
+        "first_rank",
     )
 
 
