@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .catalogue import SQL_C, SQL_Q, SQL_QV, _carried, _classified, _cos, _hybrid, _keyword, _vector, chunks, query, questions, tab, with_tables
+from .catalogue import SQL_C, SQL_Q, SQL_QV, _carried, _classified, _cos, _hybrid, _keyword, _vector, index, query, questions, tab, with_tables
 from .catalogue_graph import LEVELS, SIZE, TABLES, hierarchy, knowledge
 from .functions import text as T
 from .models import HashEmbedder
@@ -70,7 +70,7 @@ def search_query(final: str):
 
 @search_query(f"SELECT qid, doc_id, score, kept_rank FROM ({refs_last(_hybrid(80), 10)})")
 def hybrid_retrieve(spark, sf_dir):
-    c, q = chunks(spark, sf_dir), questions(spark, sf_dir)
+    c, q = index(spark, sf_dir), questions(spark, sf_dir)
     hits = P.hybrid_search(c, q, 80)
     return P.references_last(hits, c, 10).select("qid", "doc_id", "score", "kept_rank")
 
@@ -80,7 +80,7 @@ graph_sql(10)
 
 def _matched(spark, sf_dir, k=10):
     """Base hits, entity and relation matches."""
-    c, q, g = chunks(spark, sf_dir), questions(spark, sf_dir), knowledge(spark, sf_dir).graph
+    c, q, g = index(spark, sf_dir), questions(spark, sf_dir), knowledge(spark, sf_dir).graph
     base = written(P.hybrid_search(c, q, max(8 * k, k + 30)), "base")
     sources = P.seeds_of(base, c, k)[1]
     m = written(P.entity_matches(q, g.entities, P.touching(g.links, "entity_id", c, sources)), "matches")
@@ -105,7 +105,7 @@ def graph_seed_expansion(spark, sf_dir):
 
 @search_query("SELECT qid, doc_id, graph_rank, base_rank, score, rank FROM x_g10 WHERE rank <= 10")
 def graph_rrf(spark, sf_dir):
-    return P.graph_search(chunks(spark, sf_dir), questions(spark, sf_dir), knowledge(spark, sf_dir).graph, 10).select("qid", "doc_id", "graph_rank", "base_rank", "score", "rank")
+    return P.graph_search(index(spark, sf_dir), questions(spark, sf_dir), knowledge(spark, sf_dir).graph, 10).select("qid", "doc_id", "graph_rank", "base_rank", "score", "rank")
 
 
 # Communities ----------------------------------------------------------------------------------------------------------
@@ -132,7 +132,7 @@ def community_fusion(spark, sf_dir):
 
 def _augmented(spark, sf_dir):
     k = knowledge(spark, sf_dir, True)
-    return P.community_augmented(chunks(spark, sf_dir), questions(spark, sf_dir), k.graph, k.communities["index"], k.communities["sources"], EMBEDDER, 10, 3)
+    return P.community_augmented(index(spark, sf_dir), questions(spark, sf_dir), k.graph, k.communities["index"], k.communities["sources"], EMBEDDER, 10, 3)
 
 
 @search_query(f"SELECT qid, doc_id, community_id, score, kept_rank FROM ({refs_last('SELECT * FROM x_aug', 10)})")
@@ -173,14 +173,14 @@ SEARCH["x_gate"] = """SELECT qid, doc_id, final, is_reference, candidate_rank, r
 
 
 def _with_sections(spark, sf_dir):
-    c = chunks(spark, sf_dir)
+    c = index(spark, sf_dir)
     s = chunking.with_sections(c.select("source", F.col("doc_id").alias("chunk_id"), F.lit(2).alias("page"), "text"))
     return c.join(s.select(F.col("chunk_id").alias("doc_id"), "section_title", "section_type"), "doc_id")
 
 
 def _candidates(spark, sf_dir):
     k = knowledge(spark, sf_dir, True)
-    return P.candidate_papers(chunks(spark, sf_dir), questions(spark, sf_dir), 5, k.graph, k.communities["index"], k.communities["sources"], EMBEDDER)
+    return P.candidate_papers(index(spark, sf_dir), questions(spark, sf_dir), 5, k.graph, k.communities["index"], k.communities["sources"], EMBEDDER)
 
 
 @search_query("SELECT qid, source, score, signals, rank FROM x_papers")
@@ -190,13 +190,13 @@ def paper_votes(spark, sf_dir):
 
 @search_query("SELECT qid, source, doc_id, score, paper_score, paper_rank, in_paper_rank FROM x_inp")
 def in_paper_topk(spark, sf_dir):
-    return P.in_papers(chunks(spark, sf_dir), questions(spark, sf_dir), written(_candidates(spark, sf_dir), "papers"), 12)
+    return P.in_papers(index(spark, sf_dir), questions(spark, sf_dir), written(_candidates(spark, sf_dir), "papers"), 12)
 
 
 @search_query("SELECT qid, doc_id, round(keyword, 6) AS keyword, section, is_reference FROM x_feat JOIN x_isref USING (doc_id)")
 def gated_features(spark, sf_dir):
     q = questions(spark, sf_dir)
-    cands = P.in_papers(chunks(spark, sf_dir), q, written(_candidates(spark, sf_dir), "papers"), 12)
+    cands = P.in_papers(index(spark, sf_dir), q, written(_candidates(spark, sf_dir), "papers"), 12)
     return P.gated_features(cands, _with_sections(spark, sf_dir), q).select("qid", "doc_id", F.round("keyword", 6).alias("keyword"), "section", "is_reference")
 
 
@@ -246,7 +246,7 @@ def hierarchical_search(spark, sf_dir):
 @beam_query("SELECT qid, doc_id, source, node_id, round(similarity, 6) AS similarity, round(keyword, 6) AS keyword, kind FROM b_cand")
 def rerank_candidates(spark, sf_dir):
     h = hierarchy(spark, sf_dir)
-    return P.rerank_candidates(_found(spark, sf_dir), h.refs, chunks(spark, sf_dir), questions(spark, sf_dir)).select("qid", "doc_id", "source", "node_id", F.round("similarity", 6).alias("similarity"), F.round("keyword", 6).alias("keyword"), "kind")
+    return P.rerank_candidates(_found(spark, sf_dir), h.refs, index(spark, sf_dir), questions(spark, sf_dir)).select("qid", "doc_id", "source", "node_id", F.round("similarity", 6).alias("similarity"), F.round("keyword", 6).alias("keyword"), "kind")
 
 
 #: The greedy choice under quotas, row by row: state is (chosen, counts by node, counts by paper) in the strings of what was chosen.
@@ -259,13 +259,13 @@ BEAM["b_greedy"] = f"""SELECT qid, l, list_reduce(list_prepend([]::STRUCT(p BIGI
 def archrag_rerank(spark, sf_dir):
     """Hierarchical evidence over the chunks that found nodes cite: weights by kind of question, quotas of nodes and papers."""
     h = hierarchy(spark, sf_dir)
-    return P.hierarchy_rerank(P.rerank_candidates(_found(spark, sf_dir), h.refs, chunks(spark, sf_dir), questions(spark, sf_dir)), 10)
+    return P.hierarchy_rerank(P.rerank_candidates(_found(spark, sf_dir), h.refs, index(spark, sf_dir), questions(spark, sf_dir)), 10)
 
 
 @beam_query("SELECT qid, pos, node_id AS node, source AS paper FROM b_scored WHERE pos <= 10")
 def rerank_without_quotas(spark, sf_dir):
     h = hierarchy(spark, sf_dir)
-    return P.hierarchy_rerank(P.rerank_candidates(_found(spark, sf_dir), h.refs, chunks(spark, sf_dir), questions(spark, sf_dir)), 10, per_node=10, per_paper=10).select("qid", F.col("rank").alias("pos"), F.col("node_id").alias("node"), F.col("source").alias("paper"))
+    return P.hierarchy_rerank(P.rerank_candidates(_found(spark, sf_dir), h.refs, index(spark, sf_dir), questions(spark, sf_dir)), 10, per_node=10, per_paper=10).select("qid", F.col("rank").alias("pos"), F.col("node_id").alias("node"), F.col("source").alias("paper"))
 
 
 BEAM["b_docs"] = "SELECT qid, doc_id, node_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, node_id, doc_id) AS rank FROM (SELECT qid, doc_id, b.node_id, route AS score FROM b_all b JOIN b_refs r ON r.level = b.level AND r.node_id = b.node_id QUALIFY row_number() OVER (PARTITION BY qid, doc_id ORDER BY route DESC, b.node_id) = 1) QUALIFY rank <= 20"
@@ -306,7 +306,7 @@ SEARCH["x_rows"] = f"SELECT qid, rank, 'S' || rank AS id, source, '?' AS page, d
 
 
 def _sources(spark, sf_dir):
-    c = chunks(spark, sf_dir)
+    c = index(spark, sf_dir)
     return A.source_rows(P.hybrid_search(c, questions(spark, sf_dir), 5), c)
 
 

@@ -107,9 +107,8 @@ class Engine:
         mode, k = T.retrieval_mode(mode or self.settings.mode), k or self.settings.k
         c, g = self.chunks(), self.graph()
         if mode == "archrag":
-            h = H.Hierarchy.load(self.spark, self.path("hierarchy")) if io.exists(self.spark, self.path("hierarchy")) else self.build_hierarchy()
-            found = written(H.search(h, questions, beam=None), "found")
-            return P.hierarchy_rerank(P.rerank_candidates(found, h.refs, c, questions), k).select("qid", "doc_id", "score", "rank")
+            h = self.hierarchy()
+            return P.hierarchy_rerank(P.rerank_candidates(self.found(h, questions), h.refs, c, questions), k).select("qid", "doc_id", "score", "rank")
         index = refs = None
         if io.exists(self.spark, self.path("communities")):
             index, refs = self.spark.read.parquet(self.path("communities")), self.spark.read.parquet(self.path("community_sources"))
@@ -123,6 +122,12 @@ class Engine:
             out = P.retrieve(c, questions, k, include_references)
         return out.select("qid", "doc_id", "score", F.col("kept_rank").alias("rank"))
 
+    def hierarchy(self) -> H.Hierarchy:
+        return H.Hierarchy.load(self.spark, self.path("hierarchy")) if io.exists(self.spark, self.path("hierarchy")) else self.build_hierarchy()
+
+    def found(self, h: H.Hierarchy, questions: DataFrame) -> DataFrame:
+        return written(H.search(h, questions, beam=None), "found")
+
     def rewritten(self, question: str, session: str | None = None) -> str:
         """The question as it is searched by: from a model that has seen the last messages, or by rule."""
         q = self.spark.createDataFrame([(question,)], "question string")
@@ -139,9 +144,17 @@ class Engine:
             raise ValueError("a question must not be empty")
         standalone = self.rewritten(question, session)
         q = self.questions([(1, standalone)])
-        hits = written(self.search(q, mode, k), "hits")
-        sources = written(A.source_rows(hits, self.chunks().select("doc_id", "source", "page", "text")), "sources")
-        answer = A.cited_answers(q, sources, self.generator).first().answer
+        texts = self.chunks().select("doc_id", "source", "page", "text")
+        if T.retrieval_mode(mode or self.settings.mode) == "archrag":  # the answer is merged from what each level says
+            h = self.hierarchy()
+            found = self.found(h, q)
+            hits = written(P.hierarchy_rerank(P.rerank_candidates(found, h.refs, self.chunks(), q), k or self.settings.k), "hits")
+            sources = written(A.source_rows(hits, texts, chars=A.SOURCE_CHARS), "sources")
+            answer = A.merged(q, A.points(found, h.nodes), sources, self.generator).select(T.with_citations(F.col("answer"), F.array(*[F.lit(r.id) for r in sources.orderBy("rank").collect()]).cast("array<string>")).alias("answer")).first().answer
+        else:
+            hits = written(self.search(q, mode, k), "hits")
+            sources = written(A.source_rows(hits, texts), "sources")
+            answer = A.cited_answers(q, sources, self.generator).first().answer
         if session:
             self.remember(session, [("user", question), ("assistant", answer)])
         return {"question": question, "standalone_question": standalone, "mode": T.retrieval_mode(mode or self.settings.mode), "answer": answer, "sources": [r.asDict() for r in sources.orderBy("rank").collect()]}

@@ -21,9 +21,9 @@ from ..tables import written
 QUESTIONS = 10_000
 
 
-def past_questions(chunks: DataFrame, questions: DataFrame) -> DataFrame:
-    """Each chunk with each question. More than QUESTIONS questions are taken in batches, each with a scan of its own."""
-    n = questions.count()
+def past_questions(chunks: DataFrame, questions: DataFrame, n: int | None = None) -> DataFrame:
+    """Each chunk with each question. More than QUESTIONS questions are taken in batches, each with a scan of its own. n: their number, if it is known."""
+    n = questions.count() if n is None else n
     batches = max(1, -(-n // QUESTIONS))
     if batches == 1:
         return chunks.crossJoin(F.broadcast(questions))
@@ -31,10 +31,10 @@ def past_questions(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [chunks.crossJoin(F.broadcast(numbered.filter(F.col("_b") == i).drop("_b"))) for i in range(2 * batches)])
 
 
-def vector_search(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+def vector_search(chunks: DataFrame, questions: DataFrame, k: int, n: int | None = None) -> DataFrame:
     """By squared distance; chunks without a vector aren't found."""
     c = chunks.select("doc_id", "embedding").filter("embedding IS NOT NULL")
-    s = past_questions(c, questions.select("qid", "qvec")).select("qid", "doc_id", F.round(V.l2_squared(F.col("embedding"), F.col("qvec")), 9).alias("distance"))
+    s = past_questions(c, questions.select("qid", "qvec"), n).select("qid", "doc_id", F.round(V.l2_squared(F.col("embedding"), F.col("qvec")), 9).alias("distance"))
     return R.ranked(s, ["qid"], [F.col("distance"), F.col("doc_id")], k, "vector_rank")
 
 
@@ -44,21 +44,25 @@ def cosine_search(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     return R.ranked(s, ["qid"], [F.desc("similarity"), F.col("doc_id")], k, "rank")
 
 
-def keyword_scores(chunks: DataFrame, questions: DataFrame) -> DataFrame:
+def searchable(chunks: DataFrame) -> DataFrame:
+    """doc_id, searchable: source and text, lower-cased; as it is where an index keeps it."""
+    return chunks.select("doc_id", "searchable") if "searchable" in chunks.columns else chunks.select("doc_id", F.lower(F.concat_ws(" ", "source", "text")).alias("searchable"))
+
+
+def keyword_scores(chunks: DataFrame, questions: DataFrame, n: int | None = None) -> DataFrame:
     """qid, doc_id, keyword_score of all chunks that hold an anchor."""
     q = questions.select("qid", T.query_terms(F.col("question")).alias("terms"))
-    c = chunks.select("doc_id", F.lower(F.concat_ws(" ", "source", "text")).alias("searchable"))
-    s = past_questions(c, q).filter("exists(terms, t -> t.anchor AND contains(searchable, t.term))")
+    s = past_questions(searchable(chunks), q, n).filter("exists(terms, t -> t.anchor AND contains(searchable, t.term))")
     return s.select("qid", "doc_id", F.round(T.keyword_score("searchable", "terms"), 9).alias("keyword_score"))
 
 
-def keyword_search(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    return R.ranked(keyword_scores(chunks, questions), ["qid"], [F.desc("keyword_score"), F.col("doc_id")], k, "keyword_rank")
+def keyword_search(chunks: DataFrame, questions: DataFrame, k: int, n: int | None = None) -> DataFrame:
+    return R.ranked(keyword_scores(chunks, questions, n), ["qid"], [F.desc("keyword_score"), F.col("doc_id")], k, "keyword_rank")
 
 
 def hybrid_search(chunks: DataFrame, questions: DataFrame, k: int = 10) -> DataFrame:
-    raw = R.over_fetch(k)
-    return R.fuse(vector_search(chunks, questions, raw), keyword_search(chunks, questions, raw), ["qid", "doc_id"], ("vector_rank", "keyword_rank"), (R.VECTOR_WEIGHT, R.KEYWORD_WEIGHT), k)
+    raw, n = R.over_fetch(k), questions.count()
+    return R.fuse(vector_search(chunks, questions, raw, n), keyword_search(chunks, questions, raw, n), ["qid", "doc_id"], ("vector_rank", "keyword_rank"), (R.VECTOR_WEIGHT, R.KEYWORD_WEIGHT), k)
 
 
 def filtered_vector_search(chunks: DataFrame, questions: DataFrame, keep, k: int, fetch_k: int | None = None, prefilter: bool = False) -> DataFrame:
@@ -263,11 +267,12 @@ def in_papers(chunks: DataFrame, questions: DataFrame, papers: DataFrame, per_pa
     """qid, source, doc_id, score, paper_score, paper_rank, in_paper_rank: within each candidate paper, vector and keyword ranks fused. Only chunks of a
     question's candidates are scored: papers are joined before any text is looked at."""
     wanted = papers.select("qid", "source", F.round("score", 6).alias("paper_score"), F.col("rank").alias("paper_rank")).join(questions, "qid")
-    c = chunks.select("doc_id", "source", "text", "embedding").join(F.broadcast(wanted), "source")  # papers of a few each question
+    low = F.col("searchable") if "searchable" in chunks.columns else F.lower(F.concat_ws(" ", "source", "text"))
+    c = chunks.select("doc_id", "source", "embedding", low.alias("searchable")).join(F.broadcast(wanted), "source")  # a few papers each question
     by = ["qid", "source"]
     v = c.filter("embedding IS NOT NULL").select(*by, "doc_id", F.round(V.l2_squared(F.col("embedding"), F.col("qvec")), 9).alias("distance"))
     v = R.ranked(v, by, [F.col("distance"), F.col("doc_id")], R.over_fetch(per_paper), "vector_rank")
-    w = c.select(*by, "doc_id", F.lower(F.concat_ws(" ", "source", "text")).alias("searchable"), T.query_terms(F.col("question")).alias("terms")).filter("exists(terms, t -> t.anchor AND contains(searchable, t.term))")
+    w = c.select(*by, "doc_id", "searchable", T.query_terms(F.col("question")).alias("terms")).filter("exists(terms, t -> t.anchor AND contains(searchable, t.term))")
     w = R.ranked(w.select(*by, "doc_id", F.round(T.keyword_score("searchable", "terms"), 9).alias("keyword_score")), by, [F.desc("keyword_score"), F.col("doc_id")], R.over_fetch(per_paper), "keyword_rank")
     both = v.select(*by, "doc_id", "vector_rank").join(w.select(*by, "doc_id", "keyword_rank"), [*by, "doc_id"], "full_outer")
     both = both.withColumn("score", F.round(R.rrf(F.col("vector_rank"), R.VECTOR_WEIGHT) + R.rrf(F.col("keyword_rank"), R.KEYWORD_WEIGHT), 9))
