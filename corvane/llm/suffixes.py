@@ -94,22 +94,29 @@ def anchors(b: np.ndarray, window: int = WINDOW, gram: int = GRAM):
     return place, g[place].view(np.int64), first, last
 
 
-def _find(window, gram, words):
-    names = ["doc_id", "xh", "hash", "place", "first", "last"]
+#: Windows of words: how many make one, how many an anchor, and that it's words.
+BY_WORDS = (WORDS, WORD_GRAM, True)
+
+
+def _find(kinds):
+    names = ["doc_id", "xh", "kind", "hash", "place", "first", "last"]
 
     def work(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 parts, owners = [], []
                 for i, x, t in zip(*(c.to_pylist() for c in batch.slice(lo, 128).columns), strict=True):
-                    b = units(t.encode(), words)
-                    if len(b) >= window:
-                        found = anchors(b, window, gram)
-                        parts.append(found)
-                        owners += [(i, x)] * len(found[0])
+                    data = t.encode()
+                    for k, (window, gram, words) in enumerate(kinds):
+                        b = units(data, words)
+                        if len(b) >= window:
+                            found = anchors(b, window, gram)
+                            parts.append(found)
+                            owners += [(i, x, k)] * len(found[0])
                 if owners:
                     place, h, first, last = (np.concatenate(c) for c in zip(*parts, strict=True))
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*owners, strict=True)), pa.array(h), *(pa.array(c.astype(np.int32)) for c in (place, first, last))], names=names)
+                    who = zip(zip(*owners, strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in who), pa.array(h), *(pa.array(c.astype(np.int32)) for c in (place, first, last))], names=names)
 
     return work
 
@@ -202,30 +209,62 @@ class LoserTree:
             self.winner = w
 
 
+#: Windows that are compared at once.
+AT_ONCE = 1 << 20
+
+
 def repeated_windows(records, window: int, words: bool = False):
     """records of whole groups: (text without hash, left, done, doc, xh, first) -> (doc, xh, start, end) of what repeats.
 
-    A hash of each window tells which may be equal; their bytes decide, compared a run of neighbouring windows at a time."""
+    A hash of each window tells which may be equal; their bytes decide, compared a run of neighbouring windows at a time. Equal windows have their anchor at the same
+    distance, so the windows of large groups are taken by distance, about AT_ONCE at a time: memory is that and a few bytes a window."""
     data = b"".join(left + text for text, left, *_ in records)
     b = np.frombuffer(data, np.uint64 if words else np.uint8)
     sizes = np.fromiter((len(r[0]) + len(r[1]) for r in records), np.int64, len(records)) // b.itemsize
+    ahead = np.fromiter((len(r[1]) for r in records), np.int64, len(records)) // b.itemsize
     base = np.cumsum(sizes) - sizes
     counts = sizes - window + 1
     begin = np.cumsum(counts) - counts
-    starts = np.arange(counts.sum()) - np.repeat(begin - base, counts)
-    h = np.empty(len(starts), np.uint64)
+    total = int(counts.sum())
+    starts = (np.arange(total) - np.repeat(begin - base, counts)).astype(np.int32)
+    owner = np.repeat(np.arange(len(records), dtype=np.int32), counts)
+    apart = (ahead[owner] - (starts - base[owner])).astype(np.int32)  # of the window's start and the anchor
+    apart -= apart.min()
+    h = np.empty(total, np.uint64)
     for lo in range(0, len(b) - window + 1, 1 << 18):  # the whole buffer's hashes are never held
         g = rolling(b[lo : lo + (1 << 18) + window - 1], window)
         i, j = np.searchsorted(starts, (lo, lo + len(g)))
         h[i:j] = g[starts[i:j] - lo]
+    again = np.zeros(total, bool)
+    # Distances from 0 on, in ranges of about as many windows.
+    per = np.cumsum(np.bincount(apart))
+    ranges = np.searchsorted(per, np.arange(AT_ONCE, total, AT_ONCE)) + 1 if total > AT_ONCE else []
+    for d0, d1 in zip([0, *ranges], [*ranges, len(per)], strict=True):
+        mine = np.flatnonzero((apart >= d0) & (apart < d1)) if total > AT_ONCE else np.arange(total)
+        if len(mine):
+            again[mine] = _equal_windows(b, starts[mine].astype(np.int64), h[mine], window)
+    edge = np.flatnonzero(np.concatenate(([True], (again[1:] != again[:-1]) | (owner[1:] != owner[:-1]))))
+    ends = np.concatenate((edge[1:], [total]))
+    out = []
+    for s, e in zip(edge[again[edge]], ends[again[edge]], strict=True):
+        r = records[owner[s]]
+        if not r[2]:
+            p = r[5] + int(s - begin[owner[s]])
+            out.append((r[3], r[4], p, p + int(e - s) - 1 + window))
+    return out
+
+
+def _equal_windows(b: np.ndarray, starts: np.ndarray, h: np.ndarray, window: int) -> np.ndarray:
+    """Of windows (in order, with their hashes), whether another has the same content."""
     _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
     like = first[inverse]  # the first window of the same hash
-    place = np.arange(len(h))
-    copy = np.flatnonzero(like != place)
+    copy = np.flatnonzero(like != np.arange(len(h)))
     again = np.zeros(len(h), bool)
+    if not len(copy):
+        return again
     # Windows in a row that are like windows in a row, with the same distance, are one comparison.
-    cut = np.flatnonzero(np.concatenate(([True], (np.diff(copy) != 1) | (np.diff(starts[copy]) != 1) | (np.diff(starts[like[copy]]) != 1)))) if len(copy) else copy
-    for s, e in zip(cut, [*cut[1:], len(copy)][: len(cut)], strict=True):
+    cut = np.flatnonzero(np.concatenate(([True], (np.diff(copy) != 1) | (np.diff(starts[copy]) != 1) | (np.diff(starts[like[copy]]) != 1))))
+    for s, e in zip(cut, [*cut[1:], len(copy)], strict=True):
         x, y, n = starts[copy[s]], starts[like[copy[s]]], e - s
         if np.array_equal(b[x : x + n + window - 1], b[y : y + n + window - 1]):
             again[copy[s:e]] = again[like[copy[s:e]]] = True
@@ -236,74 +275,82 @@ def repeated_windows(records, window: int, words: bool = False):
                 same.setdefault(b[starts[w] : starts[w] + window].tobytes(), []).append(w)
             for members in same.values():
                 again[members] |= len(members) > 1
-    owner = np.repeat(np.arange(len(records)), counts)
-    edge = np.flatnonzero(np.concatenate(([True], (again[1:] != again[:-1]) | (owner[1:] != owner[:-1]))))
-    ends = np.concatenate((edge[1:], [len(again)]))
-    out = []
-    for s, e in zip(edge[again[edge]], ends[again[edge]], strict=True):
-        r = records[owner[s]]
-        if not r[2]:
-            p = r[5] + int(s - begin[owner[s]])
-            out.append((r[3], r[4], p, p + int(e - s) - 1 + window))
-    return out
+    return again
 
 
-_OUT = "part int, run binary, wh bigint, doc_id bigint, xh bigint, start int, stop int"
-_OUT_NAMES = ["part", "run", "wh", "doc_id", "xh", "start", "stop"]
-_OUT_KINDS = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+_OUT = "kind int, part int, run binary, wh bigint, doc_id bigint, xh bigint, start int, stop int"
+_OUT_NAMES = ["kind", "part", "run", "wh", "doc_id", "xh", "start", "stop"]
+_OUT_KINDS = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
 
 def _rows(rows):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _OUT_KINDS, strict=True)], names=_OUT_NAMES)
 
 
-def _runs(parts: int, window: int, words: bool):
-    """Documents with their repeated anchors -> runs by part, what repeats within a run, and windows of hot anchors."""
+def _few(batches, rows: int = 64):
+    """The rows of batches as Python values, of a few rows at a time: lists of spots are large as such."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield from zip(*(c.to_pylist() for c in batch.slice(lo, rows).columns), strict=True)
+
+
+def _runs(parts: int, kinds):
+    """Documents with their repeated anchors -> runs by kind and part, what repeats within a run, and windows of hot anchors."""
 
     def work(batches):
-        held: dict[tuple[bytes, bytes], list] = {}
-        size, width = 0, 8 if words else 1
+        held: list[dict[tuple[bytes, bytes], list]] = [{} for _ in kinds]
+        size = 0
 
         def flush():
-            rows, by_part = [], {}
-            for (text, left), members in sorted(held.items()):
-                done = len(members) > 1
-                if done:
-                    rows += [(None, None, None, doc, xh, first, first + (len(left) + len(text) - 8) // width) for doc, xh, first in members]
-                part = int.from_bytes(text[:8], "big") * parts >> 64
-                by_part.setdefault(part, []).append((text, left, done, *members[0]))
-            rows += [(part, front_coded(records), None, None, None, None, None) for part, records in by_part.items()]
-            held.clear()
+            rows = []
+            for kind, records_of in enumerate(held):
+                width, by_part = 8 if kinds[kind][2] else 1, {}
+                for (text, left), members in sorted(records_of.items()):
+                    done = len(members) > 1
+                    if done:
+                        rows += [(kind, None, None, None, doc, xh, first, first + (len(left) + len(text) - 8) // width) for doc, xh, first in members]
+                    part = int.from_bytes(text[:8], "big") * parts >> 64
+                    by_part.setdefault(part, []).append((text, left, done, *members[0]))
+                rows += [(kind, kind * parts + part, front_coded(records), None, None, None, None, None) for part, records in by_part.items()]
+                records_of.clear()
             return rows
 
-        for batch in batches:
-            for doc, xh, text, spots in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                b, hot = units(text.encode(), words), []
-                data = b.tobytes()
-                for s in spots:
+        for doc, xh, text, spots in _few(batches):
+            data, hot = text.encode(), []
+            by_kind: list[list] = [[] for _ in kinds]
+            for s in spots:
+                by_kind[s["kind"]].append(s)
+            for kind, (window, _, words) in enumerate(kinds):
+                if not by_kind[kind]:
+                    continue
+                b, width = units(data, words), 8 if words else 1
+                raw = b.tobytes() if words else data
+                for s in by_kind[kind]:
                     place, first, last = s["place"], s["first"], s["last"]
                     if s["hot"]:
                         h = rolling(b[first : last + window], window).view(np.int64).tolist()
-                        hot += [(None, None, x, doc, xh, first + k, first + k + window) for k, x in enumerate(h)]
+                        hot += [(kind, None, None, x, doc, xh, first + k, first + k + window) for k, x in enumerate(h)]
                         continue
-                    key = ((s["hash"] & _MASK).to_bytes(8, "little") + data[place * width : (last + window) * width], data[first * width : place * width])
-                    held.setdefault(key, []).append((doc, xh, first))
+                    key = ((s["hash"] & _MASK).to_bytes(8, "little") + raw[place * width : (last + window) * width], raw[first * width : place * width])
+                    held[kind].setdefault(key, []).append((doc, xh, first))
                     size += len(key[0]) + len(key[1])
-                if hot:
-                    yield _rows(hot)
-                if size >= RUN_BYTES:
-                    yield _rows(flush())
-                    size = 0
-        if held:
-            yield _rows(flush())
+            if hot:
+                yield _rows(hot)
+            if size >= RUN_BYTES:
+                yield _rows(flush())
+                size = 0
+        rows = flush()
+        if rows:
+            yield _rows(rows)
 
     return work
 
 
-def _merge(window: int, gram: int, words: bool):
-    same = 8 + gram * (8 if words else 1)
-
+def _merge(kinds):
     def work(table: pa.Table) -> pa.Table:
+        kind = table.column("kind")[0].as_py()
+        window, gram, words = kinds[kind]
+        same = 8 + gram * (8 if words else 1)
         out, ready, group, size = [], [], [], 0
         for n, text, rest in LoserTree([run_of(x) for x in table.column("run").to_pylist()]):
             if n < same and group:  # another anchor
@@ -319,7 +366,8 @@ def _merge(window: int, gram: int, words: bool):
             ready += group
         if ready:
             out += repeated_windows(ready, window, words)
-        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "xh", "start", "stop"])
+        columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
+        return pa.table([pa.array([kind] * len(out), pa.int32()), *columns], names=["kind", "doc_id", "xh", "start", "stop"])
 
     return work
 
@@ -364,25 +412,26 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.xxhash64(t).alias("xh"), t.alias("text"))
 
 
-def _spans(texts: DataFrame, window: int, gram: int, hot: int, words: bool = False) -> DataFrame:
-    """(doc_id, xh, start, stop, words) of what repeats."""
+def _spans(texts: DataFrame, kinds, hot: int) -> DataFrame:
+    """(doc_id, xh, start, stop, words) of what repeats, for all kinds in one pass: a text is read and sent once for all of them."""
     spark = texts.sparkSession
-    spots = written(texts.mapInArrow(_find(window, gram, words), "doc_id bigint, xh bigint, hash bigint, place int, first int, last int"), "suffix-anchors")
-    again = written(spots.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("hash").alias("h"), (F.col("n") > hot).alias("hot")), "suffix-again")
-    lists = spots.join(again, F.col("hash") == F.col("h")).groupBy(F.col("doc_id").alias("lid"), F.col("xh").alias("lxh")).agg(F.collect_list(F.struct("hash", "place", "first", "last", "hot")).alias("l"))
+    spots = written(texts.mapInArrow(_find(kinds), "doc_id bigint, xh bigint, kind int, hash bigint, place int, first int, last int"), "suffix-anchors")
+    again = written(spots.groupBy("kind", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("kind").alias("hk"), F.col("hash").alias("h"), (F.col("n") > hot).alias("hot")), "suffix-again")
+    lists = spots.join(again, (F.col("hash") == F.col("h")) & (F.col("kind") == F.col("hk"))).groupBy(F.col("doc_id").alias("lid"), F.col("xh").alias("lxh")).agg(F.collect_list(F.struct("kind", "hash", "place", "first", "last", "hot")).alias("l"))
     lists = written(lists, "suffix-lists")
     dropped(spots)
     n = lists.agg(F.sum(F.size("l"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // PART_ROWS))
-    runs = written(_with_lists(texts, lists).mapInArrow(_runs(parts, window, words), _OUT), "suffix-runs")
+    runs = written(_with_lists(texts, lists).mapInArrow(_runs(parts, kinds), _OUT), "suffix-runs")
     # As many tasks as parts: a task's share doesn't grow with the input.
-    merged = runs.filter("run IS NOT NULL").select("part", "run").repartition(parts, "part").groupBy("part").applyInArrow(_merge(window, gram, words), "doc_id bigint, xh bigint, start int, stop int")
-    spans = merged.unionByName(runs.filter("run IS NULL AND wh IS NULL").select("doc_id", "xh", "start", "stop"))
+    merged = runs.filter("run IS NOT NULL").select("kind", "part", "run").repartition(parts, "part").groupBy("part").applyInArrow(_merge(kinds), "kind int, doc_id bigint, xh bigint, start int, stop int")
+    spans = merged.unionByName(runs.filter("run IS NULL AND wh IS NULL").select("kind", "doc_id", "xh", "start", "stop"))
     if not again.filter("hot").isEmpty():
         hot_rows = runs.filter("wh IS NOT NULL")
-        twice = written(hot_rows.groupBy("wh").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("wh").alias("w")), "suffix-hot")
-        spans = spans.unionByName(hot_rows.join(twice, F.col("wh") == F.col("w")).select("doc_id", "xh", "start", "stop"))
-    spans = written(spans.withColumn("words", F.lit(words)), "suffix-found")
+        twice = written(hot_rows.groupBy("kind", "wh").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("kind").alias("hk"), F.col("wh").alias("w")), "suffix-hot")
+        spans = spans.unionByName(hot_rows.join(twice, (F.col("wh") == F.col("w")) & (F.col("kind") == F.col("hk"))).select("kind", "doc_id", "xh", "start", "stop"))
+    by_words = F.col("kind").isin([k for k, x in enumerate(kinds) if x[2]])
+    spans = written(spans.select("doc_id", "xh", "start", "stop", by_words.alias("words")), "suffix-found")
     dropped(runs, again, lists)
     return spans
 
@@ -405,9 +454,7 @@ SPAN_BYTES = 64 << 20
 def _with_spans(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int, hot: int, passages: bool) -> DataFrame:
     """docs, packed in _row, with _id, _text (null is empty) and the spans that go (_l, null: none). passages: repeats of WORDS words go as well."""
     texts = _texts(docs, id_col, text_col)
-    spans = _spans(texts, window, gram, hot)
-    if passages:
-        spans = spans.unionByName(_spans(texts, WORDS, WORD_GRAM, hot, True))
+    spans = _spans(texts, [(window, gram, False), *([BY_WORDS] if passages else [])], hot)
     by_doc = written(spans.groupBy(F.col("doc_id").alias("_lid"), F.col("xh").alias("_lxh")).agg(F.collect_set(F.struct("start", "stop", "words")).alias("_l")), "suffix-spans")
     text = F.col(f"_row.`{text_col}`").cast("string")
     rows = packed(docs).withColumn("_id", F.col(f"_row.`{id_col}`").cast("bigint")).withColumn("_text", F.coalesce(text, F.lit(""))).withColumn("_xh", F.xxhash64("_text"))
