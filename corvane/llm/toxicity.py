@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import crc_mod
 
 SAMPLE, LEXICON, BINS, ROUNDS, DEPTH, RATE = 20_000, 200, 32, 80, 3, 0.15
+#: One labelled row in so many calibrates and teaches nothing else.
+CALIBRATION = 10
 #: Toxic documents a word of the lexicon stands in.
 LEAST_DOCS = 5
 #: Second person in the four languages. Fixed values.
@@ -234,11 +236,11 @@ def fit_trees(x: np.ndarray, y: np.ndarray, lexicon: dict[str, float], cal: np.n
 
 
 def _training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, toxic, text, cal) of at most SAMPLE labelled ids that aren't held out; cal marks about a fifth, for calibration only."""
+    """(id, toxic, text, cal) of at most SAMPLE labelled ids that aren't held out; cal marks about one in CALIBRATION, for calibration only."""
     ids = labels.select(F.col("doc_id").cast("bigint").alias("_l"), F.col("toxic").cast("int").alias("toxic")).dropna().filter(crc_mod(F.col("_l"), 5) != 0)
     ids = ids.groupBy("_l").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("_l"), "_l").limit(SAMPLE)
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(ids), F.col("id") == F.col("_l")).select("id", "toxic", "text", (F.pmod(F.xxhash64("id", F.lit(4)), F.lit(5)) == 0).alias("cal"))
+    return texts.join(F.broadcast(ids), F.col("id") == F.col("_l")).select("id", "toxic", "text", (F.pmod(F.xxhash64("id", F.lit(4)), F.lit(CALIBRATION)) == 0).alias("cal"))
 
 
 def learn_lexicon(rows: DataFrame) -> dict[str, float]:
