@@ -423,6 +423,14 @@ def test_suffixes_at_the_contract(spark):
 def test_windows_of_equal_hash_are_told_apart_by_bytes(monkeypatch):
     records = [(b"abcdefgh", b"", False, 1, 0, 0), (b"xyabcdxy", b"", False, 2, 0, 0), (b"zzzzabcd", b"", True, 3, 0, 0)]
     want = sorted(suffixes.repeated_windows(records, 4))
+    rng = random.Random(15)
+    letters = lambda n: bytes(rng.choice(b"ab") for _ in range(n))
+    many = [(b"anchor" + letters(14), letters(12), False, i, 0, 0) for i in range(200)]  # windows of 20 that start up to 12 before the anchor
+    found = suffixes.repeated_windows(many, 20)
+    whole = sorted((d, *x) for d in range(200) for x in suffixes.merged_spans([r[2:] for r in found if r[0] == d]))
+    monkeypatch.setattr(suffixes, "AT_ONCE", 300)
+    cut = suffixes.repeated_windows(many, 20)
+    assert sorted((d, *x) for d in range(200) for x in suffixes.merged_spans([r[2:] for r in cut if r[0] == d])) == whole and len(whole) > 20
     monkeypatch.setattr(suffixes, "rolling", lambda b, width: np.zeros(max(len(b) - width + 1, 0), np.uint64))
     assert sorted(suffixes.repeated_windows(records, 4)) == want == [(1, 0, 0, 4), (2, 0, 2, 6)]
 
