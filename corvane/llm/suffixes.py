@@ -210,7 +210,7 @@ class LoserTree:
 
 
 #: Windows that are compared at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 
 
 def repeated_windows(records, window: int, words: bool = False):
@@ -423,8 +423,8 @@ def _spans(texts: DataFrame, kinds, hot: int) -> DataFrame:
     n = lists.agg(F.sum(F.size("l"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // PART_ROWS))
     runs = written(_with_lists(texts, lists).mapInArrow(_runs(parts, kinds), _OUT), "suffix-runs")
-    # As many tasks as parts: a task's share doesn't grow with the input.
-    merged = runs.filter("run IS NOT NULL").select("kind", "part", "run").repartition(parts, "part").groupBy("part").applyInArrow(_merge(kinds), "kind int, doc_id bigint, xh bigint, start int, stop int")
+    # More tasks than parts, so that few tasks have two: a task's share doesn't grow with the input.
+    merged = runs.filter("run IS NOT NULL").select("kind", "part", "run").repartition(2 * parts * len(kinds), "part").groupBy("part").applyInArrow(_merge(kinds), "kind int, doc_id bigint, xh bigint, start int, stop int")
     spans = merged.unionByName(runs.filter("run IS NULL AND wh IS NULL").select("kind", "doc_id", "xh", "start", "stop"))
     if not again.filter("hot").isEmpty():
         hot_rows = runs.filter("wh IS NOT NULL")
