@@ -69,7 +69,8 @@ class Transducer:
         #: A state: its places, oldest first, each as trie node * SEAM + 1 + the last token before it (0: none).
         self.keys: list[tuple[int, ...]] = [(0,)]
         self.number = {self.keys[0]: 0}
-        self.moves: dict[int, tuple[int, int]] = {}  # state * 256 + byte -> next state, last token of the prefix
+        #: By state, its moves: byte -> next state, last token of the prefix, the next state's moves, whether that has one place.
+        self.moves: list[dict[int, tuple]] = [{}]
         self.fits: dict[int, bool] = {}
 
     def _halves(self, t: int) -> tuple[int, int]:
@@ -104,7 +105,15 @@ class Transducer:
             else:
                 until_b, b = b, self._halves(b)[0]
 
-    def _move(self, state: int, byte: int) -> tuple[int, int]:
+    def _state(self, key: tuple[int, ...]) -> int:
+        to = self.number.get(key)
+        if to is None:
+            to = self.number[key] = len(self.keys)
+            self.keys.append(key)
+            self.moves.append({})
+        return to
+
+    def _move(self, state: int, byte: int) -> tuple:
         child, inner, token_at, fits, seam = self.child, self.inner, self.token_at, self.fits, self.SEAM
         live, ended = [], -1
         for place in self.keys[state]:
@@ -124,12 +133,8 @@ class Transducer:
         if ended < 0:
             raise ValueError(f"no token covers byte {byte}")
         live.append(ended + 1)  # the root: a token may start here
-        key = tuple(live)
-        to = self.number.get(key)
-        if to is None:
-            to = self.number[key] = len(self.keys)
-            self.keys.append(key)
-        got = self.moves[state * 256 + byte] = (to, ended)
+        to = self._state(tuple(live))
+        got = self.moves[state][byte] = (to, ended, self.moves[to], len(live) == 1)
         return got
 
     def _settle(self, lasts: list[int]) -> list[int]:
@@ -142,50 +147,65 @@ class Transducer:
         out.reverse()
         return out
 
+    #: Bytes after which the tables' size is looked at.
+    LOOK = 4096
+
+    def feed(self, piece: bytes, state: int, lasts: list[int]) -> tuple[list[int], int]:
+        """Tokens that piece settles, and the next state; lasts, what is not settled yet, is changed. A token is settled where no place but the last is left: from
+        there on, nothing can change what stands before. That is at most as far ahead as tokens overlap. Tables that have outgrown MAX_STATES start afresh, within a word too."""
+        out: list[int] = []
+        for lo in range(0, len(piece), self.LOOK):
+            if len(self.keys) > self.MAX_STATES:
+                key = self.keys[state]
+                self._reset()
+                state = self._state(key)
+            moves = self.moves[state]
+            for byte in piece[lo : lo + self.LOOK] if lo or len(piece) > self.LOOK else piece:
+                state, t, moves, settled = moves.get(byte) or self._move(state, byte)
+                if not settled:
+                    lasts.append(t)
+                elif lasts:
+                    lasts.append(t)
+                    out += self._settle(lasts)
+                    lasts.clear()
+                else:
+                    out.append(t)
+        return out, state
+
     def stream(self, pieces):
-        """Tokens of a word that comes in pieces. They are emitted where no place but the last is left: from there on,
-        nothing can change what stands before. That is at most as far ahead as tokens overlap. Tables that have outgrown
-        MAX_STATES start afresh there, within a word too."""
-        state, lasts, moves, keys = 0, [], self.moves, self.keys
+        """Tokens of a word that comes in pieces."""
+        state, lasts = 0, []
         for piece in pieces:
-            for byte in piece:
-                state, t = moves.get(state * 256 + byte) or self._move(state, byte)
-                lasts.append(t)
-                if len(keys[state]) == 1:
-                    if len(lasts) == 1:
-                        yield t
-                    else:
-                        yield from self._settle(lasts)
-                    lasts.clear()
-                    if len(keys) > self.MAX_STATES:
-                        key = keys[state]
-                        self._reset()
-                        moves, keys = self.moves, self.keys
-                        state = self.number.get(key)
-                        if state is None:
-                            state = self.number[key] = len(keys)
-                            keys.append(key)
+            out, state = self.feed(piece, state, lasts)
+            yield from out
         yield from self._settle(lasts)
 
     def run(self, word: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(word)
         if whole is not None:  # a word that is a token is that token, whether merges reach it or not
             return (whole,)
-        return tuple(self.stream([word]))
+        lasts: list[int] = []
+        out, _ = self.feed(word, 0, lasts)
+        return (*out, *self._settle(lasts)) if lasts else tuple(out)
 
 
 class _Words(dict):
-    """Ids of words met lately."""
+    """Ids of words met lately: two generations, so that frequent words stay when the newer one is full."""
 
-    MAX = 100_000
+    MAX = 200_000
 
     def __init__(self, transducer: Transducer):
         self.transducer = transducer
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= self.MAX:
+            self.older = dict(self)
             self.clear()
-        ids = self[word] = self.transducer.run(word.encode())
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.transducer.run(word.encode())
+        self[word] = ids
         return ids
 
 
