@@ -447,8 +447,8 @@ def _cut(data: bytes, spans) -> tuple[bytes, int, int]:
     return b"".join([*kept, data[at:]]), removed, len(spans)
 
 
-#: Bytes of spans that may be broadcast; beyond, texts and spans are shuffled.
-SPAN_BYTES = 64 << 20
+#: Bytes of spans that may be broadcast, and of one span in a row as Spark holds it; beyond, texts and spans are shuffled.
+SPAN_BYTES, SPAN_SIZE = 160 << 20, 40
 
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int, hot: int, passages: bool) -> DataFrame:
@@ -458,7 +458,7 @@ def _with_spans(docs: DataFrame, id_col: str, text_col: str, window: int, gram:
     by_doc = written(spans.groupBy(F.col("doc_id").alias("_lid"), F.col("xh").alias("_lxh")).agg(F.collect_set(F.struct("start", "stop", "words")).alias("_l")), "suffix-spans")
     text = F.col(f"_row.`{text_col}`").cast("string")
     rows = packed(docs).withColumn("_id", F.col(f"_row.`{id_col}`").cast("bigint")).withColumn("_text", F.coalesce(text, F.lit(""))).withColumn("_xh", F.xxhash64("_text"))
-    return rows.join(small(by_doc, BROADCAST_IDS, F.size("_l") * 16, SPAN_BYTES), (F.col("_xh") == F.col("_lxh")) & F.col("_id").eqNullSafe(F.col("_lid")), "left")
+    return rows.join(small(by_doc, BROADCAST_IDS, F.size("_l") * SPAN_SIZE + 64, SPAN_BYTES), (F.col("_xh") == F.col("_lxh")) & F.col("_id").eqNullSafe(F.col("_lid")), "left")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
