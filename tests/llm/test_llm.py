@@ -135,11 +135,13 @@ def test_bpe_against_tiktoken(spark, vocab):
         ranks = bpe.read_ranks(f.read())
     enc = tiktoken.Encoding("own", pat_str=vocab[1], mergeable_ranks=ranks, special_tokens={})
     tok, rng = bpe.ByteBPE(ranks, vocab[1]), random.Random(4)
-    tok.words.transducer.MAX_STATES = 50  # starts afresh, within words too
+    tok.words.transducer.MAX_STATES, tok.words.transducer.LOOK = 50, 4  # starts afresh, within words too
     for _ in range(800):
         s = "".join(rng.choice("ab \n\t  éñ漢字🙂0123!!??,. 　thingers") for _ in range(rng.randint(0, 60)))
         assert tok.encode(s) == enc.encode_ordinary(s)
         assert "".join(tok.decode_stream(tok.encode(s), 1)) == s
+        word = s.replace(" ", "").encode()
+        assert word in ranks or tuple(tok.words.transducer.stream([word[i : i + 3] for i in range(0, len(word), 3)])) == tok.words.transducer.run(word)
     got = {r.doc_id: r for r in bpe.round_trips(docs(spark, ODD), *vocab).collect()}
     for i, t in enumerate(ODD):
         ids = enc.encode_ordinary(t or "")
