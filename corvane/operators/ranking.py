@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .chunking import numbered
+
 RRF_K = 60
 VECTOR_WEIGHT, KEYWORD_WEIGHT = 1.0, 2.0
 BASE_WEIGHT, GRAPH_WEIGHT = 1.0, 2.7
@@ -16,6 +18,14 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], k: int | None = No
     return out.filter(F.col(name) <= k) if k is not None else out
 
 
+def ranked_whole(df: DataFrame, by: str, score: str, key: str, name: str) -> DataFrame:
+    """Ranks without a limit, by descending score and then key: a window would put all rows of a value of by into one task; here one sort by range numbers all rows, and each
+    value counts from its first."""
+    n = numbered(df.withColumn("_less", -F.col(score)), [by, "_less", key], name="_n").drop("_less")
+    low = n.groupBy(F.col(by).alias("_by")).agg(F.min("_n").alias("_low"))
+    return n.join(low, F.col(by) == F.col("_by")).withColumn(name, F.col("_n") - F.col("_low") + 1).drop("_n", "_by", "_low")
+
+
 def over_fetch(k: int) -> int:
     return max(6 * k, k + 20)
 

@@ -178,7 +178,7 @@ def graph_search(chunks: DataFrame, questions: DataFrame, g: Graph, k: int = 10,
     raw = max(8 * k, k + 30)
     base = written(hybrid_search(chunks, questions, raw), "graph-base")
     scored = graph_scores(chunks, questions, g, base, k)
-    ranked = R.ranked(scored, ["qid"], [F.desc("score"), F.col("doc_id")], None, "graph_rank").join(chunks.select("doc_id"), "doc_id", "left_semi")
+    ranked = R.ranked_whole(scored, "qid", "score", "doc_id", "graph_rank").join(chunks.select("doc_id"), "doc_id", "left_semi")
     fused = R.fuse(ranked, base.withColumnRenamed("rank", "base_rank"), ["qid", "doc_id"], ("graph_rank", "base_rank"), (R.GRAPH_WEIGHT, R.BASE_WEIGHT), k if include_references else raw)
     return references_last(fused, chunks, k, include=include_references)
 
@@ -342,24 +342,23 @@ def beam_search(levels: list[DataFrame], children: DataFrame, questions: DataFra
             met = met.unionByName(past_questions(nodes, lost).select("qid", "node_id", "embedding", "qvec", "kind", F.lit(None).cast("double").alias("parent_route")))
         s = met.withColumn("local", F.round(V.cosine(F.col("embedding"), F.col("qvec")), 6))
         s = s.withColumn("route", F.round(F.when(F.col("parent_route").isNull(), F.col("local")).otherwise(LOCAL * F.col("local") + ROUTE * F.col("parent_route")), 6))
-        s = R.ranked(s, ["qid"], [F.desc("route"), F.col("node_id")]).filter(F.col("rank") <= F.greatest(F.lit(top_k), width))
+        most = max(top_k, 6 + depth if beam is None else beam)  # of any kind
+        s = R.ranked(s, ["qid"], [F.desc("route"), F.col("node_id")], most).filter(F.col("rank") <= F.greatest(F.lit(top_k), width))
         s = written(s.select("qid", F.lit(level).cast("bigint").alias("level"), "node_id", "local", "route", "rank", width.alias("width")), "beam-level")
         out = s if out is None else out.unionByName(s)
         parents = s.filter(F.col("rank") <= F.col("width")).select("qid", "node_id", "route")
     return out.drop("width")
 
 
-def for_quotas(ranked: DataFrame, limit: int, per_node: int, per_paper: int) -> DataFrame:
-    """The rows that a greedy choice of limit can take, of any number of candidates (qid, pos, node, paper): of a node and paper together the first
+def for_quotas(cands: DataFrame, limit: int, per_node: int, per_paper: int, order: list[Column] | None = None) -> DataFrame:
+    """The rows that a greedy choice of limit can take, of any number of candidates (qid, node, paper, in order of pos or as told): of a node and paper together the first
     that fit the tighter quota; of a node as many as its quota and those that full papers (limit / per_paper at most) may shut out;
-    and the first rows of all for the filling up. What goes would be passed over or never be reached."""
-    least = min(per_node, per_paper)
-    r = R.ranked(ranked, ["qid"], [F.col("pos")], None, "_all")
-    r = R.ranked(r, ["qid", "node", "paper"], [F.col("pos")], None, "_pair")
-    r = r.withColumn("_fits", F.col("_pair") <= least)
-    r = R.ranked(r, ["qid", "node", "_fits"], [F.col("pos")], None, "_node")
-    per = per_node + least * (limit // per_paper)
-    return r.filter((F.col("_all") <= 2 * limit) | (F.col("_fits") & (F.col("_node") <= per))).drop("_all", "_pair", "_fits", "_node")
+    and the first rows of all for the filling up. What goes would be passed over or never be reached. Every window has a limit, so no task sorts all candidates."""
+    order, least = order or [F.col("pos")], min(per_node, per_paper)
+    first = R.ranked(cands, ["qid"], order, 2 * limit, "_n")
+    pair = R.ranked(cands, ["qid", "node", "paper"], order, least, "_n").drop("_n")
+    node = R.ranked(pair, ["qid", "node"], order, per_node + least * (limit // per_paper), "_n")
+    return first.unionByName(node).drop("_n").distinct()
 
 
 def rerank_candidates(found: DataFrame, refs: DataFrame, chunks: DataFrame, questions: DataFrame) -> DataFrame:
@@ -377,8 +376,9 @@ def hierarchy_rerank(cands: DataFrame, k: int, weights: tuple[float, float, floa
     rerank_candidates. qid, doc_id, source, node_id, score, rank."""
     of = lambda i: F.lit(weights[i]) if weights else F.element_at(F.create_map(*[F.lit(x) for kind, w in POLICY.items() for x in (kind, w[i])]), F.col("kind"))
     s = cands.withColumn("score", F.round(of(0) * V.unit_interval(F.col("similarity")) + of(1) * V.unit_interval(F.col("node_score")) + of(2) * F.col("keyword"), 6))
-    s = R.ranked(s, ["qid"], [F.desc("score"), F.col("source"), F.col("doc_id")], None, "pos").select("qid", "pos", F.col("node_id").cast("string").alias("node"), F.col("source").alias("paper"), "doc_id", "score")
-    few = written(for_quotas(s, k, per_node, per_paper), "quota-candidates")
+    order = [F.desc("score"), F.col("paper"), F.col("doc_id")]
+    s = s.select("qid", F.col("node_id").cast("string").alias("node"), F.col("source").alias("paper"), "doc_id", "score")
+    few = written(R.ranked(for_quotas(s, k, per_node, per_paper, order), ["qid"], order, None, "pos"), "quota-candidates")
     chosen = R.quota_select(few.select("qid", "pos", "node", "paper"), "qid", k, per_node, per_paper)
     return chosen.select("qid", "pos", "rank").join(few, ["qid", "pos"]).select("qid", "doc_id", F.col("paper").alias("source"), F.col("node").alias("node_id"), "score", "rank")
 
