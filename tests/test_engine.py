@@ -236,6 +236,14 @@ def test_quota_select(spark):
         assert whole == sorted(map(tuple, R.quota_select(P.for_quotas(many, limit, per_node, per_paper), "qid", limit, per_node, per_paper).collect()))
 
 
+def test_ranks_of_all_rows(spark):
+    d = spark.createDataFrame([(q, i, float(i * 7 % 5)) for q in (1, 2) for i in range(9)], "qid bigint, doc_id bigint, score double")
+    got = {(r.qid, r.doc_id): r.r for r in R.ranked_whole(d, "qid", "score", "doc_id", "r").collect()}
+    for q in (1, 2):
+        order = sorted(range(9), key=lambda i: (-(i * 7 % 5), i))
+        assert [got[q, i] for i in order] == list(range(1, 10))
+
+
 def test_points_from_replies(spark):
     found = spark.createDataFrame([(1, 0, 7, 0.9, 0.9, 1), (1, 0, 8, 0.5, 0.5, 2)], "qid bigint, level bigint, node_id bigint, local double, route double, rank bigint")
     reply = spark.createDataFrame([(1, 0, '{"points": [{"description": "x", "score": "120", "source": "E2"}, {"description": "y", "score": "10", "source": "E1"}, {"description": "z", "score": "40", "source": "E9"}]}')], "qid bigint, level bigint, reply string")
