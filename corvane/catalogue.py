@@ -12,7 +12,7 @@ from .functions import text as T, vectors as V
 from .operators import chunking, graph, kg, metrics, ranking as R
 from .plans import retrieval as P
 from .sources import io
-from .tables import written
+from .tables import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -79,7 +79,7 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunks() with their searchable text: written once a session, as an index is, and read by all searches."""
     at = (spark.sparkContext.applicationId, sf_dir)
     if at not in _indexes:
-        _indexes[at] = written(chunks(spark, sf_dir).withColumn("searchable", F.lower(F.concat_ws(" ", "source", "text"))), "search-index")
+        _indexes[at] = kept(chunks(spark, sf_dir).withColumn("searchable", F.lower(F.concat_ws(" ", "source", "text"))), "search-index", "doc_id")
     return _indexes[at]
 
 

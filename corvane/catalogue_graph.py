@@ -11,7 +11,7 @@ from .functions import text as T
 from .models import HashEmbedder
 from .operators import chunking, graph, kg
 from .plans import communities as C, hierarchy as H, retrieval as P
-from .tables import written
+from .tables import kept, written
 
 SIZE = 32
 _HASHES = "list_transform(regexp_extract_all(lower({t}), '([a-z0-9]+)', 1), lambda w: ('0x' || substring(md5(w), 1, 7))::BIGINT)"
@@ -117,8 +117,8 @@ def knowledge(spark: SparkSession, sf_dir: str, with_communities: bool = False)
         r = written(records(spark, sf_dir), "kg-records")
         ent, rel = kg.entities_of(r), kg.relations_of(r)
         e = kg.merged_entities(ent)
-        e = written(e.withColumn("embedding", HashEmbedder(SIZE).embed(kg.entity_text(e))), "kg-entities")
-        g = P.Graph(e, written(kg.merged_relations(rel, e), "kg-relations"), written(_doc(kg.links(ent), "entity_id"), "kg-links"), written(_doc(kg.relation_links(rel, e), "relation_id"), "kg-relation-links"))
+        e = kept(e.withColumn("embedding", HashEmbedder(SIZE).embed(kg.entity_text(e))), "kg-entities", "entity_id")
+        g = P.Graph(e, kept(kg.merged_relations(rel, e), "kg-relations", "relation_id"), kept(_doc(kg.links(ent), "entity_id"), "kg-links", "entity_id"), kept(_doc(kg.relation_links(rel, e), "relation_id"), "kg-relation-links", "relation_id"))
         _built[at] = Knowledge(g)
     k = _built[at]
     if with_communities and k.communities is None:

@@ -40,6 +40,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Rows of a part of a kept table that is scanned with costly expressions.
+PART_ROWS = 20_000
+
+
+def kept(df: DataFrame, name: str, key: str) -> DataFrame:
+    """written, in parts of about PART_ROWS rows by key and as many as shuffles have at least: what is small in bytes may still be work for all cores."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // PART_ROWS))
+    return written(df.repartition(n, key), name)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes written tables that nothing reads any more. The JVM is asked to collect its garbage, for it is then that Spark
     deletes the shuffle files behind them; in a loop they would pile up."""
