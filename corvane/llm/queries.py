@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..cluster import ship
-from . import bpe, chat, langid, minhash, packing, quality, radix, suffixes, toxicity, warc
+from . import bpe, chat, intervals, langid, minhash, packing, quality, radix, suffixes, toxicity, warc
 from .common import table
 
 
@@ -59,7 +59,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(ship(spark), sf_dir, "pages")).drop("url")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_byte_bpe, op4_toxicity, op5_best_fit_packing, op6_language_id, op7_minhash_near_dedup, op8_chat_formatting, op9_suffix_array_dedup, op10_warc)}
+def op11_interval_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.overlaps(*(table(spark, sf_dir, t) for t in ("sales", "sale_lines", "clicks")))
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedded.quality(table(ship(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(ship(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_byte_bpe, op4_toxicity, op5_best_fit_packing, op6_language_id, op7_minhash_near_dedup, op8_chat_formatting, op9_suffix_array_dedup, op10_warc, op11_interval_overlap_join, op12_quality_classifier, op13_filter_audit)}
 
 _NORMALISED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -99,6 +111,27 @@ ORACLE_SQL = {
                    + length(text) + length(text) - length(translate(text, '\<', '')))::BIGINT AS formatted_chars,
                0::BIGINT AS n_attachments, 0::BIGINT AS attachment_tokens
         FROM c GROUP BY conv_id""",
+    "op11_interval_overlap_join": """
+        WITH c AS (SELECT client_id AS k, epoch_us(ts) AS t, coalesce(kind = 'error', false) AS bad FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL),
+        g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY k ORDER BY t) <= 900000000 THEN 0 ELSE 1 END AS fresh FROM c),
+        h AS (SELECT *, sum(fresh) OVER (PARTITION BY k ORDER BY t ROWS UNBOUNDED PRECEDING) AS no FROM g),
+        i AS (SELECT k, no, min(t) AS t1, max(t) AS t2 FROM h GROUP BY k, no),
+        s AS (SELECT i.k, t1, t1 // 21600000000 AS a, CASE WHEN bool_or(bad AND h.t = t2) THEN 1000000000000 ELSE max(t2) // 21600000000 END AS b
+              FROM i JOIN h ON h.k = i.k AND h.no = i.no GROUP BY i.k, i.no, t1),
+        l AS (SELECT sale_id, max(shipped_at) AS m FROM sale_lines GROUP BY sale_id),
+        v AS (SELECT s.sale_id, client_id AS k, epoch_us(sold_at) // 21600000000 AS c,
+                     CASE WHEN status = 'open' THEN 1000000000000 ELSE epoch_us(greatest(sold_at, m)) // 21600000000 END AS d
+              FROM sales s LEFT JOIN l ON l.sale_id = s.sale_id WHERE client_id IS NOT NULL AND sold_at IS NOT NULL),
+        f AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda x, j: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, i)) AS f),
+        q AS (SELECT k, a, b, xor(list_reduce(list_transform(string_split(t1::VARCHAR, ''), lambda x: ord(x)::BIGINT),
+                                              lambda x, y: xor(x >> 8, f[(xor(x, y) & 255) + 1]), 4294967295), 4294967295) AS crc FROM s, f),
+        p AS (SELECT sale_id, crc, greatest(a, c) AS lo, least(b, d) AS hi,
+                     CASE WHEN c < a THEN CASE WHEN d < b THEN 'overlaps' WHEN d = b THEN 'finished_by' ELSE 'contains' END
+                          WHEN c = a THEN CASE WHEN d < b THEN 'starts' WHEN d = b THEN 'equals' ELSE 'started_by' END
+                          ELSE CASE WHEN d < b THEN 'during' WHEN d = b THEN 'finishes' ELSE 'overlapped_by' END END AS relation
+              FROM q JOIN v USING (k) WHERE a <= d AND c <= b)
+        SELECT sale_id, relation, count(*) AS n_pairs, sum(CASE WHEN hi < 1000000000000 THEN hi - lo + 1 END)::BIGINT AS overlap_slots, sum(crc)::BIGINT AS sessions_crc
+        FROM p GROUP BY sale_id, relation""",
     "op9_suffix_array_dedup": None,
 }
 ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if v}
