@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..cluster import ship
-from . import bpe, chat, intervals, langid, minhash, packing, quality, radix, suffixes, toxicity, warc
+from . import audit, bpe, chat, embedded, intervals, langid, minhash, packing, quality, radix, suffixes, toxicity, warc
 from .common import table
 
 
@@ -132,6 +132,23 @@ ORACLE_SQL = {
               FROM q JOIN v USING (k) WHERE a <= d AND c <= b)
         SELECT sale_id, relation, count(*) AS n_pairs, sum(CASE WHEN hi < 1000000000000 THEN hi - lo + 1 END)::BIGINT AS overlap_slots, sum(crc)::BIGINT AS sessions_crc
         FROM p GROUP BY sale_id, relation""",
+    "op13_filter_audit": r"""
+        WITH RECURSIVE
+        d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents),
+        w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+        m AS (SELECT part, (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT
+                     + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * (doc_id > first)::INT AS mask,
+                     coalesce(quality = 1, false)::INT AS good, coalesce(toxic = 1, false)::INT AS toxic
+              FROM w LEFT JOIN labels USING (doc_id)),
+        c AS MATERIALIZED (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+        f AS (SELECT substr('ABCDE', i + 1, 1) AS letter, 1 << i AS bit FROM (SELECT unnest(range(5))::INT AS i)),
+        p(o, before, bit, letter, step) AS (SELECT '', 0, 0, '', 0 UNION ALL SELECT o || f.letter, before | p.bit, f.bit, f.letter, step + 1 FROM p, f WHERE (before | p.bit) & f.bit = 0),
+        s AS (SELECT a.o AS filter_order, b.before, b.bit, b.letter, b.step FROM p a JOIN p b ON a.step = 5 AND b.step > 0 AND starts_with(a.o, b.o)),
+        r AS (SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS removed,
+                     coalesce(sum(n) FILTER (mask & before > 0 AND mask & bit > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+                     coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS toxic_lost
+              FROM c, s GROUP BY ALL)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, letter)::BIGINT AS shapley FROM r""",
     "op9_suffix_array_dedup": None,
 }
 ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if v}
