@@ -15,8 +15,10 @@ windows whose anchor it is, and all windows are covered.
    match, so that two records are only compared from where they are not yet known to be equal. The merge yields the lengths of shared
    prefixes; records that share an anchor are neighbours, and their windows are compared with one another, by bytes.
 
-Anchors that occur more than HOT times are not brought together in one task: their windows are counted, by hash, in a
-partial aggregation instead, by 64 bits (there alone no bytes are compared).
+Anchors that occur more than HOT times are not brought together in one task: their windows are counted by their SHA-256 in a
+partial aggregation instead, so that no group of them is ever held.
+
+Rows that repeat an id and a text are sought through once for all of them; every window of theirs stands elsewhere.
 
 The same is done with words in the place of bytes, each as a hash of 64 bits, where passages are told by their number of words:
 without_passages, the pipeline's stage.
@@ -27,10 +29,11 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import SPACES, dropped, packed, small, written
 from .minhash import _hashes
@@ -40,6 +43,8 @@ WINDOW, GRAM, HOT = 400, 32, 20_000
 WORDS, WORD_GRAM = 51, 16
 _WORD = re.compile(SPACES.replace("[", "[^").encode())
 RUN_BYTES, RESOLVE_BYTES, PART_ROWS = 32 << 20, 1 << 20, 30_000
+#: Windows whose anchors are sought at once: longer texts are taken in pieces that overlap.
+PIECE = 1 << 20
 
 _P = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -109,10 +114,10 @@ def _find(kinds):
                     data = t.encode()
                     for k, (window, gram, words) in enumerate(kinds):
                         b = units(data, words)
-                        if len(b) >= window:
-                            found = anchors(b, window, gram)
-                            parts.append(found)
-                            owners += [(i, x, k)] * len(found[0])
+                        for at in range(0, len(b) - window + 1, PIECE):
+                            place, h, first, last = anchors(b[at : at + PIECE + window - 1], window, gram)
+                            parts.append((place + at, h, first + at, last + at))
+                            owners += [(i, x, k)] * len(place)
                 if owners:
                     place, h, first, last = (np.concatenate(c) for c in zip(*parts, strict=True))
                     who = zip(zip(*owners, strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)
@@ -278,9 +283,9 @@ def _equal_windows(b: np.ndarray, starts: np.ndarray, h: np.ndarray, window: int
     return again
 
 
-_OUT = "kind int, part int, run binary, wh bigint, doc_id bigint, xh bigint, start int, stop int"
+_OUT = "kind int, part int, run binary, wh binary, doc_id bigint, xh bigint, start int, stop int"
 _OUT_NAMES = ["kind", "part", "run", "wh", "doc_id", "xh", "start", "stop"]
-_OUT_KINDS = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+_OUT_KINDS = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
 
 def _rows(rows):
@@ -328,8 +333,7 @@ def _runs(parts: int, kinds):
                 for s in by_kind[kind]:
                     place, first, last = s["place"], s["first"], s["last"]
                     if s["hot"]:
-                        h = rolling(b[first : last + window], window).view(np.int64).tolist()
-                        hot += [(kind, None, None, x, doc, xh, first + k, first + k + window) for k, x in enumerate(h)]
+                        hot += [(kind, None, None, hashlib.sha256(raw[k * width : (k + window) * width]).digest(), doc, xh, k, k + window) for k in range(first, last + 1)]
                         continue
                     key = ((s["hash"] & _MASK).to_bytes(8, "little") + raw[place * width : (last + window) * width], raw[first * width : place * width])
                     held[kind].setdefault(key, []).append((doc, xh, first))
@@ -412,9 +416,23 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.xxhash64(t).alias("xh"), t.alias("text"))
 
 
+def _once(texts: DataFrame, kinds) -> tuple[DataFrame, DataFrame]:
+    """texts with one row for all that repeat an id and a text, and spans of the whole texts of such rows."""
+    rows = texts.groupBy(F.col("doc_id").alias("_rid"), F.col("xh").alias("_rxh")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    rows = small(written(rows, "suffix-copies"), BROADCAST_IDS)
+    same = (F.col("xh") == F.col("_rxh")) & F.col("doc_id").eqNullSafe(F.col("_rid"))
+    one = texts.join(rows, same, "left_semi").groupBy("doc_id", "xh").agg(F.first("text").alias("text"))
+    one = written(one, "suffix-copied")
+    n_words = F.size(F.filter(F.split("text", SPACES), lambda w: w != ""))
+    long = reduce(Column.__or__, [(n_words if words else F.octet_length("text")) >= window for window, _, words in kinds])
+    whole = one.filter(long).select("doc_id", "xh", F.lit(0).alias("start"), F.octet_length("text").alias("stop"), F.lit(False).alias("words"))
+    return texts.join(rows, same, "left_anti").unionByName(one), whole
+
+
 def _spans(texts: DataFrame, kinds, hot: int) -> DataFrame:
     """(doc_id, xh, start, stop, words) of what repeats, for all kinds in one pass: a text is read and sent once for all of them."""
     spark = texts.sparkSession
+    texts, copied = _once(texts, kinds)
     spots = written(texts.mapInArrow(_find(kinds), "doc_id bigint, xh bigint, kind int, hash bigint, place int, first int, last int"), "suffix-anchors")
     again = written(spots.groupBy("kind", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("kind").alias("hk"), F.col("hash").alias("h"), (F.col("n") > hot).alias("hot")), "suffix-again")
     lists = spots.join(again, (F.col("hash") == F.col("h")) & (F.col("kind") == F.col("hk"))).groupBy(F.col("doc_id").alias("lid"), F.col("xh").alias("lxh")).agg(F.collect_list(F.struct("kind", "hash", "place", "first", "last", "hot")).alias("l"))
@@ -431,7 +449,7 @@ def _spans(texts: DataFrame, kinds, hot: int) -> DataFrame:
         twice = written(hot_rows.groupBy("kind", "wh").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("kind").alias("hk"), F.col("wh").alias("w")), "suffix-hot")
         spans = spans.unionByName(hot_rows.join(twice, (F.col("wh") == F.col("w")) & (F.col("kind") == F.col("hk"))).select("kind", "doc_id", "xh", "start", "stop"))
     by_words = F.col("kind").isin([k for k, x in enumerate(kinds) if x[2]])
-    spans = written(spans.select("doc_id", "xh", "start", "stop", by_words.alias("words")), "suffix-found")
+    spans = written(spans.select("doc_id", "xh", "start", "stop", by_words.alias("words")).unionByName(copied), "suffix-found")
     dropped(runs, again, lists)
     return spans
 
