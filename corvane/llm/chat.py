@@ -116,7 +116,7 @@ def format_turn(role: str | None, parts) -> tuple[str, tuple[int, int], list[Att
     return f"{head}{body}</turn>\n", (start, start + len(body) if role == "assistant" else start), attachments
 
 
-_TURN = re.compile(r"<turn ((?:[^\\>]|\\.)*)>((?:[^\\<]|\\.|<(?!/turn>))*)</turn>\n", re.S)
+_TURN = re.compile(r"<turn ((?:[^\\>]++|\\.)*+)>((?:[^\\<]++|\\.|<(?!/turn>))*+)</turn>\n", re.S)
 
 
 def read_turns(formatted: str):
