@@ -3,8 +3,9 @@
 A text's bytes are cut into segments of SEGMENT; over each, one network of HIDDEN gated units runs forward and one
 backward, and every position gets a probability for each language. A document's probabilities are the means over all its
 positions. Gates use x / (1 + |x|) in the place of the logistic curve and tanh. Training is backpropagation through time with
-Adam, on segments of at most SAMPLE labelled documents (the first by a hash of the id), PER_DOC from each; no held-out
-row is among them. Everything is seeded, so the same rows give the same network.
+Adam, on whole texts of at most SAMPLE labelled documents, PER_LANG of a language at most (the first by a hash of the id), so that a rare language is
+learned too; no held-out row is among them. Each step draws documents, and of each any of its segments. Everything is seeded, so the same rows
+give the same network.
 """
 
 from __future__ import annotations
@@ -13,11 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import crc_mod
+from .common import crc_mod, slices
 
-SEGMENT, HIDDEN, SAMPLE, PER_DOC = 96, 8, 3_000, 3
+SEGMENT, HIDDEN, SAMPLE, PER_LANG = 96, 8, 4_000, 750
 STEPS, LANES, RATE = 300, 256, 0.02
 #: Segments that run side by side when texts are labelled.
 SLAB = 1024
@@ -138,15 +139,24 @@ def gradients(net: Network, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> t
     return float(loss), [*es, *us, *bs, d_out, d_bias]
 
 
-def train(segments: list[bytes], y: np.ndarray, langs: list[str], steps: int = STEPS, seed: int = 7) -> Network:
+def cut(text: bytes) -> list[bytes]:
+    return [text[k : k + SEGMENT] for k in range(0, len(text), SEGMENT)]
+
+
+def train(texts: list[bytes], y: np.ndarray, langs: list[str], steps: int = STEPS, seed: int = 7) -> Network:
+    """texts: none is empty; y: the number of each one's language."""
     net, rng = new_network(langs, seed), np.random.default_rng(seed)
-    x, mask = _padded(segments)
+    pieces = [cut(t) for t in texts]
+    x, mask = _padded([p for ps in pieces for p in ps])
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    begin = np.cumsum(sizes) - sizes
     by_lang = [np.flatnonzero(y == k) for k in range(len(langs))]
     first = [np.zeros_like(p) for p in net.params()]
     second = [np.zeros_like(p) for p in net.params()]
     for step in range(1, steps + 1):
-        pick = np.concatenate([rng.choice(rows, -(-LANES // len(langs))) for rows in by_lang])
-        _, grads = gradients(net, x[pick], mask[pick], y[pick])
+        docs = np.concatenate([rng.choice(rows, -(-LANES // len(langs))) for rows in by_lang])
+        pick = begin[docs] + (rng.random(len(docs)) * sizes[docs]).astype(np.int64)
+        _, grads = gradients(net, x[pick], mask[pick], y[docs])
         norm = np.sqrt(sum(float((g**2).sum()) for g in grads))
         rate = RATE * min(1.0, 2 * (1 - (step - 1) / steps))
         for p, g, m, v in zip(net.params(), grads, first, second, strict=True):
@@ -188,27 +198,17 @@ def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
     ident = F.col(f"`{id_col}`").cast("bigint")
     rows = docs.select(ident.alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).dropna().filter((crc_mod(F.col("id"), 4) != 2) & F.col("text").rlike(r"\p{L}"))
-    # Ids first, so that a text is only carried for the sample.
-    ids = rows.select(F.col("id").alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
-
-    def work(batches):
-        for batch in batches:
-            out = []
-            for i, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = text.encode()
-                pieces = [data[k : k + SEGMENT] for k in range(0, len(data), SEGMENT)]
-                for k in np.random.default_rng(abs(i)).permutation(len(pieces))[:PER_DOC]:
-                    out.append((i, lang, int(k), pieces[k]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.binary()), strict=True)], names=["id", "lang", "k", "piece"])
-
-    got = rows.join(F.broadcast(ids), F.col("id") == F.col("_id")).select("id", "lang", "text").mapInArrow(work, "id bigint, lang string, k bigint, piece binary")
-    got = got.orderBy(F.xxhash64("id"), "id", "lang", "k", "piece").limit(SAMPLE * PER_DOC).collect()  # rows that share an id count too
-    got.sort(key=lambda r: (r.id, r.lang, r.k, bytes(r.piece)))
+    # Ids first, so that a text is only carried for the sample; all languages have their first rows before any has its second.
+    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
+    ids = rows.select(F.col("id").alias("_id"), F.col("lang").alias("_lang")).distinct().withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= PER_LANG)
+    ids = ids.orderBy("_r", F.xxhash64("_id"), "_id", "_lang").limit(SAMPLE)
+    got = rows.join(F.broadcast(ids), (F.col("id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("id", "lang", F.encode("text", "utf-8").alias("text"))
+    got = got.orderBy(F.xxhash64("id"), "id", "lang", "text").limit(SAMPLE).collect()  # rows that share an id count too
+    got.sort(key=lambda r: (r.id, r.lang, bytes(r.text)))
     if not got:
         return None
     langs = sorted({r.lang for r in got})
-    return train([bytes(r.piece) for r in got], np.array([langs.index(r.lang) for r in got]), langs)
+    return train([bytes(r.text) for r in got], np.array([langs.index(r.lang) for r in got]), langs)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", net: Network | None = None) -> DataFrame:
@@ -219,8 +219,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     def work(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in slices(batch, 2):
                 letters = part.column(3).to_pylist()
                 texts = [(t or "").encode() for t in part.column(2).to_pylist()]
                 langs, scores = ["und"] * len(texts), [0.0] * len(texts)
