@@ -88,11 +88,12 @@ def roles(pages: DataFrame) -> DataFrame:
     repeat that id too. A null id is smaller than any other.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.length(payload).cast("bigint").alias("payload_bytes"), F.sha1(payload).alias("digest"))
-    same = rows.filter(F.col("payload_bytes") >= MIN_REVISIT).groupBy("digest", "payload_bytes").agg(F.max(F.struct("page_id", "url")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "payload_bytes", F.col("f.page_id").alias("first"), F.col("f.url").alias("first_url"))
+    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.length(payload).cast("bigint").alias("payload_bytes"), F.sha1(payload).alias("digest"), F.sha2(payload, 256).alias("content"))
+    # SHA-256 tells which payloads are equal; SHA-1, of which collisions can be made, is only written.
+    same = rows.filter(F.col("payload_bytes") >= MIN_REVISIT).groupBy("content", "payload_bytes").agg(F.max(F.struct("page_id", "url")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("content", "payload_bytes", F.col("f.page_id").alias("first"), F.col("f.url").alias("first_url"))
     same = written(same, "warc-same")  # a plain table, so that the join below is one Spark can split or broadcast
     again = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
-    return rows.join(same, ["digest", "payload_bytes"], "left").select("page_id", "url", "payload", "payload_bytes", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"), F.when(again, F.col("first_url")).alias("refers_url"))
+    return rows.join(same, ["content", "payload_bytes"], "left").select("page_id", "url", "payload", "payload_bytes", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"), F.when(again, F.col("first_url")).alias("refers_url"))
 
 
 def write_archives(rows: DataFrame, folder: str) -> DataFrame:
