@@ -19,6 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from .common import CACHED
+
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
     """Lines of base64 token and rank."""
@@ -205,7 +207,8 @@ class _Words(dict):
         ids = self.older.get(word)
         if ids is None:
             ids = self.transducer.run(word.encode())
-        self[word] = ids
+        if len(word) <= CACHED:
+            self[word] = ids
         return ids
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Observation, functions as F
 
-from .common import dropped, packed, small, written
+from .common import CACHED, dropped, packed, small, written
 
 TREES, DEPTH, LEAST, MORE = 12, 8, 2, 36
 DEPTHS, CROWD = (LEAST, 4, DEPTH), 512
@@ -45,7 +45,9 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 200_000:
             self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= CACHED:
+            self[word] = h
         return h
 
 

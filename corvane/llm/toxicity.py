@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import crc_mod
+from .common import CACHED, crc_mod, slices
 
 SAMPLE, LEXICON, BINS, ROUNDS, DEPTH, RATE = 20_000, 200, 32, 80, 3, 0.15
 #: One labelled row in so many calibrates and teaches nothing else.
@@ -93,7 +93,9 @@ class Words(dict):
             flags |= 128
         if len(self) > 200_000:
             self.clear()
-        self[raw] = found = flags | (at + 1) << 8
+        found = flags | (at + 1) << 8
+        if len(raw) <= CACHED:
+            self[raw] = found
         return found
 
 
@@ -268,8 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def work(batches):
         words, weights = Words(lexicon), np.array([*lexicon.values(), 0.0])
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in slices(batch, 2):
                 x = [features(t, words, weights) for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(x, pa.list_(pa.float64()))], names=["id", "toxic", "cal", "x"])
 
@@ -288,8 +289,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     def work(batches):
         words, weights = Words(model.lexicon), np.array([*model.lexicon.values(), 0.0])
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in slices(batch, 2):
                 x = np.array([features(t or "", words, weights) for t in part.column(2).to_pylist()], float)
                 s = model.scores(x)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])

@@ -8,12 +8,13 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from corvane.llm import bpe, chat, langid, minhash, packing, quality, radix, suffixes, toxicity, warc
-from corvane.llm.common import small
+from corvane.llm.common import slices, small
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, _row string, id string, key string"
 
@@ -251,6 +252,26 @@ def test_language_id(spark):
     assert langid.identify(d.limit(0)).count() == 0 and langid.identify(d.withColumn("lang", F.lit(None).cast("string"))).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_a_rare_language_is_learned(spark):
+    rng = random.Random(9)
+    words = {"xx": "ka ke ki ko".split(), "yy": "zun zar zil".split()}
+    langs = ["xx"] * 3000 + ["yy"] * 20
+    d = spark.createDataFrame([(i, " ".join(rng.choice(words[x]) for _ in range(30)), x) for i, x in enumerate(langs)], "doc_id bigint, text string, lang string")
+    got = langid.identify(d).collect()
+    assert np.mean([r.lang_pred == langs[r.doc_id] for r in got]) > 0.99 and all(r.lang_pred == "yy" for r in got if langs[r.doc_id] == "yy")
+
+
+def test_language_accuracy_on_given_documents(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = langid.identify(d).filter("held_out").join(d.select("doc_id", "lang"), "doc_id").filter("lang IS NOT NULL AND lang_pred <> 'und'").collect()
+    assert len(rows) > 150 and np.mean([r.lang == r.lang_pred for r in rows]) > 0.97
+
+
+def test_slices_hold_few_bytes():
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * n if n is not None else None for n in (5, 5, None, 50, 1, 0, 9)])], names=["t"])
+    assert [s.column(0).to_pylist() for s in slices(batch, 0, rows=3, size=10)] == [["a" * 5, "a" * 5, None], ["a" * 50], ["a", "", "a" * 9]]
+
+
 def brute_components(texts, size=4):
     """(set size, smallest place reachable) of each text, from sets of word tuples."""
     sets = []
@@ -359,6 +380,18 @@ def test_chat_escapes_and_parts():
     assert role == "assistant" and back == said + "<image 0><audio 1><document 2>" and (start, end) == span
 
 
+def test_a_long_turn_is_read_in_little_memory():
+    import tracemalloc
+
+    text = "a<b\\</turn> \n" * 400_000
+    formatted, _, _ = chat.format_turn("user", [chat.Text(text)])
+    tracemalloc.start()
+    (role, back, *_),  = chat.read_turns(formatted)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (role, back) == ("user", text) and peak < 60 * len(text)
+
+
 def test_chat_digests(spark):
     rows = [(1, 0, "user", None), (1, 1, "assistant", "a\\<b"), (1, 1, "assistant", "a\\<b"), (2, None, None, ""), (None, 0, "we>ird</turn>", "x")]
     d = spark.createDataFrame([(*r, "z") for r in rows], "conv_id bigint, turn bigint, role string, text string, formatted string")
@@ -413,6 +446,38 @@ def test_suffixes_brute_force(spark, hot):
         assert suffixes.repeats(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("nameless", [False, True])
+def test_suffixes_of_rows_that_repeat(spark, nameless):
+    """Rows that share an id (or null) and a text are sought through once: their number costs nothing but themselves."""
+    text = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(1000))
+    d = spark.range(20_000).select(F.lit(None if nameless else 7).cast("bigint").alias("doc_id"), F.lit(text).alias("text"))
+    d = d.unionByName(docs(spark, ["z" + text[100:600] + "z", "short"], [1, 2]).select("doc_id", "text"))
+    rows = suffixes.repeats(d).groupBy("n_bytes", "n_removed", "n_spans").count().collect()
+    assert {tuple(r) for r in rows} == {(1000, 1000, 1, 20_000), (502, 500, 1, 1), (5, 0, 0, 1)}
+    one = suffixes._once(suffixes._texts(d, "doc_id", "text"), [(400, 32, False)])
+    assert one[0].count() == 3 and one[1].count() == 1
+
+
+def test_suffixes_in_pieces(spark, monkeypatch):
+    """Anchors of a text that is taken in pieces of 25 windows, against brute force."""
+    rng = random.Random(18)
+    make = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    shared = make(150)
+    texts = [make(rng.randint(0, 200)) + shared[: rng.randint(20, 150)] + make(30) for _ in range(30)]
+    want = brute_repeats(texts, 40)
+    monkeypatch.setattr(suffixes, "PIECE", 25)
+    places = [suffixes.anchors(np.frombuffer(t.encode(), np.uint8), 40, 8) for t in texts]
+    assert sum(len(p[0]) for p in places) > 30
+    batch = pa.RecordBatch.from_arrays([pa.array(range(30), pa.int64()), pa.array(range(30), pa.int64()), pa.array(texts)], names=["doc_id", "xh", "text"])
+    covered = {}
+    for out in suffixes._find([(40, 8, False)])(iter([batch])):
+        for r in out.to_pylist():
+            assert r["first"] <= r["place"] <= r["last"] + 32
+            covered.setdefault(r["doc_id"], []).extend(range(r["first"], r["last"] + 1))
+    assert all(sorted(covered[i]) == list(range(len(t) - 39)) for i, t in enumerate(texts))
+    assert {r.doc_id: tuple(r)[1:5] for r in suffixes.repeats(docs(spark, texts), window=40, gram=8).collect()} == want
+
+
 def test_suffixes_at_the_contract(spark):
     """400 bytes, against brute force, on whole documents; the least id of 64 bits and null are ids like any other."""
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy(F.length("text")).limit(120).collect()
