@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .cluster import ship
 from .functions import text as T, vectors as V
 from .operators import chunking, graph, kg, metrics, ranking as R
-from .plans import retrieval as P
+from .plans import lexical, retrieval as P
 from .sources import io
 from .tables import kept
 
@@ -48,21 +48,38 @@ def with_tables(final: str, tables: dict[str, str]) -> str:
 
 
 # Questions and chunks -----------------------------------------------------------------------------------------------
-QUESTIONS = [(1, "what is the tion that with workflow", 1), (2, "summary of und der nicht", 2), (3, "rewh ered thing proposed problem", 3)]
-SQL_Q = "SELECT * FROM (VALUES " + ", ".join(f"({q}::BIGINT, '{t}', {v})" for q, t, v in QUESTIONS) + ") t(qid, question, v)"
+#: Asked beside the benchmark's passages: questions that show intents.
+QUESTIONS = [(-1, "what is the tion that with workflow", 1), (-2, "summary of und der nicht", 2), (-3, "rewh ered thing proposed problem", 3), (-4, "Summary: steps in the process of ti-on, mi_graph and tion-", 4)]
+SQL_Q = "SELECT item_id::BIGINT AS qid, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS question, item_id::BIGINT AS v FROM benchmark UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({q}::BIGINT, '{t}', {v}::BIGINT)" for q, t, v in QUESTIONS) + ") t(qid, question, v)"
 SQL_QV = f"SELECT q.qid, q.question, e.embedding AS qvec FROM ({SQL_Q}) q JOIN embeddings e ON e.vec_id = q.v"
-SQL_C = "SELECT d.doc_id, d.source, d.text, e.embedding, e.label FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id"
+SQL_C = "SELECT d.doc_id, d.source, 'papers/' || d.source AS source_path, 1 AS page, d.text, e.embedding, e.label FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id"
+_COLLAPSED = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+SQL_S = f"lower({_COLLAPSED.format("concat_ws(' ', source, source_path, page, doc_id)")} || ' ' || {_COLLAPSED.format("coalesce(text, '')")})"
 SQL_CV = f"SELECT * FROM ({SQL_C}) WHERE embedding IS NOT NULL"
-_TERMS = {
-    1: {"tion": 8, "that": 8} | T.WORKFLOW_TERMS,
-    2: {"und": 8, "der": 8, "nicht": 8} | T.SUMMARY_TERMS,
-    3: {"rewh": 8, "ered": 8, "thing": 8, "proposed": 8, "problem": 8},
-}
-SQL_T = "SELECT * FROM (VALUES " + ", ".join(f"({q}::BIGINT, '{t}', {w}::DOUBLE, {str(w == 8).lower()})" for q, ts in _TERMS.items() for t, w in ts.items()) + ") t(qid, term, weight, anchor)"
+_INTENTS = ", ".join(f"('{w}', {T.SUMMARY_TERMS.get(w, 'NULL')}::DOUBLE, {T.WORKFLOW_TERMS.get(w, 'NULL')}::DOUBLE)" for w in {**T.SUMMARY_TERMS, **T.WORKFLOW_TERMS})
+
+
+def _cued(q: str, cues: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({q}, '{c}')" for c in cues) + ")"
+
+
+def sql_terms(asked: str) -> str:
+    """Terms, weights and anchors of the questions (qid, question) of a table."""
+    words = f"""SELECT qid, unnest(CASE WHEN bare <> w THEN [w, bare] ELSE [w] END || CASE WHEN bare = 'migraph' THEN ['mi-graph'] ELSE [] END) AS term FROM (SELECT qid, w, translate(w, '-_', '') AS bare FROM (
+        SELECT qid, unnest(list_transform(regexp_extract_all(lower(question), '[a-z][a-z0-9_-]*'), lambda x: trim(x, '-_'))) AS w FROM ({asked})) WHERE length(w) >= 3 AND w NOT IN {tuple(T.QUERY_STOPWORDS)!r})"""
+    return f"""SELECT DISTINCT qid, term, {T.ANCHOR_WEIGHT}::DOUBLE AS weight, true AS anchor FROM ({words}) UNION ALL
+        SELECT q.qid, i.term, greatest(CASE WHEN {_cued('lower(question)', T.SUMMARY_CUES)} THEN s END, CASE WHEN {_cued('lower(question)', T.WORKFLOW_CUES)} THEN f END) AS weight, false FROM ({asked}) q, (VALUES {_INTENTS}) i(term, s, f)
+        WHERE weight IS NOT NULL AND q.qid IN (SELECT qid FROM ({words})) AND (q.qid, i.term) NOT IN (SELECT (qid, term) FROM ({words}))"""
+
+
+SQL_T = sql_terms(SQL_Q)
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = spark.createDataFrame(QUESTIONS, "qid bigint, question string, v bigint")
+    """The benchmark's passages, and QUESTIONS."""
+    b = tab(spark, sf_dir, "benchmark").select(F.col("item_id").cast("bigint").alias("qid"), F.col("text").alias("question"), F.col("item_id").cast("bigint").alias("v"))
+    q = b.unionByName(spark.createDataFrame(QUESTIONS, "qid bigint, question string, v bigint"))
+    q = q.withColumn("question", T.normalised(F.col("question")))
     return q.join(tab(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("v"), F.col("embedding").alias("qvec")), "v").drop("v")
 
 
@@ -72,14 +89,17 @@ _indexes: dict[tuple[str, str], DataFrame] = {}
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document; those without a vector have a null embedding."""
     e = tab(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
-    return tab(spark, sf_dir, "documents").select("doc_id", "source", "text").join(e, "doc_id", "left")
+    d = tab(spark, sf_dir, "documents").select("doc_id", "source", F.concat(F.lit("papers/"), F.col("source")).alias("source_path"), F.lit(1).alias("page"), "text")
+    return d.join(e, "doc_id", "left")
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """chunks() with their searchable text: written once a session, as an index is, and read by all searches."""
+    """chunks() with their searchable text and its postings: written once a session, as an index is, and read by all searches."""
     at = (spark.sparkContext.applicationId, sf_dir)
     if at not in _indexes:
-        _indexes[at] = kept(chunks(spark, sf_dir).withColumn("searchable", F.lower(F.concat_ws(" ", "source", "text"))), "search-index", "doc_id")
+        c = chunks(ship(spark), sf_dir)
+        c = kept(c.withColumn("searchable", T.search_text(c.columns)), "search-index", "doc_id", lexical.numbered)
+        _indexes[at] = lexical.with_postings(c, "search-postings")
     return _indexes[at]
 
 
@@ -95,12 +115,12 @@ def _vector(k: int) -> str:
     return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, doc_id) AS vector_rank FROM (SELECT q.qid, c.doc_id, {_L2} AS distance FROM ({SQL_CV}) c, ({SQL_QV}) q)) WHERE vector_rank <= {k}"
 
 
-def _keyword(k: int) -> str:
+def _keyword(k: int, texts: str = f"SELECT doc_id, {SQL_S} AS s FROM ({SQL_C})", terms: str = SQL_T) -> str:
     return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY keyword_score DESC, doc_id) AS keyword_rank FROM (
         SELECT qid, doc_id, round(sum(CASE WHEN strpos(s, term) = 0 THEN 0 ELSE
             weight * (1 + ln(1 + CASE WHEN anchor THEN 1 ELSE least(3, (length(s) - length(replace(s, term, ''))) / length(term)) END))
             + CASE WHEN strpos(s, term) - 1 < 120 THEN weight WHEN strpos(s, term) - 1 < 500 THEN 0.5 * weight ELSE 0 END END), 9) AS keyword_score
-        FROM (SELECT doc_id, lower(source || ' ' || text) AS s FROM ({SQL_C})), ({SQL_T})
+        FROM ({texts}), ({terms})
         GROUP BY qid, doc_id HAVING bool_or(anchor AND contains(s, term)))) WHERE keyword_rank <= {k}"""
 
 
@@ -126,6 +146,40 @@ def keyword_search(spark, sf_dir):
     return P.keyword_search(index(spark, sf_dir), questions(spark, sf_dir), 10)
 
 
+#: Chunks and a question in compatibility forms: full-width letters, a ligature, wide and no-break spaces.
+FORMS = [(-1, "\uff30\uff11", "\uff34\uff52\uff41\uff4e\uff53\uff46\uff4f\uff52\uff4d\uff45\uff52\u3000\ufb01nally\u00a0works"), (-2, "p2", "a transformer finally works"), (-3, "p3", "\ufb01rst \uff11\uff12\uff13 \uff45\uff52\uff49\uff4e\uff47"), (-4, None, "null source"), (-5, "p5", None)]
+FORM_QUESTIONS = [(1, "\uff34\uff32\uff21\uff2e\uff33\uff26\uff2f\uff32\uff2d\uff25\uff32 \ufb01nally summary"), (2, "ering first 123"), (3, "papers null")]
+_WIDE, _NARROW = "".join(chr(0xFF01 + i) for i in range(94)), "".join(chr(0x21 + i) for i in range(94))
+
+
+def _unformed(x: str) -> str:
+    return _COLLAPSED.format(f"replace(translate({x}, '{_WIDE.replace(chr(0xFF07), '')}\u3000\u00a0', '{_NARROW.replace(chr(39), '')}  '), '\ufb01', 'fi')")
+
+
+def _values(rows, columns: str) -> str:
+    quoted = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else f"{x}::BIGINT"
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows) + f") t({columns})"
+
+
+_FORM_S = f"SELECT doc_id, lower({_unformed("concat_ws(' ', source, doc_id)")} || ' ' || {_unformed("coalesce(text, '')")}) AS s FROM (SELECT doc_id, source, text FROM documents UNION ALL {_values(FORMS, 'doc_id, source, text')})"
+
+
+def _formed(spark, sf_dir):
+    return tab(ship(spark), sf_dir, "documents").select("doc_id", "source", "text").unionByName(spark.createDataFrame(FORMS, "doc_id bigint, source string, text string"))
+
+
+@query(f"SELECT doc_id, sha1(s) AS digest FROM ({_FORM_S})")
+def chunk_search_text(spark, sf_dir):
+    return P.searchable(_formed(spark, sf_dir)).select("doc_id", F.sha1("searchable").alias("digest"))
+
+
+@query(_keyword(20, f"SELECT doc_id, s FROM ({_FORM_S})", sql_terms(f"SELECT qid, {_unformed('question')} AS question FROM ({_values(FORM_QUESTIONS, 'qid, question')})")))
+def keyword_search_forms(spark, sf_dir):
+    """A scan: nothing here has an index."""
+    q = spark.createDataFrame(FORM_QUESTIONS, "qid bigint, question string")
+    return P.keyword_search(_formed(spark, sf_dir), q.withColumn("question", T.normalised(F.col("question"))), 20)
+
+
 @query(_hybrid(10))
 def hybrid_rrf(spark, sf_dir):
     return P.hybrid_search(index(spark, sf_dir), questions(spark, sf_dir), 10)

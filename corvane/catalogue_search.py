@@ -25,7 +25,7 @@ _OVERLAP = "list_sum(list_transform(terms, lambda t: CASE WHEN contains(searchab
 SEARCH = TABLES | {
     "x_c": SQL_C,
     "x_qv": SQL_QV,
-    "x_q": f"SELECT qid, lower(question) AS q, terms FROM ({SQL_Q}) JOIN (VALUES (1::BIGINT, ['tion', 'that', 'workflow']), (2, ['und', 'der', 'nicht']), (3, ['rewh', 'ered', 'thing', 'proposed', 'problem'])) t(qid, terms) USING (qid)",
+    "x_q": f"SELECT qid, lower(question) AS q, list_distinct(list_filter(list_transform(regexp_extract_all(lower(question), '[a-z][a-z0-9_-]+'), lambda w: trim(w, '-_')), lambda w: length(w) >= 3 AND w NOT IN {tuple(T.GRAPH_STOPWORDS)!r})) AS terms FROM ({SQL_Q})",
     "x_esearch": "SELECT entity_id, type, canonical_name, lower(concat_ws(' ', name, canonical_name, type, description, array_to_string(aliases, ' '), array_to_string(observed_types, ' '))) AS searchable FROM x_entities",
     "x_rsearch": "SELECT relation_id, subject_id, object_id, predicate, lower(concat_ws(' ', predicate, r.description, s.name, o.name, array_to_string(evidence, ' '))) AS searchable FROM x_relations r JOIN x_entities s ON s.entity_id = subject_id JOIN x_entities o ON o.entity_id = object_id",
     "x_docs": _classified(_carried("SELECT source, doc_id AS chunk_id, 2 AS page, text FROM documents")),

@@ -89,6 +89,17 @@ def collapse(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def normalised(text: Column) -> Column:
+    """NFKC form with runs of white space as one space; null is empty. A Python worker's: for ingest, and for the few questions."""
+    return collapse(nfkc(F.coalesce(text, F.lit(""))))
+
+
+def search_text(columns: list[str]) -> Column:
+    """What keywords are sought in, lower-cased: the chunk's source, path, page and number, where it has them, and its text."""
+    about = [c for c in ("source", "source_path", "page") if c in columns] + [c for c in ("chunk_id", "doc_id") if c in columns][:1]
+    return F.lower(F.concat(normalised(F.concat_ws(" ", *about)), F.lit(" "), normalised(F.col("text"))))
+
+
 def any_of(text: Column, cues: list[str]) -> Column:
     return F.exists(F.array(*map(F.lit, cues)), lambda c: F.contains(text, c))
 
@@ -105,31 +116,33 @@ def anchors(query: Column) -> Column:
 
     def forms(w):
         bare = F.translate(w, "-_", "")
-        return F.concat(F.array(w), F.when(bare != w, F.array(bare)).otherwise(F.array().cast("array<string>")), F.when(bare == "migraph", F.when(bare != w, F.array(F.lit("mi-graph"))).otherwise(F.array(F.lit("mi-graph")))).otherwise(F.array().cast("array<string>")))
+        return F.array_compact(F.array(w, F.when(bare != w, bare), F.when(bare == "migraph", "mi-graph")))
 
     return F.array_distinct(F.flatten(F.transform(words, forms)))
 
 
 def query_terms(query: Column) -> Column:
     """array<struct<term, weight, anchor>>: anchors, and the words of the intents that the query shows (an anchor wins)."""
-    found = anchors(query)
+    intents = F.expr("array(" + ", ".join(f"named_struct('term', '{t}', 's', {SUMMARY_TERMS.get(t, 'NULL')}::double, 'f', {WORKFLOW_TERMS.get(t, 'NULL')}::double)" for t in {**SUMMARY_TERMS, **WORKFLOW_TERMS}) + ")")
+    struct = lambda t, w, a: F.struct(t.alias("term"), w.cast("double").alias("weight"), F.lit(a).alias("anchor"))
+
+    def build(x: Column) -> Column:
+        more = F.transform(intents, lambda i: struct(i.term, F.greatest(F.when(x.s, i.s), F.when(x.w, i.f)), False))
+        more = F.filter(more, lambda t: t.weight.isNotNull() & ~F.array_contains(x.found, t.term))
+        return F.concat(F.transform(x.found, lambda t: struct(t, F.lit(ANCHOR_WEIGHT), True)), F.when(F.size(x.found) > 0, more).otherwise(F.slice(more, 1, 0)))
+
     lowered = F.lower(collapse(query))
-    struct = lambda t, w, a: F.struct(t.alias("term"), w.cast("double").alias("weight"), a.alias("anchor"))
-    out = F.transform(found, lambda t: struct(t, F.lit(ANCHOR_WEIGHT), F.lit(True)))
-    both = {t: max(SUMMARY_TERMS.get(t, 0), WORKFLOW_TERMS.get(t, 0)) for t in [*SUMMARY_TERMS, *WORKFLOW_TERMS]}
-    s, w = any_of(lowered, SUMMARY_CUES), any_of(lowered, WORKFLOW_CUES)
-    for t, best in both.items():
-        weight = F.when(s & w, F.lit(best)).when(s, F.lit(SUMMARY_TERMS.get(t))).when(w, F.lit(WORKFLOW_TERMS.get(t)))
-        out = F.concat(out, F.when(weight.isNotNull() & ~F.array_contains(found, t), F.array(struct(F.lit(t), weight, F.lit(False)))).otherwise(F.array().cast("array<struct<term:string,weight:double,anchor:boolean>>")))
-    return F.when(F.size(found) > 0, out).otherwise(F.array().cast("array<struct<term:string,weight:double,anchor:boolean>>"))
+    # An array of one, so that its fields are worked out once.
+    return F.transform(F.array(F.struct(anchors(query).alias("found"), any_of(lowered, SUMMARY_CUES).alias("s"), any_of(lowered, WORKFLOW_CUES).alias("w"))), build)[0]
 
 
 def keyword_score(text: str, terms: str) -> Column:
     """Sum over terms of w * (1 + ln(1 + tf)), tf at most 3 but 1 for an anchor; half or all of w more for an early first place.
     text and terms are column names."""
+    early = "contains(left({x}, {n} + length(t.term)), t.term)"  # the place itself isn't needed, and looking for it in the whole text is dear
     return F.expr(
-        "aggregate(transform({t}, t -> struct(t.term, t.weight, t.anchor, instr({x}, t.term) - 1 AS p)), 0D, (acc, t) -> acc + if(t.p < 0, 0D, t.weight * (1 + ln(1 + if(t.anchor, 1, least(3, (length({x}) - length(replace({x}, t.term))) / length(t.term)))))"
-        " + if(t.p < 120, t.weight, if(t.p < 500, 0.5D * t.weight, 0D))))".format(t=terms, x=text)
+        "aggregate({t}, 0D, (acc, t) -> acc + if(NOT contains({x}, t.term), 0D, t.weight * (1 + ln(1 + if(t.anchor, 1, least(3, (length({x}) - length(replace({x}, t.term))) / length(t.term)))))".format(t=terms, x=text)
+        + f" + if({early.format(x=text, n=119)}, t.weight, if({early.format(x=text, n=499)}, 0.5D * t.weight, 0D))))"
     )
 
 

@@ -16,6 +16,7 @@ from ..functions import text as T, vectors as V
 from ..models import Embedder
 from ..operators import kg, ranking as R
 from ..tables import written
+from . import lexical
 
 #: Questions that are broadcast at once.
 QUESTIONS = 10_000
@@ -45,8 +46,8 @@ def cosine_search(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
 
 
 def searchable(chunks: DataFrame) -> DataFrame:
-    """doc_id, searchable: source and text, lower-cased; as it is where an index keeps it."""
-    return chunks.select("doc_id", "searchable") if "searchable" in chunks.columns else chunks.select("doc_id", F.lower(F.concat_ws(" ", "source", "text")).alias("searchable"))
+    """doc_id, searchable: T.search_text; as it is where an index keeps it."""
+    return chunks.select("doc_id", "searchable") if "searchable" in chunks.columns else chunks.select("doc_id", T.search_text(chunks.columns).alias("searchable"))
 
 
 def keyword_scores(chunks: DataFrame, questions: DataFrame, n: int | None = None) -> DataFrame:
@@ -57,6 +58,9 @@ def keyword_scores(chunks: DataFrame, questions: DataFrame, n: int | None = None
 
 
 def keyword_search(chunks: DataFrame, questions: DataFrame, k: int, n: int | None = None) -> DataFrame:
+    """The best k by keywords; through the index of substrings where the chunks have one (lexical.with_postings), else by a scan."""
+    if lexical.postings_of(chunks) is not None:
+        return lexical.search(chunks, questions, k)[0]
     return R.ranked(keyword_scores(chunks, questions, n), ["qid"], [F.desc("keyword_score"), F.col("doc_id")], k, "keyword_rank")
 
 
@@ -267,7 +271,7 @@ def in_papers(chunks: DataFrame, questions: DataFrame, papers: DataFrame, per_pa
     """qid, source, doc_id, score, paper_score, paper_rank, in_paper_rank: within each candidate paper, vector and keyword ranks fused. Only chunks of a
     question's candidates are scored: papers are joined before any text is looked at."""
     wanted = papers.select("qid", "source", F.round("score", 6).alias("paper_score"), F.col("rank").alias("paper_rank")).join(questions, "qid")
-    low = F.col("searchable") if "searchable" in chunks.columns else F.lower(F.concat_ws(" ", "source", "text"))
+    low = F.col("searchable") if "searchable" in chunks.columns else T.search_text(chunks.columns)
     c = chunks.select("doc_id", "source", "embedding", low.alias("searchable")).join(F.broadcast(wanted), "source")  # a few papers each question
     by = ["qid", "source"]
     v = c.filter("embedding IS NOT NULL").select(*by, "doc_id", F.round(V.l2_squared(F.col("embedding"), F.col("qvec")), 9).alias("distance"))

@@ -44,10 +44,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 PART_ROWS = 20_000
 
 
-def kept(df: DataFrame, name: str, key: str) -> DataFrame:
-    """written, in parts of about PART_ROWS rows by key and as many as shuffles have at least: what is small in bytes may still be work for all cores."""
+def kept(df: DataFrame, name: str, key: str, last=lambda df: df) -> DataFrame:
+    """written, in parts of about PART_ROWS rows by key and as many as shuffles have at least: what is small in bytes may still be work for all cores.
+    last: a step on the rows as they are written."""
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // PART_ROWS))
-    return written(df.repartition(n, key), name)
+    return written(last(df.repartition(n, key)), name)
 
 
 def dropped(*tables: DataFrame) -> None:
