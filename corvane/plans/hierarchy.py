@@ -184,4 +184,4 @@ def linked(h: Hierarchy, m: int = NEIGHBOURS) -> Hierarchy:
 def search(h: Hierarchy, questions: DataFrame, **how) -> DataFrame:
     from .retrieval import beam_search
 
-    return beam_search(h.levels(), h.children, questions, inter_links=h.inter_links, **how)
+    return beam_search(h.levels(), h.children, questions, inter_links=h.inter_links, intra_links=h.intra_links, **how)

@@ -16,7 +16,7 @@ from ..functions import text as T, vectors as V
 from ..models import Embedder
 from ..operators import kg, ranking as R
 from ..tables import written
-from . import lexical
+from . import lexical, walk
 
 #: Questions that are broadcast at once.
 QUESTIONS = 10_000
@@ -324,10 +324,11 @@ def beam_width(kind: Column, depth: int) -> Column:
     return F.when(kind == "multi-hop", 4 + depth).when(kind == "abstract", 6 + depth).when(kind == "procedural", 5).otherwise(2)
 
 
-def beam_search(levels: list[DataFrame], children: DataFrame, questions: DataFrame, beam: int | None = 3, top_k: int = 5, max_levels: int | None = None, inter_links: DataFrame | None = None) -> DataFrame:
+def beam_search(levels: list[DataFrame], children: DataFrame, questions: DataFrame, beam: int | None = 3, top_k: int = 5, max_levels: int | None = None, inter_links: DataFrame | None = None, intra_links: DataFrame | None = None) -> DataFrame:
     """levels: from the top down, (node_id, embedding); children: (parent, child); inter_links too: a node's best child, met besides. qid, level, node_id, local,
     route, rank of each level's first max(top_k, beam). Levels below the top only look at children of the beam; a question without any there
-    looks at the whole level (exact, where an approximate walk would start at one linked node). beam None: by the question's kind. max_levels keeps the top ones."""
+    walks the level's intra_links (level, src, dst) from the child linked to the best of the beam (walk.layer_search), or, without these links, looks at the whole
+    level, exactly. beam None: by the question's kind. max_levels keeps the top ones."""
     q = questions.select("qid", "qvec", T.query_kind(F.col("question")).alias("kind")) if beam is None else questions.select("qid", "qvec", F.lit("").alias("kind"))
     keys = [c for c in ("level", "parent", "child") if c in children.columns]
     if inter_links is not None:
@@ -343,7 +344,13 @@ def beam_search(levels: list[DataFrame], children: DataFrame, questions: DataFra
             reach = parents.join(below, F.col("node_id") == F.col("parent")).groupBy("qid", "child").agg(F.max("route").alias("parent_route"))
             met = reach.join(nodes, F.col("child") == F.col("node_id")).join(F.broadcast(q), "qid").select("qid", "node_id", "embedding", "qvec", "kind", "parent_route")
             lost = q.join(met.select("qid").distinct(), "qid", "left_anti")
-            met = met.unionByName(past_questions(nodes, lost).select("qid", "node_id", "embedding", "qvec", "kind", F.lit(None).cast("double").alias("parent_route")))
+            if intra_links is not None and inter_links is not None and not (lost := written(lost, "lost")).isEmpty():
+                begin = parents.join(inter_links.filter(F.col("level") == level + 1), F.col("node_id") == F.col("parent")).groupBy("qid").agg(F.max_by("child", F.struct("route", -F.col("parent"))).alias("node_id"))
+                walked = walk.layer_search(nodes, intra_links.filter(F.col("level") == level), lost, begin, max(top_k, 6 + depth if beam is None else beam), nodes.orderBy("node_id").limit(1))
+                lost_nodes = walked.select("qid", "node_id").join(nodes, "node_id").join(lost, "qid")
+            else:
+                lost_nodes = past_questions(nodes, lost)
+            met = met.unionByName(lost_nodes.select("qid", "node_id", "embedding", "qvec", "kind", F.lit(None).cast("double").alias("parent_route")))
         s = met.withColumn("local", F.round(V.cosine(F.col("embedding"), F.col("qvec")), 6))
         s = s.withColumn("route", F.round(F.when(F.col("parent_route").isNull(), F.col("local")).otherwise(LOCAL * F.col("local") + ROUTE * F.col("parent_route")), 6))
         most = max(top_k, 6 + depth if beam is None else beam)  # of any kind
