@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from ..functions import vectors as V
-from ..tables import written
+from ..tables import dropped, written
 from .chunking import numbered
 
 # Fixed values -----------------------------------------------------------------------------------------------------
@@ -143,139 +140,142 @@ def roll_up(e: DataFrame, parents: DataFrame) -> DataFrame:
     return up.groupBy(F.least("pa", "pb").alias("src"), F.greatest("pa", "pb").alias("dst")).agg(F.round(F.sum("weight"), 6).alias("weight"), F.count(F.lit(1)).alias("n"))
 
 
-def louvain_labels(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, resolution: float = 1.0) -> dict[int, int]:
-    """Modularity by local moves and aggregation, nodes in order, so that the result is always the same. Label: the smallest member."""
-    names = np.unique(np.concatenate((src, dst)))
-    member = {int(n): i for i, n in enumerate(names)}
-    graph: list[dict[int, float]] = [{} for _ in names]
-    for a, b, w in zip(src, dst, weight, strict=True):
-        i, j = member[int(a)], member[int(b)]
-        graph[i][j] = graph[i].get(j, 0.0) + w
-        graph[j][i] = graph[j].get(i, 0.0) + w
-    where = np.arange(len(names))
-    loops = [0.0] * len(graph)
-    total = float(weight.sum()) or 1.0
-    while True:
-        degree = [sum(g.values()) + 2 * s for g, s in zip(graph, loops, strict=True)]
-        comm, size = list(range(len(graph))), list(degree)
-        moved = again = True
-        moved = False
-        while again:
-            again = False
-            for i, g in enumerate(graph):
-                near: dict[int, float] = {}
-                for j, w in g.items():
-                    near[comm[j]] = near.get(comm[j], 0.0) + w
-                own = comm[i]
-                size[own] -= degree[i]
-                gain = lambda c: near.get(c, 0.0) - resolution * size[c] * degree[i] / (2 * total)
-                best = own
-                for c in sorted(near):
-                    if gain(c) > gain(best) + 1e-12:
-                        best = c
-                size[best] += degree[i]
-                if best != own:
-                    comm[i], again, moved = best, True, True
-        if not moved:
-            break
-        number = {c: k for k, c in enumerate(sorted(set(comm)))}
-        new: list[dict[int, float]] = [{} for _ in number]
-        new_loops = [0.0] * len(number)
-        for i, g in enumerate(graph):
-            a = number[comm[i]]
-            new_loops[a] += loops[i]
-            for j, w in g.items():
-                b = number[comm[j]]
-                if a == b:
-                    new_loops[a] += w / 2
-                else:
-                    new[a][b] = new[a].get(b, 0.0) + w
-        where = np.array([number[comm[k]] for k in where])
-        graph, loops = new, new_loops
-    least: dict[int, int] = {}
-    for n, k in zip(names, where, strict=True):
-        least[int(k)] = min(least.get(int(k), int(n)), int(n))
-    return {int(n): least[int(k)] for n, k in zip(names, where, strict=True)}
-
-
-def greedy_labels(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, resolution: float = 1.0) -> dict[int, int]:
-    """Modularity by merging, again and again, the two groups whose union gains most. Label: the smallest member."""
-    names = np.unique(np.concatenate((src, dst)))
-    total = float(weight.sum()) or 1.0
-    between: dict[int, dict[int, float]] = {int(n): {} for n in names}
-    for a, b, w in zip(src.tolist(), dst.tolist(), weight.tolist(), strict=True):
-        between[a][b] = between[a].get(b, 0.0) + w
-        between[b][a] = between[b].get(a, 0.0) + w
-    degree = {n: sum(g.values()) for n, g in between.items()}
-    gain = lambda a, b: between[a][b] / total - resolution * degree[a] * degree[b] / (2 * total * total)
-    heap = [(-gain(a, b), a, b) for a, g in between.items() for b in g if a < b]
-    heapq.heapify(heap)
-    label = {n: n for n in between}
-    while heap:
-        g, a, b = heapq.heappop(heap)
-        if g >= -1e-12:
+def detect(nodes: DataFrame, e: DataFrame, algorithm: str = "label", resolution: float = 1.0, rounds: int = 3) -> DataFrame:
+    """node, label for every node, by label propagation (at once or, "async", in turns), louvain or greedy modularity; nodes without an edge are alone."""
+    name = algorithm.strip().lower()
+    if name in ("label", "label_propagation"):
+        return label_propagation(nodes, e, rounds)
+    found = {"async": label_turns, "async_label": label_turns, "louvain": louvain, "auto": louvain, "greedy": greedy, "greedy_modularity": greedy}.get(name)
+    if found is None:
+        raise ValueError("algorithm must be one of: louvain, greedy, label, async")
+    found = found(e) if found is label_turns else found(e, resolution)
+    return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+
+
+#: Steps of a level at most; the share of nodes that still want to move which a step is worth.
+STEPS, WORTH = 40, 0.005
+_LEAST_GAIN = 1e-9
+
+
+def _in_turn(around: DataFrame, wanting: DataFrame, step: int) -> DataFrame:
+    """Of the nodes that want to move (node, new) those that no neighbour which wants to move goes before: neighbours never move at once. The order is by a hash of
+    node and step, another each step."""
+    first = lambda node: F.struct(F.xxhash64(node, F.lit(step)), F.col(node))
+    ends = around.select("src", "dst").join(wanting.select(F.col("node").alias("src")), "src", "left_semi").join(wanting.select(F.col("node").alias("dst")), "dst", "left_semi")
+    return wanting.join(ends.filter(first("dst") > first("src")).select(F.col("src").alias("node")).distinct(), "node", "left_anti")
+
+
+def _moved(around: DataFrame, state: DataFrame, votes_of, steps: int = STEPS, worth: float = WORTH) -> tuple[DataFrame, bool]:
+    """state (node, label, degree) after steps in which nodes, in turns, take the label with the best vote, until no more than a share, worth, want to; and
+    whether any did. votes_of: (votes (node, own, degree, label, w), state) -> votes with vote. A node's own label is kept among equals, then the least is taken."""
+    n, old = state.count(), []
+    for step in range(steps):
+        own = state.select("node", F.col("label").alias("own"), "degree")
+        near = around.join(own, around.src == own.node).drop("src").join(state.select(F.col("node").alias("dst"), "label"), "dst")
+        votes = near.groupBy("node", "own", "degree", "label").agg(F.sum("w").alias("w"))
+        best = votes_of(votes, state).groupBy("node", "own").agg(F.min_by("label", F.struct((-F.round("vote", 9)).alias("v"), F.col("label") != F.col("own"), F.col("label").alias("l"))).alias("new"))
+        seen = Observation()
+        wanting = written(best.filter("new <> own").select("node", "new").observe(seen, F.count(F.lit(1)).alias("n")), "graph-wanting")
+        if seen.get["n"] <= worth * n:
             break
-        if a not in between or b not in between or b not in between[a] or abs(g + gain(a, b)) > 1e-12:
-            continue  # one of them has grown since; its new pairs are in the heap too
-        label[b] = a
-        for c, w in between.pop(b).items():
-            if c == a:
-                continue
-            between[a][c] = between[c][a] = between[a].get(c, 0.0) + w
-            del between[c][b]
-        del between[a][b]
-        degree[a] += degree.pop(b)
-        for c in between[a]:
-            heapq.heappush(heap, (-gain(a, c), min(a, c), max(a, c)))
+        new = written(state.join(_in_turn(around, wanting, step), "node", "left").select("node", F.coalesce("new", "label").alias("label"), "degree"), "graph-state")
+        old += [wanting, new]
+        state = new
+    dropped(*old[:-1])
+    return state, bool(old)
 
-    def root(n: int) -> int:
-        while label[n] != n:
-            n = label[n]
-        return n
 
-    return {n: root(n) for n in label}
+def _alone(degree: DataFrame) -> DataFrame:
+    return degree.select("node", F.col("node").alias("label"), "degree")
 
 
-#: Edges that an algorithm of one task may take.
-ONE_TASK = 5_000_000
+def _whole(e: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """Both ways of the added-up edges (src, dst, w), degrees (node, degree) and the total weight."""
+    one = e.filter("src <> dst").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("weight").alias("weight"))
+    around = written(both_ways(one).withColumnRenamed("weight", "w"), "graph-edges")
+    degree = around.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("degree"))
+    return around, degree, (around.agg(F.sum("w")).first()[0] or 0.0) / 2
 
 
-def detect(nodes: DataFrame, e: DataFrame, algorithm: str = "label", resolution: float = 1.0, rounds: int = 3) -> DataFrame:
-    """node, label for every node, by label propagation, louvain or greedy modularity; nodes without an edge are alone."""
-    name = algorithm.strip().lower()
-    if name in ("label", "label_propagation"):
-        return label_propagation(nodes, e, rounds)
-    if name not in ("louvain", "auto", "greedy", "greedy_modularity"):
-        raise ValueError("algorithm must be one of: louvain, greedy, label")
-    found = (greedy if name.startswith("greedy") else louvain)(e, resolution)
-    return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+def label_turns(e: DataFrame, steps: int = 10 * STEPS) -> DataFrame:
+    """node, label: label propagation in turns, so that a node sees what its neighbours have taken before it. Where all at once may swing for ever (two sides
+    of a graph trade their labels), this comes to rest."""
+    around, degree, _ = _whole(e)
+    state, _ = _moved(around, _alone(degree), lambda votes, _: votes.withColumn("vote", F.col("w")), steps, 0.0)
+    return state.select("node", "label")
 
 
-def louvain(e: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """node, label. One task over the added-up edges: for entity graphs, ONE_TASK edges at most, checked; label_propagation is the way that scales."""
-    return _in_one_task(e, louvain_labels, resolution)
+def _contracted(around: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph of the labels: edges between them, added up, and their degrees (edges inside count twice, as before)."""
+    to = lambda end: state.select(F.col("node").alias(end), F.col("label").alias(f"l_{end}"))
+    up = around.join(to("src"), "src").join(to("dst"), "dst").filter("l_src <> l_dst").groupBy(F.col("l_src").alias("src"), F.col("l_dst").alias("dst")).agg(F.sum("w").alias("w"))
+    return written(up, "graph-edges"), written(state.groupBy(F.col("label").alias("node")).agg(F.sum("degree").alias("degree")), "graph-nodes")
 
 
-def greedy(e: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """node, label; as louvain."""
-    return _in_one_task(e, greedy_labels, resolution)
+def _least_members(members: DataFrame) -> DataFrame:
+    least = members.groupBy("label").agg(F.min("node").alias("least"))
+    return members.join(least, "label").select("node", F.col("least").alias("label"))
 
 
-def _in_one_task(e: DataFrame, algorithm, resolution: float) -> DataFrame:
-    n = e.count()
-    if n > ONE_TASK:
-        raise ValueError(f"{n} edges: this algorithm takes {ONE_TASK} at most, use label propagation")
+def _improved(around: DataFrame, degree: DataFrame, total: float, resolution: float, members: DataFrame, times: int) -> DataFrame:
+    """members (node, label) after moves of nodes in turns, then of the communities as nodes, until none moves; all of it so many times, each from what the
+    last has found: nodes may leave the communities that they came along with."""
 
-    kind = e.schema["src"].dataType.simpleString()
+    def gains(votes: DataFrame, state: DataFrame) -> DataFrame:
+        size = state.groupBy("label").agg(F.sum("degree").alias("size"))
+        stay = votes.select("node", "own", "degree", F.col("own").alias("label"), F.lit(0.0).alias("w")).distinct()  # its own, also where no neighbour is in it
+        all_of = votes.unionByName(stay).groupBy("node", "own", "degree", "label").agg(F.sum("w").alias("w")).join(size, "label")
+        others = F.col("size") - F.when(F.col("label") == F.col("own"), F.col("degree")).otherwise(0.0)
+        return all_of.withColumn("vote", F.col("w") - resolution * others * F.col("degree") / (2 * total))
 
-    def work(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["src", "dst"])
-        names = np.unique(np.concatenate((f.src.to_numpy(), f.dst.to_numpy())))
-        number = {n: i for i, n in enumerate(names.tolist())}
-        got = algorithm(f.src.map(number).to_numpy(), f.dst.map(number).to_numpy(), f.weight.to_numpy(float), resolution)
-        return pd.DataFrame({"node": names[list(got)], "label": names[list(got.values())]})
+    for _ in range(times if total else 0):
+        level, state = around, degree.join(members, "node").select("node", "label", "degree")
+        state, moves = _moved(level, state, gains)
+        if not moves:
+            break
+        found = state.select("node", "label")
+        while moves:
+            level, size = _contracted(level, state)
+            state, moves = _moved(level, _alone(size), gains)
+            up = state.select(F.col("node").alias("label"), F.col("label").alias("up"))
+            found = found.join(up, "label").select("node", F.col("up").alias("label"))
+        members = written(found, "graph-members")
+    return members
 
-    return e.select("src", "dst", "weight", F.lit(1).alias("_all")).groupBy("_all").applyInPandas(work, f"node {kind}, label {kind}")
+
+def louvain(e: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """node, label (the least member): modularity by moves of nodes, then of communities, in turns. What a move gains is told by partial sums (a node's weight
+    to a community, the community's degree), so no community or neighbourhood is gathered anywhere. Each step is a written table."""
+    around, degree, total = _whole(e)
+    degree = written(degree, "graph-nodes")
+    return _least_members(_improved(around, degree, total, resolution, degree.select("node", F.col("node").alias("label")), 2))
+
+
+def greedy(e: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """node, label (the least member): modularity by merging, round by round. Every community has a best partner (the union that gains most, the least name of
+    equals). Two that are each other's best merge, and with them others whose best is the smaller-named of the two, if they would gain even after all of
+    those have come: a star of any size is gone in few rounds. Nodes then move as in louvain, once."""
+    around, degree, total = _whole(e)
+    members = written(degree.select("node", F.col("node").alias("label")), "graph-members")
+    degree = written(degree, "graph-nodes")
+    whole, sizes = around, degree
+    while total:
+        d = lambda end: degree.select(F.col("node").alias(end), F.col("degree").alias(f"d_{end}"))
+        pairs = around.join(d("src"), "src").join(d("dst"), "dst").withColumn("gain", F.round(F.col("w") / total - resolution * F.col("d_src") * F.col("d_dst") / (2 * total * total), 12)).filter(F.col("gain") > _LEAST_GAIN / total)
+        best = written(pairs.groupBy("src").agg(F.min_by(F.struct("dst", "w", "d_src", "d_dst"), F.struct((-F.col("gain")).alias("g"), F.col("dst").alias("x"))).alias("b")).select("src", "b.*"), "graph-best")
+        hub = best.join(best.select(F.col("src").alias("p"), F.col("dst").alias("q")), (F.col("src") == F.col("q")) & (F.col("dst") == F.col("p"))).filter("src < dst").select(F.col("src").alias("hub"), F.col("dst").alias("mate"))
+        suitors = best.join(hub, F.col("dst") == F.col("hub"))
+        come = suitors.groupBy("hub").agg(F.sum("d_src").alias("come"))
+        others = suitors.join(come, "hub").filter((F.col("src") == F.col("mate")) | (F.col("w") * 2 * total > resolution * F.col("d_src") * (F.col("d_dst") + F.col("come") - F.col("d_src"))))
+        merged = written(others.select(F.col("src").alias("node"), F.col("hub").alias("up")), "graph-merged")
+        if merged.isEmpty():
+            break
+        state = degree.join(merged, "node", "left").select("node", F.coalesce("up", "node").alias("label"), "degree")
+        old = members
+        members = written(members.withColumnRenamed("node", "member").join(state.select(F.col("node").alias("label"), F.col("label").alias("up")), "label").select(F.col("member").alias("node"), F.col("up").alias("label")), "graph-members")
+        around, degree = _contracted(around, state)
+        dropped(old, best, merged)
+    return _least_members(_improved(whole, sizes, total, resolution, members, 1))
 
 
 def communities(labels: DataFrame, min_size: int = 1) -> DataFrame:

@@ -290,19 +290,13 @@ def test_whole_merge(spark):
 def test_detect(spark):
     e = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 1.0), ("d", "e", 1.0), ("c", "d", 0.1)], "src string, dst string, weight double")
     nodes = spark.createDataFrame([(x,) for x in "abcdef"], "node string")
-    for how in ("louvain", "greedy", "label"):
+    for how in ("louvain", "greedy", "async", "label"):
         got = {r.node: r.label for r in graph.detect(nodes, e, how).collect()}
         assert got["f"] == "f" and set(got) == set("abcdef")
         if how != "label":
             assert got["a"] == got["b"] == got["c"] == "a" and got["d"] == got["e"] == "d"
     with pytest.raises(ValueError):
         graph.detect(nodes, e, "other")
-    graph_limit, graph.ONE_TASK = graph.ONE_TASK, 2
-    try:
-        with pytest.raises(ValueError):
-            graph.louvain(e)
-    finally:
-        graph.ONE_TASK = graph_limit
 
 
 def test_nearest_takes_valid_vectors_only(spark):
