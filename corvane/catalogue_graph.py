@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .catalogue import _WINDOWS, SQL_Q, _cos, _lpa, query, tab, with_tables
+from .cluster import ship
 from .functions import text as T
 from .models import HashEmbedder
 from .operators import chunking, graph, kg
@@ -127,6 +128,23 @@ def knowledge(spark: SparkSession, sf_dir: str, with_communities: bool = False)
     return k
 
 
+_FOLD = """WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, list_transform(list_filter(w, lambda x, j: list_position(w, x) = j)[1:3], lambda x: lower(x)) AS names, row_number() OVER (ORDER BY doc_id::VARCHAR) AS i
+        FROM (SELECT doc_id, regexp_extract_all(text, '([A-Z][a-z]{5,})', 1) AS w FROM documents) WHERE len(w) > 0),
+    r AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS doc_id, NULL::VARCHAR AS key, MAP {}::MAP(VARCHAR, VARCHAR) AS points UNION ALL
+        SELECT x.i, x.doc_id, key, map_concat(points, map_from_entries(list_transform(names, lambda n: {'k': n, 'v': key})))
+        FROM (SELECT d.i, d.doc_id, d.names, r.points, coalesce(list_filter(list_transform(d.names, lambda n: r.points[n]), lambda k: k IS NOT NULL)[1], d.names[1]) AS key FROM r JOIN d ON d.i = r.i + 1) x)
+    SELECT doc_id, key FROM r WHERE i > 0"""
+
+
+@query(_FOLD)
+def kg_alias_keys(spark, sf_dir):
+    """Every document as a record of one entity: its first capitalised word of six letters or more, with the next two as aliases."""
+    names = F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Z][a-z]{5,})"), F.lit(1))), 1, 3)
+    d = tab(ship(spark), sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("chunk_key"), F.lit(0).alias("pos"), names.alias("n")).filter("size(n) > 0")
+    e = d.select("chunk_key", "pos", F.col("n")[0].alias("name"), F.slice("n", 2, 2).alias("aliases"))
+    return kg.entity_keys(e).select(F.col("chunk_key").cast("bigint").alias("doc_id"), "key")
+
+
 @kg_query("SELECT entity_id, canonical_name, name, type, observed_types, aliases, description, attributes, n_chunks FROM x_entities")
 def kg_entities(spark, sf_dir):
     return kg.merged_entities(kg.entities_of(records(spark, sf_dir))).withColumn("attributes", T.sorted_json(F.col("attributes")))

@@ -58,10 +58,12 @@ class Engine:
         self.extractor.records(keyed, "chunk_key", "text").withColumn("at", F.current_timestamp()).write.mode("append").parquet(cache)
         r = written(kg.last_records(self.spark.read.parquet(cache), "chunk_key", "at"), "records")
         ent, rel = kg.entities_of(r), kg.relations_of(r)
-        e = kg.merged_entities(ent)
+        keys = written(kg.entity_keys(ent), "entity-keys")
+        local = kg.local_names(ent, keys)
+        e = kg.merged_entities(ent, keys)
         e = written(e.withColumn("embedding", self.embedder.embed(kg.entity_text(e))), "entities")
         doc = lambda links, key: links.select(key, F.col("chunk_key").cast("bigint").alias("doc_id")).distinct()
-        g = P.Graph(e, kg.merged_relations(rel, e), doc(kg.links(ent), "entity_id"), doc(kg.relation_links(rel, e), "relation_id"))
+        g = P.Graph(e, kg.merged_relations(rel, e, local), doc(kg.links(ent, keys), "entity_id"), doc(kg.relation_links(rel, e, local), "relation_id"))
         io.save_graph(g, self.path("graph"))
         io.write_manifest(self.spark, self.path("graph/manifest"), {"entities": e, "relations": g.relations}, r.filter("status <> 'ok'"))
         return self.graph()

@@ -123,6 +123,25 @@ def label_propagation(nodes: DataFrame, e: DataFrame, rounds: int = 3) -> DataFr
     return labels
 
 
+def components(e: DataFrame) -> DataFrame:
+    """node, component (the least node that it is joined with) for all ends of edges src, dst. Each round a node takes the least label around it, and then
+    the label of that label, so that long chains are short in few rounds."""
+    around = written(e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "component-edges")
+    labels = written(around.groupBy(F.col("src").alias("node")).agg(F.least(F.min("src"), F.min("dst")).alias("label")), "component-labels")
+    while True:
+        near = around.join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("near"))
+        met = labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("low"))
+        up = labels.select(F.col("node").alias("low"), F.col("label").alias("up"))
+        seen = Observation()
+        new = met.join(up, "low", "left").select("node", F.least("low", "up").alias("label"), "old").observe(seen, F.count_if(F.col("label") < F.col("old")).alias("n"))
+        new = written(new, "component-labels")
+        dropped(labels)
+        if not seen.get["n"]:
+            return new.select("node", F.col("label").alias("component"))
+        labels = new.drop("old")
+        labels._corvane_path = new._corvane_path
+
+
 def modularity(e: DataFrame, labels: DataFrame) -> DataFrame:
     """One row: modularity of the partition (node, label)."""
     total = e.agg(F.sum("weight").alias("m"))

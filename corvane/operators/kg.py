@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from . import graph
 from .chunking import numbered
 
 # Fixed values -----------------------------------------------------------------------------------------------------
@@ -98,13 +99,22 @@ def _longest(text: str) -> Column:
     return F.min_by(text, F.struct((-F.length(text)).alias("n"), F.col("chunk_key").alias("c"), F.col("pos").alias("p")))
 
 
-def merged_entities(entities: DataFrame) -> DataFrame:
-    """By canonical name: id, name (the first spelling by chunk and place), type (the most important seen), types, aliases, attributes (the last
+def _keyed(entities: DataFrame, keys: DataFrame | None) -> DataFrame:
+    """entities with canonical_name: of the entity that a row belongs to."""
+    if keys is None:
+        return entities.withColumn("canonical_name", T.canonical_name(F.col("name"))).filter("canonical_name <> ''")
+    return entities.join(keys, ["chunk_key", "pos"]).withColumnRenamed("key", "canonical_name")
+
+
+def merged_entities(entities: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """By canonical name, or with keys (entity_keys) by the entity that names and aliases resolve to, whose other names are aliases then: id, name (the first spelling by chunk and place), type (the most important seen), types, aliases, attributes (the last
     value of each), longest description, number of chunks; the chunks themselves are links().
 
     All sums are partial before the shuffle; the sets are of names and types, not of rows."""
     rank = F.array_position(F.array(*map(F.lit, TYPE_PRIORITY)), F.col("type"))
-    c = entities.withColumn("canonical_name", T.canonical_name(F.col("name"))).filter("canonical_name <> ''")
+    c = _keyed(entities, keys)
+    if keys is not None:
+        c = c.withColumn("aliases", F.when(T.canonical_name(F.col("name")) == F.col("canonical_name"), F.col("aliases")).otherwise(F.concat("aliases", F.array("name"))))
     at = F.struct("chunk_key", "pos")
     out = c.groupBy("canonical_name").agg(
         F.min_by("name", at).alias("name"),
@@ -130,8 +140,24 @@ def merged_entities(entities: DataFrame) -> DataFrame:
     )
 
 
-def resolved_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
-    """relations with subject_id, object_id and relation_id; ends that are no entity, and relations to oneself, go."""
+def local_names(entities: DataFrame, keys: DataFrame) -> DataFrame:
+    """chunk_key, name, entity_id: what the names of a record's entities, and their aliases, mean within it; the last row of a record counts."""
+    rows = _keyed(entities, keys).select("chunk_key", "pos", F.explode(_names()).alias("name"), F.substring(F.sha1("canonical_name"), 1, 16).alias("entity_id"))
+    return rows.groupBy("chunk_key", "name").agg(F.max_by("entity_id", "pos").alias("entity_id"))
+
+
+def resolved_relations(relations: DataFrame, entities: DataFrame, local: DataFrame | None = None) -> DataFrame:
+    """relations with subject_id, object_id and relation_id; ends that are no entity, and relations to oneself, go. local (local_names): what names mean within a
+    record; a name that means nothing there means the entity that has it as its name or as an alias, the first by canonical name of several."""
+    if local is not None:
+        own = F.array_distinct(F.concat(F.array("canonical_name"), F.transform("aliases", T.canonical_name)))
+        anywhere = entities.select(F.explode(own).alias("end"), F.struct("canonical_name", "entity_id").alias("e")).groupBy("end").agg(F.min("e").alias("e")).select("end", F.col("e.entity_id").alias("any_id"))
+        r = relations
+        for end in ("subject", "object"):
+            here = local.select("chunk_key", F.col("name").alias(end), F.col("entity_id").alias("here_id"))
+            r = r.join(here, ["chunk_key", end], "left").join(anywhere.withColumnRenamed("end", end), end, "left").withColumn(f"{end}_id", F.coalesce("here_id", "any_id")).drop("here_id", "any_id")
+        r = r.filter("subject_id <> object_id")
+        return r.withColumn("relation_id", F.substring(F.sha1(F.concat_ws("|", "subject_id", "predicate", "object_id")), 1, 16))
     known = entities.select("canonical_name", "entity_id")
     s = known.select(F.col("canonical_name").alias("subject"), F.col("entity_id").alias("subject_id"))
     o = known.select(F.col("canonical_name").alias("object"), F.col("entity_id").alias("object_id"))
@@ -139,9 +165,9 @@ def resolved_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
     return r.withColumn("relation_id", F.substring(F.sha1(F.concat_ws("|", "subject_id", "predicate", "object_id")), 1, 16))
 
 
-def merged_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
+def merged_relations(relations: DataFrame, entities: DataFrame, local: DataFrame | None = None) -> DataFrame:
     """By subject, predicate and object: longest description, evidence (a set), number of chunks and of mentions; the chunks are relation_links()."""
-    r = resolved_relations(relations, entities)
+    r = resolved_relations(relations, entities, local)
     return r.groupBy("relation_id", "subject_id", "predicate", "object_id").agg(
         _longest("description").alias("description"),
         F.array_sort(F.collect_set(F.nullif(F.col("evidence"), F.lit("")))).alias("evidence"),
@@ -150,12 +176,12 @@ def merged_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
     )
 
 
-def links(entities: DataFrame) -> DataFrame:
-    return entities.select(entity_id(F.col("name")).alias("entity_id"), "chunk_key").distinct()
+def links(entities: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    return _keyed(entities, keys).select(F.substring(F.sha1("canonical_name"), 1, 16).alias("entity_id"), "chunk_key").distinct()
 
 
-def relation_links(relations: DataFrame, entities: DataFrame) -> DataFrame:
-    return resolved_relations(relations, entities).select("relation_id", "chunk_key").distinct()
+def relation_links(relations: DataFrame, entities: DataFrame, local: DataFrame | None = None) -> DataFrame:
+    return resolved_relations(relations, entities, local).select("relation_id", "chunk_key").distinct()
 
 
 def relations_by_entity(relations: DataFrame) -> DataFrame:
@@ -199,46 +225,38 @@ def to_extract(chunks: DataFrame, cache: DataFrame) -> DataFrame:
     return chunks.join(cache.filter("status = 'ok'").select("chunk_key", "text_hash"), ["chunk_key", "text_hash"], "left_anti")
 
 
-def fold_entities(records: list[tuple[str, list[str], str, str]]) -> dict[str, int]:
-    """Exact alias resolution, in order: each name or alias points to the entity found by the first of a record's names that is known; later
-    records can point a name elsewhere. records: (name, aliases, type, chunk). Returns canonical name -> number of its entity."""
-    index: dict[str, int] = {}
-    n = 0
-    for name, aliases, _, _ in records:
-        names = [canonical(x) for x in (name, *aliases)]
-        names = [x for x in dict.fromkeys(names) if x]
-        if not names:
-            continue
-        found = next((index[x] for x in names if x in index), None)
-        if found is None:
-            found, n = n, n + 1
-        for x in names:
-            index[x] = found
-    return index
-
-
-def canonical(name: str) -> str:
-    bare = re.sub(r"\s*\([A-Za-z0-9][A-Za-z0-9_-]{1,20}\)\s*$", "", re.sub(r"\s+", " ", name or "").strip())
-    return re.sub(r"[\s_-]+", " ", bare).strip().lower()
-
-
-#: Rows that an operator may put into one task.
-ONE_TASK = 5_000_000
-
-
-def alias_groups(entities: DataFrame) -> DataFrame:
-    """canonical_name, entity: fold_entities over all rows in the order of chunk and place. One ordered fold is one task: for graphs the size of
-    a paper collection, ONE_TASK rows at most, checked; merged_entities is the way that scales."""
-    n = entities.count()
-    if n > ONE_TASK:
-        raise ValueError(f"{n} entities: an ordered fold takes {ONE_TASK} at most, use merged_entities")
-
-    def work(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["chunk_key", "pos"])
-        got = fold_entities([(r.name_, list(r.aliases), r.type, r.chunk_key) for r in f.itertuples()])
-        return pd.DataFrame({"canonical_name": list(got), "entity": list(got.values())}).astype({"entity": "int64"})
-
-    return entities.withColumnRenamed("name", "name_").withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(work, "canonical_name string, entity bigint")
+def _names() -> Column:
+    """Canonical names of a row: its own and its aliases', each once, none empty."""
+    return F.array_distinct(F.filter(F.transform(F.concat(F.array("name"), F.col("aliases")), T.canonical_name), lambda x: x != ""))
+
+
+def entity_keys(entities: DataFrame) -> DataFrame:
+    """chunk_key, pos, key for each row with a canonical name: the entity that it belongs to, named by the canonical name that founded it.
+
+    In the order of chunk and place, a row belongs to the entity that the first known one of its names points to, or founds one; from then on all of its names point
+    there, whatever they pointed to. Names of different components of the graph of names and aliases never meet, so each component is gone through by itself,
+    in order, a row at a time: what is held is where the component's names point. Rows of a name that no alias joins to another need none of this."""
+    rows = entities.select("chunk_key", "pos", _names().alias("names"), T.canonical_name(F.col("name")).alias("own")).filter("own <> ''")
+    joined = rows.select("own", F.explode("names").alias("other")).filter("own <> other").select(F.col("own").alias("src"), F.col("other").alias("dst")).distinct()
+    of = graph.components(joined)
+    told = rows.join(of, F.col("own") == F.col("node"), "left")
+    alone = told.filter("component IS NULL").select("chunk_key", "pos", F.col("own").alias("key"))
+    kind = entities.schema["chunk_key"].dataType.simpleString(), entities.schema["pos"].dataType.simpleString()
+
+    def work(batches):
+        at, points = None, {}
+        for batch in batches:
+            keys = []
+            for component, names in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if component != at:
+                    at, points = component, {}
+                key = next((points[x] for x in names if x in points), names[0])
+                points.update(dict.fromkeys(names, key))
+                keys.append(key)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.string())], names=["chunk_key", "pos", "key"])
+
+    ordered = told.filter("component IS NOT NULL").select("chunk_key", "pos", "component", "names").repartition("component").sortWithinPartitions("component", "chunk_key", "pos")
+    return alone.unionByName(ordered.mapInArrow(work, f"chunk_key {kind[0]}, pos {kind[1]}, key string"))
 
 
 class PatternExtractor:

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text as T, vectors as V
 from corvane.operators import chunking, graph, kg, metrics, ranking as R
 from corvane.sources import io
+from tests.plain.aliases import fold
 
 
 def one(spark, column, **values):
@@ -42,9 +45,40 @@ def test_splitter():
     assert chunking.split_text("short") == ["short"]
 
 
-def test_alias_fold():
-    got = kg.fold_entities([("Alpha", ["A"], "", "1"), ("Beta", ["B"], "", "1"), ("A", ["B"], "", "2"), ("B", [], "", "3")])
-    assert got["a"] == got["alpha"] == got["b"] and got["beta"] != got["b"]
+@pytest.mark.parametrize("seed", range(3))
+def test_alias_keys(spark, seed):
+    """Against one ordered fold over all records; components of one name and of many, names in several spellings, rows that repeat."""
+    rng = random.Random(seed)
+    pool = ["Alpha", "alpha (A)", "A", "B-b", "b_b", "Beta", "  ", "(NN)", *(f"n{i}" for i in range(40))]
+    rows = [(f"{rng.randint(0, 60):03d}", i, rng.choice(pool), rng.sample(pool, rng.choice([0, 0, 0, 1, 2]))) for i in range(300)]
+    e = spark.createDataFrame(rows, "chunk_key string, pos int, name string, aliases array<string>")
+    rows.sort(key=lambda r: r[:2])
+    want = {(c, p, k) for (c, p, _, _), k in zip(rows, fold([r[2:] for r in rows]), strict=True) if k is not None}
+    assert {tuple(r) for r in kg.entity_keys(e).collect()} == want
+    assert {tuple(r) for r in kg.entity_keys(e.repartition(1)).collect()} == want
+    assert kg.entity_keys(e.limit(0)).count() == 0
+
+
+def test_aliases_merge_entities_and_relations(spark):
+    rows = [
+        ("1", "ok", [("Graph Net", "Method", ["GN"], "first"), ("Data", "Dataset", [], "")], [("GN", "uses", "Data", "d", "e1")]),
+        ("2", "ok", [("gn", "Model", [], "a longer text"), ("Net of graphs", "Method", ["GN"], "")], [("Net of graphs", "uses", "data", "", "e2"), ("GN", "uses", "Graph Net", "", "")]),
+    ]
+    r = spark.createDataFrame(rows, "chunk_key string, status string, entities array<struct<name:string,type:string,aliases:array<string>,description:string>>, relations array<struct<subject:string,predicate:string,object:string,description:string,evidence:string>>")
+    ent = kg.entities_of(r)
+    keys = kg.entity_keys(ent)
+    e = {x.canonical_name: x for x in kg.merged_entities(ent, keys).collect()}
+    assert set(e) == {"graph net", "data"} and (e["graph net"].aliases, e["graph net"].description, e["graph net"].n_chunks) == (["GN", "Net of graphs", "gn"], "a longer text", 2)
+    local = kg.local_names(ent, keys)
+    rel = kg.merged_relations(kg.relations_of(r), kg.merged_entities(ent, keys), local).collect()
+    assert [(x.predicate, x.evidence, x.n) for x in rel] == [("uses", ["e1", "e2"], 2)]  # one to itself goes
+    assert kg.links(ent, keys).count() == 3 and kg.relation_links(kg.relations_of(r), kg.merged_entities(ent, keys), local).count() == 2
+
+
+def test_components(spark):
+    chain = [(f"{i:03d}", f"{i + 1:03d}") for i in range(70)] + [("x", "y"), ("y", "x"), ("z", "z")]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(chain, "src string, dst string")).collect()}
+    assert {got[f"{i:03d}"] for i in range(71)} == {"000"} and got["x"] == got["y"] == "x" and got["z"] == "z"
 
 
 def test_extraction_records(spark):
