@@ -48,9 +48,11 @@ def with_tables(final: str, tables: dict[str, str]) -> str:
 
 
 # Questions and chunks -----------------------------------------------------------------------------------------------
-#: Asked beside the benchmark's passages: questions that show intents.
+#: Questions that show intents; asked alone by the plans of many searches, and beside the benchmark's passages by the searches themselves.
 QUESTIONS = [(-1, "what is the tion that with workflow", 1), (-2, "summary of und der nicht", 2), (-3, "rewh ered thing proposed problem", 3), (-4, "Summary: steps in the process of ti-on, mi_graph and tion-", 4)]
-SQL_Q = "SELECT item_id::BIGINT AS qid, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS question, item_id::BIGINT AS v FROM benchmark UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({q}::BIGINT, '{t}', {v}::BIGINT)" for q, t, v in QUESTIONS) + ") t(qid, question, v)"
+SQL_Q = "SELECT * FROM (VALUES " + ", ".join(f"({q}::BIGINT, '{t}', {v}::BIGINT)" for q, t, v in QUESTIONS) + ") t(qid, question, v)"
+SQL_QA = f"SELECT item_id::BIGINT AS qid, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS question, item_id::BIGINT AS v FROM benchmark UNION ALL {SQL_Q}"
+SQL_QVA = f"SELECT q.qid, q.question, e.embedding AS qvec FROM ({SQL_QA}) q JOIN embeddings e ON e.vec_id = q.v"
 SQL_QV = f"SELECT q.qid, q.question, e.embedding AS qvec FROM ({SQL_Q}) q JOIN embeddings e ON e.vec_id = q.v"
 SQL_C = "SELECT d.doc_id, d.source, 'papers/' || d.source AS source_path, 1 AS page, d.text, e.embedding, e.label FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id"
 _COLLAPSED = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
@@ -72,15 +74,22 @@ def sql_terms(asked: str) -> str:
         WHERE weight IS NOT NULL AND q.qid IN (SELECT qid FROM ({words})) AND (q.qid, i.term) NOT IN (SELECT (qid, term) FROM ({words}))"""
 
 
-SQL_T = sql_terms(SQL_Q)
+SQL_T, SQL_TA = sql_terms(SQL_Q), sql_terms(SQL_QA)
+
+
+def _with_vectors(q: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = tab(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("v"), F.col("embedding").alias("qvec"))
+    return q.withColumn("question", T.normalised(F.col("question"))).join(e, "v").drop("v")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_vectors(spark.createDataFrame(QUESTIONS, "qid bigint, question string, v bigint"), ship(spark), sf_dir)
+
+
+def all_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark's passages, and QUESTIONS."""
     b = tab(spark, sf_dir, "benchmark").select(F.col("item_id").cast("bigint").alias("qid"), F.col("text").alias("question"), F.col("item_id").cast("bigint").alias("v"))
-    q = b.unionByName(spark.createDataFrame(QUESTIONS, "qid bigint, question string, v bigint"))
-    q = q.withColumn("question", T.normalised(F.col("question")))
-    return q.join(tab(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("v"), F.col("embedding").alias("qvec")), "v").drop("v")
+    return _with_vectors(b.unionByName(spark.createDataFrame(QUESTIONS, "qid bigint, question string, v bigint")), ship(spark), sf_dir)
 
 
 _indexes: dict[tuple[str, str], DataFrame] = {}
@@ -111,8 +120,8 @@ def _cos(a: str, b: str) -> str:
     return f"{_DOT.format(a=a, b=b)} / (sqrt({_DOT.format(a=a, b=a)}) * sqrt({_DOT.format(a=b, b=b)}))"
 
 
-def _vector(k: int) -> str:
-    return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, doc_id) AS vector_rank FROM (SELECT q.qid, c.doc_id, {_L2} AS distance FROM ({SQL_CV}) c, ({SQL_QV}) q)) WHERE vector_rank <= {k}"
+def _vector(k: int, asked: str = SQL_QV) -> str:
+    return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, doc_id) AS vector_rank FROM (SELECT q.qid, c.doc_id, {_L2} AS distance FROM ({SQL_CV}) c, ({asked}) q)) WHERE vector_rank <= {k}"
 
 
 def _keyword(k: int, texts: str = f"SELECT doc_id, {SQL_S} AS s FROM ({SQL_C})", terms: str = SQL_T) -> str:
@@ -124,26 +133,26 @@ def _keyword(k: int, texts: str = f"SELECT doc_id, {SQL_S} AS s FROM ({SQL_C})",
         GROUP BY qid, doc_id HAVING bool_or(anchor AND contains(s, term)))) WHERE keyword_rank <= {k}"""
 
 
-def _hybrid(k: int) -> str:
+def _hybrid(k: int, asked: str = SQL_QV, terms: str = SQL_T) -> str:
     raw = R.over_fetch(k)
     return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vector_rank NULLS LAST, keyword_rank NULLS LAST, doc_id) AS rank FROM (
         SELECT qid, doc_id, vector_rank, keyword_rank, round(coalesce(1.0::DOUBLE / (60 + vector_rank), 0) + coalesce(2.0::DOUBLE / (60 + keyword_rank), 0), 9) AS score
-        FROM ({_vector(raw)}) v FULL JOIN ({_keyword(raw)}) w USING (qid, doc_id))) WHERE rank <= {k}"""
+        FROM ({_vector(raw, asked)}) v FULL JOIN ({_keyword(raw, terms=terms)}) w USING (qid, doc_id))) WHERE rank <= {k}"""
 
 
-@query(_vector(10))
+@query(_vector(10, SQL_QVA))
 def vector_topk_l2(spark, sf_dir):
-    return P.vector_search(index(spark, sf_dir), questions(spark, sf_dir), 10)
+    return P.vector_search(index(spark, sf_dir), all_questions(spark, sf_dir), 10)
 
 
-@query(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, doc_id) AS rank FROM (SELECT q.qid, c.doc_id, round({_cos('c.embedding', 'q.qvec')}, 9) AS similarity FROM ({SQL_CV}) c, ({SQL_QV}) q)) WHERE rank <= 10")
+@query(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, doc_id) AS rank FROM (SELECT q.qid, c.doc_id, round({_cos('c.embedding', 'q.qvec')}, 9) AS similarity FROM ({SQL_CV}) c, ({SQL_QVA}) q)) WHERE rank <= 10")
 def vector_topk_cosine(spark, sf_dir):
-    return P.cosine_search(index(spark, sf_dir), questions(spark, sf_dir), 10)
+    return P.cosine_search(index(spark, sf_dir), all_questions(spark, sf_dir), 10)
 
 
-@query(_keyword(10))
+@query(_keyword(10, terms=SQL_TA))
 def keyword_search(spark, sf_dir):
-    return P.keyword_search(index(spark, sf_dir), questions(spark, sf_dir), 10)
+    return P.keyword_search(index(spark, sf_dir), all_questions(spark, sf_dir), 10)
 
 
 #: Chunks and a question in compatibility forms: full-width letters, a ligature, wide and no-break spaces.
@@ -180,18 +189,18 @@ def keyword_search_forms(spark, sf_dir):
     return P.keyword_search(_formed(spark, sf_dir), q.withColumn("question", T.normalised(F.col("question"))), 20)
 
 
-@query(_hybrid(10))
+@query(_hybrid(10, SQL_QVA, SQL_TA))
 def hybrid_rrf(spark, sf_dir):
-    return P.hybrid_search(index(spark, sf_dir), questions(spark, sf_dir), 10)
+    return P.hybrid_search(index(spark, sf_dir), all_questions(spark, sf_dir), 10)
 
 
 def flagship(spark, sf_dir):
     return hybrid_rrf(spark, sf_dir)
 
 
-@query(f"SELECT qid, doc_id, distance, vector_rank, row_number() OVER (PARTITION BY qid ORDER BY vector_rank) AS rank FROM ({_vector(40)}) WHERE doc_id IN (SELECT doc_id FROM ({SQL_C}) WHERE source IN ('src0', 'src3', 'src6')) QUALIFY rank <= 10")
+@query(f"SELECT qid, doc_id, distance, vector_rank, row_number() OVER (PARTITION BY qid ORDER BY vector_rank) AS rank FROM ({_vector(40, SQL_QVA)}) WHERE doc_id IN (SELECT doc_id FROM ({SQL_C}) WHERE source IN ('src0', 'src3', 'src6')) QUALIFY rank <= 10")
 def hybrid_postfilter_source(spark, sf_dir):
-    return P.filtered_vector_search(index(spark, sf_dir), questions(spark, sf_dir), F.col("source").isin("src0", "src3", "src6"), 10)
+    return P.filtered_vector_search(index(spark, sf_dir), all_questions(spark, sf_dir), F.col("source").isin("src0", "src3", "src6"), 10)
 
 
 _REFS = "(1, 'plain text'), (2, 'References [1] Smith'), (3, 'A. 1999. B. 2001. Proc. ACM 2005, IEEE conference'), (4, 'in 1999 and 2001'), (5, 'journal of arxiv 2020')"

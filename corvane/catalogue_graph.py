@@ -141,7 +141,7 @@ def kg_alias_keys(spark, sf_dir):
     """Every document as a record of one entity: its first capitalised word of six letters or more, with the next two as aliases."""
     names = F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Z][a-z]{5,})"), F.lit(1))), 1, 3)
     d = tab(ship(spark), sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("chunk_key"), F.lit(0).alias("pos"), names.alias("n")).filter("size(n) > 0")
-    e = d.select("chunk_key", "pos", F.col("n")[0].alias("name"), F.slice("n", 2, 2).alias("aliases"))
+    e = d.select("chunk_key", "pos", F.get("n", F.lit(0)).alias("name"), F.slice("n", 2, 2).alias("aliases"))
     return kg.entity_keys(e).select(F.col("chunk_key").cast("bigint").alias("doc_id"), "key")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .catalogue import SQL_C, SQL_Q, SQL_QV, _carried, _classified, _cos, _hybrid, _keyword, _vector, index, query, questions, tab, with_tables
+from .catalogue import SQL_C, SQL_Q, SQL_QV, SQL_QVA, _carried, _classified, _cos, _hybrid, _keyword, _vector, all_questions, index, query, questions, tab, with_tables
 from .catalogue_graph import LEVELS, SIZE, TABLES, _near, hierarchy, knowledge
 from .functions import text as T, vectors as V
 from .models import HashEmbedder
@@ -238,11 +238,12 @@ def _found(spark, sf_dir):
 
 
 #: The walk over links of the lowest level, pop by pop: each question carries what it has popped and what it has met.
+BEAM["x_qva"] = SQL_QVA
 BEAM["w_n"] = "SELECT count(*) AS n FROM h_n0"
 BEAM["w_link"] = f"SELECT src, dst FROM ({_near('SELECT * FROM h_n0', 8, -1)})"
-BEAM["w_sim"] = f"SELECT qid, node_id, round({_cos('embedding', 'qvec')}, 6) AS s FROM h_n0, x_qv"
+BEAM["w_sim"] = f"SELECT qid, node_id, round({_cos('embedding', 'qvec')}, 6) AS s FROM h_n0, x_qva"
 BEAM["w_next"] = "SELECT qid, src AS node, list({'s': -s, 'n': node_id}) AS met FROM w_link JOIN w_sim ON node_id = dst GROUP BY 1, 2"
-BEAM["w_entry"] = f"SELECT qid, b.node_id AS parent FROM (SELECT qid, node_id, round({_cos('embedding', 'qvec')}, 6) AS s FROM h_n1, x_qv QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, node_id) <= 3) b"
+BEAM["w_entry"] = f"SELECT qid, b.node_id AS parent FROM (SELECT qid, node_id, round({_cos('embedding', 'qvec')}, 6) AS s FROM h_n1, x_qva QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, node_id) <= 3) b"
 BEAM["w_start"] = "SELECT DISTINCT qid, child AS node_id FROM w_entry JOIN b_inter USING (parent) WHERE level = 1"
 BEAM["w_first"] = "SELECT qid, [0][1:0]::BIGINT[] AS popped, list({'s': -s, 'n': node_id}) AS heap, greatest(32, 8 * 10, 8 * count(*)) AS most FROM w_start JOIN w_sim USING (qid, node_id) GROUP BY qid"
 _WALK = """WITH RECURSIVE r AS (SELECT qid, popped, heap, most, [0.0::DOUBLE][1:0] AS scores FROM w_first UNION ALL
@@ -254,7 +255,7 @@ _WALK = """WITH RECURSIVE r AS (SELECT qid, popped, heap, most, [0.0::DOUBLE][1:
 @query(with_tables(f"SELECT qid, node_id, local, row_number() OVER (PARTITION BY qid ORDER BY local DESC, node_id) AS rank FROM ({_WALK}) QUALIFY rank <= 10", BEAM))
 def layer_walk(spark, sf_dir):
     """From the children linked to the three best nodes of level 1, over the links of the lowest level."""
-    h, q = hierarchy(spark, sf_dir), questions(spark, sf_dir)
+    h, q = hierarchy(spark, sf_dir), all_questions(spark, sf_dir)
     entry = R.ranked(P.past_questions(h.level(1), q).select("qid", "node_id", F.round(V.cosine(F.col("embedding"), F.col("qvec")), 6).alias("s")), ["qid"], [F.desc("s"), F.col("node_id")], 3)
     starts = entry.join(h.inter_links.filter("level = 1"), F.col("node_id") == F.col("parent")).select("qid", F.col("child").alias("node_id"))
     return walk.layer_search(h.level(0), h.intra_links.filter("level = 0"), q, starts, 10)
