@@ -3,7 +3,7 @@
 A text's bytes are cut into segments of SEGMENT; over each, one network of HIDDEN gated units runs forward and one
 backward, and every position gets a probability for each language. A document's probabilities are the means over all its
 positions. Gates use x / (1 + |x|) in the place of the logistic curve and tanh. Training is backpropagation through time with
-Adam, on whole texts of at most SAMPLE labelled documents, PER_LANG of a language at most (the first by a hash of the id), so that a rare language is
+Adam, on whole texts of at most SAMPLE labelled documents, PER_LANG of a language at most (the first by a hash of the id, of at most PER_PART of each of SPREAD parts), so that a rare language is
 learned too; no held-out row is among them. Each step draws documents, and of each any of its segments. Everything is seeded, so the same rows
 give the same network.
 """
@@ -195,12 +195,18 @@ def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
     return out / np.maximum(sizes, 1)[:, None]
 
 
+#: Parts of a language; of each, so many rows at most go on. More than PER_LANG in all, so that the first PER_LANG of a language by hash are nearly always among them.
+SPREAD, PER_PART = 64, 40
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
     ident = F.col(f"`{id_col}`").cast("bigint")
     rows = docs.select(ident.alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).dropna().filter((crc_mod(F.col("id"), 4) != 2) & F.col("text").rlike(r"\p{L}"))
     # Ids first, so that a text is only carried for the sample; all languages have their first rows before any has its second.
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    ids = rows.select(F.col("id").alias("_id"), F.col("lang").alias("_lang")).distinct().withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= PER_LANG)
+    # The first of each of SPREAD parts of a language, then of all: no task sorts a language's rows.
+    ids = rows.select(F.col("id").alias("_id"), F.col("lang").alias("_lang")).distinct().withColumn("_part", F.pmod(F.xxhash64("_id", F.lit("part")), F.lit(SPREAD)))
+    for by in (["_lang", "_part"], ["_lang"]):
+        ids = ids.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("_id"), "_id"))).filter(F.col("_r") <= (PER_LANG if by == ["_lang"] else PER_PART))
     ids = ids.orderBy("_r", F.xxhash64("_id"), "_id", "_lang").limit(SAMPLE)
     got = rows.join(F.broadcast(ids), (F.col("id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("id", "lang", F.encode("text", "utf-8").alias("text"))
     got = got.orderBy(F.xxhash64("id"), "id", "lang", "text").limit(SAMPLE).collect()  # rows that share an id count too
