@@ -101,7 +101,7 @@ class Engine:
 
     # Asking -----------------------------------------------------------------------------------------------------------
     def questions(self, rows: list[tuple[int, str]]) -> DataFrame:
-        q = self.spark.createDataFrame(rows, "qid bigint, question string")
+        q = self.spark.createDataFrame(rows, "qid bigint, question string").withColumn("question", T.normalised(F.col("question")))
         return q.withColumn("qvec", self.embedder.embed(F.col("question")))
 
     def search(self, questions: DataFrame, mode: str | None = None, k: int | None = None, include_references: bool = False) -> DataFrame:
@@ -130,25 +130,28 @@ class Engine:
     def found(self, h: H.Hierarchy, questions: DataFrame) -> DataFrame:
         return written(H.search(h, questions, beam=None), "found")
 
-    def rewritten(self, question: str, session: str | None = None) -> str:
-        """The question as it is searched by: from a model that has seen the last messages, or by rule."""
+    def rewritten(self, question: str, session: str | None = None) -> tuple[str, str]:
+        """The question by itself, and the text that the hierarchy is searched by (with its entities, keywords and sub-questions): from a model that has seen the
+        last messages, or by rule."""
+        both = lambda q: tuple(q.select("r.standalone_query", T.retrieval_query(F.col("r"))).first())
         q = self.spark.createDataFrame([(question,)], "question string")
         if self.generator is None:
-            return q.select(T.rewritten(F.col("question")).alias("r")).select("r.standalone_query").first()[0]
+            return both(q.select(T.rewritten(F.col("question")).alias("r")))
         prompt = F.concat(F.lit(f"Rewrite the question as JSON with standalone_query, entities, keywords, sub_questions, query_type.\nConversation:\n{self.history_text(session)}\nQuestion: "), "question")
         parsed = F.from_json(T.json_object(answered(self.generator, prompt)), "standalone_query string, entities array<string>, keywords array<string>, sub_questions array<string>, query_type string")
         r = q.select("question", F.coalesce(parsed, F.from_json(F.lit("{}"), "standalone_query string, entities array<string>, keywords array<string>, sub_questions array<string>, query_type string")).alias("p"))
-        return r.select(T.rewritten(F.col("question"), F.col("p")).alias("r")).select("r.standalone_query").first()[0]
+        return both(r.select(T.rewritten(F.col("question"), F.col("p")).alias("r")))
 
     def ask(self, question: str, mode: str | None = None, k: int | None = None, session: str | None = None) -> dict:
         """answer, sources (rows) and mode; both messages go to the session's history."""
         if not question.strip():
             raise ValueError("a question must not be empty")
-        standalone = self.rewritten(question, session)
+        standalone, sought = self.rewritten(question, session)
         q = self.questions([(1, standalone)])
         texts = self.chunks().select("doc_id", "source", "page", "text")
         if T.retrieval_mode(mode or self.settings.mode) == "archrag":  # the answer is merged from what each level says
             h = self.hierarchy()
+            q = q.withColumn("qvec", self.embedder.embed(F.lit(sought)))
             found = self.found(h, q)
             hits = written(P.hierarchy_rerank(P.rerank_candidates(found, h.refs, self.chunks(), q), k or self.settings.k), "hits")
             sources = written(A.source_rows(hits, texts, chars=A.SOURCE_CHARS), "sources")

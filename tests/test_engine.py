@@ -282,6 +282,12 @@ def test_whole_merge(spark):
     assert sorted(map(tuple, moved.collect())) == [("1", "new"), ("9", "kept")]
 
 
+def test_the_hierarchy_is_searched_by_the_rewritten_question(spark, tmp_path):
+    e = Engine(spark, Settings(root=str(tmp_path)))
+    standalone, sought = e.rewritten("steps of “Graph Nets”")
+    assert standalone == "steps of “Graph Nets”" and sought.startswith(standalone + "\n") and "Keywords: " in sought and "Sub-questions: " in sought
+
+
 def test_detect(spark):
     e = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 1.0), ("d", "e", 1.0), ("c", "d", 0.1)], "src string, dst string, weight double")
     nodes = spark.createDataFrame([(x,) for x in "abcdef"], "node string")
