@@ -161,7 +161,7 @@ SEARCH["x_inp"] = f"""SELECT qid, source, doc_id, score, paper_score, paper_rank
     (SELECT qid, source, doc_id, row_number() OVER (PARTITION BY qid, source ORDER BY distance, doc_id) AS vr FROM ({_vector(10**9)}) JOIN (SELECT doc_id, source FROM documents) USING (doc_id) JOIN x_cand USING (qid, source) QUALIFY vr <= {{raw}})
     FULL JOIN (SELECT qid, source, doc_id, row_number() OVER (PARTITION BY qid, source ORDER BY keyword_score DESC, doc_id) AS kr FROM ({_keyword(10**9)}) JOIN (SELECT doc_id, source FROM documents) USING (doc_id) JOIN x_cand USING (qid, source) QUALIFY kr <= {{raw}}) USING (qid, source, doc_id))
     JOIN x_cand USING (qid, source) QUALIFY in_paper_rank <= {{k}}""".replace("{raw}", str(R.over_fetch(12))).replace("{k}", "12")
-_GTERMS = "list_distinct(list_filter(regexp_extract_all(lower(question), '([a-z][a-z0-9_-]+)', 1), lambda w: length(w) >= 3))"
+_GTERMS = "list_distinct(list_filter(list_transform(regexp_extract_all(lower(question), '([a-z][a-z0-9_-]+)', 1), lambda w: trim(w, '-_')), lambda w: length(w) >= 3))"
 SEARCH["x_feat"] = f"""SELECT *, least(1.0, list_sum(list_transform(gt, lambda t: CASE WHEN contains(s, t) THEN CASE WHEN length(t) >= 6 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END ELSE 0::DOUBLE END)) / len(gt)) AS keyword,
     (len(list_filter(gt, lambda t: contains(lower(section_title || ' ' || section_type), t))) > 0)::INT::DOUBLE AS section
     FROM (SELECT i.*, i.score AS relevance, section_title, section_type, lower(trim(regexp_replace(i.source || ' ' || section_title || ' ' || section_type || ' ' || text, '\\s+', ' ', 'g'))) AS s, gt
@@ -326,7 +326,7 @@ def answer_sources(spark, sf_dir):
     return A.point_sources(_points(spark, sf_dir), hierarchy(spark, sf_dir).refs)
 
 
-SEARCH["x_rows"] = f"SELECT qid, rank, 'S' || rank AS id, source, '?' AS page, doc_id::VARCHAR AS chunk, printf('%.4f', score) AS score, substring(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, {A.SNIPPET_CHARS}) AS snippet FROM ({_hybrid(5)}) JOIN (SELECT doc_id, source, text FROM documents) USING (doc_id)"
+SEARCH["x_rows"] = f"SELECT qid, rank, 'S' || rank AS id, source, '1' AS page, doc_id::VARCHAR AS chunk, printf('%.4f', score) AS score, substring(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, {A.SNIPPET_CHARS}) AS snippet FROM ({_hybrid(5)}) JOIN (SELECT doc_id, source, text FROM documents) USING (doc_id)"
 
 
 def _sources(spark, sf_dir):
