@@ -217,11 +217,11 @@ def _whole(e: DataFrame) -> tuple[DataFrame, DataFrame, float]:
 
 
 def label_turns(e: DataFrame, steps: int = 10 * STEPS) -> DataFrame:
-    """node, label: label propagation in turns, so that a node sees what its neighbours have taken before it. Where all at once may swing for ever (two sides
+    """node, label (the least member): label propagation in turns, so that a node sees what its neighbours have taken before it. Where all at once may swing for ever (two sides
     of a graph trade their labels), this comes to rest."""
     around, degree, _ = _whole(e)
     state, _ = _moved(around, _alone(degree), lambda votes, _: votes.withColumn("vote", F.col("w")), steps, 0.0)
-    return state.select("node", "label")
+    return _least_members(state.select("node", "label"))
 
 
 def _contracted(around: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
