@@ -56,7 +56,9 @@ def degrees(e: DataFrame) -> DataFrame:
     return both_ways(e).groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"), F.round(F.sum("weight"), 6).alias("weighted_degree"))
 
 
-BLOCK = 1024
+#: Rows of a block of vectors at least and at most, and its bytes at most; blocks that rows are cut into if those allow; rows of a tile of a product; neighbours up to
+#: which a row's best are kept in a block.
+BLOCK, MOST_BLOCK, BLOCK_BYTES, BLOCKS, TILE, FEW = 1024, 16_384, 8 << 20, 24, 1024, 256
 
 
 def valid_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -66,47 +68,104 @@ def valid_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.filter(V.valid(F.col("v"), first))
 
 
-def nearest(vectors: DataFrame, key: str, vector: str, k: int, threshold: float = -1.0, block: int = BLOCK) -> DataFrame:
+class _Best:
+    """The best k of each row of a block, by descending similarity and then id. Columns come in the order of their ids, so of equal similarities the first ones
+    stay: a later one must be larger than the k-th, and few are."""
+
+    def __init__(self, n: int, k: int, threshold: float):
+        self.k, self.threshold = k, threshold
+        self.s, self.at = np.full((n, k), -np.inf), np.zeros((n, k), np.int64)
+        self.low = np.full(n, threshold - 1e-9)  # what isn't over it, before it is rounded, comes in no more
+
+    def add(self, lo: int, ids: np.ndarray, s: np.ndarray, turned: bool = False) -> None:
+        """s: similarities of the rows from lo on with ids; turned: of ids with the rows."""
+        n, width = s.shape[turned], s.shape[not turned]
+        here = slice(lo, lo + n)
+        low = self.low[here]
+        if width > self.k and np.isneginf(self.s[here, -1]).any():  # no k yet: the k-th of this tile is a bound too
+            kth = np.partition(s.T if turned else s, width - self.k, axis=1)[:, -self.k]
+            low = np.maximum(low, kth - 1e-9)
+        at = np.flatnonzero(s > (low if turned else low[:, None]))  # over one axis: quicker than over two
+        col, row = np.divmod(at, n) if turned else np.divmod(at, width)[::-1]
+        if not len(row):
+            return
+        new, where = np.round(s[col, row] if turned else s[row, col], 9), row + lo
+        good = (new >= self.threshold) & (new > self.s[where, -1])
+        where, new, col = where[good], new[good], col[good]
+        rows = np.unique(where)
+        old = np.nonzero(np.isfinite(self.s[rows]))
+        node, value, name = (np.concatenate(x) for x in ((rows[old[0]], where), (self.s[rows][old], new), (self.at[rows][old], ids[col])))
+        order = np.lexsort((name, -value, node))
+        node, value, name = node[order], value[order], name[order]
+        place = np.arange(len(node)) - np.searchsorted(node, node)
+        first = place < self.k
+        self.s[rows] = -np.inf
+        self.s[node[first], place[first]], self.at[node[first], place[first]] = value[first], name[first]
+        full = np.isfinite(self.s[rows, -1])
+        self.low[rows[full]] = self.s[rows[full], -1] + 4e-10
+
+
+def _pairs(src: np.ndarray, dst: np.ndarray, similarity: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(similarity)], names=["src", "dst", "similarity"])
+
+
+def nearest(vectors: DataFrame, key: str, vector: str, k: int, threshold: float = -1.0, block: int | None = None) -> DataFrame:
     """src, dst, similarity, rank: the k nearest others of each vector by cosine, those at or over threshold. Rows that are no
     valid vector (valid_vectors) have no neighbours.
 
-    Exact, in blocks: rows are cut into blocks of about block vectors; each two blocks meet once, in one product of matrices that serves
-    both, and only k a row go on. Blocks meet by an equi-join on their numbers, so nothing that grows is broadcast or gathered in one task. The
-    products, and copies of blocks, grow with the square of the rows: that is what exactness costs.
+    Exact, in blocks: rows are cut into BLOCKS blocks, or into more if those would be too large; each two blocks meet once, in tiles of a product of matrices that serve
+    both, and only k a row go on. Blocks meet by an equi-join on the pair of their numbers, so nothing that grows is broadcast or gathered in one task, and no task has more than a
+    pair at once. Copies of blocks grow with the rows as long as blocks may (MOST_BLOCK); the products grow with the square of the rows: that is what exactness costs.
     """
     rows = written(valid_vectors(vectors, key, vector), "vectors")
-    n_blocks = max(1, -(-rows.count() // block))
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    block = block or min(max(BLOCK, -(-found.n // BLOCKS)), MOST_BLOCK, max(1, BLOCK_BYTES // (8 * (found.d or 1))))
+    n_blocks = max(1, -(-found.n // block))
     cut = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n_blocks)))
 
     def gather(t: pa.Table) -> pa.Table:
-        m = np.array(t.column("v").to_pylist(), np.float64)
-        m /= np.linalg.norm(m, axis=1, keepdims=True)
-        ids = np.array(t.column("id").to_pylist(), np.int64)
+        t = t.sort_by("id")
+        m = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+        m = m / np.linalg.norm(m, axis=1, keepdims=True)
+        ids = t.column("id").to_numpy()
         return pa.table({"b": pa.array([t.column("b")[0].as_py()], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()), "m": pa.array([m.tobytes()], pa.binary())})
 
     blocks = written(cut.groupBy("b").applyInArrow(gather, "b bigint, ids binary, m binary"), "vector-blocks")
     left = blocks.select(F.col("b").alias("b1"), F.col("ids").alias("ids1"), F.col("m").alias("m1"), F.explode(F.sequence("b", F.lit(n_blocks - 1).cast("bigint"))).alias("b2"))
-    right = blocks.select(F.col("b").alias("b2"), F.col("ids").alias("ids2"), F.col("m").alias("m2"))
-
-    def best(i1, i2, s):
-        order = np.lexsort((np.broadcast_to(i2, s.shape), -s), axis=1)[:, :k]
-        top = np.take_along_axis(s, order, axis=1)
-        row, col = np.nonzero(np.isfinite(top))
-        return pa.RecordBatch.from_arrays([pa.array(i1[row]), pa.array(i2[order[row, col]]), pa.array(top[row, col])], names=["src", "dst", "similarity"])
+    right = blocks.select(F.explode(F.sequence(F.lit(0).cast("bigint"), "b")).alias("b1"), F.col("b").alias("b2"), F.col("ids").alias("ids2"), F.col("m").alias("m2"))
+
+    def met_in(i1, m1, i2, m2, same):
+        """All similarities at or over the threshold, or the best k of each row, of two blocks, for the first one's rows and, if it is another, for the second one's."""
+        kept = [_Best(len(i), k, threshold) for i in ((i1,) if same else (i1, i2))] if k <= FEW else None
+        for a in range(0, len(i1), TILE):
+            for b in range(0, len(i2), TILE):
+                s = m1[a : a + TILE] @ m2[b : b + TILE].T
+                if same and a == b:
+                    np.fill_diagonal(s, -np.inf)
+                if kept:
+                    kept[0].add(a, i2[b : b + TILE], s)
+                    if not same:
+                        kept[1].add(b, i1[a : a + TILE], s, True)
+                    continue
+                row, col = np.nonzero(s > threshold - 1e-9)
+                value = np.round(s[row, col], 9)
+                good = value >= threshold
+                src, dst, value = i1[row[good] + a], i2[col[good] + b], value[good]
+                yield _pairs(src, dst, value)
+                if not same:
+                    yield _pairs(dst, src, value)
+        for ids, best in zip((i1, i2), kept or [], strict=False):
+            row, col = np.nonzero(np.isfinite(best.s))
+            yield _pairs(ids[row], best.at[row, col], best.s[row, col])
 
     def product(batches):
         for batch in batches:
             for lo in range(batch.num_rows):
                 r = batch.slice(lo, 1).to_pylist()[0]
                 i1, i2 = (np.frombuffer(r[c], np.int64) for c in ("ids1", "ids2"))
-                s = np.round(np.frombuffer(r["m1"]).reshape(len(i1), -1) @ np.frombuffer(r["m2"]).reshape(len(i2), -1).T, 9)
-                s[i1[:, None] == i2[None, :]] = -np.inf
-                s[s < threshold] = -np.inf
-                yield best(i1, i2, s)
-                if r["b1"] != r["b2"]:
-                    yield best(i2, i1, s.T)
-
-    met = left.join(right.hint("merge"), "b2").select("b1", "b2", "ids1", "m1", "ids2", "m2").mapInArrow(product, "src bigint, dst bigint, similarity double")
+                yield from met_in(i1, np.frombuffer(r["m1"]).reshape(len(i1), -1), i2, np.frombuffer(r["m2"]).reshape(len(i2), -1), r["b1"] == r["b2"])
+
+    met = left.join(right.hint("merge"), ["b1", "b2"]).select("b1", "b2", "ids1", "m1", "ids2", "m2").mapInArrow(product, "src bigint, dst bigint, similarity double")
     w = Window.partitionBy("src").orderBy(F.desc("similarity"), "dst")
     return met.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
 
