@@ -8,10 +8,14 @@ what the term adds to the chunk's score, and sums over terms bound the scores of
 A search takes the blocks with the largest bounds, scores the chunks with the largest bounds there by their text, and so
 has a score that k chunks reach. After that only blocks, and in them only chunks, whose bound reaches this score are looked at. What
 is found is scored by its text, so that the result is the same as that of a scan.
+
+The index is some times as large as the text. A scan (scan) reads each text once for all questions, writes and shuffles nothing of it, and is what chunks without an index get.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from functools import reduce
 
 import numpy as np
@@ -169,3 +173,124 @@ def report(seen: dict[str, DataFrame]) -> DataFrame:
     """qid, blocks (with a bound above 0), blocks_read, chunks_scored (both times) of a search."""
     both = seen["first"].select("qid", "block").unionAll(seen["then"].select("qid", "block"))
     return seen["blocks"].groupBy("qid").agg(F.count(F.lit(1)).alias("blocks")).join(both.groupBy("qid").agg(F.count_distinct("block").alias("blocks_read"), F.count(F.lit(1)).alias("chunks_scored")), "qid")
+
+
+#: Letters of a run; a term of these alone lies within a run of them. Runs that a scan remembers the terms of, and their length at most; chunks that are scored at once.
+RUN, RUNS, RUN_CHARS, ROWS = re.compile(r"[a-z0-9_-]+"), 200_000, 64, 512
+
+
+class _Terms:
+    """Which of some terms a text holds."""
+
+    def __init__(self, terms: list[str]):
+        self.number = {t: i for i, t in enumerate(terms)}
+        self.lengths = sorted({len(t) for t in terms if RUN.fullmatch(t)})
+        self.others = [(t, i) for i, t in enumerate(terms) if not RUN.fullmatch(t)]
+        self.known: dict[str, dict[int, int]] = {}
+
+    def within(self, run: str) -> dict[int, int]:
+        """The terms in a run, and where each stands first."""
+        found = self.known.get(run)
+        if found is None:
+            found = {}
+            for n in self.lengths:
+                for i in range(len(run) - n + 1):
+                    t = self.number.get(run[i : i + n])
+                    if t is not None:
+                        found.setdefault(t, i)
+            if len(run) <= RUN_CHARS and len(self.known) < RUNS:
+                self.known[run] = found
+        return found
+
+    def places(self, text: str) -> dict[int, int]:
+        """The terms that a text holds, and where each stands first, or EARLY if that is no earlier."""
+        found: dict[int, int] = {}
+        for run in set(RUN.findall(text)):
+            held = self.within(run)
+            if held:
+                found.update(dict.fromkeys(held, EARLY))
+        for m in RUN.finditer(text):
+            if m.start() >= EARLY:
+                break
+            for t, i in self.within(m[0]).items():
+                found[t] = min(found[t], m.start() + i)
+        for t, i in self.others:
+            at = text.find(t)
+            if at >= 0:
+                found[i] = min(at, EARLY)
+        return found
+
+
+def _scanned(asked: list[tuple], k: int, numeric: bool):
+    """asked: (qid, [(term, weight, anchor)]). A function of batches (doc_id, searchable) that finds the best k of each question among them. Values are added up in the order of
+    the terms, as T.keyword_score does, and are compared as they are when rounded."""
+    terms = sorted({t for _, ts in asked for t, _, _ in ts})
+    number = {t: i for i, t in enumerate(terms)}
+    kinds = sorted({x for _, ts in asked for x in ts})  # a term with its weight
+    of = np.array([number[t] for t, _, _ in kinds], np.int64)
+    weight, anchor = np.array([w for _, w, _ in kinds], float), np.array([a for *_, a in kinds], bool)
+    counted = [(f, number[t], t) for f, (t, _, a) in enumerate(kinds) if not a]
+    where = {x: f for f, x in enumerate(kinds)}
+    needs = [([where[x] for x in ts if x[2]], [where[x] for x in ts if not x[2]]) for _, ts in asked]  # anchors come first
+    base = {n: math.log(1 + n) for n in (1, 2, 3)}
+
+    def values(found: list[dict[int, int]], texts: list[str]) -> np.ndarray:
+        place = np.full((len(terms), len(found)), -1, np.int64)
+        for i, at in enumerate(found):
+            place[list(at), i] = list(at.values())
+        p = place[of]
+        more = np.where(p < NEAR, weight[:, None], np.where(p < EARLY, 0.5 * weight[:, None], 0.0))
+        out = weight[:, None] * (1 + base[1]) + more
+        for f, t, term in counted:
+            for i in np.flatnonzero(place[t] >= 0):
+                out[f, i] = weight[f] * (1 + base[min(3, texts[i].count(term))]) + more[f, i]
+        return np.where(p >= 0, out, 0.0)
+
+    def work(batches):
+        seek, best = _Terms(terms), [[] for _ in asked]
+        least = np.full(len(asked), -np.inf)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                ids, texts = (c.to_pylist() for c in batch.slice(lo, ROWS).columns)
+                ids, texts = zip(*[(i, t) for i, t in zip(ids, texts, strict=True) if t is not None], strict=True) if any(t is not None for t in texts) else ((), ())
+                if not texts:
+                    continue
+                value = values([seek.places(t) for t in texts], texts)
+                order = np.array(ids, np.int64 if numeric else object)
+                for q, (anchors, intents) in enumerate(needs):
+                    if not anchors:
+                        continue
+                    s = np.add.reduce(value[anchors], axis=0)
+                    held = s > 0
+                    for f in intents:
+                        s = s + value[f]
+                    r = np.round(s, 9)
+                    new = np.flatnonzero(held & (r >= least[q]))
+                    if len(best[q]) == k and len(new):
+                        new = new[(r[new] > least[q]) | (order[new] < best[q][-1][1])]
+                    if len(new):
+                        best[q] = sorted(best[q] + [(-r[i], ids[i], float(s[i])) for i in new], key=lambda x: x[:2])[:k]
+                        least[q] = -best[q][-1][0] if len(best[q]) == k else -np.inf
+        rows = [(asked[q][0], i, s) for q, b in enumerate(best) for _, i, s in b]
+        yield from (rows,) if rows else ()
+
+    return work
+
+
+def scan(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """qid, doc_id, keyword_score, keyword_rank of the best k, as search finds them: each text is read once for all questions (a batch of them), its runs of letters tell
+    which terms it holds, and only k rows of each task and question go on. chunks: doc_id, searchable; questions, of which there are few: qid, terms."""
+    kinds = {c: chunks.schema["doc_id"].dataType if c == "doc_id" else questions.schema["qid"].dataType for c in ("qid", "doc_id")}
+    schema = f"qid {kinds['qid'].simpleString()}, doc_id {kinds['doc_id'].simpleString()}, s double"
+    asked = [(r.qid, [(t.term, t.weight, t.anchor) for t in r.terms]) for r in questions.select("qid", "terms").collect()]
+    find = _scanned(asked, k, kinds["doc_id"].simpleString() in ("bigint", "int", "smallint", "tinyint"))
+
+    def work(batches):
+        for rows in find(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["qid", "doc_id", "s"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    types = [to_arrow_type(kinds["qid"]), to_arrow_type(kinds["doc_id"]), pa.float64()]
+    s = chunks.select("doc_id", "searchable").mapInArrow(work, schema).select("qid", "doc_id", F.round("s", 9).alias("keyword_score"))
+    return R.ranked(s, ["qid"], [F.desc("keyword_score"), F.col("doc_id")], k, "keyword_rank")

@@ -58,9 +58,12 @@ def keyword_scores(chunks: DataFrame, questions: DataFrame, n: int | None = None
 
 
 def keyword_search(chunks: DataFrame, questions: DataFrame, k: int, n: int | None = None) -> DataFrame:
-    """The best k by keywords; through the index of substrings where the chunks have one (lexical.with_postings), else by a scan."""
+    """The best k by keywords; through the index of substrings where the chunks have one (lexical.with_postings), else by a scan of all texts for all questions at once."""
     if lexical.postings_of(chunks) is not None:
         return lexical.search(chunks, questions, k)[0]
+    q, n = questions.select("qid", T.query_terms(F.col("question")).alias("terms")), questions.count() if n is None else n
+    if n <= QUESTIONS:
+        return lexical.scan(searchable(chunks), q, k)
     return R.ranked(keyword_scores(chunks, questions, n), ["qid"], [F.desc("keyword_score"), F.col("doc_id")], k, "keyword_rank")
 
 
