@@ -243,20 +243,36 @@ def _in_turn(around: DataFrame, wanting: DataFrame, step: int) -> DataFrame:
     return wanting.join(ends.filter(first("dst") > first("src")).select(F.col("src").alias("node")).distinct(), "node", "left_anti")
 
 
-def _moved(around: DataFrame, state: DataFrame, votes_of, steps: int = STEPS, worth: float = WORTH) -> tuple[DataFrame, bool]:
-    """state (node, label, degree) after steps in which nodes, in turns, take the label with the best vote, until no more than a share, worth, want to; and
-    whether any did. votes_of: (votes (node, own, degree, label, w), state) -> votes with vote. A node's own label is kept among equals, then the least is taken."""
+def _harmless(around: DataFrame, wanting: DataFrame, step: int, crowding: float) -> DataFrame:
+    """Of the nodes that want to move (node, own, new, degree, gain) those that may at once. Of two neighbours one of which wants to go where the other is now, one waits, by a
+    hash of node and step, for its gain counts on the other; other neighbours only gain by each other's moves. Of those that go to the same community all go
+    that would gain even after all others have come, and else the first: crowding is what a unit of their degrees costs a unit of a node's."""
+    first = lambda node: F.struct(F.xxhash64(node, F.lit(step)), F.col(node))
+    a = wanting.select(F.col("node").alias("src"), F.col("own").alias("own_a"), F.col("new").alias("new_a"))
+    b = wanting.select(F.col("node").alias("dst"), F.col("own").alias("own_b"), F.col("new").alias("new_b"))
+    waits = around.select("src", "dst").join(a, "src").join(b, "dst").filter(((F.col("new_a") == F.col("own_b")) | (F.col("new_b") == F.col("own_a"))) & (first("dst") > first("src")))
+    go = wanting.join(waits.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
+    come = go.groupBy("new").agg(F.sum("degree").alias("come"), F.max_by("node", first("node")).alias("leader"))
+    return go.join(come, "new").filter((F.col("node") == F.col("leader")) | (F.col("gain") > crowding * (F.col("come") - F.col("degree")) * F.col("degree"))).select("node", "new")
+
+
+def _moved(around: DataFrame, state: DataFrame, votes_of, steps: int = STEPS, worth: float = WORTH, crowding: float | None = None) -> tuple[DataFrame, bool]:
+    """state (node, label, degree) after steps in which nodes take the label with the best vote, until no more than a share, worth, want to; and
+    whether any did. Neighbours never move at once (_in_turn), or, if crowding is told, only where it does no harm (_harmless).
+    votes_of: (votes (node, own, degree, label, w), state) -> votes with vote. A node's own label is kept among equals, then the least is taken."""
     n, old = state.count(), []
     for step in range(steps):
         own = state.select("node", F.col("label").alias("own"), "degree")
         near = around.join(own, around.src == own.node).drop("src").join(state.select(F.col("node").alias("dst"), "label"), "dst")
         votes = near.groupBy("node", "own", "degree", "label").agg(F.sum("w").alias("w"))
-        best = votes_of(votes, state).groupBy("node", "own").agg(F.min_by("label", F.struct((-F.round("vote", 9)).alias("v"), F.col("label") != F.col("own"), F.col("label").alias("l"))).alias("new"))
+        gain = F.max("vote") - F.coalesce(F.max(F.when(F.col("label") == F.col("own"), F.col("vote"))), F.lit(0.0))
+        best = votes_of(votes, state).groupBy("node", "own", "degree").agg(F.min_by("label", F.struct((-F.round("vote", 9)).alias("v"), F.col("label") != F.col("own"), F.col("label").alias("l"))).alias("new"), gain.alias("gain"))
         seen = Observation()
-        wanting = written(best.filter("new <> own").select("node", "new").observe(seen, F.count(F.lit(1)).alias("n")), "graph-wanting")
+        wanting = written(best.filter("new <> own").observe(seen, F.count(F.lit(1)).alias("n")), "graph-wanting")
         if seen.get["n"] <= worth * n:
             break
-        new = written(state.join(_in_turn(around, wanting, step), "node", "left").select("node", F.coalesce("new", "label").alias("label"), "degree"), "graph-state")
+        turn = _in_turn(around, wanting.select("node", "new"), step) if crowding is None else _harmless(around, wanting, step, crowding)
+        new = written(state.join(turn, "node", "left").select("node", F.coalesce("new", "label").alias("label"), "degree"), "graph-state")
         old += [wanting, new]
         state = new
     dropped(*old[:-1])
@@ -308,13 +324,13 @@ def _improved(around: DataFrame, degree: DataFrame, total: float, resolution: fl
 
     for _ in range(times if total else 0):
         level, state = around, degree.join(members, "node").select("node", "label", "degree")
-        state, moves = _moved(level, state, gains)
+        state, moves = _moved(level, state, gains, crowding=resolution / (2 * total))
         if not moves:
             break
         found = state.select("node", "label")
         while moves:
             level, size = _contracted(level, state)
-            state, moves = _moved(level, _alone(size), gains)
+            state, moves = _moved(level, _alone(size), gains, crowding=resolution / (2 * total))
             up = state.select(F.col("node").alias("label"), F.col("label").alias("up"))
             found = found.join(up, "label").select("node", F.col("up").alias("label"))
         members = written(found, "graph-members")
