@@ -10,3 +10,13 @@ def test_neighbours_move_at_once_where_it_does_no_harm(spark):
     turns = [{r.node for r in graph._harmless(around, wanting, step, crowding).collect()} for step in range(3) for crowding in (0.1, 5.0)]
     assert all(len(t & {1, 2}) == 1 for t in turns)
     assert all(len(t & {3, 4}) == (2 if i % 2 == 0 else 1) for i, t in enumerate(turns))
+
+
+def test_embedder_hashes_words_once(spark):
+    """Hashing the words stands outside of what is done for each place of the vector."""
+    from pyspark.sql import functions as F
+
+    from corvane.models import HashEmbedder
+
+    text = str(HashEmbedder(8).embed(F.col("t")))
+    assert text.index("md5") < text.index("sequence")
