@@ -12,7 +12,7 @@ Documents with equal shingle sets are one class from the start: copies are never
    README tells; nothing else is decided here.
 4. Families are brought together with their texts, once, and all their pairs are compared by full sets, but for those that are
    connected already. A family of over ROWS rows or SETS shingles is dealt into blocks, dealt again while that finds
-   links, and at last each two blocks meet that aren't of one and the same group.
+   links (unless it has FEW blocks), and at last each two blocks meet that aren't of one and the same group.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ SCREEN = 0.62  # of the sketch's nibbles; at a similarity of 0.8 nearly five dev
 SHINGLE, PERCENT = 4, 80
 #: Of a block of a family.
 ROWS, SETS = 1024, 1_000_000
+#: Blocks of a family that isn't dealt again: its few pairs of blocks cost no more than deals would.
+FEW = 4
 #: Rows of regions, labels or ids that may be broadcast.
 SMALL = 1_000_000
 
@@ -208,7 +210,8 @@ def linked(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray | None =
 
 
 def _linked(size: int, sided: bool = False):
-    """Rows (fam, block, side, cid, grp, text), sorted by fam, block, cid -> links (a, b) between groups, by the groups' numbers."""
+    """Rows (fam, block, side, cid, grp, text), sorted by fam, block, cid -> links (a, b) between groups, by the groups' numbers: of
+    what a batch connects, each to the smallest."""
 
     def work(batches):
         for t in _whole(batches, ["fam", "block"]):
@@ -222,7 +225,10 @@ def _linked(size: int, sided: bool = False):
                     sets = [shingles(texts[int(i)].as_py(), size) for i in at]
                     out += [(int(grp[at[i]]), int(grp[at[j]])) for i, j in linked(sets, grp[at], side[at] if sided else None)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+                groups, places = np.unique(np.array(out), return_inverse=True)
+                label = _least(len(groups), *places.reshape(-1, 2).T)
+                own = label != np.arange(len(groups))
+                yield pa.RecordBatch.from_arrays([pa.array(groups[own]), pa.array(groups[label[own]])], names=["a", "b"])
 
     return work
 
@@ -230,54 +236,72 @@ def _linked(size: int, sided: bool = False):
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (cid, comp) for every node in an edge: comp is the smallest node that can be reached.
 
-    Large-star and small-star in turn, until nothing changes; each step is a minimum by node (summed before the shuffle)
-    and a plain join, so a node with a third of all links is no task of its own. Links stay in tables.
+    Small-star and large-star in turn, until each node has one link, to its component's smallest; links that are so from the
+    start need no turn. Each step is a minimum by node (summed before the shuffle) and a plain join, so a node with a third
+    of all links is no task of its own. Links stay in tables; those that repeat do no harm, and a turn adds one a node at most.
     """
-
-    def step(e: DataFrame, large: bool) -> DataFrame:
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        if not large:
-            both = both.filter("v < u")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        j = both.join(least, "u")
-        out = j.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")) if large else j.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        return out.filter("a <> b").distinct()
-
-    now, mark = written(edges.select("a", "b").distinct(), "cc"), None
+    now, turn = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b"), None
     while True:
-        # Told by the writing itself. A task that runs twice may count twice: then the marks differ, and one more step tells.
+        ends = now.select(F.col("a").alias("cid"), F.col("b").alias("to")).unionByName(now.select(F.col("b").alias("cid"), F.lit(None).cast("bigint").alias("to")))
+        nodes = ends.groupBy("cid").agg(F.min("to").alias("to"), F.max("to").alias("most"), F.max(F.col("to").isNull()).alias("aim"))
+        more = F.col("to").isNotNull() & (F.col("aim") | (F.col("to") < F.col("most")))
+        # Told by the writing itself. A task that runs twice may count twice, but nothing is nothing.
         told = Observation()
-        new = step(step(now, True), False).observe(told, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
-        new = written(new, "cc")
-        dropped(now)
-        now = new
-        was, mark = mark, (told.get["n"], told.get["h"])
-        if mark == was:
-            break
-    # A star now: each node points to its component's smallest.
-    return now.select(F.col("a").alias("cid"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("cid"), F.col("b").alias("comp")).distinct())
-
-
-def _alike(orders: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
-    """orders (tree, prefix, cid, n, sketch) -> edges (a, b) of what is alike, and the rows (cid) whose region had to get deeper."""
-    edges, deeper = [], None
-    for depth in DEPTHS:
-        rows = orders.withColumn("region", F.substring("prefix", 1, depth * 4))
-        # Rows alone in their region meet nobody.
-        sizes = written(rows.groupBy("tree", "region").agg(F.count(F.lit(1)).alias("m"), F.min("cid").alias("low")).filter("m > 1").select(F.col("tree").alias("t"), F.col("region").alias("r"), "m", "low"), "minhash-regions")
-        same = (F.col("tree") == F.col("t")) & (F.col("region") == F.col("r"))
-        meeting = rows.join(small(sizes.filter(F.col("m") <= CROWD), SMALL), same, "left_semi")
-        met = meeting.select("tree", "region", "cid", "n", "sketch").repartition("tree", "region").sortWithinPartitions("tree", "region", "cid").mapInArrow(_meet, "a bigint, b bigint")
-        edges.append(written(met, "minhash-alike"))
-        crowded = sizes.filter(F.col("m") > CROWD)
-        if crowded.isEmpty():
-            break
-        if depth == DEPTH:
-            edges.append(written(rows.join(small(crowded, SMALL), same).select(F.col("cid").alias("a"), F.col("low").alias("b")).filter("a <> b"), "minhash-alike"))
-            break
-        orders = written(rows.join(small(crowded, SMALL), same, "left_semi").drop("region"), "minhash-deeper")
-        deeper = orders if deeper is None else deeper
-    return edges, deeper
+        nodes = written(nodes.observe(told, F.count(F.lit(1)).alias("n"), F.sum(more.cast("bigint")).alias("more")).select("cid", F.coalesce("to", "cid").alias("comp")), "cc-nodes")
+        if not told.get["more"]:
+            if turn is not None:
+                dropped(turn)
+            return nodes
+        few = F.broadcast if told.get["n"] <= SMALL else lambda df: df
+        # Small-star: what a node is linked to goes to its least, and so does the node.
+        small_star = now.join(few(nodes), F.col("a") == F.col("cid")).select(F.col("b").alias("v"), "comp").unionByName(nodes.select(F.col("cid").alias("v"), "comp")).filter("v <> comp")
+        # Large-star: of a node's links, those to larger ones go to the least of all.
+        both = small_star.select(F.col("v").alias("u"), F.col("comp").alias("v")).unionByName(small_star.select(F.col("comp").alias("u"), "v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        new = written(both.filter("v > u").join(few(least), "u").select(F.col("v").alias("a"), F.col("m").alias("b")), "cc")
+        dropped(nodes, *([] if turn is None else [turn]))
+        now = turn = new
+
+
+def _alike(classes: DataFrame) -> list[DataFrame]:
+    """classes (cid, n, sig, sketch) -> edges (a, b) of what is alike.
+
+    Regions of all depths are counted at once for the rows that need it, and each row goes to the first of its regions
+    that isn't crowded, once. Rows of a crowded region join in the further orders too.
+    """
+
+    def orders(of: DataFrame, lo: int, hi: int) -> DataFrame:
+        cut = [F.concat(*[F.substring("sig", p * 4 + 1, 4) for p in ORDERS[t]]) if t >= TREES else F.substring("sig", t * DEPTH * 4 + 1, DEPTH * 4) for t in range(lo, hi)]
+        return of.select("cid", "n", "sketch", F.posexplode(F.array(*cut)).alias("tree", "prefix")).withColumn("tree", F.col("tree") + lo)
+
+    def region(depth: int):
+        return F.substring("prefix", 1, depth * 4)
+
+    columns = ["tree", "region", "cid", "n", "sketch"]
+    rows = orders(classes, 0, TREES).withColumn("region", region(LEAST))
+    # Rows alone in their region meet nobody.
+    sizes = written(rows.groupBy("tree", "region").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("tree").alias("t"), F.col("region").alias("r"), "m"), "minhash-regions")
+    same = (F.col("tree") == F.col("t")) & (F.col("region") == F.col("r"))
+    meeting = rows.join(small(sizes.filter(F.col("m") <= CROWD), SMALL), same, "left_semi").select(*columns)
+    edges, tables, crowded = [], [sizes], sizes.filter(F.col("m") > CROWD)
+    if not crowded.isEmpty():
+        deeper = written(rows.join(small(crowded, SMALL), same, "left_semi").drop("region"), "minhash-deeper")
+        deeper_too = orders(classes.join(small(deeper.select("cid"), SMALL), "cid", "left_semi"), TREES, TREES + MORE)
+        names = ["wide", "narrow", "whole"]
+        rows = deeper.unionByName(deeper_too).withColumns({k: region(d) for k, d in zip(names, DEPTHS, strict=True)}).drop("prefix")
+        counted = rows.groupingSets([["tree", k] for k in names], "tree", *names).agg(F.count(F.lit(1)).alias("m"), F.min("cid").alias("low"))
+        sizes = written(counted.filter("m > 1").select(F.col("tree").alias("t"), F.coalesce(*names).alias("r"), "m", "low"), "minhash-regions")
+        placed = rows.withColumn("region", F.col(names[-1]))
+        for k in reversed(names[:-1]):
+            crowded = sizes.filter((F.col("m") > CROWD) & (F.length("r") == DEPTHS[names.index(k)] * 4)).select(F.col("t").alias("ct"), F.col("r").alias("cr"))
+            placed = placed.join(small(crowded, SMALL), (F.col("tree") == F.col("ct")) & (F.col(k) == F.col("cr")), "left").withColumn("region", F.when(F.col("ct").isNull(), F.col(k)).otherwise(F.col("region"))).drop("ct", "cr")
+        placed = written(placed.join(small(sizes, SMALL), same).select(*columns, "m", "low"), "minhash-placed")
+        meeting = meeting.unionByName(placed.filter(F.col("m") <= CROWD).select(*columns))
+        edges.append(written(placed.filter(F.col("m") > CROWD).select(F.col("cid").alias("a"), F.col("low").alias("b")).filter("a <> b"), "minhash-alike"))
+        tables += [deeper, sizes, placed]
+    edges.append(written(meeting.repartition("tree", "region").sortWithinPartitions("tree", "region", "cid").mapInArrow(_meet, "a bigint, b bigint"), "minhash-alike"))
+    dropped(*tables)
+    return edges
 
 
 def _spread(rows: DataFrame, shingles_in_all: int) -> DataFrame:
@@ -292,46 +316,46 @@ def _many_blocks(rows: DataFrame, groups: DataFrame, most: int, size: int) -> Da
     """rows (fam, k, cid, n, text) of families of several blocks, and groups (cid, grp) of those that are in one with others -> (cid, grp), whole."""
     zero = F.lit(0).cast("bigint")
     total = int(rows.agg(F.sum("n")).first()[0] or 0)
-    at = written(rows.select("cid").distinct().join(groups, "cid", "left").select("cid", F.coalesce("grp", "cid").alias("grp")), "minhash-groups")
+    at = written(rows.select("cid").join(small(groups, SMALL), "cid", "left").select("cid", F.coalesce("grp", "cid").alias("grp")), "minhash-groups")
 
     def connected(links: DataFrame) -> bool:
         nonlocal at
         links = written(links, "minhash-links")
         some = not links.isEmpty()
         if some:
-            merged = components(links).select(F.col("cid").alias("grp"), "comp")
-            old, at = at, written(at.join(small(merged, SMALL), "grp", "left").select("cid", F.coalesce("comp", "grp").alias("grp")), "minhash-groups")
-            dropped(old)
+            merged = components(links)
+            old, at = at, written(at.join(small(merged.select(F.col("cid").alias("grp"), "comp"), SMALL), "grp", "left").select("cid", F.coalesce("comp", "grp").alias("grp")), "minhash-groups")
+            dropped(old, merged)
         dropped(links)
         return some
 
     def mixed() -> DataFrame:
         """Rows with their groups, of families with more groups than one."""
-        r = rows.join(at, "cid")
+        r = rows.join(small(at, SMALL), "cid")
         several = r.groupBy("fam").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).filter("x < y").select("fam")
         return r.join(small(several, SMALL), "fam", "left_semi")
 
-    for nth in range(1, most.bit_length() + 2):  # what these deals leave, the last step finds
-        dealt = mixed().withColumn("block", F.pmod(F.xxhash64("cid", F.lit(nth)), F.col("k"))).withColumn("side", zero)
+    for nth in range(1, most.bit_length() + 2 if most > FEW else 1):  # what these deals leave, the last step finds
+        dealt = mixed().filter(F.col("k") > FEW).withColumn("block", F.pmod(F.xxhash64("cid", F.lit(nth)), F.col("k"))).withColumn("side", zero)
         if not connected(_spread(dealt.select(*_COLUMNS), total).mapInArrow(_linked(size), "a bigint, b bigint")):
             break
     # Large groups have blocks of their own, small ones share some; each two blocks meet but those of one group.
-    rest = written(mixed(), "minhash-mixed")
-    per = rest.groupBy("fam", "grp").agg(F.countDistinct("cid").alias("m"), F.sum("n").alias("s")).withColumn("b", F.greatest(F.ceil(F.col("m") / ROWS), F.ceil(F.col("s") / SETS)))
+    rest = rows.join(small(at, SMALL), "cid")
+    per = rest.groupBy("fam", "grp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).withColumn("b", F.greatest(F.ceil(F.col("m") / ROWS), F.ceil(F.col("s") / SETS)))
     per = written(per.withColumn("own", F.col("b") > 1), "minhash-per")
-    pools = per.filter("NOT own").groupBy("fam").agg(F.greatest(F.ceil(F.sum("m") / ROWS), F.ceil(F.sum("s") / SETS)).alias("pools"))
+    few = F.greatest(F.ceil(F.sum(F.when(~F.col("own"), F.col("m"))) / ROWS), F.ceil(F.sum(F.when(~F.col("own"), F.col("s"))) / SETS))
+    pools = written(per.groupBy("fam").agg(F.count(F.lit(1)).alias("groups"), few.alias("pools")).filter("groups > 1").drop("groups"), "minhash-pools")
     name = F.when(F.col("own"), F.xxhash64("grp", F.pmod(F.xxhash64("cid"), F.col("b")))).otherwise(F.pmod(F.xxhash64("grp"), F.col("pools")))
     owner = F.when(F.col("own"), F.col("grp"))
-    placed = written(rest.join(small(per, SMALL), ["fam", "grp"]).join(small(pools, SMALL), "fam", "left").select("fam", "cid", "grp", "n", "text", name.alias("at"), owner.alias("owner")), "minhash-placed")
+    placed = written(rest.join(small(per, SMALL), ["fam", "grp"]).join(small(pools, SMALL), "fam").select("fam", "cid", "grp", "n", "text", name.alias("at"), owner.alias("owner")), "minhash-placed")
     blocks = placed.groupBy("fam", "at").agg(F.max("owner").alias("owner"))
     x, y = blocks.select("fam", F.col("at").alias("p"), F.col("owner").alias("po")), blocks.select("fam", F.col("at").alias("q"), F.col("owner").alias("qo"))
     two = written(x.join(y, "fam").filter("p <= q AND NOT (po IS NOT NULL AND qo IS NOT NULL AND po = qo)").select("fam", "p", "q", F.xxhash64("p", "q").alias("block")), "minhash-blocks")
     ends = two.select("fam", F.col("p").alias("at"), "block", zero.alias("side"), (F.col("p") == F.col("q")).alias("same")).unionByName(two.filter("p <> q").select("fam", F.col("q").alias("at"), "block", F.lit(1).cast("bigint").alias("side"), F.lit(False).alias("same")))
-    both = placed.join(small(ends, SMALL), ["fam", "at"])
-    apart = _spread(both.filter("NOT same").select(*_COLUMNS), total).mapInArrow(_linked(size, True), "a bigint, b bigint")
-    within = _spread(both.filter("same").select(*_COLUMNS), total).mapInArrow(_linked(size), "a bigint, b bigint")
-    connected(apart.unionByName(within))
-    dropped(rest, per, placed, two)
+    # Within one block each row is a side of its own.
+    both = placed.join(small(ends, SMALL), ["fam", "at"]).withColumn("side", F.when(F.col("same"), F.col("cid")).otherwise(F.col("side")))
+    connected(_spread(both.select(*_COLUMNS), total).mapInArrow(_linked(size, True), "a bigint, b bigint"))
+    dropped(per, pools, placed, two)
     return at
 
 
@@ -356,25 +380,20 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
     sets = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min(least).alias("rep"), F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("sketch").alias("sketch"))
     classes = written(sets.withColumn("cid", F.monotonically_increasing_id()), "minhash-classes")
 
-    def orders(of: DataFrame, lo: int, hi: int) -> DataFrame:
-        cut = [F.concat(*[F.substring("sig", p * 4 + 1, 4) for p in ORDERS[t]]) if t >= TREES else F.substring("sig", t * DEPTH * 4 + 1, DEPTH * 4) for t in range(lo, hi)]
-        return of.select("cid", "n", "sketch", F.posexplode(F.array(*cut)).alias("tree", "prefix"))
-
-    edges, deeper = _alike(orders(classes, 0, TREES))
-    if deeper is not None:
-        edges += _alike(orders(classes.join(deeper.select("cid").distinct(), "cid", "left_semi"), TREES, TREES + MORE))[0]
+    edges = _alike(classes)
     every = edges[0]
     for more in edges[1:]:
         every = every.unionByName(more)
-    families = written(components(every).select("cid", F.col("comp").alias("fam")), "minhash-families")
+    labels = components(every)
     dropped(*edges)
-    counts = families.join(classes.select("cid", "n"), "cid").groupBy("fam").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
+    families = written(classes.join(small(labels, SMALL), "cid").select("cid", F.col("comp").alias("fam"), "n", F.col("rep.doc_id").alias("rid"), F.col("rep.xh").alias("rxh")), "minhash-families")
+    dropped(labels)
+    counts = families.groupBy("fam").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
     counts = written(counts.select("fam", "s", F.greatest(F.ceil(F.col("m") / ROWS), F.ceil(F.col("s") / SETS)).alias("k")), "minhash-sizes")
     found = counts.agg(F.max("k").alias("k"), F.sum("s").alias("s")).first()
     groups = None
     if found.k:
-        members = families.join(counts, "fam").join(classes.select("cid", "rep", "n"), "cid").select("fam", "k", "cid", "n", F.col("rep.doc_id").alias("rid"), F.col("rep.xh").alias("rxh"))
-        members = written(members, "minhash-members")
+        members = families.join(small(counts.select("fam", "k"), SMALL), "fam")
         some = texts.join(small(members, SMALL), (F.col("xh") == F.col("rxh")) & F.col("doc_id").eqNullSafe(F.col("rid"))).select("fam", "k", "cid", "n", "text", "rid", "rxh")
         # Rows that repeat an id and a text would bring a class's text as often.
         twice = written(rows.filter("key IS NOT NULL").groupBy("doc_id", "xh").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("doc_id").alias("tid"), F.col("xh").alias("txh")), "minhash-twice")
@@ -387,21 +406,20 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
             some = written(some, "minhash-texts")
         dealt = some.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("k"))).withColumn("side", F.lit(0).cast("bigint")).withColumn("grp", F.col("cid"))
         links = written(_spread(dealt.select(*_COLUMNS), int(found.s)).mapInArrow(_linked(size), "a bigint, b bigint"), "minhash-links")
-        groups = components(links).select("cid", F.col("comp").alias("grp"))
+        groups = components(links).withColumnRenamed("comp", "grp")
         if found.k > 1:
-            groups = written(groups, "minhash-groups")
             several = _many_blocks(some.filter("k > 1"), groups, int(found.k), size)
-            groups = groups.join(several.select("cid"), "cid", "left_anti").unionByName(several)
-        groups = written(groups, "minhash-labels")
-        dropped(links, members)
+            groups = written(groups.join(small(several, SMALL), "cid", "left_anti").unionByName(several), "minhash-labels")
+        dropped(links)
     dropped(families, counts)
-    found = classes.select("key", "cid", "rep")
-    if groups is None:
-        found = found.withColumn("comp", F.col("cid"))
-    else:
-        found = found.join(groups.withColumnRenamed("cid", "gid"), F.col("cid") == F.col("gid"), "left").withColumn("comp", F.coalesce("grp", "cid"))
-    lows = found.groupBy("comp").agg(F.min("rep").alias("least"))
-    found = written(found.select("key", "comp").join(lows, "comp").select("key", "least"), "minhash-found")
+    found = classes.select("key", "cid", F.col("rep").alias("least"))
+    if groups is not None:
+        # Only classes of a group have another's smallest row.
+        members = classes.join(small(groups.withColumnRenamed("cid", "gid"), SMALL), F.col("cid") == F.col("gid"))
+        lows = written(members.groupBy("grp").agg(F.min("rep").alias("low")), "minhash-lows")
+        of = written(groups.join(small(lows, SMALL), "grp").select(F.col("cid").alias("gid"), "low"), "minhash-found")
+        found = found.join(small(of, SMALL), F.col("cid") == F.col("gid"), "left").withColumn("least", F.coalesce("low", "least"))
+    found = found.select("key", "least")
     out = rows.select("doc_id", "xh", "n", "key").join(found, "key", "left")
     alone = F.col("key").isNull()
     return out.select("doc_id", "xh", "n", F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"), "least")
