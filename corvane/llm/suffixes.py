@@ -18,10 +18,10 @@ windows whose anchor it is, and all windows are covered.
 Anchors that occur more than HOT times are not brought together in one task: their windows are counted by their SHA-256 in a
 partial aggregation instead, so that no group of them is ever held.
 
-Rows that repeat an id and a text are sought through once for all of them; every window of theirs stands elsewhere.
+Rows of equal texts are sought through once for all of them; every window of theirs stands elsewhere.
 
 The same is done with words in the place of bytes, each as a hash of 64 bits, where passages are told by their number of words:
-without_passages, the pipeline's stage.
+without_passages, the pipeline's stage, and the last columns of repeats.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import SPACES, dropped, packed, small, written
 from .minhash import _hashes
@@ -417,16 +417,19 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _once(texts: DataFrame, kinds) -> tuple[DataFrame, DataFrame]:
-    """texts with one row for all that repeat an id and a text, and spans of the whole texts of such rows."""
-    rows = texts.groupBy(F.col("doc_id").alias("_rid"), F.col("xh").alias("_rxh")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    """texts with one row for all that are equal, whatever their ids, and spans of the whole texts of such rows, of each kind that they are long
+    enough for. xh spreads the keys, SHA-256 decides which texts are equal."""
+    keyed = texts.withColumn("sha", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    rows = keyed.groupBy(F.col("xh").alias("_rxh"), F.col("sha").alias("_rsha")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("_rid")).filter("n > 1").drop("n")
     rows = small(written(rows, "suffix-copies"), BROADCAST_IDS)
-    same = (F.col("xh") == F.col("_rxh")) & F.col("doc_id").eqNullSafe(F.col("_rid"))
-    one = texts.join(rows, same, "left_semi").groupBy("doc_id", "xh").agg(F.first("text").alias("text"))
-    one = written(one, "suffix-copied")
+    same = (F.col("xh") == F.col("_rxh")) & (F.col("sha") == F.col("_rsha"))
+    least = keyed.join(rows, same).filter(F.col("doc_id").eqNullSafe(F.col("_rid")))  # rows that share this id, too, are still many
+    one = written(least.groupBy("xh", "sha").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text")), "suffix-copied")
     n_words = F.size(F.filter(F.split("text", SPACES), lambda w: w != ""))
-    long = reduce(Column.__or__, [(n_words if words else F.octet_length("text")) >= window for window, _, words in kinds])
-    whole = one.filter(long).select("doc_id", "xh", F.lit(0).alias("start"), F.octet_length("text").alias("stop"), F.lit(False).alias("words"))
-    return texts.join(rows, same, "left_anti").unionByName(one), whole
+    ends = [one.select(F.col("xh").alias("_rxh"), F.col("sha").alias("_rsha"), (n_words if words else F.octet_length("text")).alias("stop"), F.lit(words).alias("words")).filter(F.col("stop") >= window) for window, _, words in kinds]
+    ends = small(written(reduce(DataFrame.unionByName, ends), "suffix-ends"), BROADCAST_IDS)
+    whole = keyed.select("doc_id", "xh", "sha").join(ends, same).select("doc_id", "xh", F.lit(0).alias("start"), "stop", "words").distinct()
+    return keyed.join(rows, same, "left_anti").unionByName(one).drop("sha"), whole
 
 
 def _spans(texts: DataFrame, kinds, hot: int) -> DataFrame:
@@ -469,38 +472,63 @@ def _cut(data: bytes, spans) -> tuple[bytes, int, int]:
 SPAN_BYTES, SPAN_SIZE = 160 << 20, 40
 
 
+def _joined(spans: DataFrame) -> DataFrame:
+    """spans of a text and kind that overlap or touch, as one: a passage has a span for each of its anchors."""
+    text = Window.partitionBy("doc_id", "xh", "words").orderBy("start", "stop")
+    reached = F.max("stop").over(text.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = spans.withColumn("run", F.when(F.col("start") <= reached, 0).otherwise(1))
+    runs = fresh.withColumn("run", F.sum("run").over(text.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("doc_id", "xh", "words", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("run")
+
+
 def _with_spans(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int, hot: int, passages: bool) -> DataFrame:
     """docs, packed in _row, with _id, _text (null is empty) and the spans that go (_l, null: none). passages: repeats of WORDS words go as well."""
     texts = _texts(docs, id_col, text_col)
     spans = _spans(texts, [(window, gram, False), *([BY_WORDS] if passages else [])], hot)
-    by_doc = written(spans.groupBy(F.col("doc_id").alias("_lid"), F.col("xh").alias("_lxh")).agg(F.collect_set(F.struct("start", "stop", "words")).alias("_l")), "suffix-spans")
+    runs = _joined(spans.repartition("doc_id", "xh"))
+    by_doc = written(runs.groupBy(F.col("doc_id").alias("_lid"), F.col("xh").alias("_lxh")).agg(F.collect_list(F.struct("start", "stop", "words")).alias("_l")), "suffix-spans")
     text = F.col(f"_row.`{text_col}`").cast("string")
     rows = packed(docs).withColumn("_id", F.col(f"_row.`{id_col}`").cast("bigint")).withColumn("_text", F.coalesce(text, F.lit(""))).withColumn("_xh", F.xxhash64("_text"))
     return rows.join(small(by_doc, BROADCAST_IDS, F.size("_l") * SPAN_SIZE + 64, SPAN_BYTES), (F.col("_xh") == F.col("_lxh")) & F.col("_id").eqNullSafe(F.col("_lid")), "left")
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT, passages: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text for every row.
 
     Null is empty; texts shorter than a window lose nothing. Rows that repeat lose all of a text of a window or more: each stands elsewhere.
     Texts of any length are read whole; an empty table gives an empty one; further columns of any name aren't read. kept_text lacks
     characters that a cut divides; kept_sha256 is of all bytes that are left.
+
+    passages: n_passage_bytes, n_passages and passage_free_text follow. They tell what goes, in how many runs, and what is left if repeats of
+    WORDS words go as well, as in without_passages; the columns before them stay as they are.
     """
+    fields = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string"
+    kinds = [pa.int64()] * 4 + [pa.string()] * 2
+    if passages:
+        fields += ", n_passage_bytes bigint, n_passages bigint, passage_free_text string"
+        kinds += [pa.int64()] * 2 + [pa.string()]
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def left(data, text, spans):
+        kept, removed, n = _cut(data, spans) if spans else (data, 0, 0)
+        return kept, removed, n, kept.decode("utf-8", "ignore") if spans else text
 
     def work(batches):
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
-        kinds = [pa.int64()] * 4 + [pa.string()] * 2
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 rows = []
                 for doc, text, spans in zip(*(c.to_pylist() for c in batch.slice(lo, 128).columns), strict=True):
-                    data = text.encode()
-                    kept, removed, n = _cut(data, spans) if spans else (data, 0, 0)
-                    rows.append((doc, len(data), removed, n, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if spans else text))
+                    data, spans = text.encode(), spans or []
+                    by_bytes = [s for s in spans if not s["words"]]
+                    kept, removed, n, kept_text = left(data, text, by_bytes)
+                    row = (doc, len(data), removed, n, hashlib.sha256(kept).hexdigest(), kept_text)
+                    if passages:
+                        row += left(data, text, spans)[1:] if len(by_bytes) < len(spans) else (removed, n, kept_text)
+                    rows.append(row)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    rows = _with_spans(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), id_col, text_col, window, gram, hot, False)
-    return rows.select("_id", "_text", "_l").mapInArrow(work, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string")
+    rows = _with_spans(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), id_col, text_col, window, gram, hot, passages)
+    return rows.select("_id", "_text", "_l").mapInArrow(work, fields)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT, passages: bool = False) -> DataFrame:

@@ -550,6 +550,40 @@ def test_pipeline_cuts_passages_of_51_words(spark):
         assert [got[i] for i in (2, 3, 7, 10, 11)] == [texts[2], texts[3], texts[7], "", None]
 
 
+def test_spans_are_joined(spark):
+    """A passage's spans, one for each anchor, are one span where they overlap or touch."""
+    rows = [(1, 5, s, s + 40, w) for w in (False, True) for s in range(0, 400, 20)] + [(1, 5, 440, 480, False), (1, 6, 500, 600, False), (None, 5, 0, 9, True), (None, 5, 9, 12, True), (None, 5, 3, 5, True)]
+    out = suffixes._joined(spark.createDataFrame(rows, "doc_id bigint, xh bigint, start int, stop int, words boolean"))
+    got = {(r.doc_id, r.xh, r.words, r.start, r.stop) for r in out.collect()}
+    assert got == {(1, 5, False, 0, 420), (1, 5, True, 0, 420), (1, 5, False, 440, 480), (1, 6, False, 500, 600), (None, 5, True, 0, 12)} and out.count() == 5
+
+
+def test_op9_tells_passages_of_51_words(spark, tmp_path):
+    """Passages of over 50 words with fewer than 400 bytes show in op9's further columns; those of its contract go by 400 bytes alone."""
+    from corvane.llm.queries import op9_suffix_array_dedup
+
+    rng = random.Random(12)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+    p51, p50, p90, own = words(51), words(50), words(90), [words(30) for _ in range(8)]
+    mid = lambda i, p: " ".join([*own[i][:15], *p, *own[i][15:]])
+    twice, long = " ".join(words(55)), "x" * 400
+    texts = [mid(0, p51), mid(1, p51), mid(2, p50), mid(3, p50), mid(4, p90), mid(5, p90), " ".join(own[6]), None, twice, twice, long, long]
+    assert len(" ".join(p51)) + 2 < 400 and 255 < len(twice) < 400
+    ids = [*range(8), 8, 8, None, None]  # the last four repeat an id and a text
+    docs(spark, texts, ids).write.parquet(str(tmp_path / "documents.parquet"))
+    out = op9_suffix_array_dedup(spark, str(tmp_path)).collect()
+    assert len(out) == len(texts)
+    got, want = {r.doc_id: r for r in out}, brute_repeats(texts, 400)
+    assert all(tuple(got[i])[1:5] == want[n] for n, i in enumerate(ids))
+    for i in (0, 1, 4, 5):
+        assert got[i].n_passages == 1 and len(got[i].passage_free_text.encode()) == got[i].n_bytes - got[i].n_passage_bytes
+    assert all(got[i].passage_free_text.split() == own[i] and got[i].n_removed == 0 for i in (0, 1))
+    assert all((got[i].n_passage_bytes, got[i].n_passages, got[i].passage_free_text) == (0, 0, texts[i] or "") for i in (2, 3, 6, 7))
+    assert all(got[i].n_passage_bytes >= got[i].n_removed > 400 for i in (4, 5))
+    assert (got[8].n_removed, got[8].n_passage_bytes, got[8].passage_free_text) == (0, len(twice), "")
+    assert (got[None].n_removed, got[None].n_passage_bytes, got[None].passage_free_text) == (400, 400, "")
+
+
 def test_loser_tree():
     rng = random.Random(9)
     runs = [sorted(bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(0, 12))) for _ in range(7)]
