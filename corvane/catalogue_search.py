@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .catalogue import SQL_C, SQL_Q, SQL_QV, SQL_QVA, _carried, _classified, _cos, _hybrid, _keyword, _vector, all_questions, index, query, questions, tab, with_tables
+from .catalogue import SQL_C, SQL_Q, SQL_QV, SQL_QVA, _carried, _classified, _cos, _hybrid, _keyword, _vector, all_questions, chunks, index, query, questions, tab, with_tables
 from .catalogue_graph import LEVELS, SIZE, TABLES, _near, hierarchy, knowledge
 from .functions import text as T, vectors as V
 from .models import HashEmbedder
 from .operators import chunking, metrics, ranking as R
 from .plans import answers as A, hierarchy as H, retrieval as P, walk
-from .tables import written
+from .tables import small, written
 
 EMBEDDER = HashEmbedder(SIZE)
 
@@ -267,10 +267,16 @@ def hierarchical_search(spark, sf_dir):
     return _found(spark, sf_dir)
 
 
+def _hierarchy_candidates(spark, sf_dir):
+    """Candidates of the rerank; of the documents only the cited ones are read on, without a search index."""
+    h, found = hierarchy(spark, sf_dir), _found(spark, sf_dir)
+    cited = small(written(found.select("level", "node_id").join(h.refs, ["level", "node_id"]).select("doc_id").distinct(), "cited"), 1_000_000)
+    return P.rerank_candidates(found, h.refs, chunks(spark, sf_dir, cited), questions(spark, sf_dir))
+
+
 @beam_query("SELECT qid, doc_id, source, node_id, round(similarity, 6) AS similarity, round(keyword, 6) AS keyword, kind FROM b_cand")
 def rerank_candidates(spark, sf_dir):
-    h = hierarchy(spark, sf_dir)
-    return P.rerank_candidates(_found(spark, sf_dir), h.refs, index(spark, sf_dir), questions(spark, sf_dir)).select("qid", "doc_id", "source", "node_id", F.round("similarity", 6).alias("similarity"), F.round("keyword", 6).alias("keyword"), "kind")
+    return _hierarchy_candidates(spark, sf_dir).select("qid", "doc_id", "source", "node_id", F.round("similarity", 6).alias("similarity"), F.round("keyword", 6).alias("keyword"), "kind")
 
 
 #: The greedy choice under quotas, row by row: state is (chosen, counts by node, counts by paper) in the strings of what was chosen.
@@ -282,14 +288,12 @@ BEAM["b_greedy"] = f"""SELECT qid, l, list_reduce(list_prepend([]::STRUCT(p BIGI
 @beam_query("SELECT qid, r.d AS doc_id, r.s AS source, r.n AS node_id, r.x AS score, i AS rank FROM (SELECT qid, unnest(c) AS r, unnest(range(1, len(c) + 1)) AS i FROM (SELECT qid, list_concat(chosen, list_filter(l, lambda r: NOT list_contains(chosen, r)))[1:10] AS c FROM b_greedy))")
 def archrag_rerank(spark, sf_dir):
     """Hierarchical evidence over the chunks that found nodes cite: weights by kind of question, quotas of nodes and papers."""
-    h = hierarchy(spark, sf_dir)
-    return P.hierarchy_rerank(P.rerank_candidates(_found(spark, sf_dir), h.refs, index(spark, sf_dir), questions(spark, sf_dir)), 10)
+    return P.hierarchy_rerank(_hierarchy_candidates(spark, sf_dir), 10)
 
 
 @beam_query("SELECT qid, pos, node_id AS node, source AS paper FROM b_scored WHERE pos <= 10")
 def rerank_without_quotas(spark, sf_dir):
-    h = hierarchy(spark, sf_dir)
-    return P.hierarchy_rerank(P.rerank_candidates(_found(spark, sf_dir), h.refs, index(spark, sf_dir), questions(spark, sf_dir)), 10, per_node=10, per_paper=10).select("qid", F.col("rank").alias("pos"), F.col("node_id").alias("node"), F.col("source").alias("paper"))
+    return P.hierarchy_rerank(_hierarchy_candidates(spark, sf_dir), 10, per_node=10, per_paper=10).select("qid", F.col("rank").alias("pos"), F.col("node_id").alias("node"), F.col("source").alias("paper"))
 
 
 BEAM["b_docs"] = "SELECT qid, doc_id, node_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, node_id, doc_id) AS rank FROM (SELECT qid, doc_id, b.node_id, route AS score FROM b_all b JOIN b_refs r ON r.level = b.level AND r.node_id = b.node_id QUALIFY row_number() OVER (PARTITION BY qid, doc_id ORDER BY route DESC, b.node_id) = 1) QUALIFY rank <= 20"

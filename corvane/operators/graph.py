@@ -57,8 +57,8 @@ def degrees(e: DataFrame) -> DataFrame:
 
 
 #: Rows of a block of vectors at least and at most, and its bytes at most; blocks that rows are cut into if those allow; rows of a tile of a product; neighbours up to
-#: which a row's best are kept in a block.
-BLOCK, MOST_BLOCK, BLOCK_BYTES, BLOCKS, TILE, FEW = 1024, 16_384, 8 << 20, 24, 1024, 256
+#: which a row's best are kept in a block; places of a row whose largest similarities bound its k-th; pairs that are compared exactly at once.
+BLOCK, MOST_BLOCK, BLOCK_BYTES, BLOCKS, TILE, FEW, PLACES, EXACT = 1024, 32_768, 16 << 20, 24, 1024, 256, 64, 1 << 15
 
 
 def valid_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -68,41 +68,61 @@ def valid_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.filter(V.valid(F.col("v"), first))
 
 
+def _where(mask: np.ndarray) -> np.ndarray:
+    """np.flatnonzero of a mask that is nearly all false: eight places at a time."""
+    flat = np.ascontiguousarray(mask).reshape(-1)
+    if len(flat) % 8:
+        return np.flatnonzero(flat)
+    eight = np.flatnonzero(flat.view(np.uint64))
+    return (eight[:, None] * 8 + np.arange(8))[flat.reshape(-1, 8)[eight]]
+
+
 class _Best:
     """The best k of each row of a block, by descending similarity and then id. Columns come in the order of their ids, so of equal similarities the first ones
-    stay: a later one must be larger than the k-th, and few are."""
+    stay: a later one must be larger than the k-th, and few are. Similarities come as float32, off by slack at most, and tell which pairs are compared exactly."""
 
-    def __init__(self, n: int, k: int, threshold: float):
-        self.k, self.threshold = k, threshold
+    def __init__(self, n: int, k: int, threshold: float, slack: float):
+        self.k, self.threshold, self.slack = k, threshold, slack + 1e-9
         self.s, self.at = np.full((n, k), -np.inf), np.zeros((n, k), np.int64)
-        self.low = np.full(n, threshold - 1e-9)  # what isn't over it, before it is rounded, comes in no more
+        self.low = np.full(n, threshold - self.slack, np.float32)  # what isn't over it can't come in any more
 
-    def add(self, lo: int, ids: np.ndarray, s: np.ndarray, turned: bool = False) -> None:
-        """s: similarities of the rows from lo on with ids; turned: of ids with the rows."""
+    def open(self, lo: int, s: np.ndarray, turned: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and columns of the pairs in a tile that may come in. s: similarities of the rows from lo on with columns; turned: of columns with the rows."""
         n, width = s.shape[turned], s.shape[not turned]
-        here = slice(lo, lo + n)
-        low = self.low[here]
-        if width > self.k and np.isneginf(self.s[here, -1]).any():  # no k yet: the k-th of this tile is a bound too
-            kth = np.partition(s.T if turned else s, width - self.k, axis=1)[:, -self.k]
-            low = np.maximum(low, kth - 1e-9)
-        at = np.flatnonzero(s > (low if turned else low[:, None]))  # over one axis: quicker than over two
-        col, row = np.divmod(at, n) if turned else np.divmod(at, width)[::-1]
-        if not len(row):
+        low = self.low[lo : lo + n]
+        if width > self.k and np.isneginf(self.s[lo : lo + n, -1]).any():  # no k yet: k of this tile are as large as the k-th largest of some, whichever
+            if width % PLACES or self.k > PLACES // 2:
+                some = s.T if turned else s
+            else:
+                some = s.reshape(-1, PLACES, n).max(axis=0).T if turned else s.reshape(n, -1, PLACES).max(axis=1)
+            kth = np.partition(some, some.shape[1] - self.k, axis=1)[:, -self.k]
+            low = np.maximum(low, kth - np.float32(2 * self.slack))
+        at = _where(s > (low if turned else low[:, None]))
+        return np.divmod(at, n)[::-1] if turned else np.divmod(at, width)
+
+    def add(self, where: np.ndarray, names: np.ndarray, s: np.ndarray) -> None:
+        """Similarities, exact and rounded, of rows with ids."""
+        good = (s >= self.threshold) & (s > self.s[where, -1])
+        where, s, names = where[good], s[good], names[good]
+        if not len(where):
             return
-        new, where = np.round(s[col, row] if turned else s[row, col], 9), row + lo
-        good = (new >= self.threshold) & (new > self.s[where, -1])
-        where, new, col = where[good], new[good], col[good]
-        rows = np.unique(where)
+        rows = np.flatnonzero(np.bincount(where, minlength=len(self.s)))
         old = np.nonzero(np.isfinite(self.s[rows]))
-        node, value, name = (np.concatenate(x) for x in ((rows[old[0]], where), (self.s[rows][old], new), (self.at[rows][old], ids[col])))
-        order = np.lexsort((name, -value, node))
+        node, value, name = (np.concatenate(x) for x in ((rows[old[0]], where), (self.s[rows][old], s), (self.at[rows][old], names)))
+        order = np.argsort(4.0 * node - value, kind="stable")  # of equal ones by id, as they come; similarities are billionths apart
         node, value, name = node[order], value[order], name[order]
-        place = np.arange(len(node)) - np.searchsorted(node, node)
+        place = np.arange(len(node)) - np.searchsorted(node, rows)[np.cumsum(np.concatenate(([0], node[1:] != node[:-1])))]
         first = place < self.k
         self.s[rows] = -np.inf
         self.s[node[first], place[first]], self.at[node[first], place[first]] = value[first], name[first]
-        full = np.isfinite(self.s[rows, -1])
-        self.low[rows[full]] = self.s[rows[full], -1] + 4e-10
+        full = rows[np.isfinite(self.s[rows, -1])]
+        self.low[full] = self.s[full, -1] - self.slack
+
+
+def _exact(m1: np.ndarray, m2: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Similarities, rounded, of pairs of rows."""
+    parts = [np.einsum("ij,ij->i", m1[row[lo : lo + EXACT]], m2[col[lo : lo + EXACT]]) for lo in range(0, len(row), EXACT)]
+    return np.round(np.concatenate(parts), 9) if parts else np.zeros(0)
 
 
 def _pairs(src: np.ndarray, dst: np.ndarray, similarity: np.ndarray) -> pa.RecordBatch:
@@ -113,15 +133,43 @@ def nearest(vectors: DataFrame, key: str, vector: str, k: int, threshold: float
     """src, dst, similarity, rank: the k nearest others of each vector by cosine, those at or over threshold. Rows that are no
     valid vector (valid_vectors) have no neighbours.
 
-    Exact, in blocks: rows are cut into BLOCKS blocks, or into more if those would be too large; each two blocks meet once, in tiles of a product of matrices that serve
-    both, and only k a row go on. Blocks meet by an equi-join on the pair of their numbers, so nothing that grows is broadcast or gathered in one task, and no task has more than a
-    pair at once. Copies of blocks grow with the rows as long as blocks may (MOST_BLOCK); the products grow with the square of the rows: that is what exactness costs.
+    Exact. Rows with equal vectors are compared once, under their least id (_of_copies). The others go in blocks: rows are cut into BLOCKS blocks, or into more if those
+    would be too large; each two blocks meet once, in tiles of a product of matrices that serve both, in single precision, and what its error leaves open is
+    compared in double; only k a row go on. Blocks meet by an equi-join on the pair of their numbers, so nothing that grows is broadcast or gathered in one task, and no task has more
+    than a pair at once. Copies of blocks grow with the rows as long as blocks may (MOST_BLOCK); the products grow with the square of the different vectors: that is
+    what exactness costs.
     """
     rows = written(valid_vectors(vectors, key, vector), "vectors")
-    found = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
-    block = block or min(max(BLOCK, -(-found.n // BLOCKS)), MOST_BLOCK, max(1, BLOCK_BYTES // (8 * (found.d or 1))))
-    n_blocks = max(1, -(-found.n // block))
+    kinds = written(rows.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "vector-kinds")
+    found = kinds.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d"), F.max("copies").alias("copies")).first()
+    w = Window.partitionBy("src").orderBy(F.desc("similarity"), "dst")
+    met = _met(kinds.select("id", "v"), found.n, found.d or 1, k, threshold, block)
+    best = met.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
+    return best if (found.copies or 1) == 1 else _of_copies(rows, kinds, best, k, threshold)
+
+
+def _of_copies(rows: DataFrame, kinds: DataFrame, best: DataFrame, k: int, threshold: float) -> DataFrame:
+    """nearest of all rows (id, v) from best, the nearest of the kinds (id, v, copies), each named by its least row. A row among the first k brings its kind's least row along, which
+    is no later; so the first k rows are of a row's own kind and of the k kinds next to it, and of each kind the first k and one more will do."""
+    several = kinds.filter("copies > 1").select("v", F.col("id").alias("kind"))
+    members = written(rows.join(several, "v").select("kind", "id"), "vector-copies")
+    first = written(members.withColumn("_n", F.row_number().over(Window.partitionBy("kind").orderBy("id"))).filter(F.col("_n") <= k + 1).drop("_n"), "vector-first")
+    own = first.select(F.col("kind").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("similarity")).filter(F.col("similarity") >= threshold)
+    others = best.select("src", F.col("dst").alias("kind"), "similarity").join(first, "kind", "left").select("src", F.coalesce("id", "kind").alias("dst"), "similarity")
+    order = [F.desc("similarity"), F.col("dst")]
+    near = own.unionByName(others).withColumn("_n", F.row_number().over(Window.partitionBy("src").orderBy(*order))).filter(F.col("_n") <= k + 1).drop("_n").withColumnRenamed("src", "kind")
+    alone = kinds.filter("copies = 1").select(F.col("id").alias("kind"), "id")
+    out = members.select("kind", "id").unionByName(alone).join(near, "kind").filter("id <> dst").select(F.col("id").alias("src"), "dst", "similarity")
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(*order)).cast("bigint")).filter(F.col("rank") <= k)
+
+
+def _met(rows: DataFrame, n: int, d: int, k: int, threshold: float, block: int | None = None) -> DataFrame:
+    """src, dst, similarity: of n different vectors (id, v) of d places at least the k nearest of each, at or over threshold."""
+    block = block or min(max(BLOCK, -(-n // BLOCKS)), MOST_BLOCK, max(1, BLOCK_BYTES // (8 * d)))
+    n_blocks = max(1, -(-n // block))
     cut = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n_blocks)))
+    #: Of a product in float32: rounding of both vectors and of d products and sums.
+    slack = (d + 8) * 6.1e-8
 
     def gather(t: pa.Table) -> pa.Table:
         t = t.sort_by("id")
@@ -136,19 +184,22 @@ def nearest(vectors: DataFrame, key: str, vector: str, k: int, threshold: float
 
     def met_in(i1, m1, i2, m2, same):
         """All similarities at or over the threshold, or the best k of each row, of two blocks, for the first one's rows and, if it is another, for the second one's."""
-        kept = [_Best(len(i), k, threshold) for i in ((i1,) if same else (i1, i2))] if k <= FEW else None
+        f1, f2 = m1.astype(np.float32), m2.astype(np.float32)
+        kept = [_Best(len(i), k, threshold, slack) for i in ((i1,) if same else (i1, i2))] if k <= FEW else None
         for a in range(0, len(i1), TILE):
             for b in range(0, len(i2), TILE):
-                s = m1[a : a + TILE] @ m2[b : b + TILE].T
+                s = f1[a : a + TILE] @ f2[b : b + TILE].T
                 if same and a == b:
                     np.fill_diagonal(s, -np.inf)
                 if kept:
-                    kept[0].add(a, i2[b : b + TILE], s)
+                    row, col = kept[0].open(a, s)
+                    kept[0].add(row + a, i2[col + b], _exact(m1, m2, row + a, col + b))
                     if not same:
-                        kept[1].add(b, i1[a : a + TILE], s, True)
+                        row, col = kept[1].open(b, s, True)
+                        kept[1].add(row + b, i1[col + a], _exact(m1, m2, col + a, row + b))
                     continue
-                row, col = np.nonzero(s > threshold - 1e-9)
-                value = np.round(s[row, col], 9)
+                row, col = np.divmod(_where(s > np.float32(threshold - slack - 1e-9)), s.shape[1])
+                value = _exact(m1, m2, row + a, col + b)
                 good = value >= threshold
                 src, dst, value = i1[row[good] + a], i2[col[good] + b], value[good]
                 yield _pairs(src, dst, value)
@@ -165,9 +216,7 @@ def nearest(vectors: DataFrame, key: str, vector: str, k: int, threshold: float
                 i1, i2 = (np.frombuffer(r[c], np.int64) for c in ("ids1", "ids2"))
                 yield from met_in(i1, np.frombuffer(r["m1"]).reshape(len(i1), -1), i2, np.frombuffer(r["m2"]).reshape(len(i2), -1), r["b1"] == r["b2"])
 
-    met = left.join(right.hint("merge"), ["b1", "b2"]).select("b1", "b2", "ids1", "m1", "ids2", "m2").mapInArrow(product, "src bigint, dst bigint, similarity double")
-    w = Window.partitionBy("src").orderBy(F.desc("similarity"), "dst")
-    return met.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
+    return left.join(right.hint("merge"), ["b1", "b2"]).select("b1", "b2", "ids1", "m1", "ids2", "m2").mapInArrow(product, "src bigint, dst bigint, similarity double")
 
 
 def label_propagation(nodes: DataFrame, e: DataFrame, rounds: int = 3) -> DataFrame:
