@@ -275,8 +275,8 @@ LEVELS["h_nodes"] = "SELECT 0::BIGINT AS level, * FROM h_n0 UNION ALL SELECT 1,
 _hierarchies: dict[tuple[str, str], H.Hierarchy] = {}
 
 
-def attributed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes (documents that have a vector) and edges: the next document of the same source as a relation, and nearest neighbours."""
+def attributed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes (documents that have a vector), edges (the next document of the same source as a relation, and nearest neighbours) and the neighbours."""
     from pyspark.sql import Window
 
     nodes = tab(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_id"), F.concat(F.lit("d"), F.col("vec_id")).alias("name"), "embedding")
@@ -284,16 +284,17 @@ def attributed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     nxt = d.select(F.col("doc_id").alias("subject_id"), F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id")).alias("object_id")).filter("object_id IS NOT NULL")
     r = nxt.withColumn("predicate", F.when(F.col("subject_id") % 3 == 0, "extends").when(F.col("subject_id") % 3 == 1, "uses").otherwise("unlisted"))
     e = C.entity_edges(nodes.select(F.col("node_id").alias("entity_id"), "embedding"), r, 1.0, 1.0)
-    return nodes, H.with_similar(e, nodes, threshold=THRESHOLD)
+    near = H.neighbours(nodes)
+    return nodes, H.with_similar(e, nodes, threshold=THRESHOLD, near=near), near
 
 
 def hierarchy(spark: SparkSession, sf_dir: str) -> H.Hierarchy:
     """Built once a session, as knowledge()."""
     at = (spark.sparkContext.applicationId, sf_dir)
     if at not in _hierarchies:
-        nodes, e = attributed(spark, sf_dir)
+        nodes, e, near = attributed(spark, sf_dir)
         refs = nodes.select("node_id", F.col("node_id").alias("doc_id"))
-        _hierarchies[at] = H.linked(H.build(nodes, e, refs, threshold=THRESHOLD))
+        _hierarchies[at] = H.linked(H.build(nodes, e, refs, threshold=THRESHOLD, near=near))
     return _hierarchies[at]
 
 

@@ -30,6 +30,8 @@ class Hierarchy:
     intra_links: DataFrame | None = None
     inter_links: DataFrame | None = None
     config: dict = field(default_factory=dict)
+    #: neighbours() of levels, as far as building has found them; not saved.
+    near: dict[int, DataFrame] = field(default_factory=dict)
 
     TABLES = ("nodes", "children", "edges", "refs", "intra_links", "inter_links")
 
@@ -80,10 +82,16 @@ def entry_node(nodes: DataFrame, children: DataFrame, refs: DataFrame) -> DataFr
     return n.join(c, "node_id", "left").join(r, "node_id", "left").na.fill(0, ["n_children", "n_refs"]).orderBy(F.desc("n_children"), F.desc("n_refs"), "node_id").limit(1)
 
 
-def with_similar(e: DataFrame, nodes: DataFrame, top_k: int = TOP_K, threshold: float = THRESHOLD, beta: float = 1.0) -> DataFrame:
+def neighbours(nodes: DataFrame, top_k: int = TOP_K) -> DataFrame:
+    """src, dst, similarity, rank: a level's nearest neighbours, as many as its edges or its links take; both read them, so that a level's vectors are compared once."""
+    return written(graph.nearest(nodes, "node_id", "embedding", max(top_k, NEIGHBOURS)), "neighbours")
+
+
+def with_similar(e: DataFrame, nodes: DataFrame, top_k: int = TOP_K, threshold: float = THRESHOLD, beta: float = 1.0, near: DataFrame | None = None) -> DataFrame:
     """src, dst, weight: edges, and beta times the similarity of each node's nearest neighbours at or over the threshold. Two nodes that are
-    each among the other's nearest count twice."""
-    near = graph.nearest(nodes, "node_id", "embedding", top_k, threshold).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), (beta * F.col("similarity")).alias("weight"))
+    each among the other's nearest count twice. near: neighbours(nodes, top_k), if they are known."""
+    near = graph.nearest(nodes, "node_id", "embedding", top_k, threshold) if near is None else near.filter((F.col("rank") <= top_k) & (F.col("similarity") >= threshold))
+    near = near.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), (beta * F.col("similarity")).alias("weight"))
     return e.select("src", "dst", "weight").unionByName(near).groupBy("src", "dst").agg(F.round(F.sum("weight"), 6).alias("weight"))
 
 
@@ -126,13 +134,14 @@ def means(parents: DataFrame, nodes: DataFrame) -> DataFrame:
     return m.groupBy(F.col("parent").alias("node_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("embedding"))
 
 
-def build(nodes: DataFrame, e: DataFrame, refs: DataFrame, max_levels: int = 3, min_nodes: int = 5, top_k: int = TOP_K, threshold: float = THRESHOLD, algorithm: str = "label", rounds: int = 2, embedder: Embedder | None = None, generator: Generator | None = None) -> Hierarchy:
-    """nodes: node_id, name, embedding (summary if there is one); e: src, dst, weight of level 0, nearest neighbours included; refs: node_id, doc_id. One pass a level,
-    each written: at most max_levels of them."""
+def build(nodes: DataFrame, e: DataFrame, refs: DataFrame, max_levels: int = 3, min_nodes: int = 5, top_k: int = TOP_K, threshold: float = THRESHOLD, algorithm: str = "label", rounds: int = 2, embedder: Embedder | None = None, generator: Generator | None = None, near: DataFrame | None = None) -> Hierarchy:
+    """nodes: node_id, name, embedding (summary if there is one); e: src, dst, weight of level 0, nearest neighbours included; refs: node_id, doc_id; near: neighbours of
+    level 0, if they are known. One pass a level, each written: at most max_levels of them."""
     summary = F.col("summary") if "summary" in nodes.columns else F.col("name")
     now = written(nodes.select("node_id", "name", F.lit(1).cast("bigint").alias("size"), summary.alias("summary"), F.col("embedding").cast("array<double>").alias("embedding")), "level-nodes")
     e, refs = written(e.select("src", "dst", "weight"), "level-edges"), written(refs.select("node_id", "doc_id").distinct(), "level-refs")
     leveled = lambda df, n: df.select(F.lit(n).cast("bigint").alias("level"), *df.columns)
+    known = {} if near is None else {0: near}
     out = {"nodes": [leveled(now, 0)], "children": [], "edges": [leveled(e, 0)], "refs": [leveled(refs, 0)]}
     for level in range(1, max(1, max_levels)):
         n = now.count()
@@ -152,7 +161,8 @@ def build(nodes: DataFrame, e: DataFrame, refs: DataFrame, max_levels: int = 3,
         out["refs"].append(leveled(refs, level))
         if alone or up.count() == 1:
             break
-        e = written(with_similar(graph.roll_up(e, parents), up, top_k, threshold), "level-edges")
+        known[level] = neighbours(up, top_k)
+        e = written(with_similar(graph.roll_up(e, parents), up, top_k, threshold, near=known[level]), "level-edges")
         out["edges"].append(leveled(e, level))
         now = up
 
@@ -165,20 +175,21 @@ def build(nodes: DataFrame, e: DataFrame, refs: DataFrame, max_levels: int = 3,
             r = r.unionByName(t)
         return r
 
-    return Hierarchy(*[union(n) for n in ("nodes", "children", "edges", "refs")], config={"algorithm": algorithm, "hierarchy_kind": "hierarchical_attributed_communities"})
+    return Hierarchy(*[union(n) for n in ("nodes", "children", "edges", "refs")], config={"algorithm": algorithm, "hierarchy_kind": "hierarchical_attributed_communities"}, near=known)
 
 
 def linked(h: Hierarchy, m: int = NEIGHBOURS) -> Hierarchy:
     """h with its links: each node's m nearest in its level, and from each node with children to the one nearest to it."""
     intra = None
     for n in range(h.top() + 1):
-        near = graph.nearest(h.level(n), "node_id", "embedding", m).select(F.lit(n).cast("bigint").alias("level"), "src", "dst", "rank")
+        near = h.near[n].filter(F.col("rank") <= m) if n in h.near and m <= NEIGHBOURS else graph.nearest(h.level(n), "node_id", "embedding", m)
+        near = near.select(F.lit(n).cast("bigint").alias("level"), "src", "dst", "rank")
         intra = near if intra is None else intra.unionByName(near)
     up = h.nodes.select("level", F.col("node_id").alias("parent"), F.col("embedding").alias("pe"))
     low = h.nodes.select((F.col("level") + 1).alias("level"), F.col("node_id").alias("child"), F.col("embedding").alias("ce"))
     j = h.children.join(up, ["level", "parent"]).join(low, ["level", "child"]).select("level", "parent", "child", F.round(V.cosine(F.col("pe"), F.col("ce")), 6).alias("similarity"))
     inter = R.ranked(j, ["level", "parent"], [F.desc("similarity"), F.col("child")], 1).drop("rank")
-    return Hierarchy(h.nodes, h.children, h.edges, h.refs, written(intra, "intra-links"), written(inter, "inter-links"), {**h.config, "m_neighbors": str(m)})
+    return Hierarchy(h.nodes, h.children, h.edges, h.refs, written(intra, "intra-links"), written(inter, "inter-links"), {**h.config, "m_neighbors": str(m)}, h.near)
 
 
 def search(h: Hierarchy, questions: DataFrame, **how) -> DataFrame:
