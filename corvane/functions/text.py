@@ -86,12 +86,13 @@ def nfkc(text: Column) -> Column:
 
 def collapse(text: Column) -> Column:
     """Runs of white space (Unicode's) to one space; trimmed."""
-    return F.btrim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.btrim(F.regexp_replace(text, r"(?U) \s+|[\s&&[^ ]]\s*", " "))  # a space that stands alone needs no replacement
 
 
 def normalised(text: Column) -> Column:
-    """NFKC form with runs of white space as one space; null is empty. A Python worker's: for ingest, and for the few questions."""
-    return collapse(nfkc(F.coalesce(text, F.lit(""))))
+    """NFKC form with runs of white space as one space; null is empty. A Python worker's: for ingest, and for the few questions; it gets only texts with
+    characters beyond ASCII and the letters of Latin-1, which have no other form."""
+    return collapse(F.coalesce(nfkc(F.when(text.rlike(r"[^\x00-\x7F\u00C0-\u00FF]"), text)), text, F.lit("")))
 
 
 def search_text(columns: list[str]) -> Column:

@@ -175,8 +175,9 @@ def report(seen: dict[str, DataFrame]) -> DataFrame:
     return seen["blocks"].groupBy("qid").agg(F.count(F.lit(1)).alias("blocks")).join(both.groupBy("qid").agg(F.count_distinct("block").alias("blocks_read"), F.count(F.lit(1)).alias("chunks_scored")), "qid")
 
 
-#: Letters of a run; a term of these alone lies within a run of them. Runs that a scan remembers the terms of, and their length at most; chunks that are scored at once.
-RUN, RUNS, RUN_CHARS, ROWS = re.compile(r"[a-z0-9_-]+"), 200_000, 64, 512
+#: Letters of a run; a term of these alone lies within a run of them. Runs that a scan remembers the terms of, and their length at most; chunks that are scored at once; terms up to
+#: which each is sought by itself, for cutting a text into runs takes longer.
+RUN, RUNS, RUN_CHARS, ROWS, SOUGHT = re.compile(r"[a-z0-9_-]+"), 200_000, 64, 512, 64
 
 
 class _Terms:
@@ -184,8 +185,9 @@ class _Terms:
 
     def __init__(self, terms: list[str]):
         self.number = {t: i for i, t in enumerate(terms)}
-        self.lengths = sorted({len(t) for t in terms if RUN.fullmatch(t)})
-        self.others = [(t, i) for i, t in enumerate(terms) if not RUN.fullmatch(t)]
+        in_runs = {t for t in terms if len(terms) > SOUGHT and RUN.fullmatch(t)}
+        self.lengths = sorted({len(t) for t in in_runs})
+        self.others = [(t, i) for i, t in enumerate(terms) if t not in in_runs]
         self.known: dict[str, dict[int, int]] = {}
 
     def within(self, run: str) -> dict[int, int]:
@@ -205,11 +207,11 @@ class _Terms:
     def places(self, text: str) -> dict[int, int]:
         """The terms that a text holds, and where each stands first, or EARLY if that is no earlier."""
         found: dict[int, int] = {}
-        for run in set(RUN.findall(text)):
+        for run in set(RUN.findall(text)) if self.lengths else ():
             held = self.within(run)
             if held:
                 found.update(dict.fromkeys(held, EARLY))
-        for m in RUN.finditer(text):
+        for m in RUN.finditer(text) if self.lengths else ():
             if m.start() >= EARLY:
                 break
             for t, i in self.within(m[0]).items():
@@ -221,9 +223,9 @@ class _Terms:
         return found
 
 
-def _scanned(asked: list[tuple], k: int, numeric: bool):
-    """asked: (qid, [(term, weight, anchor)]). A function of batches (doc_id, searchable) that finds the best k of each question among them. Values are added up in the order of
-    the terms, as T.keyword_score does, and are compared as they are when rounded."""
+def _summed(asked: list[tuple]):
+    """asked: (qid, [(term, weight, anchor)]). Their terms, and a function of these (_Terms) and texts that tells of each question with anchors its place in asked, which texts hold an
+    anchor, and their sums. Values are added up in the order of the terms, as T.keyword_score does."""
     terms = sorted({t for _, ts in asked for t, _, _ in ts})
     number = {t: i for i, t in enumerate(terms)}
     kinds = sorted({x for _, ts in asked for x in ts})  # a term with its weight
@@ -246,6 +248,24 @@ def _scanned(asked: list[tuple], k: int, numeric: bool):
                 out[f, i] = weight[f] * (1 + base[min(3, texts[i].count(term))]) + more[f, i]
         return np.where(p >= 0, out, 0.0)
 
+    def sums(seek: _Terms, texts: list[str]):
+        value = values([seek.places(t) for t in texts], texts)
+        for q, (anchors, intents) in enumerate(needs):
+            if not anchors:
+                continue
+            s = np.add.reduce(value[anchors], axis=0)
+            held = s > 0
+            for f in intents:
+                s = s + value[f]
+            yield q, held, s
+
+    return terms, sums
+
+
+def _scanned(asked: list[tuple], k: int, numeric: bool):
+    """A function of batches (doc_id, searchable) that finds the best k of each question of asked among them. Values are compared as they are when rounded."""
+    terms, sums = _summed(asked)
+
     def work(batches):
         seek, best = _Terms(terms), [[] for _ in asked]
         least = np.full(len(asked), -np.inf)
@@ -255,15 +275,8 @@ def _scanned(asked: list[tuple], k: int, numeric: bool):
                 ids, texts = zip(*[(i, t) for i, t in zip(ids, texts, strict=True) if t is not None], strict=True) if any(t is not None for t in texts) else ((), ())
                 if not texts:
                     continue
-                value = values([seek.places(t) for t in texts], texts)
                 order = np.array(ids, np.int64 if numeric else object)
-                for q, (anchors, intents) in enumerate(needs):
-                    if not anchors:
-                        continue
-                    s = np.add.reduce(value[anchors], axis=0)
-                    held = s > 0
-                    for f in intents:
-                        s = s + value[f]
+                for q, held, s in sums(seek, texts):
                     r = np.round(s, 9)
                     new = np.flatnonzero(held & (r >= least[q]))
                     if len(best[q]) == k and len(new):
@@ -294,3 +307,29 @@ def scan(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     types = [to_arrow_type(kinds["qid"]), to_arrow_type(kinds["doc_id"]), pa.float64()]
     s = chunks.select("doc_id", "searchable").mapInArrow(work, schema).select("qid", "doc_id", F.round("s", 9).alias("keyword_score"))
     return R.ranked(s, ["qid"], [F.desc("keyword_score"), F.col("doc_id")], k, "keyword_rank")
+
+
+def scores(chunks: DataFrame, questions: DataFrame) -> DataFrame:
+    """qid, source, doc_id, keyword_score of each chunk that holds an anchor of a question which looks at it; each text is read once for all of them. chunks: doc_id, source,
+    searchable, qids (those that look at it); questions, of which there are few: qid, terms."""
+    names = {"qid": questions.schema["qid"].dataType, **{c: chunks.schema[c].dataType for c in ("source", "doc_id")}}
+    asked = [(r.qid, [(t.term, t.weight, t.anchor) for t in r.terms]) for r in questions.select("qid", "terms").collect()]
+    terms, sums = _summed(asked)
+
+    def work(batches):
+        seek = _Terms(terms)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                part = part.filter(part.column(3).is_valid())
+                looks = [set(x) for x in part.column(2).to_pylist()]
+                for q, held, s in sums(seek, part.column(3).to_pylist()) if looks else ():
+                    at = np.array([i for i in np.flatnonzero(held) if asked[q][0] in looks[i]], np.int64)
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array([asked[q][0]] * len(at), types[0]), part.column(1).take(pa.array(at)), part.column(0).take(pa.array(at)), pa.array(s[at])], names=["qid", "source", "doc_id", "s"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    types = [to_arrow_type(names["qid"])]
+    schema = ", ".join(f"{n} {t.simpleString()}" for n, t in names.items()) + ", s double"
+    return chunks.select("doc_id", "source", "qids", "searchable").mapInArrow(work, schema).select(*names, F.round("s", 9).alias("keyword_score"))

@@ -67,9 +67,21 @@ def keyword_search(chunks: DataFrame, questions: DataFrame, k: int, n: int | Non
     return R.ranked(keyword_scores(chunks, questions, n), ["qid"], [F.desc("keyword_score"), F.col("doc_id")], k, "keyword_rank")
 
 
-def hybrid_search(chunks: DataFrame, questions: DataFrame, k: int = 10) -> DataFrame:
+def hybrid_legs(chunks: DataFrame, questions: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """What hybrid_search fuses for k, by vectors and by keywords; written, to be cut for any smaller k as well."""
     raw, n = R.over_fetch(k), questions.count()
-    return R.fuse(vector_search(chunks, questions, raw, n), keyword_search(chunks, questions, raw, n), ["qid", "doc_id"], ("vector_rank", "keyword_rank"), (R.VECTOR_WEIGHT, R.KEYWORD_WEIGHT), k)
+    return written(vector_search(chunks, questions, raw, n), "vector-leg"), written(keyword_search(chunks, questions, raw, n), "keyword-leg")
+
+
+def hybrid_search(chunks: DataFrame, questions: DataFrame, k: int = 10, legs: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """legs: hybrid_legs for k or more."""
+    raw = R.over_fetch(k)
+    if legs is None:
+        n = questions.count()
+        vector, keyword = vector_search(chunks, questions, raw, n), keyword_search(chunks, questions, raw, n)
+    else:
+        vector, keyword = legs[0].filter(F.col("vector_rank") <= raw), legs[1].filter(F.col("keyword_rank") <= raw)
+    return R.fuse(vector, keyword, ["qid", "doc_id"], ("vector_rank", "keyword_rank"), (R.VECTOR_WEIGHT, R.KEYWORD_WEIGHT), k)
 
 
 def filtered_vector_search(chunks: DataFrame, questions: DataFrame, keep, k: int, fetch_k: int | None = None, prefilter: bool = False) -> DataFrame:
@@ -178,12 +190,17 @@ def graph_scores(chunks: DataFrame, questions: DataFrame, g: Graph, base: DataFr
     return reduce(DataFrame.unionByName, [x.select("qid", "doc_id", "score") for x in legs]).groupBy("qid", "doc_id").agg(F.round(F.sum("score"), 6).alias("score"))
 
 
-def graph_search(chunks: DataFrame, questions: DataFrame, g: Graph, k: int = 10, include_references: bool = True) -> DataFrame:
-    """Hybrid and graph ranks fused; hybrid retrieval alone where the graph is empty."""
+def graph_depth(k: int) -> int:
+    """Rows of the hybrid search that graph retrieval of k starts from."""
+    return max(8 * k, k + 30)
+
+
+def graph_search(chunks: DataFrame, questions: DataFrame, g: Graph, k: int = 10, include_references: bool = True, legs: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Hybrid and graph ranks fused; hybrid retrieval alone where the graph is empty. legs: hybrid_legs for graph_depth(k), if they are known."""
     if g.entities.isEmpty() and g.relations.isEmpty():
         return retrieve(chunks, questions, k, include_references)
-    raw = max(8 * k, k + 30)
-    base = written(hybrid_search(chunks, questions, raw), "graph-base")
+    raw = graph_depth(k)
+    base = written(hybrid_search(chunks, questions, raw, legs), "graph-base")
     scored = graph_scores(chunks, questions, g, base, k)
     ranked = R.ranked_whole(scored, "qid", "score", "doc_id", "graph_rank").join(chunks.select("doc_id"), "doc_id", "left_semi")
     fused = R.fuse(ranked, base.withColumnRenamed("rank", "base_rank"), ["qid", "doc_id"], ("graph_rank", "base_rank"), (R.GRAPH_WEIGHT, R.BASE_WEIGHT), k if include_references else raw)
@@ -250,9 +267,10 @@ def candidate_papers(chunks: DataFrame, questions: DataFrame, k: int = 5, g: Gra
     sources after the first."""
     raw = max(8 * k, k + 20)
     src = chunks.select("doc_id", "source").filter("source <> ''")
-    legs = [hybrid_search(chunks, questions, raw).select("qid", "doc_id", "rank", F.lit("hybrid").alias("signal"))]
+    both = hybrid_legs(chunks, questions, raw if g is None else graph_depth(raw))  # texts and vectors are read once for both signals
+    legs = [hybrid_search(chunks, questions, raw, both).select("qid", "doc_id", "rank", F.lit("hybrid").alias("signal"))]
     if g is not None:
-        legs.append(graph_search(chunks, questions, g, raw).select("qid", "doc_id", "rank", F.lit("graph").alias("signal")))
+        legs.append(graph_search(chunks, questions, g, raw, legs=both).select("qid", "doc_id", "rank", F.lit("graph").alias("signal")))
     votes = reduce(DataFrame.unionByName, legs).join(src, "doc_id").select("qid", "signal", "source", F.col("rank").cast("double").alias("rank"))
     if index is not None:
         cited = refs.join(src, "doc_id").groupBy("community_id", "source").agg(F.min("ref_rank").alias("f"))
@@ -274,13 +292,15 @@ def in_papers(chunks: DataFrame, questions: DataFrame, papers: DataFrame, per_pa
     """qid, source, doc_id, score, paper_score, paper_rank, in_paper_rank: within each candidate paper, vector and keyword ranks fused. Only chunks of a
     question's candidates are scored: papers are joined before any text is looked at."""
     wanted = papers.select("qid", "source", F.round("score", 6).alias("paper_score"), F.col("rank").alias("paper_rank")).join(questions, "qid")
-    low = F.col("searchable") if "searchable" in chunks.columns else T.search_text(chunks.columns)
-    c = chunks.select("doc_id", "source", "embedding", low.alias("searchable")).join(F.broadcast(wanted), "source")  # a few papers each question
     by = ["qid", "source"]
-    v = c.filter("embedding IS NOT NULL").select(*by, "doc_id", F.round(V.l2_squared(F.col("embedding"), F.col("qvec")), 9).alias("distance"))
+    c = chunks.filter("embedding IS NOT NULL").select("doc_id", "source", "embedding").join(F.broadcast(wanted.select(*by, "qvec")), "source")  # a few papers each question
+    v = c.select(*by, "doc_id", F.round(V.l2_squared(F.col("embedding"), F.col("qvec")), 9).alias("distance"))
     v = R.ranked(v, by, [F.col("distance"), F.col("doc_id")], R.over_fetch(per_paper), "vector_rank")
-    w = c.select(*by, "doc_id", "searchable", T.query_terms(F.col("question")).alias("terms")).filter("exists(terms, t -> t.anchor AND contains(searchable, t.term))")
-    w = R.ranked(w.select(*by, "doc_id", F.round(T.keyword_score("searchable", "terms"), 9).alias("keyword_score")), by, [F.desc("keyword_score"), F.col("doc_id")], R.over_fetch(per_paper), "keyword_rank")
+    low = F.col("searchable") if "searchable" in chunks.columns else T.search_text(chunks.columns)
+    asking = wanted.groupBy("source").agg(F.array_distinct(F.collect_list("qid")).alias("qids"))
+    texts = chunks.select("doc_id", "source", low.alias("searchable")).join(F.broadcast(asking), "source")
+    w = lexical.scores(texts, questions.join(papers.select("qid"), "qid", "left_semi").select("qid", T.query_terms(F.col("question")).alias("terms")))
+    w = R.ranked(w, by, [F.desc("keyword_score"), F.col("doc_id")], R.over_fetch(per_paper), "keyword_rank")
     both = v.select(*by, "doc_id", "vector_rank").join(w.select(*by, "doc_id", "keyword_rank"), [*by, "doc_id"], "full_outer")
     both = both.withColumn("score", F.round(R.rrf(F.col("vector_rank"), R.VECTOR_WEIGHT) + R.rrf(F.col("keyword_rank"), R.KEYWORD_WEIGHT), 9))
     top = R.ranked(both, by, [F.desc("score"), F.asc_nulls_last("vector_rank"), F.asc_nulls_last("keyword_rank"), F.col("doc_id")], per_paper, "in_paper_rank")
