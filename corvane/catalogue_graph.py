@@ -115,11 +115,14 @@ def knowledge(spark: SparkSession, sf_dir: str, with_communities: bool = False)
     """The graph of all documents, and its communities: built once a session and kept as tables, as an index is. kg_* and community_* time the building."""
     at = (spark.sparkContext.applicationId, sf_dir)
     if at not in _built:
-        r = written(records(spark, sf_dir), "kg-records")
-        ent, rel = kg.entities_of(r), kg.relations_of(r)
-        e = kg.merged_entities(ent)
-        e = kept(e.withColumn("embedding", HashEmbedder(SIZE).embed(kg.entity_text(e))), "kg-entities", "entity_id")
-        g = P.Graph(e, kept(kg.merged_relations(rel, e), "kg-relations", "relation_id"), kept(_doc(kg.links(ent), "entity_id"), "kg-links", "entity_id"), kept(_doc(kg.relation_links(rel, e), "relation_id"), "kg-relation-links", "relation_id"))
+        # Mentions are written, and what is merged from them before it is counted and cut into parts: names are cleaned, relations resolved and all merged once.
+        r = records(spark, sf_dir)
+        ent = written(kg.named(kg.entities_of(r)), "kg-mentions")
+        e = kept(written(kg.merged_entities(ent), "kg-merged"), "kg-entities", "entity_id", lambda df: df.withColumn("embedding", HashEmbedder(SIZE).embed(kg.entity_text(df))))
+        rel = written(kg.resolved_relations(kg.relations_of(r), e), "kg-resolved")
+        links = _doc(ent, "canonical_name").select(F.substring(F.sha1("canonical_name"), 1, 16).alias("entity_id"), "doc_id")
+        whole = lambda df, key, name: kept(written(df, name), name, key)
+        g = P.Graph(e, whole(kg.merged_resolved(rel), "relation_id", "kg-relations"), whole(links, "entity_id", "kg-links"), whole(_doc(rel, "relation_id"), "relation_id", "kg-relation-links"))
         _built[at] = Knowledge(g)
     k = _built[at]
     if with_communities and k.communities is None:

@@ -15,7 +15,8 @@ SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 def fixed_windows(pages: DataFrame, keys: list[str], text: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """keys, start_index (0-based), chunk: windows of size characters, each overlap into the one before. No row for empty text."""
     step = size - overlap
-    starts = F.expr(f"filter(transform(sequence(0, greatest(int(ceil((length(`{text}`) - {overlap}) / {step}D)), 1) - 1), i -> i * {step}), s -> length(`{text}`) > 0)")
+    # The length once a text, not once a window: to tell it takes a look at the whole text.
+    starts = F.expr(f"if(length(`{text}`) > 0, transform(sequence(0, greatest(int(ceil((length(`{text}`) - {overlap}) / {step}D)), 1) - 1), i -> i * {step}), cast(array() as array<int>))")
     return pages.select(*keys, F.col(text).alias("_t"), F.explode(starts).alias("start_index")).select(*keys, F.col("start_index").cast("bigint").alias("start_index"), F.substring("_t", F.col("start_index") + 1, F.lit(size)).alias("chunk"))
 
 

@@ -99,8 +99,15 @@ def _longest(text: str) -> Column:
     return F.min_by(text, F.struct((-F.length(text)).alias("n"), F.col("chunk_key").alias("c"), F.col("pos").alias("p")))
 
 
+def named(entities: DataFrame) -> DataFrame:
+    """entities with canonical_name, to be written where several steps read them: names are cleaned once then."""
+    return _keyed(entities, None)
+
+
 def _keyed(entities: DataFrame, keys: DataFrame | None) -> DataFrame:
     """entities with canonical_name: of the entity that a row belongs to."""
+    if keys is None and "canonical_name" in entities.columns:
+        return entities
     if keys is None:
         return entities.withColumn("canonical_name", T.canonical_name(F.col("name"))).filter("canonical_name <> ''")
     return entities.join(keys, ["chunk_key", "pos"]).withColumnRenamed("key", "canonical_name")
@@ -167,7 +174,11 @@ def resolved_relations(relations: DataFrame, entities: DataFrame, local: DataFra
 
 def merged_relations(relations: DataFrame, entities: DataFrame, local: DataFrame | None = None) -> DataFrame:
     """By subject, predicate and object: longest description, evidence (a set), number of chunks and of mentions; the chunks are relation_links()."""
-    r = resolved_relations(relations, entities, local)
+    return merged_resolved(resolved_relations(relations, entities, local))
+
+
+def merged_resolved(r: DataFrame) -> DataFrame:
+    """merged_relations of relations that are resolved (resolved_relations)."""
     return r.groupBy("relation_id", "subject_id", "predicate", "object_id").agg(
         _longest("description").alias("description"),
         F.array_sort(F.collect_set(F.nullif(F.col("evidence"), F.lit("")))).alias("evidence"),

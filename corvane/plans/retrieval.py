@@ -201,7 +201,7 @@ def graph_search(chunks: DataFrame, questions: DataFrame, g: Graph, k: int = 10,
         return retrieve(chunks, questions, k, include_references)
     raw = graph_depth(k)
     base = written(hybrid_search(chunks, questions, raw, legs), "graph-base")
-    scored = graph_scores(chunks, questions, g, base, k)
+    scored = written(graph_scores(chunks, questions, g, base, k), "graph-scores")  # a sort by range looks at its rows twice
     ranked = R.ranked_whole(scored, "qid", "score", "doc_id", "graph_rank").join(chunks.select("doc_id"), "doc_id", "left_semi")
     fused = R.fuse(ranked, base.withColumnRenamed("rank", "base_rank"), ["qid", "doc_id"], ("graph_rank", "base_rank"), (R.GRAPH_WEIGHT, R.BASE_WEIGHT), k if include_references else raw)
     return references_last(fused, chunks, k, include=include_references)
